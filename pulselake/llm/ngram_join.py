@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulselake.llm.common import connected_components, map_batches, utf8
+from pulselake.llm.common import connected_components, map_batches, slices, utf8
 from pulselake.session import Scratch, read_table, small_side
 
 WORDS = 5
-SKETCH_BITS = 22
+SKETCH_BITS = 20
 BINS = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a worker keeps before it starts afresh.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 200_000
 
 
 class _WordHashes(dict):
@@ -73,7 +73,7 @@ def prefix_length(n: int) -> int:
 def _features(batches):
     """Per document: set size, digest of the set, counts by hash range; per task: its part of the count table."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for batch in batches:
+    for batch in slices(batches):
         sizes, digests, bins, cells = [], [], [], []
         for text in utf8(batch, "text"):
             s = shingle_set(text)
@@ -105,7 +105,7 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _count_table(parts: DataFrame) -> np.ndarray:
-    """The sum of the tasks' count tables (2**22 numbers, whatever the input), added up in a tree."""
+    """The sum of the tasks' count tables (2**SKETCH_BITS numbers, whatever the input), added up in a tree."""
     rdd = parts.rdd.map(lambda r: _unpack(bytes(r[0])).astype(np.uint32))
     return np.zeros(1 << SKETCH_BITS, np.uint32) if rdd.isEmpty() else rdd.treeReduce(np.add, depth=3)
 
