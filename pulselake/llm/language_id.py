@@ -33,7 +33,7 @@ LANDMARKS = 160
 TRAIN_ROWS = 8000
 RIDGE = 1e-2
 #: Texts scored below this are rejected by keep_recognised (four languages score 0.25 each by chance).
-MIN_SCORE = 0.4
+MIN_SCORE = 0.35
 SHARPNESS = 6.0
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters lower-cased, bytes of non-ASCII characters kept, the rest blank.

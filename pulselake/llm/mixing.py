@@ -6,8 +6,9 @@ random from one document to the other until one of the two is 0 or 1, which keep
 expectation and the source's sum of words. A block of about BLOCK documents folds to one residual
 document, residuals meet in the next level's blocks, and so on: a reduction tree of
 log(n)/log(BLOCK) levels, each a shuffle of light rows (no texts), with hot sources spread over
-their blocks. The last residual of a source is rounded by its probability, so a source misses its
-target by one document at most. Draws are hashes of ids and seed, so reruns agree.
+their blocks. Documents above their source's mean length fold first; their last residual exchanges
+mass with the pool of all shorter ones, which then fold. The last residual of a source is rounded
+by its probability, so a source misses its target by one document at most, a short one as a rule. Draws are hashes of ids and seed, so reruns agree.
 
 Cases: null or word-less text has size 0 and takes nothing; null is a source of its own, last in
 order; repeated rows (and null ids) are mixed each for itself; a corpus without words has targets
@@ -68,7 +69,7 @@ def _meet(acc: Column, x: Column) -> Column:
     c_full, x_full = (1 - c["p"]) * c["size"] <= x["p"] * x["size"], c["p"] * c["size"] >= (1 - x["p"]) * x["size"]
     cp = F.when(to_c, F.when(c_full, F.lit(1.0)).otherwise(c["p"] + up / c["size"])).otherwise(F.when(x_full, c["p"] - down / c["size"]).otherwise(F.lit(0.0)))
     xp = F.when(to_c, F.when(c_full, x["p"] - up / x["size"]).otherwise(F.lit(0.0))).otherwise(F.when(x_full, F.lit(1.0)).otherwise(x["p"] + down / x["size"]))
-    item = lambda d, p: F.struct(d["h"].alias("h"), d["doc_id"].alias("doc_id"), d["size"].alias("size"), p.alias("p"))
+    item = lambda d, p: F.struct(d["size"].alias("size"), d["h"].alias("h"), d["doc_id"].alias("doc_id"), p.alias("p"))
     c_done = F.when(to_c, c_full).otherwise(~x_full)
     met = F.struct(
         F.when(c_done, item(x, xp)).otherwise(item(c, cp)).alias("carry"),
@@ -77,31 +78,58 @@ def _meet(acc: Column, x: Column) -> Column:
     return F.when(c.isNull(), F.struct(x.alias("carry"), acc["done"].alias("done"))).otherwise(met)
 
 
+_ITEM = "struct<size:bigint,h:bigint,doc_id:bigint,p:double>"
+_KEYS = ["source", "n", "source_size", "target", "whole"]
+
+
+def _tree(open_: DataFrame, most: int, work: Scratch, name: str) -> tuple[list[DataFrame], DataFrame]:
+    """Folds open items (keys, size, h, doc_id, p) to one open item a source at most: (settled rows, what is left)."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    items = open_.select(*_KEYS, F.struct("size", "h", "doc_id", "p").alias("item"), F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), blocks).alias("block"), blocks.alias("blocks"))
+    empty = F.struct(F.expr(f"cast(null as {_ITEM})").alias("carry"), F.expr(f"cast(array() as array<{_ITEM}>)").alias("done"))
+    settled, levels = [], math.ceil(math.log(max(most, 2), BLOCK)) + 1
+    for level in range(levels):
+        folded = items.groupBy(*_KEYS, "block", "blocks").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items")).withColumn("end", F.aggregate("items", empty, _meet))
+        flagged = F.concat(F.transform("end.done", lambda d: F.struct(d.alias("item"), F.lit(False).alias("open"))), F.array(F.struct(F.col("end.carry").alias("item"), F.lit(True).alias("open"))))
+        made = work.write(folded.select(*_KEYS, "block", "blocks", F.explode(flagged).alias("r")).select(*_KEYS, "block", "blocks", "r.*"), f"{name}{level}")
+        still = F.col("open") & (F.col("item.p") > 0) & (F.col("item.p") < 1)
+        settled.append(made.where(~still).select(*_KEYS, "item.*"))
+        items = made.where(still).select(*_KEYS, "item", F.floor(F.col("block") / BLOCK).alias("block"), F.ceil(F.col("blocks") / BLOCK).alias("blocks"))
+    return settled, items.select(*_KEYS, "item.*")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, work: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
     work = work or Scratch(docs.sparkSession, "mixing")
     sizes = work.write(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
     targets = work.write(source_targets(sizes, weights, cap), "targets")
+    most = targets.agg(F.max("n")).first()[0] or 0
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sizes.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("whole", F.floor(per)).withColumn("p", per - F.floor(per))
+    joined = sizes.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    rows = joined.withColumns({"whole": F.floor(per), "p": per - F.floor(per), "h": F.xxhash64("doc_id", "size", F.lit(SEED))})
     fixed = (F.col("size") == 0) | (F.col("p") <= 0)
-    keys = ["source", "n", "source_size", "target", "whole"]
-    given = [F.col(k) for k in keys]
-    settled = [rows.where(fixed).select(*keys, "doc_id", "size", F.lit(0.0).alias("p"))]
-    blocks = F.ceil(F.col("n") / BLOCK)
-    open_ = rows.where(~fixed).select(*keys, F.struct(F.xxhash64("doc_id", "size", F.lit(SEED)).alias("h"), "doc_id", "size", "p").alias("item"), F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), blocks).alias("block"), blocks.alias("blocks"))
-    most = targets.agg(F.max("n")).first()[0] or 0
-    levels = max(1, math.ceil(math.log(max(most, 2), BLOCK)) + 1)
-    empty = F.struct(F.expr("cast(null as struct<h:bigint,doc_id:bigint,size:bigint,p:double>)").alias("carry"), F.expr("cast(array() as array<struct<h:bigint,doc_id:bigint,size:bigint,p:double>>)").alias("done"))
-    for level in range(levels):
-        folded = open_.groupBy(*keys, "block", "blocks").agg(F.array_sort(F.collect_list("item")).alias("items")).withColumn("end", F.aggregate("items", empty, _meet))
-        made = work.write(folded.select(*keys, "block", "blocks", F.explode(F.concat(F.transform("end.done", lambda d: F.struct(d.alias("item"), F.lit(False).alias("open"))), F.array(F.struct(F.col("end.carry").alias("item"), F.lit(True).alias("open"))))).alias("r")).select(*keys, "block", "blocks", "r.*"), f"level{level}")
-        still = F.col("open") & (F.col("item.p") > 0) & (F.col("item.p") < 1)
-        settled.append(made.where(~still).select(*given, F.col("item.doc_id"), F.col("item.size"), F.col("item.p")))
-        left = made.where(still)
-        after = F.ceil(F.col("blocks") / BLOCK)
-        open_ = left.select(*keys, "item", F.floor(F.col("block") / BLOCK).alias("block"), after.alias("blocks"))
-    settled.append(left.select(*given, F.col("item.doc_id"), F.col("item.size"), F.when(_draw("item.h", "item.doc_id") < F.col("item.p"), 1.0).otherwise(0.0).alias("p")))
+    reserve = F.col("size") * F.col("n") <= F.col("source_size")
+    settled = [rows.where(fixed).select(*_KEYS, "size", "h", "doc_id", F.lit(0.0).alias("p"))]
+
+    # the longer documents first; what is left of them meets the pool of the shorter ones as one partner
+    done, long_left = _tree(rows.where(~fixed & ~reserve), most, work, "long")
+    settled += done
+    pool = rows.where(~fixed & reserve).groupBy("source").agg(F.sum("size").alias("pool_size"), F.first("p").alias("f"))
+    up = F.least((1 - F.col("p")) * F.col("size"), F.col("f") * F.col("pool_size"))
+    down = F.least(F.col("p") * F.col("size"), (1 - F.col("f")) * F.col("pool_size"))
+    to_long = _draw("h", "doc_id") * (up + down) < down
+    met = long_left.join(pool.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumns({"up": up, "down": down, "to_long": to_long})
+    moved = F.when(F.col("to_long"), F.col("up")).otherwise(-F.col("down"))
+    filled = F.when(F.col("to_long") & (F.col("up") >= (1 - F.col("p")) * F.col("size")), 1.0).when(~F.col("to_long") & (F.col("down") >= F.col("p") * F.col("size")), 0.0).otherwise(F.col("p") + moved / F.col("size"))
+    met = work.write(met.withColumn("pool_p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("f") - moved / F.col("pool_size")))).withColumn("p", filled), "met")
+    alone = long_left.join(met.select(F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")), "left_anti")
+    short = rows.where(~fixed & reserve).join(met.select(F.col("source").alias("s"), "pool_p"), F.col("source").eqNullSafe(F.col("s")), "left").withColumn("p", F.coalesce("pool_p", "p"))
+    both = met.select(*_KEYS, "size", "h", "doc_id", "p").unionByName(alone).unionByName(short.select(*_KEYS, "size", "h", "doc_id", "p"))
+    open_ = (F.col("p") > 0) & (F.col("p") < 1)
+    settled.append(both.where(~open_))
+    done, left = _tree(both.where(open_), most, work, "short")
+    settled += done
+    settled.append(left.withColumn("p", F.when(_draw("h", "doc_id", F.lit(1)) < F.col("p"), 1.0).otherwise(0.0)))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
