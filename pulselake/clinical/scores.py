@@ -176,7 +176,7 @@ def posterior(rows: DataFrame, categories=CATEGORIES, top: int = 3) -> DataFrame
         "cardiovascular": F.when(sdnn < 50, 1 + (50 - sdnn) / 50).when(sdnn > 100, 0.7).otherwise(1.0) * F.when(rmssd < 20, 1.3).otherwise(1.0),
         "neurological_autonomic": F.when(ratio > 2.5, 1 + (ratio - 2.5) * 0.3).when(ratio < 0.5, 1.2).otherwise(1.0) * F.when(rmssd < 15, 1.4).otherwise(1.0),
     }
-    odd = F.greatest(F.lit(0.5), 1 + F.coalesce(num("anomaly"), F.lit(0.0)) * 0.5)
+    odd = F.greatest(F.lit(0.5), 1 + F.coalesce(num("anomaly"), F.lit(0.0)) * 0.25)
     factor = lambda name: F.greatest(F.lit(0.5), variability.get(name, F.lit(1.0))) * odd
     joint = F.array(*(F.struct((prior * likelihood(ranges) * factor(name)).alias("j"), F.lit(name).alias("category"), F.lit(prior).alias("prior")) for name, prior, ranges in categories))
     scored = rows.withColumn("joint", joint).withColumn("total", F.aggregate("joint", F.lit(0.0), lambda a, x: a + x["j"]))

@@ -2,14 +2,15 @@
 
 Method: rare-first prefix filtering. A fixed-size count table over the shingles of all documents
 orders shingles by frequency; of each set only the rarest quarter (the prefix) is joined. The
-length filter, the positional filter and the suffix filter (the L1 distance of shingle counts in
-64 hash ranges is a lower bound of the Hamming distance) discard pairs, and each pair left is
-verified once against the two texts.
+length filter, the positional filter and the suffix filter (the parities of shingle counts in 1024
+hash ranges differ in no more places than the sets do, which bounds their Hamming distance)
+discard pairs, and each pair left is verified once against the two texts.
 
 Groups of copies do not become all pairs. Equal sets are one class from the start. Of the other
-candidates each set first meets the neighbour it shares most prefix shingles with; only pairs
-that still lie in different components are joined after that. All of those are, so the
-components are those of the full link graph.
+candidates each set first meets the neighbour it shares most prefix shingles with; then, ROUNDS
+times, neighbours in a shingle's list that lie in different components meet, one pair for each two
+components. Only pairs that still lie in different components are joined after that. All of those
+are, so the components are those of the full link graph.
 
 Cases: null or word-less text has an empty set and links with nothing; repeated rows are one
 class; rows of one doc_id are one document with the smallest of their texts; a null doc_id takes
@@ -22,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -31,7 +32,10 @@ from pulselake.session import Scratch, read_table, small_side
 
 WORDS = 5
 SKETCH_BITS = 20
-BINS = 64
+#: 64-bit words of the parity signature of the suffix filter.
+PARITY = 16
+#: Rounds of one pair for each two components before all pairs of components still apart.
+ROUNDS = 2
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a worker keeps before it starts afresh.
 CACHE_WORDS = 200_000
@@ -71,27 +75,27 @@ def prefix_length(n: int) -> int:
 
 
 def _features(batches):
-    """Per document: set size, digest of the set, counts by hash range; per task: its part of the count table."""
+    """Per document: set size, digest of the set, parity signature; per task: its part of the count table."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in slices(batches):
-        sizes, digests, bins, cells = [], [], [], []
+        sizes, digests, parity, cells = [], [], [], []
         for text in utf8(batch, "text"):
             s = shingle_set(text)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            by_bin = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS)
-            bins.append(np.minimum(by_bin, 65535).astype("<u2").tobytes())
+            odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=64 * PARITY) & 1
+            parity.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
             cells.append((s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64))
         counts += np.bincount(np.concatenate(cells), minlength=1 << SKETCH_BITS).astype(np.uint32)
         n = len(sizes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bins, pa.binary()), pa.nulls(n, pa.binary())],
-            ["doc_id", "n", "sig", "bins", "counts"],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parity, pa.list_(pa.int64())), pa.nulls(n, pa.binary())],
+            ["doc_id", "n", "sig", "parity", "counts"],
         )
     if counts.any():
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([_pack(counts)], pa.binary())],
-            ["doc_id", "n", "sig", "bins", "counts"],
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([_pack(counts)], pa.binary())],
+            ["doc_id", "n", "sig", "parity", "counts"],
         )
 
 
@@ -141,35 +145,41 @@ def _linked(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     return batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
 
-def _suffix_filter(batch: pa.RecordBatch) -> pa.RecordBatch:
-    a, b = (np.frombuffer(b"".join(utf8(batch, c)), "<u2").reshape(-1, BINS).astype(np.int32) for c in ("bu", "bv"))
-    n = batch.column("nu").to_numpy().astype(np.int64) + batch.column("nv").to_numpy()
-    room = n - 2 * -(-3 * n // 7)
-    return batch.filter(pa.array(np.abs(a - b).sum(axis=1) <= room)).select(["u", "v"])
+def _near(a: str, b: str) -> Column:
+    """Suffix filter: sets of sizes na and nb that link differ in at most na + nb - 2 ceil(3 (na + nb) / 7) shingles."""
+    differ = sum((F.bit_count(F.col(f"{a}parity")[k].bitwiseXOR(F.col(f"{b}parity")[k])) for k in range(PARITY)), F.lit(0))
+    both = F.col(f"{a}n") + F.col(f"{b}n")
+    return differ <= both - 2 * F.ceil(3 * both / 7)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, features: DataFrame, work: Scratch) -> DataFrame:
-    """The pairs (u, v) whose texts link: first the suffix filter on their counts, then the texts."""
-    side = lambda k: features.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("bins").alias(f"b{k}"))
-    near = map_batches(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "bu", "bv"), _suffix_filter, "u long, v long")
-    near = work.write(near, "near")
+    """The pairs (u, v) whose texts link: first the suffix filter, then the texts."""
+    side = lambda k: features.select(F.col("doc_id").alias(k), F.col("n").alias(f"{k}_n"), F.col("parity").alias(f"{k}_parity"))
+    near = work.write(pairs.join(side("u"), "u").join(side("v"), "v").where(_near("u_", "v_")).select("u", "v"), "near")
     ends = near.select("u", "v", F.explode(F.array(F.struct(F.col("u").alias("doc_id"), F.lit(True).alias("first")), F.struct(F.col("v").alias("doc_id"), F.lit(False).alias("first")))).alias("end")).select("u", "v", "end.*")
     texts = docs.join(small_side(ends, 2 * near.count()), "doc_id").groupBy("u", "v").agg(F.max(F.when(F.col("first"), F.col("text"))).alias("x"), F.max(F.when(~F.col("first"), F.col("text"))).alias("y"))
     return work.write(map_batches(texts, _linked, "u long, v long"), "links")
 
 
+def _placed(shared: DataFrame, comp: DataFrame, work: Scratch) -> DataFrame:
+    """The postings of shingles whose sets lie in several components, with these."""
+    placed = shared.join(small_side(comp.withColumnRenamed("node", "id"), comp.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    return work.write(placed.join(split, "token").select("token", "id", "n", "pos", "component"), "open")
+
+
 def near_duplicate_components(docs: DataFrame, work: Scratch | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     work = work or Scratch(spark, "ngram_join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = work.write(docs.mapInArrow(_features, "doc_id long, n long, sig binary, bins binary, counts binary"), "features")
-    features = rows = made.where("counts is null").select("doc_id", "n", "sig", "bins")
+    made = work.write(docs.mapInArrow(_features, "doc_id long, n long, sig binary, parity array<long>, counts binary"), "features")
+    features = rows = made.where("counts is null").select("doc_id", "n", "sig", "parity")
     table = spark.sparkContext.broadcast(_count_table(made.where("counts is not null").select("counts")))
     docs = docs.where("doc_id is not null")
     if features.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
         docs = work.write(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "documents")
-        features = work.write(docs.mapInArrow(_features, made.schema), "features").where("counts is null").select("doc_id", "n", "sig", "bins")
+        features = work.write(docs.mapInArrow(_features, made.schema), "features").where("counts is null").select("doc_id", "n", "sig", "parity")
     features = features.where("doc_id is not null")
 
     # one class for each distinct set; its smallest id stands for it
@@ -184,20 +194,35 @@ def near_duplicate_components(docs: DataFrame, work: Scratch | None = None) -> D
     )
     shared = work.write(found.where("prev is not null or next is not null").drop("next"), "postings")
 
-    # first round: each set and the neighbour it shares most prefix shingles with
+    # first: each set and the neighbour it shares most prefix shingles with
     chain = shared.where("4 * prev_n >= 3 * n").groupBy("id", "prev").agg(F.count("*").alias("k"))
     best = chain.groupBy("id").agg(F.max_by("prev", F.struct("k", "prev")).alias("prev"))
-    tried = work.write(best.select(F.col("prev").alias("u"), F.col("id").alias("v")), "first")
+    tried = work.write(best.select(F.col("prev").alias("u"), F.col("id").alias("v")), "tried")
     comp = connected_components(_verified(tried, docs, features, work), work)
 
-    # second round: every other candidate pair whose ends are still apart
-    placed = shared.drop("prev", "prev_n").join(small_side(comp.withColumnRenamed("node", "id"), comp.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_ = work.write(placed.join(split, "token"), "open")
-    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "component")))
-    apart = open_.join(y, "token").where(
-        "component <> y_component and (n < y_n or (n = y_n and id < y_id)) and 4 * n >= 3 * y_n"
-        " and pos <= n - ceil(6 * n / 7) and least(n - pos, y_n - y_pos) >= ceil(3 * (n + y_n) / 7)"
+    # then: neighbours of different components, one pair for each two
+    open_ = _placed(shared.drop("prev", "prev_n"), comp, work)
+    for _ in range(ROUNDS):
+        near = open_.withColumns({c: F.lag(of).over(in_bucket) for c, of in (("prev", "id"), ("prev_n", "n"), ("prev_component", "component"))})
+        near = near.where("component <> prev_component and 4 * prev_n >= 3 * n").groupBy(F.col("prev").alias("u"), F.col("id").alias("v"), F.least("component", "prev_component").alias("a"), F.greatest("component", "prev_component").alias("b")).agg(F.count("*").alias("k"))
+        fresh = near.join(tried, ["u", "v"], "left_anti").groupBy("a", "b").agg(F.max_by(F.struct("u", "v"), F.struct("k", "u", "v")).alias("e")).select("e.*")
+        fresh = work.write(fresh, "tried")
+        tried = tried.union(fresh)
+        links = _verified(fresh, docs, features, work)
+        comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), work)
+        open_ = _placed(open_.drop("component"), comp, work)
+
+    # last: every other candidate pair whose ends are still apart
+    open_ = work.write(open_.join(features.select(F.col("doc_id").alias("id"), "parity"), "id"), "signed")
+    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "component", "parity")))
+    apart = open_.join(
+        y,
+        (open_["token"] == y["token"])
+        & F.expr(
+            "component <> y_component and (n < y_n or (n = y_n and id < y_id)) and 4 * n >= 3 * y_n"
+            " and pos <= n - ceil(6 * n / 7) and least(n - pos, y_n - y_pos) >= ceil(3 * (n + y_n) / 7)"
+        )
+        & _near("", "y_"),
     )
     rest = apart.select(F.col("id").alias("u"), F.col("y_id").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
     more = _verified(work.write(rest, "rest"), docs, features, work)

@@ -74,11 +74,11 @@ _PENALTY = "greatest(0.05, least(1.0, " + " * ".join(f"CASE WHEN {t} THEN {p}::D
 DECIDED_SQL = f"{MATRIX_SQL}, dis AS (SELECT *, {_REASONS} AS reasons, {_PENALTY} AS penalty FROM mat)"
 
 
-@query("discrepancy", f"WITH {DECIDED_SQL} SELECT l_orderkey, l_linenumber, reasons, {rnd('penalty', 6)} AS penalty FROM dis WHERE reasons <> ''")
+@query("discrepancy", f"WITH {DECIDED_SQL} SELECT l_orderkey, l_linenumber, reasons, {rnd('penalty', 6)} AS penalty FROM dis")
 def discrepancy(spark, sf_dir):
     from pulselake.functions.scalar import rnd as round_
 
-    d = alerts.discrepancy(rules.evaluate(snapshots(spark, sf_dir))).where("suppress")
+    d = alerts.discrepancy(rules.evaluate(snapshots(spark, sf_dir)))
     return d.select("l_orderkey", "l_linenumber", F.array_join("reasons", ",").alias("reasons"), round_("penalty", 6).alias("penalty"))
 
 
