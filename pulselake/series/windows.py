@@ -12,8 +12,15 @@ from pyspark.sql import Window as W
 
 from pulselake.functions.scalar import clip, rnd, sigmoid
 
-IN_ORDER = W.partitionBy("series").orderBy("idx")
-WHOLE = W.partitionBy("series")
+
+def in_order():
+    """A series in its order."""
+    return W.partitionBy("series").orderBy("idx")
+
+
+def whole():
+    """All rows of a series."""
+    return W.partitionBy("series")
 
 
 def cusum(rows: DataFrame, mu: Column | float | None = None, k: Column | float | None = None, h: Column | float | None = None) -> DataFrame:
@@ -23,10 +30,10 @@ def cusum(rows: DataFrame, mu: Column | float | None = None, k: Column | float |
     max(0, S + x - mu - k) in closed form. Without parameters: mu the mean, k 1.5 and h 5 deviations
     (a deviation of 0 counts as 1).
     """
-    sd = F.coalesce(F.nullif(F.stddev_samp("x").over(WHOLE), F.lit(0.0)), F.lit(1.0))
+    sd = F.coalesce(F.nullif(F.stddev_samp("x").over(whole()), F.lit(0.0)), F.lit(1.0))
     lit = lambda v, d: d if v is None else v if isinstance(v, Column) else F.lit(float(v))
-    r = rows.withColumns({"mu": lit(mu, F.avg("x").over(WHOLE)), "k": lit(k, 1.5 * sd), "h": lit(h, 5 * sd)})
-    to_here = IN_ORDER.rowsBetween(W.unboundedPreceding, 0)
+    r = rows.withColumns({"mu": lit(mu, F.avg("x").over(whole())), "k": lit(k, 1.5 * sd), "h": lit(h, 5 * sd)})
+    to_here = in_order().rowsBetween(W.unboundedPreceding, 0)
     r = r.withColumns({"up": F.sum(F.col("x") - F.col("mu") - F.col("k")).over(to_here), "down": F.sum(F.col("mu") - F.col("k") - F.col("x")).over(to_here)})
     r = r.withColumns({f"s_{c}": F.col(c) - F.least(F.lit(0.0), F.min(c).over(to_here)) for c in ("up", "down")})
     side = F.when((F.col("s_up") > F.col("h")) & (F.col("s_up") >= F.col("s_down")), "up").when(F.col("s_down") > F.col("h"), "down").otherwise("none")
@@ -35,8 +42,8 @@ def cusum(rows: DataFrame, mu: Column | float | None = None, k: Column | float |
 
 def change_point(rows: DataFrame, drift: float = 0.5, threshold: float = 4.0, least: int = 10) -> DataFrame:
     """First alarm of the two-sided sums on (x - mean) / deviation from the second point on, and the largest sum."""
-    z = (F.col("x") - F.avg("x").over(WHOLE)) / F.greatest(F.coalesce(F.stddev_pop("x").over(WHOLE), F.lit(0.0)), F.lit(1e-9))
-    r = rows.withColumns({"nth": F.row_number().over(IN_ORDER), "n": F.count("*").over(WHOLE), "x": z}).where("nth > 1")
+    z = (F.col("x") - F.avg("x").over(whole())) / F.greatest(F.coalesce(F.stddev_pop("x").over(whole()), F.lit(0.0)), F.lit(1e-9))
+    r = rows.withColumns({"nth": F.row_number().over(in_order()), "n": F.count("*").over(whole()), "x": z}).where("nth > 1")
     s = cusum(r, 0.0, drift, threshold)
     hit = F.greatest("s_up", "s_down")
     found = s.groupBy("series").agg(F.max("n").alias("n"), F.min(F.when(hit > threshold, F.col("nth") - 1)).alias("first"), F.max(hit).alias("magnitude"))
@@ -45,7 +52,7 @@ def change_point(rows: DataFrame, drift: float = 0.5, threshold: float = 4.0, le
 
 
 def _local(width: int):
-    return IN_ORDER.rowsBetween(-(width // 2), width // 2)
+    return in_order().rowsBetween(-(width // 2), width // 2)
 
 
 def mean_oscillation(rows: DataFrame, width: int, name: str = "mo") -> DataFrame:
@@ -58,7 +65,7 @@ def mean_oscillation(rows: DataFrame, width: int, name: str = "mo") -> DataFrame
 def oscillation_profile(rows: DataFrame, scales=(4, 8, 16, 32, 64)) -> DataFrame:
     """Mean and largest oscillation per series and scale below its length."""
     out = None
-    sized = rows.withColumn("n", F.count("*").over(WHOLE))
+    sized = rows.withColumn("n", F.count("*").over(whole()))
     for s in scales:
         one = mean_oscillation(sized.where(F.col("n") > s), s).groupBy("series").agg(F.lit(s).alias("scale"), F.avg("mo").alias("mean_mo"), F.max("mo").alias("max_mo"))
         out = one if out is None else out.union(one)
@@ -73,13 +80,13 @@ def oscillation_index(rows: DataFrame, small: int = 4, large: int = 32) -> DataF
 
 def moving_average(width: int) -> Column:
     """Zero-padded moving average: the frame's sum over the width, also at the edges."""
-    return F.sum("x").over(IN_ORDER.rowsBetween(-(width // 2), (width - 1) // 2)) / float(width)
+    return F.sum("x").over(in_order().rowsBetween(-(width // 2), (width - 1) // 2)) / float(width)
 
 
 def edge_denoise(rows: DataFrame, width: int = 8, alpha: float = 0.5) -> DataFrame:
     """Blend of x and its moving average by the sigmoid of the standardised oscillation; flat or short series stay."""
-    r = mean_oscillation(rows, width).withColumns({"_ma": moving_average(width), "_n": F.count("*").over(WHOLE), "_sd": F.coalesce(F.stddev_pop("x").over(WHOLE), F.lit(0.0))})
-    r = r.withColumns({"_m": F.avg("mo").over(WHOLE), "_s": F.stddev_pop("mo").over(WHOLE)})
+    r = mean_oscillation(rows, width).withColumns({"_ma": moving_average(width), "_n": F.count("*").over(whole()), "_sd": F.coalesce(F.stddev_pop("x").over(whole()), F.lit(0.0))})
+    r = r.withColumns({"_m": F.avg("mo").over(whole()), "_s": F.stddev_pop("mo").over(whole())})
     w = sigmoid((F.col("mo") - F.col("_m")) / (alpha * F.col("_s") + 1e-8))
     y = F.when((F.col("_n") < 4) | (F.col("_sd") < 1e-8), F.col("x")).otherwise(w * F.col("x") + (1 - w) * F.col("_ma"))
     return r.select(*rows.columns, y.alias("y"))
@@ -88,14 +95,14 @@ def edge_denoise(rows: DataFrame, width: int = 8, alpha: float = 0.5) -> DataFra
 def oscillation_anomalies(rows: DataFrame, width: int = 8, k: float = 3.0) -> DataFrame:
     """Flags points whose oscillation exceeds mean + k deviations of the series."""
     r = mean_oscillation(rows, width)
-    limit = F.avg("mo").over(WHOLE) + k * (F.stddev_pop("mo").over(WHOLE) + 1e-8)
+    limit = F.avg("mo").over(whole()) + k * (F.stddev_pop("mo").over(whole()) + 1e-8)
     return r.select(*rows.columns, "mo", (F.col("mo") > limit).alias("is_anomaly"))
 
 
 def transient_filter(rows: DataFrame, width: int = 5, alpha: float = 4.0, threshold: float = 2.0) -> DataFrame:
     """Pulls transient points to the moving average by a sigmoid weight of their standardised residual."""
     r = rows.withColumn("_b", moving_average(width)).withColumn("_r", F.col("x") - F.col("_b"))
-    sd = F.stddev_pop("_r").over(WHOLE)
+    sd = F.stddev_pop("_r").over(whole())
     z = F.abs("_r") / F.when(sd <= 1e-6, 1.0).otherwise(sd)
     w = 1 / (1 + F.exp(alpha * (z - threshold)))
     return r.withColumn("weight", w).select(*rows.columns, "weight", (F.col("weight") * F.col("x") + (1 - F.col("weight")) * F.col("_b")).alias("filtered"))
@@ -103,7 +110,7 @@ def transient_filter(rows: DataFrame, width: int = 5, alpha: float = 4.0, thresh
 
 def vital_features(rows: DataFrame, tail: int = 12, near: int = 20) -> DataFrame:
     """Per series: last deviation from the mean in noise units, slope of the last points, longest run of large deviations among the last near points."""
-    r = rows.withColumns({"back": F.row_number().over(W.partitionBy("series").orderBy(F.desc("idx"))), "m": F.avg("x").over(WHOLE), "noise": F.greatest(F.coalesce(F.stddev_pop("x").over(WHOLE), F.lit(0.0)), F.lit(1.0))})
+    r = rows.withColumns({"back": F.row_number().over(W.partitionBy("series").orderBy(F.desc("idx"))), "m": F.avg("x").over(whole()), "noise": F.greatest(F.coalesce(F.stddev_pop("x").over(whole()), F.lit(0.0)), F.lit(1.0))})
     r = r.withColumn("dev", (F.col("x") - F.col("m")) / F.col("noise")).withColumn("large", (F.abs("dev") > 2).cast("int"))
     last = r.where(F.col("back") <= max(tail, near))
     run = last.withColumn("grp", F.col("back") - F.sum("large").over(W.partitionBy("series").orderBy("back"))).where(f"large = 1 and back <= {near}").groupBy("series", "grp").count().groupBy("series").agg(F.max("count").alias("run"))
@@ -122,15 +129,15 @@ def last_n(rows: DataFrame, n: int = 100) -> DataFrame:
 
 def subsample(rows: DataFrame, every: int) -> DataFrame:
     """Every k-th row by order, gaps filled forward, then backward."""
-    kept = rows.withColumn("_k", F.row_number().over(IN_ORDER) - 1).where(F.col("_k") % every == 0)
-    forward = F.last("x", ignorenulls=True).over(IN_ORDER.rowsBetween(W.unboundedPreceding, 0))
-    backward = F.first("x", ignorenulls=True).over(IN_ORDER.rowsBetween(0, W.unboundedFollowing))
+    kept = rows.withColumn("_k", F.row_number().over(in_order()) - 1).where(F.col("_k") % every == 0)
+    forward = F.last("x", ignorenulls=True).over(in_order().rowsBetween(W.unboundedPreceding, 0))
+    backward = F.first("x", ignorenulls=True).over(in_order().rowsBetween(0, W.unboundedFollowing))
     return kept.withColumn("x", F.coalesce(forward, backward)).drop("_k")
 
 
 def horizon_steps(rows: DataFrame, hours=(6, 24, 72)) -> DataFrame:
     """Median step in minutes (by ts) and the whole steps of each horizon, 1 at least."""
-    gap = (F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(IN_ORDER))) / 60
+    gap = (F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(in_order()))) / 60
     m = rows.withColumn("g", gap).groupBy("series").agg(F.median("g").alias("median_minutes"))
     return m.select("series", "median_minutes", *(F.greatest(F.lit(1), F.floor(h * 60 / F.nullif("median_minutes", F.lit(0.0))).cast("int")).alias(f"steps_{h}h") for h in hours))
 
@@ -149,7 +156,7 @@ def sequences(rows: DataFrame, length: int = 32, horizons: tuple[int, int, int]
     current risk below .30; rows without a full window or full future are left out.
     """
     a, b, c = horizons
-    over = lambda f, lo, hi: f("x").over(IN_ORDER.rowsBetween(lo, hi))
+    over = lambda f, lo, hi: f("x").over(in_order().rowsBetween(lo, hi))
     r = rows.withColumns({"seq": over(F.collect_list, -length, -1), "future": over(F.count, 0, c - 1), **{f"m{k}": over(F.max, lo, hi) for k, lo, hi in ((6, 0, a - 1), (24, a, b - 1), (72, b, c - 1))}, **{f"a{k}": over(F.avg, lo, hi) for k, lo, hi in ((6, 0, a - 1), (24, a, b - 1), (72, b, c - 1))}})
     now = F.col("seq")[length - 1]
     y6 = (F.col("m6") > 0.50) & (F.col("a6") > 0.38)
@@ -162,7 +169,7 @@ def sequences(rows: DataFrame, length: int = 32, horizons: tuple[int, int, int]
 def hrv_time_domain(rows: DataFrame) -> DataFrame:
     """Variability of R-R intervals x (ms): deviation, successive differences, share above 50 ms, ranges, mean rate."""
     clean = rows.where("x > 0 and not isnan(x) and x < double('infinity')")
-    d = clean.withColumn("d", F.col("x") - F.lag("x").over(IN_ORDER))
+    d = clean.withColumn("d", F.col("x") - F.lag("x").over(in_order()))
     return d.groupBy("series").agg(
         F.count("*").alias("n"), F.stddev_samp("x").alias("sdnn"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmssd"), (100.0 * F.count_if(F.abs("d") > 50) / F.nullif(F.count("d"), F.lit(0))).alias("pnn50"),
         F.avg("x").alias("mean_rr"), F.min("x").alias("min_rr"), F.max("x").alias("max_rr"), (F.max("x") - F.min("x")).alias("range_rr"), (60000 / F.avg("x")).alias("mean_hr"),
@@ -176,14 +183,14 @@ def rr_from_rate(hr: Column) -> Column:
 
 def chunk_profile(rows: DataFrame, scales=(4, 8, 16)) -> DataFrame:
     """Mean peak-to-peak of whole non-overlapping chunks per scale; a series shorter than two chunks is skipped."""
-    r = rows.withColumns({"_k": F.row_number().over(IN_ORDER) - 1, "_n": F.count("*").over(WHOLE)}).withColumn("scale", F.explode(F.array(*map(F.lit, scales)))).where("_n >= 2 * scale")
+    r = rows.withColumns({"_k": F.row_number().over(in_order()) - 1, "_n": F.count("*").over(whole())}).withColumn("scale", F.explode(F.array(*map(F.lit, scales)))).where("_n >= 2 * scale")
     chunks = r.groupBy("series", "scale", F.floor(F.col("_k") / F.col("scale")).alias("c")).agg((F.max("x") - F.min("x")).alias("p2p"), F.count("*").alias("n"))
     return chunks.where("n = scale").groupBy("series", "scale").agg(F.avg("p2p").alias("mean_p2p"))
 
 
 def katz_dimension(rows: DataFrame) -> DataFrame:
     """Katz fractal dimension of each series, held in 1 to 2."""
-    r = rows.withColumn("s", F.abs(F.col("x") - F.lag("x").over(IN_ORDER))).withColumn("far", F.abs(F.col("x") - F.first("x").over(IN_ORDER)))
+    r = rows.withColumn("s", F.abs(F.col("x") - F.lag("x").over(in_order()))).withColumn("far", F.abs(F.col("x") - F.first("x").over(in_order())))
     g = r.groupBy("series").agg(F.sum("s").alias("l"), F.max("far").alias("d"), F.count("s").alias("n"))
     dim = F.log10("n") / (F.log10("n") + F.log10(F.col("d") / F.col("l")))
     return g.select("series", F.when((F.col("n") < 2) | (F.col("d") <= 0) | (F.col("l") <= 0), 1.0).otherwise(clip(F.abs(dim), 1, 2)).alias("katz"))
@@ -194,8 +201,8 @@ def higuchi_dimension(rows: DataFrame, kmax: int = 10) -> DataFrame:
 
     One pass per lag k by window lag; series shorter than 2 kmax are 1.
     """
-    base = rows.withColumns({"i": F.row_number().over(IN_ORDER) - 1, "n": F.count("*").over(WHOLE)})
-    steps = base.withColumns({f"d{k}": F.abs(F.col("x") - F.lag("x", k).over(IN_ORDER)) for k in range(1, kmax + 1)})
+    base = rows.withColumns({"i": F.row_number().over(in_order()) - 1, "n": F.count("*").over(whole())})
+    steps = base.withColumns({f"d{k}": F.abs(F.col("x") - F.lag("x", k).over(in_order())) for k in range(1, kmax + 1)})
     long_ = steps.select("series", "i", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"d{k}").alias("d")) for k in range(1, kmax + 1)))).alias("s")).select("series", "i", "n", "s.*")
     curve = long_.where("d is not null").groupBy("series", "n", "k", (F.col("i") % F.col("k")).alias("m")).agg(F.sum("d").alias("d"), F.count("*").alias("c"))
     length = F.avg(F.col("d") * (F.col("n") - 1) / (F.col("c") * F.col("k") * F.col("k")))
@@ -209,7 +216,7 @@ def lomb_scargle(rows: DataFrame, frequencies: DataFrame) -> DataFrame:
 
     The frequencies are a stated query set, broadcast; each row meets each of them once.
     """
-    c = rows.withColumn("x", F.col("x") - F.avg("x").over(WHOLE))
+    c = rows.withColumn("x", F.col("x") - F.avg("x").over(whole()))
     w = 2 * 3.141592653589793 * F.col("f") * F.col("t")
     j = c.crossJoin(F.broadcast(frequencies))
     tau = j.groupBy("series", "f").agg((F.atan2(F.sum(F.sin(2 * w)), F.sum(F.cos(2 * w))) / 2).alias("phase"))
@@ -224,8 +231,8 @@ def sample_entropy(rows: DataFrame, m: int = 2, r: float = 0.2) -> DataFrame:
     Templates are lead columns; pairs are found by a join of a series with itself on value buckets of
     width r, so only near templates meet.
     """
-    lead = {f"x{k}": F.lead("x", k).over(IN_ORDER) for k in range(m + 1)}
-    t = rows.withColumn("tol", r * F.stddev_pop("x").over(WHOLE)).withColumns(lead).where(f"x{m} is not null and tol > 0").withColumn("cell", F.floor(F.col("x0") / F.col("tol")))
+    lead = {f"x{k}": F.lead("x", k).over(in_order()) for k in range(m + 1)}
+    t = rows.withColumn("tol", r * F.stddev_pop("x").over(whole())).withColumns(lead).where(f"x{m} is not null and tol > 0").withColumn("cell", F.floor(F.col("x0") / F.col("tol")))
     other = t.select("series", F.col("idx").alias("j"), F.explode(F.array(*(F.col("cell") + d for d in (-1, 0, 1)))).alias("cell"), *(F.col(f"x{k}").alias(f"y{k}") for k in range(m + 1)))
     near = " and ".join(f"abs(x{k} - y{k}) <= tol" for k in range(m))
     pairs = t.join(other, ["series", "cell"]).where(f"idx < j and {near}")
