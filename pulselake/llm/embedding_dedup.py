@@ -39,13 +39,15 @@ BLOCK = 1024
 PAIRS = 400_000
 
 
-def learn_codes(x: np.ndarray, rotations: int = ROTATIONS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projections): sign((v - mean) @ projections) are the codes of all rotations side by side."""
+def learn_codes(x: np.ndarray, rotations: int = ROTATIONS) -> np.ndarray:
+    """Projections: sign(v @ projections) are the codes of all rotations side by side.
+
+    Unit vectors are not centred: a small angle then flips few bits wherever the vectors lie, also
+    when one tight group is most of the table.
+    """
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    mean = x.mean(axis=0)
-    z = x - mean
-    _, axes = np.linalg.eigh(z.T @ z / max(1, len(z)) + 1e-12 * np.eye(x.shape[1]))
-    v = z @ axes
+    _, axes = np.linalg.eigh(x.T @ x / max(1, len(x)) + 1e-12 * np.eye(x.shape[1]))
+    v = x @ axes
     out = []
     for k in range(rotations):
         r, _ = np.linalg.qr(np.random.default_rng(k).normal(size=(x.shape[1],) * 2))
@@ -53,13 +55,13 @@ def learn_codes(x: np.ndarray, rotations: int = ROTATIONS) -> tuple[np.ndarray,
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
         out.append(axes @ r)
-    return mean, np.hstack(out)
+    return np.hstack(out)
 
 
-def _keys(x: np.ndarray, mean: np.ndarray, projections: np.ndarray, width: int) -> np.ndarray:
+def _keys(x: np.ndarray, projections: np.ndarray, width: int) -> np.ndarray:
     """(rows, tables) substrings; a table's substring lies within one rotation."""
     dim = x.shape[1]
-    bits = ((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ projections >= 0).astype(np.int64)
+    bits = (x @ projections >= 0).astype(np.int64)
     weights, tables = 1 << np.arange(width, dtype=np.int64), []
     for start in range(0, projections.shape[1], dim):
         tables += [bits[:, at : at + width] @ weights for at in range(start, start + dim - width + 1, width)]
@@ -180,12 +182,12 @@ def near_duplicates(embeddings: DataFrame, work: Scratch | None = None) -> DataF
         links = spark.createDataFrame([], "node long, n long, low long")
     else:
         sample = nodes.orderBy(F.xxhash64("v"), "node").limit(SAMPLE_ROWS).select("v").collect()
-        mean, projections = learn_codes(np.frombuffer(b"".join(bytes(r[0]) for r in sample), "<f8").reshape(len(sample), dim))
+        projections = learn_codes(np.frombuffer(b"".join(bytes(r[0]) for r in sample), "<f8").reshape(len(sample), dim))
         width = max(1, min(dim, 20, max(6, math.ceil(math.log2(n)) - 4)))
         tables = ROTATIONS * (dim // width)
 
         def index(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = _keys(_vectors(batch), mean, projections, width)
+            keys = _keys(_vectors(batch), projections, width)
             rows = np.repeat(np.arange(batch.num_rows), tables)
             wide = batch.take(pa.array(rows))
             every = pa.array([k.tobytes() for k in keys.astype("<i8")], pa.binary()).take(pa.array(rows))
