@@ -91,14 +91,14 @@ def high_risk_cohort(spark, sf_dir):
 
 
 @query("quality_gates", f"""WITH {DAILY_SQL}, b AS (SELECT count(*) AS total, count(*) FILTER (signal_confidence >= 0.5) AS valid FROM bronze), s AS (SELECT count(*) AS produced, avg(quality_score) AS q FROM silver), h AS (SELECT count(*) AS nh FROM hourly), d AS (SELECT count(*) AS nd, min(coverage_24h) AS mc FROM daily)
- SELECT 'bronze_to_silver' AS gate, total, valid, produced, {rnd('q', 4)} AS quality, total > 0 AND produced > 0 AND produced / total BETWEEN 0.05 AND 1.0 AND q >= 0.6 AS passed FROM b, s
+ SELECT 'bronze_to_silver' AS gate, total, CAST(valid AS DOUBLE) AS valid, produced, {rnd('q', 4)} AS quality, total > 0 AND produced > 0 AND produced / total BETWEEN 0.05 AND 1.0 AND q >= 0.6 AS passed FROM b, s
  UNION ALL SELECT 'silver_to_gold', nh, NULL, nd, {rnd('mc', 4)}, nh > 0 AND nd > 0 AND mc >= 0.425 FROM h, d""")
 def quality_gates(spark, sf_dir):
     from pulselake.functions.scalar import rnd as round_
 
     t = views.gold_tables(spark, sf_dir)
-    first = gold.bronze_gate(views.bronze(spark, sf_dir), t["silver"]).select(F.lit("bronze_to_silver").alias("gate"), "total", "valid", "produced", round_("avg_quality", 4).alias("quality"), "passed")
-    second = gold.gold_gate(t["hourly"], t["daily"]).select(F.lit("silver_to_gold").alias("gate"), F.col("hourly_rows").alias("total"), F.lit(None).cast("long").alias("valid"), F.col("daily_rows").alias("produced"), round_("least_coverage", 4).alias("quality"), "passed")
+    first = gold.bronze_gate(views.bronze(spark, sf_dir), t["silver"]).select(F.lit("bronze_to_silver").alias("gate"), "total", F.col("valid").cast("double").alias("valid"), "produced", round_("avg_quality", 4).alias("quality"), "passed")
+    second = gold.gold_gate(t["hourly"], t["daily"]).select(F.lit("silver_to_gold").alias("gate"), F.col("hourly_rows").alias("total"), F.lit(None).cast("double").alias("valid"), F.col("daily_rows").alias("produced"), round_("least_coverage", 4).alias("quality"), "passed")
     return first.unionByName(second)
 
 
@@ -124,9 +124,9 @@ def minute_buckets(spark, sf_dir):
 
 @query("user_health_summary", f"""WITH {WIDE_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, record_id DESC) AS nth FROM wide), t AS (SELECT * FROM k WHERE nth <= 5)
  SELECT user_id, count(*) AS record_count, list_sort(list_distinct(list(source))) AS sources, arg_max(heart_rate_bpm, row(date, record_id)) FILTER (coalesce(heart_rate_bpm, 0) <> 0) AS heart_rate_bpm, arg_max(spo2, row(date, record_id)) FILTER (coalesce(spo2, 0) <> 0) AS spo2, arg_max(steps, row(date, record_id)) FILTER (coalesce(steps, 0) <> 0) AS steps,
- max(record_id) FILTER (source = 'fhir' AND row(date, record_id) = m) AS latest_fhir FROM (SELECT *, max(row(date, record_id)) FILTER (source = 'fhir') OVER (PARTITION BY user_id) AS m FROM t) GROUP BY 1""", lists=["sources"])
+ CAST(max(record_id) FILTER (source = 'fhir' AND row(date, record_id) = m) AS DOUBLE) AS latest_fhir FROM (SELECT *, max(row(date, record_id)) FILTER (source = 'fhir') OVER (PARTITION BY user_id) AS m FROM t) GROUP BY 1""", lists=["sources"])
 def user_health_summary(spark, sf_dir):
-    return records.user_summary(views.wide_records(spark, sf_dir), newest=5)
+    return records.user_summary(views.wide_records(spark, sf_dir), newest=5).withColumn("latest_fhir", F.col("latest_fhir").cast("double"))
 
 
 @query("source_counts", f"WITH {WIDE_SQL} SELECT source, count(*) AS records, count(DISTINCT user_id) AS users FROM wide GROUP BY 1")

@@ -40,9 +40,9 @@ def cusum(spark, sf_dir):
  c AS (SELECT *, sum(x - 0.5) OVER o AS u, sum(-0.5 - x) OVER o AS d FROM z WHERE nth > 1 WINDOW o AS (PARTITION BY series ORDER BY idx ROWS UNBOUNDED PRECEDING)),
  m AS (SELECT *, greatest(u - least(0, min(u) OVER o), d - least(0, min(d) OVER o)) AS g FROM c WINDOW o AS (PARTITION BY series ORDER BY idx ROWS UNBOUNDED PRECEDING)),
  r AS (SELECT series, max(n) AS n, min(nth - 1) FILTER (g > 4) AS f, max(g) AS g FROM m GROUP BY 1)
- SELECT series, n >= 10 AND f IS NOT NULL AS detected, CASE WHEN n >= 10 THEN f END AS change_index, {rnd('CASE WHEN n >= 10 AND f IS NOT NULL THEN g ELSE 0 END', 5)} AS magnitude FROM r""")
+ SELECT series, n >= 10 AND f IS NOT NULL AS detected, CAST(CASE WHEN n >= 10 THEN f END AS DOUBLE) AS change_index, {rnd('CASE WHEN n >= 10 AND f IS NOT NULL THEN g ELSE 0 END', 5)} AS magnitude FROM r""")
 def change_point(spark, sf_dir):
-    return rounded(windows.change_point(series(spark, sf_dir)), "magnitude", digits=5)
+    return rounded(windows.change_point(series(spark, sf_dir)), "magnitude", digits=5).withColumn("change_index", F.col("change_index").cast("double"))
 
 
 _NEAR = lambda w: f"(PARTITION BY series ORDER BY idx ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING)"

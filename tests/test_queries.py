@@ -21,7 +21,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list:
     def one(v):
-        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return ""
         return f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
