@@ -7,8 +7,8 @@ hash ranges differ in no more places than the sets do, which bounds their Hammin
 discard pairs, and each pair left is verified once against the two texts.
 
 Groups of copies do not become all pairs. Equal sets are one class from the start. Of the other
-candidates each set first meets the neighbour it shares most prefix shingles with; then, ROUNDS
-times, neighbours in a shingle's list that lie in different components meet, one pair for each two
+candidates each set first meets one smallest set of its shingles' lists, the one it shares most
+prefix shingles with; then, ROUNDS times, neighbours in a shingle's list that lie in different components meet, one pair for each two
 components. Only pairs that still lie in different components are joined after that. All of those
 are, so the components are those of the full link graph.
 
@@ -35,7 +35,7 @@ SKETCH_BITS = 20
 #: 64-bit words of the parity signature of the suffix filter.
 PARITY = 16
 #: Rounds of one pair for each two components before all pairs of components still apart.
-ROUNDS = 2
+ROUNDS = 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a worker keeps before it starts afresh.
 CACHE_WORDS = 200_000
@@ -190,12 +190,12 @@ def near_duplicate_components(docs: DataFrame, work: Scratch | None = None) -> D
 
     in_bucket = W.partitionBy("token").orderBy("n", "id")
     found = map_batches(own, _postings(table), "token long, id long, n int, pos int").withColumns(
-        {"prev": F.lag("id").over(in_bucket), "prev_n": F.lag("n").over(in_bucket), "next": F.lead("id").over(in_bucket)}
+        {"prev": F.first("id").over(in_bucket), "prev_n": F.first("n").over(in_bucket), "next": F.lead("id").over(in_bucket)}
     )
-    shared = work.write(found.where("prev is not null or next is not null").drop("next"), "postings")
+    shared = work.write(found.where("prev <> id or next is not null").drop("next"), "postings")
 
-    # first: each set and the neighbour it shares most prefix shingles with
-    chain = shared.where("4 * prev_n >= 3 * n").groupBy("id", "prev").agg(F.count("*").alias("k"))
+    # first: each set and, of the smallest sets of its shingles' lists, the one it shares most prefix shingles with
+    chain = shared.where("prev <> id and 4 * prev_n >= 3 * n").groupBy("id", "prev").agg(F.count("*").alias("k"))
     best = chain.groupBy("id").agg(F.max_by("prev", F.struct("k", "prev")).alias("prev"))
     tried = work.write(best.select(F.col("prev").alias("u"), F.col("id").alias("v")), "tried")
     comp = connected_components(_verified(tried, docs, features, work), work)
@@ -207,8 +207,12 @@ def near_duplicate_components(docs: DataFrame, work: Scratch | None = None) -> D
         near = near.where("component <> prev_component and 4 * prev_n >= 3 * n").groupBy(F.col("prev").alias("u"), F.col("id").alias("v"), F.least("component", "prev_component").alias("a"), F.greatest("component", "prev_component").alias("b")).agg(F.count("*").alias("k"))
         fresh = near.join(tried, ["u", "v"], "left_anti").groupBy("a", "b").agg(F.max_by(F.struct("u", "v"), F.struct("k", "u", "v")).alias("e")).select("e.*")
         fresh = work.write(fresh, "tried")
+        if fresh.isEmpty():
+            break
         tried = tried.union(fresh)
         links = _verified(fresh, docs, features, work)
+        if links.isEmpty():
+            continue
         comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), work)
         open_ = _placed(open_.drop("component"), comp, work)
 
@@ -225,9 +229,10 @@ def near_duplicate_components(docs: DataFrame, work: Scratch | None = None) -> D
         & _near("", "y_"),
     )
     rest = apart.select(F.col("id").alias("u"), F.col("y_id").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = _verified(work.write(rest, "rest"), docs, features, work)
+    rest = work.write(rest, "rest")
+    more = rest if rest.isEmpty() else _verified(rest, docs, features, work)
     stars = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    final = connected_components(stars.union(more), work).withColumnRenamed("node", "rep")
+    final = (comp if more.isEmpty() else connected_components(stars.union(more), work)).withColumnRenamed("node", "rep")
 
     placed = member.join(small_side(final, final.count()), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").select("doc_id", "n_shingles", "component_id")
@@ -236,3 +241,17 @@ def near_duplicate_components(docs: DataFrame, work: Scratch | None = None) -> D
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near duplicates over all documents."""
     return near_duplicate_components(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, w, least(5, len(w)) AS m, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + m - 1], ' ') AS s FROM k),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, coalesce(min(r.c), d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+"""

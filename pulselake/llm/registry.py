@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulselake.llm import chat_format, decontaminate, url_rules
+from pulselake.llm import chat_format, decontaminate, ngram_join, url_rules
 from pulselake.llm.chat_format import op3_chat_format
 from pulselake.llm.decontaminate import op9_benchmark_decontamination
 from pulselake.llm.embedding_dedup import op1_embedding_near_dedup
@@ -22,4 +22,5 @@ ORACLES: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE_SQL,
     "op4_url_rules": url_rules.ORACLE_SQL,
     "op9_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op10_ngram_jaccard_join": ngram_join.ORACLE_SQL,
 }
