@@ -74,16 +74,15 @@ class Model:
 
     def __init__(self, present: np.ndarray, labels: np.ndarray):
         self.languages = sorted(set(labels.tolist()))
-        x = _unit(present)
         # landmarks in turn from each language, in the sample's (hash) order
         turn = np.zeros(len(labels), np.int64)
         for lang in self.languages:
             turn[labels == lang] = np.arange((labels == lang).sum())
-        self.landmarks = x[np.argsort(turn, kind="stable")[:LANDMARKS]]
+        self.landmarks = _unit(present[np.argsort(turn, kind="stable")[:LANDMARKS]])
         values, vectors = np.linalg.eigh(self.landmarks @ self.landmarks.T)
         ok = values > 1e-6 * values.max()
         self.root = (vectors[:, ok] / np.sqrt(values[ok])).astype(np.float32)
-        z = self.features(x)
+        z = np.concatenate([self.features(_unit(present[at : at + 256])) for at in range(0, len(present), 256)])
         z1 = np.hstack([z, np.ones((len(z), 1), np.float32)])
         y = np.where(labels[:, None] == np.array(self.languages)[None, :], 1.0, -1.0)
         weight = 1.0 / np.array([(labels == lang).sum() for lang in labels])
