@@ -286,3 +286,9 @@ def image_oscillation(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings").where("vec_id % 10 = label")
     im = e.select(F.col("label").alias("image_id"), F.floor(F.col("vec_id") / 10).alias("r"), F.posexplode("embedding").alias("c", "v")).withColumn("v", F.col("v").cast("double"))
     return rounded(grid.image_oscillation(im), "v", "mo", "smooth")
+
+
+@query("image_oscillation_all")
+def image_oscillation_all(spark, sf_dir):
+    """Every vector is a row of its label's image; image_oscillation keeps the part its SQL names."""
+    return rounded(grid.row_oscillation(grid.image_rows(read_table(spark, sf_dir, "embeddings"), "label", "vec_id")), "v", "mo", "smooth")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pulselake.functions.scalar import rnd
+from pulselake.session import Scratch
 
 AXES = ("i", "j", "k")
 
@@ -74,3 +75,32 @@ def image_oscillation(image: DataFrame, width: int = 3) -> DataFrame:
     mean = spread.groupBy("image_id", "r", "c").agg(F.avg("w").alias("m"), F.collect_list("w").alias("patch"))
     mo = F.aggregate("patch", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("m"))) / F.size("patch")
     return image.join(mean, ["image_id", "r", "c"]).select("image_id", "r", "c", "v", mo.alias("mo"), F.col("m").alias("smooth"))
+
+
+def image_rows(vectors: DataFrame, image: str, key: str) -> DataFrame:
+    """(image_id, r, row): the vectors of each image as its rows, numbered from 0 by key.
+
+    Range partitions hold runs of (image, key); a row's number is its number in its run plus the rows of
+    the image in earlier runs, so no task holds a whole image. Ties go by the vector's hash.
+    """
+    runs = vectors.select(F.col(image).alias("image_id"), F.col(key).alias("key"), F.col("embedding").alias("row")).withColumn("tie", F.xxhash64("row"))
+    runs = Scratch(vectors.sparkSession, "image").write(runs.repartitionByRange("image_id", "key", "tie").withColumn("run", F.spark_partition_id()), "runs")
+    before = W.partitionBy("image_id").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    starts = runs.groupBy("image_id", "run").agg(F.count("*").alias("n")).select(F.col("image_id").alias("of"), F.col("run").alias("nth"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    local = F.row_number().over(W.partitionBy("run", "image_id").orderBy("key", "tie")) - 1
+    numbered = runs.withColumn("local", local).join(F.broadcast(starts), F.col("image_id").eqNullSafe(F.col("of")) & (F.col("run") == F.col("nth")))
+    return numbered.select("image_id", (F.col("start") + F.col("local")).alias("r"), "row")
+
+
+def row_oscillation(rows: DataFrame, width: int = 3) -> DataFrame:
+    """image_oscillation of images given as rows (image_id, r, row): whole rows go to the width rows that see them."""
+    h = width // 2
+    spread = rows.withColumn("d", F.explode(F.sequence(F.lit(-h), F.lit(h)))).select("image_id", (F.col("r") + F.col("d")).alias("r"), F.struct("d", F.transform("row", lambda v: v.cast("double")).alias("row")).alias("s"))
+    near = spread.groupBy("image_id", "r").agg(F.sort_array(F.collect_list("s")).alias("near"), F.max(F.when(F.col("s.d") == 0, F.col("s.row"))).alias("row")).where("row is not null")
+    pixel = near.select("image_id", "r", "near", F.posexplode("row").alias("c", "v"))
+    low = F.greatest(F.col("c") - h, F.lit(0))
+    patch = F.filter(F.flatten(F.transform("near", lambda s: F.slice(s["row"], low + 1, F.col("c") + h + 1 - low))), lambda v: v.isNotNull())
+    held = pixel.select("image_id", "r", "c", "v", patch.alias("patch"))
+    mean = held.withColumn("m", F.try_divide(F.aggregate("patch", F.lit(0.0), lambda a, v: a + v), F.size("patch")))
+    mo = F.try_divide(F.aggregate("patch", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("m"))), F.size("patch"))
+    return mean.select("image_id", "r", "c", "v", mo.alias("mo"), F.col("m").alias("smooth"))
