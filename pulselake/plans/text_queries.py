@@ -88,9 +88,8 @@ def page_slugs(spark, sf_dir):
 
 @query("topic_similarity")
 def topic_similarity(spark, sf_dir):
-    seeds = F.array(*map(F.lit, ("tion", "elle", "heit", "shred")))
-    t = docs(spark, sf_dir).select("doc_id", F.slice(F.array_distinct(corpus.tokens(F.col("text"))), 1, 12).alias("topic"))
-    return t.select("doc_id", F.round(corpus.topic_similarity(F.col("topic"), seeds), 6).alias("similarity"))
+    t = corpus.text_similarity(docs(spark, sf_dir), ["tion", "elle", "heit", "shred"])
+    return t.select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("hashed_embedding")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pulselake.session import Scratch, small_side
+
 STOP = ["the", "and", "that", "with", "for", "was", "are", "this", "from", "les", "des", "dans", "que", "qui", "der", "die", "das", "und", "los", "las", "para", "con", "del"]
 
 
@@ -98,14 +100,32 @@ def topic_similarity(topic: Column, seeds: Column) -> Column:
     than half; summed over the topic's size.
     """
     jaccard = F.size(F.array_intersect(topic, seeds)) / F.greatest(F.size(F.array_union(topic, seeds)), F.lit(1))
+    graded = F.aggregate(F.transform(topic, lambda w: word_grade(w, seeds)), F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size(topic), F.lit(1))
+    return 0.4 * jaccard + 0.6 * F.least(F.lit(1.0), graded)
 
-    def grade(w: Column) -> Column:
-        part = F.exists(seeds, lambda s: F.contains(s, w) | F.contains(w, s))
-        near = F.exists(seeds, lambda s: F.size(F.array_intersect(trigrams(w), trigrams(s))) / F.greatest(F.size(F.array_union(trigrams(w), trigrams(s))), F.lit(1)) > 0.5)
-        return F.when(F.array_contains(seeds, w), 1.0).when(part, 0.5).when(near, 0.25).otherwise(0.0)
 
-    graded = F.aggregate(F.transform(topic, grade), F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size(topic), F.lit(1))
-    return 0.4 * jaccard + 0.6 * F.least(F.lit(1.0), graded)
+def word_grade(w: Column, seeds: Column) -> Column:
+    """1 if a seed, .5 if one contains the other, .25 if trigrams overlap by more than half, else 0."""
+    part = F.exists(seeds, lambda s: F.contains(s, w) | F.contains(w, s))
+    near = F.exists(seeds, lambda s: F.size(F.array_intersect(trigrams(w), trigrams(s))) / F.greatest(F.size(F.array_union(trigrams(w), trigrams(s))), F.lit(1)) > 0.5)
+    return F.when(F.array_contains(seeds, w), 1.0).when(part, 0.5).when(near, 0.25).otherwise(0.0)
+
+
+def text_similarity(docs: DataFrame, seeds: list[str]) -> DataFrame:
+    """(doc_id, similarity): topic_similarity of all distinct tokens of each text, every distinct word graded once.
+
+    Words of a grade above 0 are few and join back to the tokens; a row's tokens meet in one sum.
+    """
+    at = F.array(*map(F.lit, seeds))
+    sets = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.array_distinct(tokens(F.col("text"))).alias("t"))
+    words = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).distinct()
+    work = Scratch(docs.sparkSession, "grades")
+    words = work.write(words, "words")  # else the filter on the grade moves below distinct and grades every occurrence
+    graded = work.write(words.withColumn("grade", word_grade(F.col("token"), at)).where("grade > 0"), "grades")
+    placed = sets.select("doc_id", "row", F.size("t").alias("n"), F.explode_outer("t").alias("token")).join(small_side(graded, graded.count()), "token", "left")
+    per = placed.groupBy("row", "doc_id", "n").agg(F.coalesce(F.sum("grade"), F.lit(0.0)).alias("grades"), F.count_if(F.col("grade") == 1.0).alias("same"))
+    jaccard = F.col("same") / (F.col("n") + len(set(seeds)) - F.col("same"))
+    return per.select("doc_id", (0.4 * jaccard + 0.6 * F.least(F.lit(1.0), F.col("grades") / F.greatest(F.col("n"), F.lit(1)))).alias("similarity"))
 
 
 def hashed_embedding(docs: DataFrame, dim: int = 384) -> DataFrame:

@@ -1,9 +1,11 @@
 """Queries do their whole job: every vector, every word, every pair, every horizon."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pulselake.plans import registry
 from pulselake.series import grid
+from pulselake.text import corpus
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +28,22 @@ def test_image_rows_and_patches(spark):
 def test_every_vector_is_an_image_row(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert registry.QUERIES["image_oscillation_all"](spark, SF).count() == 64 * n
+
+
+def test_topic_similarity_reads_the_whole_text(spark):
+    late = " ".join("abc" + chr(97 + k) * 3 for k in range(20)) + " tion"
+    docs = spark.createDataFrame([(1, late), (None, "tion elle"), (None, "zzz"), (4, None), (5, ""), (5, "tio relle mmm")], "doc_id long, text string")
+    seeds = ["tion", "elle", "heit", "shred"]
+    got = sorted((r.doc_id or 0, round(r.similarity, 9)) for r in corpus.text_similarity(docs, seeds).collect())
+    whole = F.array_distinct(corpus.tokens(F.col("text")))
+    want = docs.select("doc_id", corpus.topic_similarity(whole, F.array(*map(F.lit, seeds))).alias("similarity")).collect()
+    assert got == sorted((r.doc_id or 0, round(r.similarity, 9)) for r in want)
+    assert dict(got)[1] > 0
+
+
+def test_topic_similarity_query_scores_all_tokens(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = corpus.topic_similarity(F.array_distinct(corpus.tokens(F.col("text"))), F.array(*map(F.lit, ("tion", "elle", "heit", "shred"))))
+    want = {r.doc_id: r.s for r in docs.select("doc_id", whole.alias("s")).collect()}
+    got = {r.doc_id: r.similarity for r in registry.QUERIES["topic_similarity"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
