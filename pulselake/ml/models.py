@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pulselake.functions.scalar import rnd
+from pulselake.session import Scratch
 
 
 # ---- Mahalanobis distance
@@ -245,13 +246,18 @@ def conformal_interval(prob: Column, q_hat: Column) -> dict[str, Column]:
 
 
 def topic_model(docs: DataFrame, k: int = 4, vocabulary: int = 3000, iterations: int = 10):
-    """(model, vocabulary, scored): TF-IDF of 1- and 2-grams and online LDA; scored has topic, confidence and entropy."""
+    """(model, vocabulary, scored): TF-IDF of 1- and 2-grams and online LDA; scored has topic, confidence and entropy.
+
+    Each iteration draws as many documents as there are (with replacement); the learning offset of 1 suits so
+    few, whole batches: with the default 1024 the random start would keep most of its weight.
+    """
     grams = NGram(n=2, inputCol="tokens", outputCol="bigrams").transform(docs)
     both = grams.withColumn("terms", F.concat("tokens", "bigrams"))
     cv = CountVectorizer(inputCol="terms", outputCol="tf", minDF=2.0, maxDF=0.9, vocabSize=vocabulary).fit(both)
     counted = cv.transform(both)
     weighted = IDF(inputCol="tf", outputCol="features").fit(counted).transform(counted)
-    model = LDA(k=k, maxIter=iterations, optimizer="online", seed=7).fit(weighted)
+    weighted = Scratch(docs.sparkSession, "topics").write(weighted.select("doc_id", "features"), "features")
+    model = LDA(k=k, maxIter=iterations, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, seed=7).fit(weighted)
     from pyspark.ml.functions import vector_to_array
 
     p = model.transform(weighted).withColumn("p", vector_to_array("topicDistribution"))

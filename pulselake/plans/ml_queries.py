@@ -117,7 +117,7 @@ def balanced_forest(spark, sf_dir):
 @query("topic_model")
 def topic_model(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
-    return models.topic_model(d, iterations=5)[2]
+    return models.topic_model(d)[2]
 
 
 @query("topic_coherence")

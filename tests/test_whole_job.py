@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from pulselake.ml import models
 from pulselake.plans import registry
 from pulselake.series import grid
 from pulselake.text import corpus
@@ -47,3 +48,10 @@ def test_topic_similarity_query_scores_all_tokens(spark):
     want = {r.doc_id: r.s for r in docs.select("doc_id", whole.alias("s")).collect()}
     got = {r.doc_id: r.similarity for r in registry.QUERIES["topic_similarity"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_topics_are_fitted_on_the_whole_corpus(spark):
+    docs = spark.createDataFrame([(k, [f"{'ab'[k % 2]}{w}" for w in range(6)]) for k in range(40)], "doc_id long, tokens array<string>")
+    model, _, scored = models.topic_model(docs, k=2)
+    assert model.getOrDefault("subsamplingRate") * model.getOrDefault("maxIter") >= 5
+    assert scored.count() == 40
