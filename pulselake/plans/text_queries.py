@@ -8,7 +8,7 @@ from pulselake.functions.scalar import rnd as round_
 from pulselake.plans import views
 from pulselake.plans.base import Registry
 from pulselake.plans.views import rnd
-from pulselake.session import read_table
+from pulselake.session import Scratch, read_table
 from pulselake.text import corpus
 
 query = Registry()
@@ -76,6 +76,20 @@ def related_terms(spark, sf_dir):
     return corpus.related_terms(top, start, 2)
 
 
+@query("keyword_cooccurrence_all")
+def keyword_cooccurrence_all(spark, sf_dir):
+    """Each term's three strongest partners of all pairs; keyword_cooccurrence counts the words its SQL names."""
+    return corpus.strongest(corpus.all_pairs(docs(spark, sf_dir)))
+
+
+@query("related_terms_all")
+def related_terms_all(spark, sf_dir):
+    """related_terms over every term's strongest partners."""
+    edges = Scratch(spark, "related").write(keyword_cooccurrence_all(spark, sf_dir).select(F.col("term").alias("a"), F.col("partner").alias("b")), "edges")
+    start = edges.agg(F.min("a")).first()[0]
+    return corpus.related_terms(edges, start, 2)
+
+
 @query("html_fields", r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '') AS title, nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)), '') AS h1, len(regexp_extract_all(html, '(?i)<a\s')) AS links, len(regexp_extract_all(html, '(?i)<p[\s>]')) AS paragraphs FROM pages""")
 def html_fields(spark, sf_dir):
     return corpus.html_fields(read_table(spark, sf_dir, "pages")).drop("metas")

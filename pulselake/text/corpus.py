@@ -62,6 +62,26 @@ def cooccurrence(docs: DataFrame, vocabulary: DataFrame, least: int = 2) -> Data
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def all_pairs(docs: DataFrame, least: int = 2, piece: int = 64) -> DataFrame:
+    """Pairs a < b of all tokens that share rows of docs, with the number of these; no token is left out.
+
+    A row's sorted distinct tokens are cut into pieces, each dealt out with the tokens from its start on,
+    so that a long text's pairs are made by many tasks.
+    """
+    sets = docs.select(F.monotonically_increasing_id().alias("row"), F.sort_array(F.array_distinct(tokens(F.col("text")))).alias("t")).where(F.size("t") > 1)
+    cut = sets.select("row", F.explode(F.sequence(F.lit(1), F.size("t") - 1, F.lit(piece))).alias("lo"), "t").select("row", "lo", F.slice("t", F.col("lo"), F.size("t")).alias("t"))
+    dealt = cut.repartition("row", "lo")
+    firsts = dealt.select(F.posexplode(F.slice("t", 1, piece)).alias("k", "a"), "t")
+    pairs = firsts.select("a", F.explode(F.slice("t", F.col("k") + 2, F.size("t"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def strongest(edges: DataFrame, top: int = 3) -> DataFrame:
+    """Each term's strongest partners (term, partner, n, nth), ties by partner; edges count for both of their ends."""
+    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("term"), F.col("b").alias("partner")), F.struct(F.col("b").alias("term"), F.col("a").alias("partner")))).alias("e"), "n").select("e.*", "n")
+    return both.withColumn("nth", F.row_number().over(W.partitionBy("term").orderBy(F.desc("n"), "partner"))).where(F.col("nth") <= top)
+
+
 def related_terms(edges: DataFrame, start: str, depth: int = 2, top: int = 20) -> DataFrame:
     """Terms within depth undirected steps of a term, first top by name."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

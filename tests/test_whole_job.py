@@ -1,5 +1,8 @@
 """Queries do their whole job: every vector, every word, every pair, every horizon."""
 
+from collections import Counter
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -55,3 +58,16 @@ def test_topics_are_fitted_on_the_whole_corpus(spark):
     model, _, scored = models.topic_model(docs, k=2)
     assert model.getOrDefault("subsamplingRate") * model.getOrDefault("maxIter") >= 5
     assert scored.count() == 40
+
+
+def test_all_pairs_of_rare_words_are_counted(spark):
+    rng = np.random.default_rng(2)
+    word = lambda k: "w" + "".join(chr(97 + int(d)) for d in f"{k:03d}")
+    texts = [" ".join(word(k) for k in rng.integers(0, 150, size=100)) for _ in range(12)] + ["xxrare yyrare", "xxrare yyrare xxrare", "", "alone"]
+    docs = spark.createDataFrame([(None if k < 2 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    want = Counter(p for t in texts for p in combinations(sorted(set(t.split())), 2))
+    edges = corpus.all_pairs(docs, piece=8)
+    got = {(r.a, r.b): r.n for r in edges.collect()}
+    assert got == {p: n for p, n in want.items() if n >= 2} and got["xxrare", "yyrare"] == 2
+    top = {(r.term, r.nth): r.partner for r in corpus.strongest(edges).collect()}
+    assert top["xxrare", 1] == "yyrare" and top["yyrare", 1] == "xxrare" and max(n for _, n in top) == 3
