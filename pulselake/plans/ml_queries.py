@@ -8,7 +8,7 @@ from pulselake.functions.scalar import rnd as round_
 from pulselake.ml import models
 from pulselake.plans.base import Registry
 from pulselake.plans.views import rnd
-from pulselake.session import read_table
+from pulselake.session import Scratch, read_table
 from pulselake.text.corpus import token_counts, tokens
 
 query = Registry()
@@ -104,14 +104,14 @@ def isolation_forest(spark, sf_dir):
 def severity_classifier(spark, sf_dir):
     m = measures(spark, sf_dir).withColumn("label", F.when(F.col("q") > 180, 2.0).when(F.col("q") > 90, 1.0).otherwise(0.0))
     train, test = models.split(models.assemble(m, ["q", "d", "t", "n"]))
-    return models.classifier_report(models.severity_classifier(train, iterations=5).transform(test))
+    return models.classifier_report(models.severity_classifier(train).transform(test))
 
 
 @query("balanced_forest")
 def balanced_forest(spark, sf_dir):
     m = measures(spark, sf_dir).withColumn("label", (F.col("q") > 180).cast("double"))
     train, test = models.split(models.assemble(m, ["q", "d", "t", "n"]))
-    return models.classifier_report(models.balanced_forest(train, trees=10, depth=6).transform(test))
+    return models.classifier_report(models.balanced_forest(train).transform(test))
 
 
 @query("topic_model")
@@ -135,7 +135,15 @@ def sequence_classifier(spark, sf_dir):
     from pulselake.series.windows import sequences
 
     s = series(spark, sf_dir).withColumn("x", F.least(F.lit(1.0), F.col("x") / 100)).drop("ts")
-    q = sequences(s, 8, (3, 6, 9)).select("series", "idx", *(F.col("seq")[k].alias(f"x{k}") for k in range(8)), "y6", "y24")
-    a = models.assemble(q, [f"x{k}" for k in range(8)])
-    nets = models.horizon_networks(a, ["y6"], 8, iterations=10)
-    return models.classifier_report(nets["y6"].transform(a), label="y6")
+    return sequence_report(sequences(s))
+
+
+def sequence_report(q):
+    """Report of a network per horizon on the windows that the hash of series and idx holds out; empty without windows."""
+    names = ["y6", "y24", "y72"]
+    flat = q.select(F.struct("series", "idx").alias("id"), *(F.col("seq")[k].alias(f"x{k}") for k in range(32)), *names)
+    flat = Scratch(q.sparkSession, "windows").write(flat, "windows")
+    train, test = models.split(models.assemble(flat, [f"x{k}" for k in range(32)]))
+    nets = models.horizon_networks(train, names, 32) if train.head(1) else {}
+    reports = [models.classifier_report((nets[y].transform(test) if nets else test.withColumn("prediction", F.lit(0.0))), label=y).select(F.lit(int(y[1:])).alias("horizon"), "*") for y in names]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])

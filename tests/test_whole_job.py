@@ -7,8 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pulselake.ml import models
-from pulselake.plans import registry
-from pulselake.series import grid
+from pulselake.plans import ml_queries, registry
+from pulselake.series import grid, windows
 from pulselake.text import corpus
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +71,32 @@ def test_all_pairs_of_rare_words_are_counted(spark):
     assert got == {p: n for p, n in want.items() if n >= 2} and got["xxrare", "yyrare"] == 2
     top = {(r.term, r.nth): r.partner for r in corpus.strongest(edges).collect()}
     assert top["xxrare", 1] == "yyrare" and top["yyrare", 1] == "xxrare" and max(n for _, n in top) == 3
+
+
+def test_sequence_report_has_all_horizons_held_out(spark):
+    rng = np.random.default_rng(3)
+    rows = [(str(g), k, float(x)) for g in range(2) for k, x in enumerate(rng.random(200))]
+    q = windows.sequences(spark.createDataFrame(rows, "series string, idx long, x double"))
+    got = ml_queries.sequence_report(q).collect()
+    assert {r.horizon for r in got} == {6, 24, 72}
+    for h in (6, 24, 72):
+        assert 0 < sum(r.support for r in got if r.horizon == h) < q.count() / 2
+
+
+def test_classifiers_run_with_their_own_defaults(spark, monkeypatch):
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    for name in ("severity_classifier", "balanced_forest"):
+        def fit(train, **given):
+            seen.append(given)
+            raise Stop
+
+        monkeypatch.setattr(ml_queries.models, name, fit)
+        try:
+            registry.QUERIES[name](spark, SF)
+        except Stop:
+            pass
+    assert seen == [{}, {}]
