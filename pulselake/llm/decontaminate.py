@@ -7,18 +7,22 @@ of a candidate are compared directly. A batch of documents is searched in lockst
 (in overlapping pieces of PIECE words) has its own position and jumps by its own shift, in numpy.
 
 The windows are broadcast in parts of at most PART_WORDS words, so their size is bounded whatever
-the benchmark's: more parts mean more passes, whose hits are united per document.
+the benchmark's: more parts mean more passes, one part on the driver at a time, whose written hits
+are united per text. A document's verdict depends on its text alone in either case.
 
 Cases: null or word-less documents have no words, no hits, and are clean; items without words have
-no window; repeated items with the same text are all named; repeated documents are searched each
-for itself; a null item_id is left out of the list of ids; an empty table on either side gives no
-hits; other columns are ignored; lengths are not limited.
+no window; repeated items with the same text are all named; repeated documents, and documents
+without or with one id, are judged each by its own text; the windows of an item without id count as
+hits, and the item is not counted or named; an empty table on either side gives no hits; other
+columns are ignored; lengths are not limited.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulselake.llm.common import alnum_words, map_batches, utf8
-from pulselake.session import read_table
+from pulselake.session import Scratch, read_table
 
 WINDOW = 13
 PIECE = 4096
@@ -100,9 +104,9 @@ class Benchmark:
         by_length: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text)]
-            if words and item_id is not None:
+            if words:
                 m, own = min(WINDOW, len(words)), len(self.ids)
-                self.ids.append(str(item_id))
+                self.ids.append(None if item_id is None else str(item_id))
                 for k in range(len(words) - m + 1):
                     if own not in (of := by_length[m][tuple(words[k : k + m])]):
                         of.append(own)
@@ -122,7 +126,7 @@ class Benchmark:
             for p, w, d in zip((pos - starts[doc]).tolist(), which.tolist(), doc.tolist()):
                 spans[d].append((p - table.m + 1, p))
                 items[d].update(owners[w])
-        return [(len(s), spans[d], {self.ids[i] for i in items[d]}) for d, s in enumerate(split)]
+        return [(len(s), spans[d], {self.ids[i] for i in items[d]} - {None}) for d, s in enumerate(split)]
 
 
 def covered(spans: list[tuple[int, int]], n: int) -> int:
@@ -170,34 +174,50 @@ def _scanner(bench, keep_clean: bool):
     return run
 
 
-def _parts(benchmark: DataFrame) -> list:
-    """Broadcasts of the benchmark, PART_WORDS words each at most (one item at least)."""
-    spark, items, size, out = benchmark.sparkSession, [], 0, []
-    close = lambda: out.append(spark.sparkContext.broadcast(Benchmark(items)))
+def _parts(benchmark: DataFrame) -> Iterator[list]:
+    """The items in lists of PART_WORDS words at most (one item at least); one list, maybe empty, at least."""
+    items, size = [], 0
     for item_id, text in benchmark.select("item_id", "text").toLocalIterator():
         raw = text.encode() if text is not None else None
         if items and size + len(raw or b"") > 6 * PART_WORDS:
-            close()
+            yield items
             items, size = [], 0
         items.append((item_id, raw))
         size += len(raw or b"")
-    close()
-    return out
-
-
-def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    yield items
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, work: Scratch | None):
+    """(broadcast windows, None) if they are one part, else (None, text key and digests of each distinct text)."""
+    spark, parts = docs.sparkSession, _parts(benchmark)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return spark.sparkContext.broadcast(Benchmark(first)), None
+    work, whole = work or Scratch(spark, "decontaminate"), None
+    keyed = docs.select(_key().alias("row"), F.col("text").cast("string").alias("text"))
+    for k, items in enumerate(chain((first, second), parts)):
+        windows = spark.sparkContext.broadcast(Benchmark(items))
+        found = map_batches(keyed, _part_scanner(windows), "row string, n long, spans array<array<long>>, items array<string>")
+        found = work.write(found.groupBy("row").agg(F.first("n").alias("n"), F.first("spans").alias("spans"), F.first("items").alias("items")), f"part{k}")
+        windows.destroy()
+        whole = found if whole is None else whole.unionByName(found)
+    joined = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)  # noqa: E731  one list of each part
+    united = whole.groupBy("row").agg(F.max("n").alias("n"), joined("spans"), joined("items"))
+    return None, work.write(map_batches(united, _unite, f"row string, {DIGEST}"), "digests")
+
+
+def _key():
+    """128 bits of a text; null is as an empty text."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, work: Scratch | None = None) -> DataFrame:
     """doc_id and the digest columns of each row of docs."""
-    docs, parts = docs.select("doc_id", F.col("text").cast("string").alias("text")), _parts(benchmark)
-    if len(parts) == 1:
-        return map_batches(docs, _scanner(parts[0], False), f"doc_id long, {DIGEST}")
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = [map_batches(keyed, _part_scanner(p), "row long, n long, spans array<array<long>>, items array<string>") for p in parts]
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    united = whole.groupBy("row").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    digests = map_batches(united, _unite, f"row long, {DIGEST}")
-    return keyed.select("doc_id", "row").join(digests, "row").drop("row")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    windows, digests = _passes(docs, benchmark, work)
+    if windows is not None:
+        return map_batches(docs, _scanner(windows, False), f"doc_id long, {DIGEST}")
+    return docs.select("doc_id", _key().alias("row")).join(digests, "row").drop("row")
 
 
 def _part_scanner(bench):
@@ -219,13 +239,13 @@ def _unite(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, all columns as they are."""
-    parts = _parts(benchmark)
-    if len(parts) == 1:
-        return map_batches(docs, _scanner(parts[0], True), docs.schema)
-    bad = scan(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_doc_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("bad_doc_id"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, work: Scratch | None = None) -> DataFrame:
+    """The rows of docs that are not contaminated, all columns as they are; a row is judged by its text only."""
+    windows, digests = _passes(docs, benchmark, work)
+    if windows is not None:
+        return map_batches(docs, _scanner(windows, True), docs.schema)
+    bad = digests.where("contaminated").select(F.col("row").alias("bad_row"))
+    return docs.join(bad, _key() == F.col("bad_row"), "left_anti")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,13 +255,13 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 n AS (SELECT item_id, w, least(13, len(w)) AS m FROM i WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, m, array_to_string(w[k:k + m - 1], ' ') AS s FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM n)),
 ms AS (SELECT DISTINCT m FROM win),
 occ AS (SELECT DISTINCT g.doc_id, g.k, g.m, win.item_id FROM (SELECT doc_id, k, m, array_to_string(w[k:k + m - 1], ' ') AS s FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, ms WHERE len(w) >= m)) g JOIN win ON win.m = g.m AND win.s = g.s),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS p FROM occ) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occ) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occ WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
