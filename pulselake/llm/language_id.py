@@ -10,7 +10,7 @@ The fit reads at most PER_LANGUAGE labelled texts of each language, taken in has
 sample; TRAIN_ROWS in all); every text is scored whole.
 
 Cases: null text, or a text without a letter, is ``und`` with score 0; ties go to the first
-language by code point; repeated rows are predicted alike; without any labelled text every text
+language by code point; repeated rows are predicted alike; an id with several languages teaches the first by code point, with the first of its texts' sets; without any labelled text every text
 is ``und``; an empty table gives no rows; lang, source and doc_id are not read when predicting.
 """
 
@@ -29,6 +29,8 @@ from pulselake.session import read_table
 
 DIM_BITS = 13
 PER_LANGUAGE = 500
+#: Shares of the ids in which the first of a language are sought.
+SHARES = 64
 LANDMARKS = 160
 TRAIN_ROWS = 8000
 RIDGE = 1e-2
@@ -105,8 +107,10 @@ class Model:
 def fit(docs: DataFrame) -> Model | None:
     """A model from the labelled rows outside the held-out third; None if there is none."""
     light = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 3, 1))
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = light.dropDuplicates(["doc_id"]).withColumn("nth", nth).where(F.col("nth") <= PER_LANGUAGE).orderBy("nth", "lang").limit(TRAIN_ROWS).select(F.col("doc_id").alias("k"), F.col("lang").alias("label"), "nth")
+    one = light.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("h", F.xxhash64("doc_id"))
+    # first within a share of the ids, then among the shares' first ones: no task sorts a whole language
+    first = lambda df, *by: df.withColumn("nth", F.row_number().over(W.partitionBy("lang", *by).orderBy("h", "doc_id"))).where(F.col("nth") <= PER_LANGUAGE)
+    picked = first(first(one, F.pmod("h", F.lit(SHARES)))).orderBy("nth", "lang").limit(TRAIN_ROWS).select(F.col("doc_id").alias("k"), F.col("lang").alias("label"), "nth")
     texts = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("k")).where(F.col("lang") == F.col("label")).select("label", "nth", "text")
 
     def grams(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -115,7 +119,8 @@ def fit(docs: DataFrame) -> Model | None:
         packed = [np.packbits(gram_set(t)).tobytes() for t in utf8(batch, "text")]
         return pa.RecordBatch.from_arrays([batch.column("label"), batch.column("nth"), pa.array(packed, pa.binary())], ["label", "nth", "grams"])
 
-    rows = sorted(map_batches(texts, grams, "label string, nth int, grams binary").collect(), key=lambda r: (r[1], r[0], bytes(r[2])))
+    one_each = map_batches(texts, grams, "label string, nth int, grams binary").groupBy("label", "nth").agg(F.min("grams").alias("grams"))
+    rows = sorted(one_each.collect(), key=lambda r: (r[1], r[0]))
     if not rows:
         return None
     present = np.unpackbits(np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1)

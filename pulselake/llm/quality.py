@@ -8,7 +8,7 @@ walks all of them at once in numpy, level by level.
 
 Cases: null and empty texts have zero statistics and are scored like any other; repeated rows
 score alike; without labels of both kinds every score is the share of label 1 (0.5 without any);
-duplicate labels of a document are taken once, the smallest; an empty table gives no rows; other
+duplicate labels of a document are taken once, the smallest, and of the texts of a repeated id one; an empty table gives no rows; other
 columns, also clashing ones, are ignored; texts are read whole.
 """
 
@@ -143,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Trees:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([statistics(t).tobytes() for t in utf8(batch, "text")], pa.binary())], ["k", "y", "x"])
 
-    rows = sorted(map_batches(known.select("k", "y", "text"), run, "k long, y int, x binary").collect(), key=lambda r: (r[0], bytes(r[2])))
+    one_each = map_batches(known.select("k", "y", "text"), run, "k long, y int, x binary").groupBy("k", "y").agg(F.min("x").alias("x"))
+    rows = sorted(one_each.collect(), key=lambda r: r[0])
     x = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.float32).reshape(len(rows), len(FEATURES))
     return train(x.astype(np.float64), np.array([r[1] for r in rows], np.float64))
 
