@@ -3,7 +3,7 @@
 The automaton holds every substring of the templates' word sequences; each state knows which
 templates contain it. A file's words are streamed through it once, which gives at every word the
 longest suffix that some template contains. Maximal matches of at least MIN_MATCH words are
-placed in their template (by the state's first end position) and chained in file order with
+placed in their template (at the state's first end position after the chain so far) and chained in file order with
 bounded gaps; the covered share of the template decides. Runs of words outside the templates'
 vocabulary are skipped without touching the automaton.
 
@@ -16,6 +16,8 @@ ignored; texts are scanned whole.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +51,7 @@ MIN_COVER = 0.8
 
 
 class SuffixAutomaton:
-    """Online construction over several word sequences; a state keeps the sequences it occurs in."""
+    """Online construction over several word sequences; a state keeps all its end positions by sequence."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
@@ -58,10 +60,11 @@ class SuffixAutomaton:
             last = 0
             for at, symbol in enumerate(sequence):
                 last = self._extend(last, symbol)
-                self.ends[last].setdefault(number, at)
+                self.ends[last].setdefault(number, set()).add(at)
         for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
             for number, at in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(number, at)
+                self.ends[self.link[state]].setdefault(number, set()).update(at)
+        self.ends = [{number: sorted(at) for number, at in of.items()} for of in self.ends]
 
     def _state(self, length: int) -> int:
         self.next.append({})
@@ -163,12 +166,16 @@ class Scanner:
                     if length < MIN_MATCH:
                         continue
                     last, first = at + end, at + end - length + 1
-                    for t, t_last in self.automaton.ends[state].items():
-                        t_first = t_last - length + 1
+                    for t, places in self.automaton.ends[state].items():
+                        t_last = places[0]
                         if t in chains:
                             c = chains[t]
-                            if first - c[1] - 1 > MAX_GAP or t_last <= c[2]:
+                            after = bisect_right(places, c[2])
+                            if first - c[1] - 1 > MAX_GAP or after == len(places):
                                 close(t)
+                            else:
+                                t_last = places[after]
+                        t_first = t_last - length + 1
                         if t not in chains:
                             chains[t] = [first, last, t_last, length]
                         else:
