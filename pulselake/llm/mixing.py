@@ -11,7 +11,8 @@ mass with the pool of all shorter ones, which then fold. The last residual of a
 by its probability, so a source misses its target by one document at most, a short one as a rule. Draws are hashes of ids and seed, so reruns agree.
 
 Cases: null or word-less text has size 0 and takes nothing; null is a source of its own, last in
-order; repeated rows (and null ids) are mixed each for itself; a corpus without words has targets
+order; repeated rows (and null ids) are mixed each for itself, rows alike in source, id and text
+beyond BLOCK of them spread over blocks by their place in the table; a corpus without words has targets
 0; an empty table gives no rows; other columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulselake.session import Scratch, read_table
+from pulselake.session import Scratch, read_table, small_side
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -69,7 +70,7 @@ def _meet(acc: Column, x: Column) -> Column:
     c_full, x_full = (1 - c["p"]) * c["size"] <= x["p"] * x["size"], c["p"] * c["size"] >= (1 - x["p"]) * x["size"]
     cp = F.when(to_c, F.when(c_full, F.lit(1.0)).otherwise(c["p"] + up / c["size"])).otherwise(F.when(x_full, c["p"] - down / c["size"]).otherwise(F.lit(0.0)))
     xp = F.when(to_c, F.when(c_full, x["p"] - up / x["size"]).otherwise(F.lit(0.0))).otherwise(F.when(x_full, F.lit(1.0)).otherwise(x["p"] + down / x["size"]))
-    item = lambda d, p: F.struct(d["size"].alias("size"), d["h"].alias("h"), d["doc_id"].alias("doc_id"), p.alias("p"))
+    item = lambda d, p: F.struct(d["size"].alias("size"), d["h"].alias("h"), d["doc_id"].alias("doc_id"), d["place"].alias("place"), p.alias("p"))
     c_done = F.when(to_c, c_full).otherwise(~x_full)
     met = F.struct(
         F.when(c_done, item(x, xp)).otherwise(item(c, cp)).alias("carry"),
@@ -78,14 +79,14 @@ def _meet(acc: Column, x: Column) -> Column:
     return F.when(c.isNull(), F.struct(x.alias("carry"), acc["done"].alias("done"))).otherwise(met)
 
 
-_ITEM = "struct<size:bigint,h:bigint,doc_id:bigint,p:double>"
+_ITEM = "struct<size:bigint,h:bigint,doc_id:bigint,place:bigint,p:double>"
 _KEYS = ["source", "n", "source_size", "target", "whole"]
 
 
 def _tree(open_: DataFrame, most: int, work: Scratch, name: str) -> tuple[list[DataFrame], DataFrame]:
-    """Folds open items (keys, size, h, doc_id, p) to one open item a source at most: (settled rows, what is left)."""
+    """Folds open items (keys, size, h, doc_id, place, p) to one open item a source at most: (settled rows, what is left)."""
     blocks = F.ceil(F.col("n") / BLOCK)
-    items = open_.select(*_KEYS, F.struct("size", "h", "doc_id", "p").alias("item"), F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), blocks).alias("block"), blocks.alias("blocks"))
+    items = open_.select(*_KEYS, F.struct("size", "h", "doc_id", "place", "p").alias("item"), F.pmod(F.xxhash64("h", F.lit(SEED + 1)), blocks).alias("block"), blocks.alias("blocks"))
     empty = F.struct(F.expr(f"cast(null as {_ITEM})").alias("carry"), F.expr(f"cast(array() as array<{_ITEM}>)").alias("done"))
     settled, levels = [], math.ceil(math.log(max(most, 2), BLOCK)) + 1
     for level in range(levels):
@@ -100,16 +101,34 @@ def _tree(open_: DataFrame, most: int, work: Scratch, name: str) -> tuple[list[D
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, work: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
+    placed = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("place"))
+    return _mixed(placed, weights, cap, work or Scratch(docs.sparkSession, "mixing")).drop("place")
+
+
+def mix_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, work: Scratch | None = None) -> DataFrame:
+    """The rows of docs with size, source_size, target, copies and taken (in place of columns of these names)."""
     work = work or Scratch(docs.sparkSession, "mixing")
-    sizes = work.write(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
+    placed = work.write(docs.withColumn("mix_place", F.monotonically_increasing_id()), "placed")
+    found = _mixed(placed.select("doc_id", "source", "text", F.col("mix_place").alias("place")), weights, cap, work)
+    added = [c for c in found.columns if c not in ("doc_id", "source", "place")]
+    return placed.drop(*added).join(found.select(F.col("place").alias("mix_place"), *added), "mix_place").drop("mix_place")
+
+
+def _mixed(docs: DataFrame, weights, cap: int, work: Scratch) -> DataFrame:
+    """Rows (doc_id, source, text, place) with their sizes, targets, copies and words taken; place is unique."""
+    h = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(SEED)).alias("h")
+    sizes = work.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), h, "place"), "sizes")
     targets = work.write(source_targets(sizes, weights, cap), "targets")
     most = targets.agg(F.max("n")).first()[0] or 0
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sizes.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    rows = joined.withColumns({"whole": F.floor(per), "p": per - F.floor(per), "h": F.xxhash64("doc_id", "size", F.lit(SEED))})
+    alike = sizes.groupBy("source", "h").count().where(F.col("count") > BLOCK).select(F.col("h").alias("hot")).distinct()
+    alike = small_side(alike, alike.count())
+    spread = F.when(F.col("hot").isNotNull(), F.xxhash64("h", "place")).otherwise(F.col("h"))
+    rows = joined.join(alike, F.col("h") == F.col("hot"), "left").withColumns({"whole": F.floor(per), "p": per - F.floor(per), "h": spread}).drop("hot")
     fixed = (F.col("size") == 0) | (F.col("p") <= 0)
     reserve = F.col("size") * F.col("n") <= F.col("source_size")
-    settled = [rows.where(fixed).select(*_KEYS, "size", "h", "doc_id", F.lit(0.0).alias("p"))]
+    settled = [rows.where(fixed).select(*_KEYS, "size", "h", "doc_id", "place", F.lit(0.0).alias("p"))]
 
     # the longer documents first; what is left of them meets the pool of the shorter ones as one partner
     done, long_left = _tree(rows.where(~fixed & ~reserve), most, work, "long")
@@ -124,7 +143,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, work: Scratch | None =
     met = work.write(met.withColumn("pool_p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("f") - moved / F.col("pool_size")))).withColumn("p", filled), "met")
     alone = long_left.join(met.select(F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")), "left_anti")
     short = rows.where(~fixed & reserve).join(met.select(F.col("source").alias("s"), "pool_p"), F.col("source").eqNullSafe(F.col("s")), "left").withColumn("p", F.coalesce("pool_p", "p"))
-    both = met.select(*_KEYS, "size", "h", "doc_id", "p").unionByName(alone).unionByName(short.select(*_KEYS, "size", "h", "doc_id", "p"))
+    both = met.select(*_KEYS, "size", "h", "doc_id", "place", "p").unionByName(alone).unionByName(short.select(*_KEYS, "size", "h", "doc_id", "place", "p"))
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
     settled.append(both.where(~open_))
     done, left = _tree(both.where(open_), most, work, "short")
@@ -134,7 +153,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, work: Scratch | None =
     for more in settled[1:]:
         out = out.unionByName(more)
     copies = (F.col("whole") + F.col("p").cast("long")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "place", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op5_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
