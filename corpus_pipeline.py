@@ -15,19 +15,23 @@ def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one whose id names the group."""
+    """One document of each group of near duplicates: the one whose id names the group.
+
+    Rows of one id are one document, of which the row with the smallest text stays (of several such
+    rows the first by all columns); a row without id stays.
+    """
     work = Scratch(spark, "one_of_each")
     marked = work.write(ngram_join.near_duplicate_components(docs, work), "components")
     extra = marked.where("doc_id <> component_id").select(F.col("doc_id").alias("extra_doc_id")).distinct()
     kept = docs.join(small_side(extra, extra.count()), F.col("doc_id") == F.col("extra_doc_id"), "left_anti")
-    if _repeats(marked):
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
-    return kept
-
-
-def _repeats(marked: DataFrame) -> bool:
-    """Whether any id stands in several rows (copies of a row are one document)."""
-    return marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    again = marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_doc_id"))
+    again = work.write(again, "repeated")
+    if again.isEmpty():
+        return kept
+    again = small_side(again, again.count())
+    same = F.col("doc_id") == F.col("again_doc_id")
+    first = kept.join(again, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("no_text"), "text", *(c for c in docs.columns if c != "text"))).alias("first"))
+    return kept.join(again, same, "left_anti").union(first.select(*(F.col(f"first.{c}").alias(c) for c in docs.columns)))
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +45,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many copies of each document the mixture takes."""
-    return mixing.mix(docs)
+    """The documents with the number of copies of each that the mixture takes."""
+    return mixing.mix_documents(docs)
 
 
 STAGES = [
@@ -58,11 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; a stage's own tables go then."""
     work = Scratch(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        before = [*Scratch.made]
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = work.write(docs, name)
+            for own in [x for x in Scratch.made if x not in before]:
+                own.clear()
     return docs
