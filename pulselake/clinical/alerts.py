@@ -54,13 +54,16 @@ def discrepancy(evaluated: DataFrame) -> DataFrame:
     have = set(evaluated.columns)
     flag = lambda c: F.coalesce(F.col(c), F.lit(True)) if c in have else F.lit(True)
     src = lambda c: F.coalesce(F.col(c), F.lit("unknown")) if c in have else F.lit("unknown")
-    any_rule = lambda *ids: F.exists("hits", lambda h: h["rule"].isin(*ids))
-    prefix = lambda p: F.exists("hits", lambda h: h["rule"].startswith(p))
-    e, core = F.expr, stable_core()
+    listed = lambda hits: F.concat(F.lit(","), F.array_join(F.col(f"{hits}.rule"), ","), F.lit(","))
+    # each is a column of its own, named often but computed once
+    named = evaluated.withColumns({"_rules": listed("hits"), "_severe": F.filter("hits", lambda h: h["severity"] == "critico"), "_core": stable_core()})
+    mild = F.regexp_count(listed("_severe"), F.lit(",(?:pa_elev_|hyper_|hypo_)"))
+    named = named.withColumn("_metabolic", (F.size("_severe") > 0) & (mild == F.size("_severe")))
+    any_rule = lambda *ids: reduce(lambda a, b: a | b, (F.col("_rules").contains(f",{r},") for r in ids))
+    prefix = lambda p: F.col("_rules").contains(f",{p}")
+    e, core, metabolic = F.expr, F.col("_core"), F.col("_metabolic")
     high, sugar, low_sugar = prefix("pa_elev_"), prefix("hyper_"), prefix("hypo_")
     bp_guess, glucose_guess = (src("bp_source") == "phantom") | ~flag("bp_reliable"), (src("glucose_source") == "phantom") | ~flag("glucose_reliable")
-    critical = F.filter("hits", lambda h: h["severity"] == "critico")
-    metabolic = F.forall(critical, lambda h: h["rule"].startswith("pa_elev_") | h["rule"].startswith("hyper_") | h["rule"].startswith("hypo_"))
     quiet = e("hr between 70 and 92 and (temp_c is null or temp_c between 36.0 and 37.2) and (spo2 is null or spo2 >= 96) and (steps_drop_pct is null or steps_drop_pct < 25) and (sleep_worsen_pct is null or sleep_worsen_pct < 25)")
     tests = [
         ("tachycardia_not_in_sample", any_rule("pa_elev_2", "pa_elev_3") & e("hr < 111"), 0.15),
@@ -70,13 +73,15 @@ def discrepancy(evaluated: DataFrame) -> DataFrame:
         ("estimated_glucose_stable_sample", sugar & glucose_guess & core & e("hr < 111"), 0.15),
         ("mild_estimated_glucose", sugar & glucose_guess & core & e("glucose_mgdl >= 181 and glucose_mgdl < 250"), 0.2),
         ("estimated_low_glucose", low_sugar & glucose_guess & core & e("hr between 60 and 100"), 0.2),
-        ("critical_metabolic_stable_sample", (F.size(critical) > 0) & core & metabolic & (bp_guess | glucose_guess), 0.1),
+        ("critical_metabolic_stable_sample", core & metabolic & (bp_guess | glucose_guess), 0.1),
         ("unmeasured_quiet_sample", quiet & (high | sugar) & (src("bp_source") != "measured") & (src("glucose_source") != "measured"), 0.08),
     ]
-    held = [(n, F.coalesce(t, F.lit(False)), p) for n, t, p in tests]
+    named = named.withColumn("_held", F.array(*(F.coalesce(t, F.lit(False)) for _, t, _ in tests)))
+    held = [(n, F.col("_held")[k], p) for k, (n, _, p) in enumerate(tests)]
     penalty = reduce(lambda a, b: a * b, (F.when(t, p).otherwise(1.0) for _, t, p in held))
     reasons = F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t, _ in held)))
-    return evaluated.withColumns({"reasons": reasons, "suppress": F.size(reasons) > 0, "penalty": F.greatest(F.lit(0.05), F.least(F.lit(1.0), penalty))})
+    found = {"reasons": reasons, "suppress": F.array_contains("_held", True), "penalty": F.greatest(F.lit(0.05), F.least(F.lit(1.0), penalty))}
+    return named.select(*(c for c in evaluated.columns if c not in found), *(c.alias(n) for n, c in found.items()))
 
 
 def discrepancy_features(bp_source: Column, glucose_source: Column) -> dict[str, Column]:

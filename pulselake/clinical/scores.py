@@ -34,7 +34,8 @@ MEMBERSHIP = {
     "burden": {"low": (0, 0, 0.35), "moderate": (0.25, 0.5, 0.75), "high": (0.6, 0.8, 1.0, 1.2)},
     "trajectory": {"stable": (0, 0, 0.3), "rising": (0.1, 0.5, 1.2)},
 }
-LEVELS = {"very_low": 0.05, "low": 0.2, "moderate": 0.5, "high": 0.75, "very_high": 0.95}
+# Output levels.
+LEVELS = {"very_low": 0.1, "low": 0.25, "moderate": 0.5, "high": 0.75, "very_high": 0.95}
 # Rule, output, level, antecedents (variable.term, joined by and; | is or).
 FUZZY_RULES = [
     ("R1_noise_suppress", "false_positive", 0.9, "noise.high persistence.transient"),
@@ -51,7 +52,7 @@ FUZZY_RULES = [
 
 
 def fuzzy(rows: DataFrame) -> DataFrame:
-    """Adds event_probability, false_positive_risk, noise_gate, activations and a summary; absent inputs are 0."""
+    """Adds event_probability, false_positive_risk, noise_gate, activations (rule to strength above 0) and a summary; absent inputs are 0."""
     have = set(rows.columns)
     x = {v: F.coalesce(F.col(v), F.lit(0.0)) if v in have else F.lit(0.0) for v in (*MEMBERSHIP, "artifact")}
 
@@ -74,8 +75,8 @@ def fuzzy(rows: DataFrame) -> DataFrame:
     gated = F.greatest(F.lit(0.0), F.col("_p") * (1 - F.least(F.lit(0.85), F.col("_g") * 0.5 + x["artifact"] * 0.3)))
     level = F.when(gated > 0.75, "high").when(gated > 0.5, "moderate").when(gated > 0.25, "low to moderate").otherwise("low")
     doubt = F.when(F.col("_f") > 0.6, "high").when(F.col("_f") > 0.3, "moderate").otherwise("low")
-    activations = F.map_filter(F.create_map(*(p for n, *_ in FUZZY_RULES for p in (F.lit(n), F.col(f"_{n}")))), lambda _, v: v > 0)
-    return out.select(*rows.columns, rnd(gated, 4).alias("event_probability"), rnd("_f", 4).alias("false_positive_risk"), rnd("_g", 4).alias("noise_gate"), F.to_json(activations).alias("activations"), F.format_string("risk %s, false positive %s", level, doubt).alias("summary"))
+    activations = F.map_filter(F.create_map(*(p for n, kind, *_ in FUZZY_RULES if kind != "noise_gate" for p in (F.lit(n), F.col(f"_{n}")))), lambda _, v: v > 0)
+    return out.select(*rows.columns, rnd(gated, 4).alias("event_probability"), rnd("_f", 4).alias("false_positive_risk"), rnd("_g", 4).alias("noise_gate"), activations.alias("activations"), F.format_string("risk %s, false positive %s", level, doubt).alias("summary"))
 
 
 def top_two(values: Column) -> Column:
@@ -94,6 +95,22 @@ EVENTS = [
 ]
 
 
+def _fused(have: set[str]) -> tuple[Column, Column]:
+    """Weighted evidence, damped below two agreeing sources and by the chance of a false positive; and the sources that agree."""
+    num = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in have else F.lit(0.0)
+    score = {"wearable": num("wearable"), "ghost": num("ghost"), "clinical": num("clinical") if "clinical" in have else num("prognostic"), "fuzzy": num("fuzzy")}
+    total = reduce(lambda a, b: a + b, (WEIGHTS[k] * v for k, v in score.items()))
+    agreeing = reduce(lambda a, b: a + b, ((v > 0.35).cast("int") for v in score.values()))
+    damped = F.when(agreeing < 2, total * 0.6).otherwise(total) * (1 - 0.7 * num("fp_probability"))
+    return F.least(F.lit(1.0), damped + 0.1 * num("hemodynamic")), agreeing
+
+
+def fusion_score(rows: DataFrame) -> DataFrame:
+    """rows with fusion_score and agreeing_sources."""
+    fusion, agreeing = _fused(set(rows.columns))
+    return rows.withColumns({"fusion_score": rnd(fusion, 4), "agreeing_sources": agreeing})
+
+
 def fuse(rows: DataFrame, strict_reference: bool = False) -> DataFrame:
     """One row per patient and predicted event, most probable first within the patient.
 
@@ -104,10 +121,7 @@ def fuse(rows: DataFrame, strict_reference: bool = False) -> DataFrame:
     have = set(rows.columns)
     num = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in have else F.lit(0.0)
     arr = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in have else F.array().cast("array<string>")
-    score = {"wearable": num("wearable"), "ghost": num("ghost"), "clinical": num("clinical") if "clinical" in have else num("prognostic"), "fuzzy": num("fuzzy")}
-    total = reduce(lambda a, b: a + b, (WEIGHTS[k] * v for k, v in score.items()))
-    agreeing = reduce(lambda a, b: a + b, ((v > 0.35).cast("int") for v in score.values()))
-    fusion = F.least(F.lit(1.0), F.when(agreeing < 2, total * 0.6).otherwise(total) * (1 - 0.7 * num("fp_probability")) + 0.1 * num("hemodynamic"))
+    fusion, _ = _fused(have)
     text = F.lower(F.array_join(arr("conditions"), " "))
     text = text if strict_reference else F.regexp_replace(text, "_", " ")
 
@@ -117,7 +131,7 @@ def fuse(rows: DataFrame, strict_reference: bool = False) -> DataFrame:
         p = F.col("fusion") * (0.5 + 0.5 * known / len(triggers))
         p = F.when(clinical, F.least(F.lit(1.0), p * 1.15)).otherwise(p)
         lead = base * (1 - 0.6 * p * (0.5 + 0.5 * num("persistence")))
-        lead = F.greatest(F.lit(2.0), F.least(F.lit(168.0), F.when(score["ghost"] > 0.5, lead * 1.8).otherwise(lead)))
+        lead = F.greatest(F.lit(2.0), F.least(F.lit(168.0), F.when(num("ghost") > 0.5, lead * 1.8).otherwise(lead)))
         made = F.struct(F.lit(name).alias("event_type"), rnd(p, 4).alias("probability"), rnd(lead, 1).alias("lead_time_hours"))
         return F.when(((known > 0) | clinical) & (p >= 0.2), made)
 
@@ -158,17 +172,17 @@ def normal_cdf(z: Column) -> Column:
 def posterior(rows: DataFrame, categories=CATEGORIES, top: int = 3) -> DataFrame:
     """The top hypotheses of each row: prior times Gaussian-tail likelihoods, heart-rate variability and anomaly factors, normalised."""
     have = set(rows.columns)
-
-    def likelihood(ranges: dict) -> Column:
-        parts = []
-        for signal, (low, high) in ranges.items():
-            if signal not in have:
-                continue
-            v, sigma = F.col(signal), (high - low) * SIGMA
-            inside = F.greatest(F.lit(0.05), 1 - normal_cdf(F.least(v - low, F.lit(high) - v) / sigma))
-            outside = F.greatest(F.lit(0.1), normal_cdf(F.greatest(low - v, v - high) / sigma))
-            parts.append(F.when(v.isNull(), 1.0).when(v.between(low, high), inside).otherwise(outside))
-        return reduce(lambda a, b: a * b, parts, F.lit(1.0))
+    known = [(f"{name}_{signal}", signal, *of) for name, _, ranges in categories for signal, of in ranges.items() if signal in have]
+    # inside a range the distance to its nearer end counts, outside the distance beyond it; one tail of the normal law for both
+    inside = {key: F.col(s).between(low, high) for key, s, low, high in known}
+    z = {key: F.when(inside[key], F.least(F.col(s) - low, high - F.col(s))).otherwise(F.greatest(low - F.col(s), F.col(s) - high)) / ((high - low) * SIGMA) for key, s, low, high in known}
+    # one lambda for all tails: their code written out for each would be too long to compile
+    rows = rows.withColumn("_tails", F.transform(F.array(*z.values()), normal_cdf) if z else F.array().cast("array<double>"))
+    at = {key: F.col("_tails")[k] for k, key in enumerate(z)}
+    tail = {key: F.when(F.col(s).isNull(), 1.0).when(inside[key], F.greatest(F.lit(0.05), 1 - at[key])).otherwise(F.greatest(F.lit(0.1), at[key])) for key, s, _, _ in known}
+
+    def likelihood(name: str) -> Column:
+        return reduce(lambda a, b: a * b, (c for key, c in tail.items() if key.startswith(f"{name}_")), F.lit(1.0))
 
     num = lambda c: F.col(c) if c in have else F.lit(None).cast("double")
     sdnn, rmssd, ratio = num("sdnn"), num("rmssd"), num("lf_hf_ratio")
@@ -178,7 +192,7 @@ def posterior(rows: DataFrame, categories=CATEGORIES, top: int = 3) -> DataFrame
     }
     odd = F.greatest(F.lit(0.5), 1 + F.coalesce(num("anomaly"), F.lit(0.0)) * 0.25)
     factor = lambda name: F.greatest(F.lit(0.5), variability.get(name, F.lit(1.0))) * odd
-    joint = F.array(*(F.struct((prior * likelihood(ranges) * factor(name)).alias("j"), F.lit(name).alias("category"), F.lit(prior).alias("prior")) for name, prior, ranges in categories))
+    joint = F.array(*(F.struct((prior * likelihood(name) * factor(name)).alias("j"), F.lit(name).alias("category"), F.lit(prior).alias("prior")) for name, prior, _ in categories))
     scored = rows.withColumn("joint", joint).withColumn("total", F.aggregate("joint", F.lit(0.0), lambda a, x: a + x["j"]))
     ranked = scored.withColumn("best", F.slice(F.sort_array("joint", asc=False), 1, top))
     p = F.col("h.j") / F.col("total")
@@ -187,31 +201,96 @@ def posterior(rows: DataFrame, categories=CATEGORIES, top: int = 3) -> DataFrame
     return out.select("patient_id", (F.col("k") + 1).alias("nth"), "h.category", rnd(p, 6).alias("posterior"), severity.alias("severity"), F.when(p > 0.6, "high").when(p > 0.3, "medium").otherwise("low").alias("confidence"))
 
 
-def ghost_signals(vitals: DataFrame) -> DataFrame:
-    """Hidden-signal scores of each patient's ordered vitals (heart_rate, spo2, hrv, stress by window_start).
+# Signal, confidence where it is constant.
+GHOSTS = {
+    "autonomic_imbalance": None,
+    "hidden_hypoxemia": None,
+    "stress_activity_decoupling": 0.7,
+    "pulse_irregularity": None,
+    "recovery_deficit": 0.65,
+    "circadian_desync": 0.55,
+    "hemodynamic_irregularity_proxy": 0.75,
+    "semantic_cardiovascular_risk": 0.6,
+}
 
-    Tails of the last 5 and 10 points by rank from the end, percentiles and mean steps; a score is
-    kept above 0.05.
+
+def ghost_signals(vitals: DataFrame) -> DataFrame:
+    """Hidden-signal scores (patient_id, signal, value, confidence) of each patient against the own baseline.
+
+    vitals: patient_id, window_start, heart_rate, spo2, hrv, stress and, on every row of a patient, the
+    baseline resting_hr, baseline_spo2, baseline_hrv, activity_level (baselines.with_baseline); where
+    present also hr_noise (at least 1 counts), hr_quality, hrv_quality, spo2_quality, hr_artifacts,
+    hemodynamic and cardiovascular. A vital's points are its values that are not null, in order of time;
+    "last" points are counted from their end by running counts, so one shuffle on patient serves all.
+    Signals above 0.05 stay; a patient without enough points of a vital lacks its signals.
     """
-    end, by = W.partitionBy("patient_id").orderBy(F.desc("window_start")), W.partitionBy("patient_id").orderBy("window_start")
-    r = vitals.withColumn("nth", F.row_number().over(end)).withColumn("step", F.col("heart_rate") - F.lag("heart_rate").over(by))
-    tail = lambda c, n: F.when(F.col("nth") <= n, F.col(c))
+    have = set(vitals.columns)
+    side = lambda c, d: F.coalesce(F.max(c), F.lit(d)) if c in have else F.lit(d)
+    by = W.partitionBy("patient_id").orderBy("window_start")
+    back = W.partitionBy("patient_id").orderBy(F.desc("window_start"))
+    r = vitals.withColumns({f"{c}_back": F.count(c).over(back.rowsBetween(W.unboundedPreceding, 0)) for c in ("heart_rate", "hrv", "stress")})
+    ahead = lambda f, k: F.expr(f"{f}(heart_rate, {k}) ignore nulls over (partition by patient_id order by window_start)")
+    r = r.withColumns({"k": F.count("heart_rate").over(by.rowsBetween(W.unboundedPreceding, 0)) - 1, "step": F.col("heart_rate") - ahead("lag", 1), "tenth": ahead("lead", 9)})
+    hr = F.col("heart_rate")
+    known = hr.isNotNull()
+    tail = lambda c, n: F.when(F.col(f"{c}_back") <= n, F.col(c))
+    in_tail = known & (F.col("heart_rate_back") <= 12)
+    n = F.col("k") + F.col("heart_rate_back")  # of the patient's heart rates, where the row has one
     g = r.groupBy("patient_id").agg(
-        F.count("heart_rate").alias("n"), F.avg(tail("hrv", 5)).alias("hrv5"), F.avg("hrv").alias("hrv_all"), F.percentile("spo2", 0.1).alias("spo2_p10"), F.avg("spo2").alias("spo2_mean"),
-        F.stddev_pop(tail("step", 10)).alias("step_sd"), F.max(tail("heart_rate", 10)).alias("peak"), F.avg(tail("heart_rate", 5)).alias("hr5"), F.avg("heart_rate").alias("hr_all"),
-        F.avg(F.when(F.hour("window_start") < 12, F.col("heart_rate"))).alias("am"), F.avg(F.when(F.hour("window_start") >= 12, F.col("heart_rate"))).alias("pm"), F.avg(tail("stress", 5)).alias("stress5"),
+        *(F.max(c).alias(c) for c in ("resting_hr", "baseline_spo2", "baseline_hrv", "activity_level")),
+        *(F.count(c).alias(f"n_{c}") for c in ("heart_rate", "hrv", "spo2", "stress")),
+        F.avg(tail("heart_rate", 10)).alias("hr10"), F.avg(tail("hrv", 10)).alias("hrv10"), F.avg(tail("hrv", 5)).alias("hrv5"), F.avg(tail("stress", 10)).alias("stress10"),
+        F.avg((F.col("spo2") < F.col("baseline_spo2") - 2).cast("double")).alias("dips"), F.percentile("spo2", 0.1).alias("p10"),
+        F.regr_slope(F.when(in_tail, hr), F.when(in_tail, F.col("k").cast("double"))).alias("slope"),
+        F.stddev_pop(F.when(known, F.col("step"))).alias("step_sd"), F.avg(hr).alias("hr_mean"),
+        F.max(hr).alias("top"), F.max_by(F.struct("k", "tenth"), F.when(known, F.struct(hr, -F.col("k")))).alias("peak"), F.max_by(hr, F.when(known, F.col("window_start"))).alias("hr_last"),
+        F.avg(F.when(known & (F.col("k") < F.floor(n / 2)), hr)).alias("first_half"), F.avg(F.when(known & (F.col("k") >= F.floor(n / 2)), hr)).alias("second_half"),
+        side("hr_noise", 1.0).alias("noise"), side("hr_quality", 1.0).alias("q_hr"), side("hrv_quality", 1.0).alias("q_hrv"), side("spo2_quality", 1.0).alias("q_spo2"),
+        side("hr_artifacts", 0.0).alias("artifacts"), side("hemodynamic", 0.0).alias("flow"), side("cardiovascular", 0.0).alias("domain"),
     )
-    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    signals = {
-        "autonomic_imbalance": F.when(F.col("n") >= 5, unit(F.try_divide(F.col("hrv_all") - F.col("hrv5"), F.col("hrv_all")))),
-        "hidden_hypoxemia": F.when(F.col("n") >= 10, unit((F.col("spo2_mean") - F.col("spo2_p10")) / 10 + F.greatest(F.lit(0.0), 94 - F.col("spo2_p10")) / 20)),
-        "pulse_irregularity": F.when(F.col("n") >= 5, unit(F.col("step_sd") / 20)),
-        "recovery_deficit": F.when(F.col("n") >= 15, unit(F.try_divide(F.col("hr5") - F.col("hr_all"), F.col("peak") - F.col("hr_all")))),
-        "stress_activity_decoupling": F.when(F.col("n") >= 20, unit((F.col("stress5") - 60) / 40)),
-        "circadian_desync": F.when(F.col("n") >= 24, unit(1 - F.abs(F.col("pm") - F.col("am")) / 10)),
+    c = F.col
+    zero, one = F.lit(0.0), F.lit(1.0)
+    up = lambda x: F.greatest(zero, x)
+    suppressed = lambda tail_mean: up((c("baseline_hrv") - tail_mean) / c("baseline_hrv"))
+    both = (c("n_hrv") > 0) & (c("n_heart_rate") > 0)
+    raised = up((c("hr10") - c("resting_hr")) / F.greatest(c("noise"), one)) / 3
+    left = c("n_heart_rate") - c("peak.k")  # points from the peak on
+    rate = (c("top") - F.coalesce("peak.tenth", "hr_last")) / F.least(F.lit(10), left)
+    expected = c("resting_hr") * 0.08
+    rising = (c("stress10") > 60) & (c("slope") > 0.3) & (c("activity_level") == "sedentary")
+    value = {
+        "autonomic_imbalance": F.when(both & (c("n_heart_rate") >= 5), 0.6 * suppressed(c("hrv10")) + 0.4 * raised),
+        "hidden_hypoxemia": F.when(c("n_spo2") >= 10, 0.5 * c("dips") * 5 + 0.5 * up(c("baseline_spo2") - c("p10")) / 5),
+        "stress_activity_decoupling": F.when((c("n_heart_rate") >= 5) & rising, c("stress10") / 100),
+        "pulse_irregularity": F.when(c("n_heart_rate") >= 15, c("step_sd") / F.greatest(one, c("hr_mean")) * 5),
+        "recovery_deficit": F.when(both & (c("n_heart_rate") >= 20) & (left > 5), 0.5 * up(1 - rate / 2) + 0.5 * suppressed(c("hrv5"))),
+        "circadian_desync": F.when(c("n_heart_rate") >= 24, up((expected - (c("first_half") - c("second_half"))) / F.greatest(one, expected))),
+        "hemodynamic_irregularity_proxy": c("flow"),
+        "semantic_cardiovascular_risk": F.when(c("domain") > 0.3, c("domain")),
     }
-    rows = g.select("patient_id", F.explode(F.array(*(F.struct(F.lit(n).alias("signal"), rnd(c, 4).alias("value")) for n, c in signals.items()))).alias("s")).select("patient_id", "s.*")
-    return rows.where("value > 0.05")
+    sure = {
+        "autonomic_imbalance": F.least("q_hr", "q_hrv") * 0.9,
+        "hidden_hypoxemia": c("q_spo2") * 0.85,
+        "pulse_irregularity": c("q_hr") * (1 - c("artifacts")),
+    }
+    items = [F.struct(F.lit(s).alias("signal"), rnd(F.when(v.isNotNull(), F.least(one, v)), 6).alias("value"), rnd(sure.get(s, F.lit(GHOSTS[s])), 6).alias("confidence")) for s, v in value.items()]
+    return g.select("patient_id", F.explode(F.array(*items)).alias("g")).select("patient_id", "g.*").where("value > 0.05")
+
+
+def ghost_domains(ghosts: DataFrame) -> DataFrame:
+    """Domain scores of a patient's hidden signals: capped sums of 0.3 of the values and 0.1 of the confidences."""
+    capped = lambda c, name: rnd(F.least(F.lit(1.0), F.coalesce(F.sum(c), F.lit(0.0))), 6).alias(name)
+    of = lambda part: F.when(F.col("signal").contains(part), F.col("value") * 0.3)
+    return ghosts.groupBy("patient_id").agg(capped(of("autonomic"), "cardiovascular"), capped(of("hypoxemia"), "respiratory"), capped(F.col("confidence") * 0.1, "monitoring"))
+
+
+def flow_domains(irregularities: DataFrame) -> DataFrame:
+    """Domain scores of a field's irregularities: 0.25 each, 0.2 for gradients and divergences, 0.3 for vortices; 1 at most."""
+    capped = lambda c, name: rnd(F.least(F.lit(1.0), F.sum(c)), 6).alias(name)
+    plain = F.col("operator").isin("gradient", "divergence")
+    return irregularities.groupBy("field_id").agg(
+        capped(F.lit(0.25), "cardiovascular"), capped(F.when(plain, 0.2).otherwise(0.0), "monitoring"), capped(F.when(F.col("type") == "vorticity", 0.3).otherwise(0.0), "imaging")
+    )
 
 
 def baseline_risk(patients: DataFrame, conditions: DataFrame, medications: DataFrame, boosts: dict[str, float]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -23,6 +23,7 @@ class StageResult:
     rows: dict[str, int] = field(default_factory=dict)
     gates: dict[str, bool] = field(default_factory=dict)
     dates: list[str] = field(default_factory=list)
+    patients: int = 0
 
 
 class Lake:
@@ -43,17 +44,25 @@ class Lake:
         return fs.exists(at)
 
     def write(self, layer: str, table: str, df: DataFrame, mode: str = "overwrite", partition_by: tuple[str, ...] = ("partition_date",)) -> int:
-        """Writes df and returns its rows; an empty frame writes nothing. overwrite replaces only the partitions it has."""
-        from pyspark.sql import Observation
+        """Writes df in one run over it and returns its rows; an empty frame leaves the table as it is.
 
+        overwrite replaces only the partitions that df has.
+        """
         seen = Observation()
-        watched = df.observe(seen, F.count("*").alias("rows"), F.min("partition_date").cast("string").alias("first"), F.max("partition_date").cast("string").alias("last")) if "partition_date" in df.columns else df.observe(seen, F.count("*").alias("rows"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("last"))
-        if df.limit(1).isEmpty():
-            return 0
+        day = F.col("partition_date").cast("string") if "partition_date" in df.columns else F.lit(None).cast("string")
+        watched = df.observe(seen, F.count("*").alias("rows"), F.min(day).alias("first"), F.max(day).alias("last"))
         keys = [c for c in partition_by if c in df.columns]
+        existed = self.exists(layer, table)
+        if not keys and mode == "overwrite" and existed and df.isEmpty():
+            return 0  # without partitions an empty write would replace the table
         writer = watched.write.mode(mode).option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*keys) if keys else writer).parquet(self.path(layer, table))
         got = seen.get
+        if not got["rows"]:
+            if not existed:
+                fs, at = self._fs(self.path(layer, table))
+                fs.delete(at, True)
+            return 0
         self.record(layer, table, f"{got['first']}..{got['last']}", got["rows"], mode)
         return got["rows"]
 

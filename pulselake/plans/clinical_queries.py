@@ -128,11 +128,46 @@ def fuzzy_membership(spark, sf_dir):
     return snapshots(spark, sf_dir).select("l_orderkey", "l_linenumber", round_(scores.triangle(F.col("hr"), 60, 90, 120), 6).alias("tri"), round_(scores.trapezoid(F.col("spo2"), 88, 92, 96, 100), 6).alias("trap"))
 
 
-@query("fuzzy_assessment")
+def _grade_sql(name: str) -> str:
+    """Membership of a term over columns of the variables' names; variables without a column are 0."""
+    variable, term = name.split(".")
+    points = scores.MEMBERSHIP[variable][term]
+    if variable not in _FUZZY_INPUTS:
+        return "0.0"  # every term starts above 0
+    a, b, *_, d = points
+    c = points[-2] if len(points) == 4 else b
+    up = f"({variable} - {a}) / {float(b - a)}" if b > a else "1"
+    return f"CASE WHEN {variable} <= {a} OR {variable} >= {d} THEN 0 WHEN {variable} < {b} THEN {up} WHEN {variable} <= {c} THEN 1 ELSE ({d} - {variable}) / {float(d - c)} END"
+
+
+_FUZZY_INPUTS = {"hr_deviation": "abs(hr - 70) / 75", "spo2_risk": "(100 - spo2) / 12", "persistence": "steps_drop_pct / 61", "ghost": "sleep_worsen_pct / 47", "artifact": "spo2_drop_points / 10"}
+_STRENGTH = {
+    n: "least(" + ", ".join("greatest(" + ", ".join(_grade_sql(a) for a in part.split("|")) + ")" for part in when.split()) + ")::DOUBLE AS " + n
+    for n, _, _, when in scores.FUZZY_RULES
+}
+
+
+def _crisp_sql(kind: str, default: float) -> str:
+    used = [(n, v) for n, k, v, _ in scores.FUZZY_RULES if k == kind]
+    on = lambda n: f"CASE WHEN {n} > 0.01 THEN {n} ELSE 0 END"
+    return f"coalesce(({' + '.join(f'({on(n)}) * {v}::DOUBLE' for n, v in used)}) / nullif({' + '.join(on(n) for n, _ in used)}, 0), {default}::DOUBLE)"
+
+
+_FUZZY_SQL = f"""WITH {SNAP_SQL}, i AS (SELECT l_orderkey, l_linenumber, {', '.join(f'({e})::DOUBLE AS {c}' for c, e in _FUZZY_INPUTS.items())} FROM snap),
+ r AS (SELECT *, {', '.join(_STRENGTH.values())} FROM i),
+ c AS (SELECT *, {_crisp_sql('event', 0.1)} AS p, {_crisp_sql('false_positive', 0.0)} AS f, {_crisp_sql('noise_gate', 0.0)} AS g FROM r),
+ o AS (SELECT *, greatest(0, p * (1 - least(0.85::DOUBLE, g * 0.5 + artifact * 0.3::DOUBLE))) AS gated FROM c)
+ SELECT l_orderkey, l_linenumber, {', '.join(_FUZZY_INPUTS)}, {rnd('gated', 4)} AS event_probability, {rnd('f', 4)} AS false_positive_risk, {rnd('g', 4)} AS noise_gate,
+  'risk ' || CASE WHEN gated > 0.75 THEN 'high' WHEN gated > 0.5 THEN 'moderate' WHEN gated > 0.25 THEN 'low to moderate' ELSE 'low' END
+   || ', false positive ' || CASE WHEN f > 0.6 THEN 'high' WHEN f > 0.3 THEN 'moderate' ELSE 'low' END AS summary,
+  array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN {n} > 0 THEN '{n}' END" for n, k, *_ in scores.FUZZY_RULES if k != 'noise_gate')}], lambda x: x IS NOT NULL)), ',') AS rules FROM o"""
+
+
+@query("fuzzy_assessment", _FUZZY_SQL)
 def fuzzy_assessment(spark, sf_dir):
     s = snapshots(spark, sf_dir)
     given = s.select("l_orderkey", "l_linenumber", (F.abs(F.col("hr") - 70) / 75).alias("hr_deviation"), ((100 - F.col("spo2")) / 12).alias("spo2_risk"), (F.col("steps_drop_pct") / 61).alias("persistence"), (F.col("sleep_worsen_pct") / 47).alias("ghost"), (F.col("spo2_drop_points") / 10).alias("artifact"))
-    return scores.fuzzy(given)
+    return scores.fuzzy(given).withColumn("rules", F.array_join(F.array_sort(F.map_keys("activations")), ",")).drop("activations")
 
 
 @query("evidence_top_two", f"WITH {SNAP_SQL}, v AS (SELECT l_orderkey, l_linenumber, list_reverse_sort([hr / 145 * 0.9::DOUBLE, (100 - spo2) / 12 * 0.8::DOUBLE, steps_drop_pct / 61 * 0.7::DOUBLE]) AS a FROM snap) SELECT l_orderkey, l_linenumber, {rnd('0.6::DOUBLE * a[1] + 0.4::DOUBLE * a[2]', 6)} AS score FROM v")
@@ -143,9 +178,25 @@ def evidence_top_two(spark, sf_dir):
     return snapshots(spark, sf_dir).select("l_orderkey", "l_linenumber", round_(scores.top_two(values), 6).alias("score"))
 
 
-@query("event_predictions")
+def _share_sql(metric: str, low: float, high: float) -> str:
+    return f"least(1, greatest(0, (avg(metric_value) FILTER (metric_type = '{metric}') - {low}) / ({high - low})))::DOUBLE"
+
+
+EVENTS_SQL = f"""{SILVER_SQL}, e AS (SELECT patient_id, {_share_sql('heart_rate', 60, 140)} AS wearable, 1 - {_share_sql('spo2', 88, 99)} AS prognostic, {_share_sql('stress_index', 0, 90)} AS fuzzy,
+   {_share_sql('hrv', 150, 0)} AS ghost, avg(anomaly_score) AS fp, max(anomaly_score) > 0.5 AS heart FROM silver GROUP BY 1),
+ t AS (SELECT *, 0.3::DOUBLE * wearable + 0.25::DOUBLE * ghost + 0.25::DOUBLE * prognostic + 0.2::DOUBLE * fuzzy AS total,
+   (wearable > 0.35)::INTEGER + (prognostic > 0.35)::INTEGER + (fuzzy > 0.35)::INTEGER + (ghost > 0.35)::INTEGER AS agreeing FROM e),
+ f AS (SELECT *, least(1, CASE WHEN agreeing < 2 THEN total * 0.6::DOUBLE ELSE total END * (1 - 0.7::DOUBLE * fp)) AS fusion FROM t),
+ p AS (SELECT *, least(1, fusion * 0.5 * 1.15::DOUBLE) AS p FROM f),
+ d AS (SELECT *, CASE WHEN p >= 0.2 THEN CASE WHEN heart THEN 'cardiovascular_event' ELSE 'respiratory_decompensation' END WHEN fusion > 0.3 THEN 'unspecified_clinical_deterioration' END AS event_type,
+   (CASE WHEN heart THEN 48 ELSE 24 END) * (1 - 0.6::DOUBLE * p * 0.5) * CASE WHEN ghost > 0.5 THEN 1.8::DOUBLE ELSE 1 END AS lead FROM p),
+ events AS (SELECT patient_id, {rnd('fusion', 4)} AS fusion_score, 1 AS nth, event_type, {rnd('CASE WHEN p >= 0.2 THEN p ELSE fusion END', 4)} AS probability,
+   CASE WHEN p >= 0.2 THEN {rnd('greatest(2, least(168, lead))', 1)} ELSE 36.0 END AS lead_time_hours FROM d WHERE event_type IS NOT NULL)"""
+
+
+@query("event_predictions", f"WITH {EVENTS_SQL} SELECT *, CASE WHEN lead_time_hours < 48 THEN 'hours' ELSE 'days' END AS horizon FROM events")
 def event_predictions(spark, sf_dir):
-    return scores.fuse(patient_evidence(spark, sf_dir))
+    return scores.fuse(patient_evidence(spark, sf_dir)).drop("recommendation")
 
 
 def patient_evidence(spark, sf_dir):
@@ -155,7 +206,35 @@ def patient_evidence(spark, sf_dir):
     return s.groupBy("patient_id").agg(risk("heart_rate", 60.0, 140.0).alias("wearable"), (1 - risk("spo2", 88.0, 99.0)).alias("prognostic"), risk("stress_index", 0.0, 90.0).alias("fuzzy"), risk("hrv", 150.0, 0.0).alias("ghost"), F.avg("anomaly_score").alias("fp_probability"), F.array(F.when(F.max("anomaly_score") > 0.5, F.lit("heart failure")).otherwise(F.lit("asthma"))).alias("conditions"))
 
 
-@query("bayes_hypotheses")
+def _cdf_sql(z: str) -> str:
+    x = f"(abs({z}) / 1.4142135623730951::DOUBLE)"
+    t = f"(1 / (1 + 0.3275911::DOUBLE * {x}))"
+    poly = f"{t} * (0.254829592::DOUBLE + {t} * (-0.284496736::DOUBLE + {t} * (1.421413741::DOUBLE + {t} * (-1.453152027::DOUBLE + {t} * 1.061405429::DOUBLE))))"
+    return f"(CASE WHEN {z} >= 0 THEN 1 - {poly} * exp(-{x} * {x}) / 2 ELSE {poly} * exp(-{x} * {x}) / 2 END)"
+
+
+_BAYES_COLUMNS = {"systolic_bp": "pas", "diastolic_bp": "pad", "spo2": "spo2", "glucose": "glucose_mgdl", "vagal_tone": "sleep_worsen_pct"}
+_BAYES_FACTORS = {"cardiovascular": "CASE WHEN steps_drop_pct < 20 THEN 1.3::DOUBLE ELSE 1 END", "neurological_autonomic": "CASE WHEN steps_drop_pct < 15 THEN 1.4::DOUBLE ELSE 1 END"}
+
+
+def _joint_sql(name: str, prior: float, ranges: dict) -> str:
+    parts = [f"{prior}::DOUBLE", _BAYES_FACTORS.get(name, "1"), "greatest(0.5, 1 + spo2_drop_points / 6 * 0.25)"]
+    for signal, (low, high) in ranges.items():
+        v, sigma = _BAYES_COLUMNS[signal], f"{(high - low) * scores.SIGMA}::DOUBLE"
+        inside = f"greatest(0.05::DOUBLE, 1 - {_cdf_sql(f'(least({v} - {low}, {high} - {v}) / {sigma})')})"
+        outside = f"greatest(0.1::DOUBLE, {_cdf_sql(f'(greatest({low} - {v}, {v} - {high}) / {sigma})')})"
+        parts.append(f"(CASE WHEN {v} BETWEEN {low} AND {high} THEN {inside} ELSE {outside} END)")
+    return f"{{'j': {' * '.join(parts)}, 'category': '{name}'}}"
+
+
+_BAYES_SQL = f"""WITH {SNAP_SQL}, j AS (SELECT l_orderkey || '-' || l_linenumber AS patient_id, [{', '.join(_joint_sql(*c) for c in scores.CATEGORIES)}] AS joint FROM snap),
+ b AS (SELECT patient_id, list_reverse_sort(joint) AS best, list_sum(list_transform(joint, lambda x: x.j)) AS total FROM j),
+ h AS (SELECT patient_id, nth, best[nth].category AS category, best[nth].j / total AS p FROM b, (SELECT unnest([1, 2, 3]) AS nth))
+ SELECT patient_id, nth, category, {rnd('p', 6)} AS posterior, CASE WHEN p > 0.7 THEN 'critical' WHEN p > 0.4 THEN 'elevated' WHEN p > 0.2 THEN 'moderate' ELSE 'low' END AS severity,
+  CASE WHEN p > 0.6 THEN 'high' WHEN p > 0.3 THEN 'medium' ELSE 'low' END AS confidence FROM h"""
+
+
+@query("bayes_hypotheses", _BAYES_SQL)
 def bayes_hypotheses(spark, sf_dir):
     s = snapshots(spark, sf_dir).select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("patient_id"), F.col("pas").alias("systolic_bp"), F.col("pad").alias("diastolic_bp"), F.col("glucose_mgdl").alias("glucose"), "spo2", F.col("sleep_worsen_pct").alias("vagal_tone"), F.col("steps_drop_pct").alias("rmssd"), (F.col("spo2_drop_points") / 6).alias("anomaly"))
     return scores.posterior(s)

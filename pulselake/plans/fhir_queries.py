@@ -8,6 +8,7 @@ from pulselake.clinical import scores
 from pulselake.fhir import resources
 from pulselake.plans import views
 from pulselake.plans.base import Registry
+from pulselake.plans.clinical_queries import EVENTS_SQL, patient_evidence
 from pulselake.plans.views import DAILY_SQL, SILVER_SQL, rnd
 from pulselake.session import read_table
 
@@ -62,13 +63,6 @@ def baseline_risk(spark, sf_dir):
     return scores.baseline_risk(c, cond, meds, BOOSTS).select("patient_id", "risk_factor")
 
 
-@query("ghost_signals")
-def ghost_signals(spark, sf_dir):
-    from pulselake.plans.series_queries import wide_vitals
-
-    return scores.ghost_signals(wide_vitals(spark, sf_dir))
-
-
 @query("horizon_labels", f"""WITH {DAILY_SQL}, w AS (SELECT DISTINCT patient_id, window_start AS ts FROM silver) SELECT w.patient_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, max(CASE WHEN a.window_start <= ts + INTERVAL 6 DAY THEN 1 ELSE 0 END) AS y6, max(CASE WHEN a.window_start <= ts + INTERVAL 24 DAY THEN 1 ELSE 0 END) AS y24
  FROM w LEFT JOIN alerts a ON a.patient_id = w.patient_id AND a.window_start > ts GROUP BY 1, 2""")
 def horizon_labels(spark, sf_dir):
@@ -77,23 +71,22 @@ def horizon_labels(spark, sf_dir):
     t = views.gold_tables(spark, sf_dir)
     points = t["silver"].select("patient_id", F.col("window_start").alias("ts")).distinct().withColumn("alert", F.lit(False))
     both = points.unionByName(t["alerts"].select("patient_id", F.col("window_start").alias("ts"), F.lit(True).alias("alert")))
-    after = W.partitionBy("patient_id").orderBy(F.unix_seconds("ts")).rangeBetween(1, W.unboundedFollowing)
+    after = W.partitionBy("patient_id").orderBy(F.desc(F.unix_seconds("ts"))).rangeBetween(W.unboundedPreceding, -1)
     following = F.min(F.when(F.col("alert"), F.unix_seconds("ts"))).over(after)
     n = both.withColumn("next", following).where("not alert")
     within = lambda days: F.coalesce((F.col("next") <= F.unix_seconds("ts") + days * 86400).cast("int"), F.lit(0))
     return n.select("patient_id", "ts", within(6).alias("y6"), within(24).alias("y24"))
 
 
-@query("patient_fusion", f"WITH {SILVER_SQL} SELECT patient_id, count(*) AS windows FROM silver GROUP BY 1")
+@query("patient_fusion", f"WITH {EVENTS_SQL} SELECT patient_id, {rnd('fusion', 4)} AS fusion_score, agreeing AS agreeing_sources, (SELECT count(*) FROM silver WHERE silver.patient_id = f.patient_id) AS windows FROM f")
 def patient_fusion(spark, sf_dir):
-    from pulselake.plans.clinical_queries import patient_evidence
+    """Fused evidence of every patient, with the sources that agree and the windows behind it."""
+    evidence = patient_evidence(spark, sf_dir)
+    windows = views.silver(spark, sf_dir).groupBy("patient_id").agg(F.count("*").alias("windows"))
+    fused = scores.fusion_score(evidence)
+    return fused.join(windows, "patient_id").select("patient_id", "fusion_score", "agreeing_sources", "windows")
 
-    e = patient_evidence(spark, sf_dir).select("patient_id")
-    return e.join(views.silver(spark, sf_dir).groupBy("patient_id").agg(F.count("*").alias("windows")), "patient_id")
 
-
-@query("prediction_summary")
+@query("prediction_summary", f"WITH {EVENTS_SQL} SELECT patient_id, event_type, probability, 1 AS n_predictions FROM events")
 def prediction_summary(spark, sf_dir):
-    from pulselake.plans.clinical_queries import patient_evidence
-
     return scores.prediction_summary(scores.fuse(patient_evidence(spark, sf_dir)))
