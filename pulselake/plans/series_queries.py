@@ -8,7 +8,7 @@ from pulselake.functions.scalar import rnd as round_
 from pulselake.plans import views
 from pulselake.plans.base import Registry
 from pulselake.plans.views import rnd
-from pulselake.series import grid, recursive, windows
+from pulselake.series import grid, hrv, recursive, windows
 from pulselake.session import read_table
 
 query = Registry()
@@ -54,14 +54,24 @@ def mean_oscillation(spark, sf_dir):
     return rounded(windows.mean_oscillation(series(spark, sf_dir), 8), "mo").drop("x", "ts")
 
 
-@query("oscillation_profile")
+def _profile_sql(scales) -> str:
+    one = lambda w: f"""SELECT series, {w} AS scale, avg(mo) AS mean_mo, max(mo) AS max_mo FROM (SELECT series, list_avg(list_transform(l, lambda v: abs(v - list_avg(l)))) AS mo
+  FROM (SELECT series, list(x) OVER {_NEAR(w)} AS l, count(*) OVER (PARTITION BY series) AS n FROM s) WHERE n > {w}) GROUP BY 1"""
+    return "prof AS (" + " UNION ALL ".join(map(one, scales)) + ")"
+
+
+@query("oscillation_profile", f"WITH {S_SQL}, {_profile_sql((4, 8, 16, 32, 64))} SELECT series, scale, {rnd('mean_mo', 6)} AS mean_mo, {rnd('max_mo', 6)} AS max_mo FROM prof")
 def oscillation_profile(spark, sf_dir):
-    return windows.oscillation_profile(series(spark, sf_dir))
+    return rounded(windows.oscillation_profile(series(spark, sf_dir)), "mean_mo", "max_mo")
 
 
-@query("oscillation_index")
+@query(
+    "oscillation_index",
+    f"""WITH {S_SQL}, {_profile_sql((4, 8, 16, 32))} SELECT series, {rnd('max(max_mo)', 6)} AS norm,
+  {rnd('max(mean_mo) FILTER (scale = 4) / (arg_max(mean_mo, scale) + 1e-8)', 6)} AS vmo FROM prof GROUP BY 1""",
+)
 def oscillation_index(spark, sf_dir):
-    return windows.oscillation_index(series(spark, sf_dir))
+    return rounded(windows.oscillation_index(series(spark, sf_dir)), "norm", "vmo")
 
 
 @query("bmo_anomalies", f"WITH {S_SQL}, {_MO(8)} SELECT series, idx, {rnd('mo', 6)} AS mo, mo > avg(mo) OVER w + 3 * (stddev_pop(mo) OVER w + 1e-8) AS is_anomaly FROM mo WINDOW w AS (PARTITION BY series)")
@@ -117,6 +127,9 @@ def horizon_steps(spark, sf_dir):
 _WIDE = f"""{views.SILVER_SQL}, v AS (SELECT patient_id, window_start, avg(metric_value) FILTER (metric_type = 'heart_rate') AS heart_rate, avg(metric_value) FILTER (metric_type = 'spo2') AS spo2, avg(metric_value) FILTER (metric_type = 'hrv') AS hrv, avg(metric_value) FILTER (metric_type = 'stress_index') AS stress, bool_or(is_anomaly) AS is_anomaly FROM silver GROUP BY 1, 2)"""
 
 
+WIDE_VITALS_SQL = _WIDE
+
+
 def wide_vitals(spark, sf_dir):
     """Silver with a column per vital."""
     s = views.silver(spark, sf_dir)
@@ -161,16 +174,67 @@ def katz_dimension(spark, sf_dir):
     return rounded(windows.katz_dimension(series(spark, sf_dir)), "katz")
 
 
-@query("higuchi_dimension")
+@query(
+    "higuchi_dimension",
+    f"""WITH {S_SQL}, b AS (SELECT series, x, row_number() OVER (PARTITION BY series ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM s),
+ d AS (SELECT b.series, b.n, k, b.i % k AS m, sum(abs(b.x - e.x)) AS d, count(*) AS c FROM b, (SELECT unnest(range(1, 11)) AS k), b e WHERE e.series = b.series AND e.i = b.i - k GROUP BY 1, 2, 3, 4),
+ p AS (SELECT series, n, k, avg(d * (n - 1) / (c * k * k)) AS l FROM d GROUP BY 1, 2, 3 HAVING avg(d * (n - 1) / (c * k * k)) > 0),
+ g AS (SELECT series, n, regr_slope(ln(l), ln(1.0::DOUBLE / k)) AS s FROM p GROUP BY 1, 2)
+ SELECT series, {rnd('CASE WHEN n < 20 THEN 1 ELSE least(2, greatest(1, coalesce(s, 1))) END', 6)} AS higuchi FROM g""",
+)
 def higuchi_dimension(spark, sf_dir):
-    return windows.higuchi_dimension(series(spark, sf_dir))
+    return rounded(windows.higuchi_dimension(series(spark, sf_dir)), "higuchi")
+
 
+def timed(spark, sf_dir):
+    """Events with their time in days."""
+    return series(spark, sf_dir).select("series", "idx", "x", (F.unix_seconds("ts") / 86400.0).alias("t"))
 
-@query("lomb_scargle")
+
+@query(
+    "lomb_scargle",
+    f"""WITH {S_SQL}, c AS (SELECT series, f, 2 * 3.141592653589793::DOUBLE * f * (epoch(date_trunc('second', ts)) / 86400.0::DOUBLE) AS w, x - avg(x) OVER (PARTITION BY series, f) AS x
+  FROM s, (SELECT unnest(range(1, 17)) / 16.0::DOUBLE AS f)),
+ p AS (SELECT series, f, atan2(sum(sin(2 * w)), sum(cos(2 * w))) / 2 AS phase FROM c GROUP BY 1, 2),
+ q AS (SELECT c.series, c.f, x, cos(w - phase) AS c, sin(w - phase) AS s FROM c JOIN p ON p.series = c.series AND p.f = c.f)
+ SELECT series, f, {rnd('0.5 * (sum(x * c) ** 2 / sum(c * c) + sum(x * s) ** 2 / sum(s * s))', 3)} AS power FROM q GROUP BY 1, 2""",
+)
 def lomb_scargle(spark, sf_dir):
-    s = series(spark, sf_dir).select("series", "idx", "x", (F.unix_seconds("ts") / 86400.0).alias("t"))
     freq = spark.range(1, 17).select((F.col("id") / 16.0).alias("f"))
-    return windows.lomb_scargle(s, freq)
+    return rounded(windows.lomb_scargle(timed(spark, sf_dir), freq), "power", digits=3)
+
+
+def beats(spark, sf_dir):
+    """Events as R-R intervals."""
+    return series(spark, sf_dir).select("series", "idx", windows.rr_from_rate(F.col("x")).alias("x"))
+
+
+@query(
+    "hrv_entropies",
+    f"""WITH {S_SQL}, r AS (SELECT series, idx, least(2500, greatest(200, 60000 / nullif(x, 0))) AS x FROM s), k AS (SELECT * FROM r WHERE x > 0),
+ t AS (SELECT series, idx, x AS x0, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, 0.2::DOUBLE * stddev_samp(x) OVER w AS tol, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY series), o AS (PARTITION BY series ORDER BY idx)),
+ u AS (SELECT * FROM t WHERE n >= 4 AND tol > 2e-11 AND x1 IS NOT NULL),
+ p AS (SELECT a.series, a.idx, any_value(a.n) AS n, count(*) AS c, count(*) FILTER (abs(a.x2 - b.x2) <= a.tol) AS d, count(*) FILTER (a.idx <> b.idx AND a.x2 IS NOT NULL AND b.x2 IS NOT NULL) AS q,
+   count(*) FILTER (a.idx <> b.idx AND abs(a.x2 - b.x2) <= a.tol) AS r FROM u a JOIN u b ON a.series = b.series AND abs(a.x0 - b.x0) <= a.tol AND abs(a.x1 - b.x1) <= a.tol GROUP BY 1, 2),
+ g AS (SELECT series, sum(ln(c / (n - 1))) / any_value(n - 1) - coalesce(sum(ln(d / (n - 2))) FILTER (d > 0), 0) / any_value(n - 2) AS apen, sum(q) AS b, sum(r) AS a FROM p GROUP BY 1)
+ SELECT series, {rnd('apen', 6)} AS approximate_entropy, CASE WHEN a > 0 THEN {rnd('-ln(a / b)', 6)} END AS sample_entropy FROM g""",
+)
+def hrv_entropies(spark, sf_dir):
+    """Entropies of every series; an infinite sample entropy is null here."""
+    e = hrv.entropies(beats(spark, sf_dir)).withColumn("sample_entropy", F.when(F.col("sample_entropy") < float("inf"), F.col("sample_entropy")))
+    return rounded(e, "approximate_entropy", "sample_entropy")
+
+
+@query("hrv_report")
+def hrv_report(spark, sf_dir):
+    """Time domain, bands, entropies and oscillation of every series."""
+    return hrv.report(beats(spark, sf_dir))
+
+
+@query("hrv_bands_even")
+def hrv_bands_even(spark, sf_dir):
+    """Bands of the evenly resampled series."""
+    return hrv.band_powers(hrv.even_spectrum(beats(spark, sf_dir)))
 
 
 @query("sample_entropy", f"""WITH {S_SQL}, t AS (SELECT series, idx, x AS x0, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, 0.2 * stddev_pop(x) OVER (PARTITION BY series) AS r FROM s WINDOW o AS (PARTITION BY series ORDER BY idx)), k AS (SELECT * FROM t WHERE x2 IS NOT NULL AND r > 0),
@@ -184,22 +248,22 @@ def sample_entropy(spark, sf_dir):
  UNION ALL SELECT o.series, o.idx, o.k, a * o.x + (1 - a) * r.mean, a * (o.x - (a * o.x + (1 - a) * r.mean)) ** 2 + (1 - a) * r.var, coalesce((o.x - (a * o.x + (1 - a) * r.mean)) / nullif(sqrt(a * (o.x - (a * o.x + (1 - a) * r.mean)) ** 2 + (1 - a) * r.var), 0), 0) FROM r JOIN o ON o.series = r.series AND o.k = r.k + 1, (SELECT 2.0::DOUBLE / 21 AS a))
  SELECT series, idx, {rnd('z', 5)} AS z, abs(z) > 3 AS alarm FROM r""")
 def ewma_zscore(spark, sf_dir):
-    return rounded(recursive.ewma_zscore(series(spark, sf_dir)), "z", digits=5).drop("x", "ts")
+    return rounded(recursive.ewma_zscore(series(spark, sf_dir).drop("ts")), "z", digits=5).drop("x")
 
 
 @query("ewma_baseline", f"""WITH RECURSIVE {S_SQL}, o AS (SELECT series, idx, x, row_number() OVER (PARTITION BY series ORDER BY idx) AS k FROM s), r AS (SELECT series, idx, k, x AS b FROM o WHERE k = 1 UNION ALL SELECT o.series, o.idx, o.k, 0.05::DOUBLE * o.x + 0.95::DOUBLE * r.b FROM r JOIN o ON o.series = r.series AND o.k = r.k + 1) SELECT series, idx, {rnd('b', 5)} AS baseline FROM r""")
 def ewma_baseline(spark, sf_dir):
-    return rounded(recursive.ewma_baseline(series(spark, sf_dir)), "baseline", digits=5).drop("x", "ts")
+    return rounded(recursive.ewma_baseline(series(spark, sf_dir).drop("ts")), "baseline", digits=5).drop("x")
 
 
 @query("hampel_filter")
 def hampel_filter(spark, sf_dir):
-    return recursive.hampel(series(spark, sf_dir)).drop("ts")
+    return recursive.hampel(series(spark, sf_dir).drop("ts"))
 
 
 @query("denoise_signal")
 def denoise_signal(spark, sf_dir):
-    d = recursive.denoise(series(spark, sf_dir))
+    d = recursive.denoise(series(spark, sf_dir).drop("ts"))
     return d.groupBy("series").agg(F.count("*").alias("n"), F.stddev_pop("residual").alias("noise"), F.avg(F.col("is_artifact").cast("double")).alias("artifact_ratio"), F.max_by("filtered", "idx").alias("last_filtered")).withColumn("quality", F.greatest(F.lit(0.0), 1 - 2 * F.col("artifact_ratio")))
 
 
@@ -219,8 +283,20 @@ def blue_fusion(spark, sf_dir):
 
 @query("latent_states")
 def latent_states(spark, sf_dir):
-    v = wide_vitals(spark, sf_dir).select(F.col("patient_id").alias("series"), F.unix_seconds("window_start").alias("idx"), (F.unix_seconds("window_start") / float(views.WINDOW)).alias("t"), "heart_rate", "hrv", F.lit(None).cast("double").alias("skin_temp"), "spo2")
-    return recursive.latent_states(v)
+    return recursive.latent_states(latent_input(spark, sf_dir))
+
+
+def latent_input(spark, sf_dir):
+    """Windows of each patient with the observations of the latent model; a step of t is one window."""
+    at = F.unix_seconds("window_start")
+    v = wide_vitals(spark, sf_dir)
+    return v.select(F.col("patient_id").alias("series"), at.alias("idx"), (at / float(views.WINDOW)).alias("t"), "heart_rate", F.col("hrv").alias("hrv_rmssd"))
+
+
+@query("latent_report")
+def latent_report(spark, sf_dir):
+    """State report of the newest window of each patient, with 90 % bounds."""
+    return recursive.state_report(recursive.latent_states(latent_input(spark, sf_dir), level=0.9))
 
 
 @query("chaos_metrics")
@@ -230,7 +306,7 @@ def chaos_metrics(spark, sf_dir):
 
 @query("signal_decomposition")
 def signal_decomposition(spark, sf_dir):
-    return recursive.split_trend(series(spark, sf_dir)).drop("ts")
+    return recursive.split_trend(series(spark, sf_dir).drop("ts"))
 
 
 def lattice(spark, sf_dir):
@@ -274,6 +350,13 @@ def flow_summary(spark, sf_dir):
     return rounded(grid.flow_summary(nodes, grid.irregularities(nodes)), "gradient_max", "divergence_min", "divergence_max", "curl_max", digits=5).withColumn("flow_score", round_("flow_score", 6))
 
 
+_FOUND_SQL = f"""{GRID_SQL}, l AS (SELECT field_id, i, j, k, 'gradient' AS operator, gradient AS value FROM g UNION ALL SELECT field_id, i, j, k, 'divergence', divergence FROM g UNION ALL SELECT field_id, i, j, k, 'curl', curl FROM g),
+ h AS (SELECT *, row_number() OVER (PARTITION BY field_id, operator ORDER BY {rnd('abs(value)', 6)} DESC, i, j, k) AS nth FROM l),
+ found AS (SELECT * FROM h WHERE nth <= 2 AND ((operator = 'gradient' AND value >= 8) OR (operator = 'divergence' AND (value >= 15 OR value <= -12)) OR (operator = 'curl' AND value >= 20)))"""
+FLOW_DOMAINS_SQL = f"""WITH {_FOUND_SQL} SELECT field_id, {rnd('least(1, count(*) * 0.25::DOUBLE)', 6)} AS cardiovascular, {rnd("least(1, 0.2::DOUBLE * count(*) FILTER (operator <> 'curl'))", 6)} AS monitoring,
+  {rnd("least(1, 0.3::DOUBLE * count(*) FILTER (operator = 'curl'))", 6)} AS imaging FROM found GROUP BY 1"""
+
+
 @query("flow_alerts")
 def flow_alerts(spark, sf_dir):
     text = spark.createDataFrame([(t, f"{o} beyond {v}") for t, o, _, v in grid.IRREGULAR], "type string, description string")

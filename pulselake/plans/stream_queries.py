@@ -69,10 +69,11 @@ def stream_cusum(spark, sf_dir):
     return out.groupBy("series").agg(F.count("*").alias("n"), F.count_if("alarm").alias("alarms"))
 
 
-@query("stream_latent_states", f"WITH {views.BRONZE_SQL} SELECT patient_id, count(*) AS n, least(100, count(*)) AS history FROM bronze WHERE metric_type = 'heart_rate' GROUP BY 1")
+@query("stream_latent_states", f"WITH {views.BRONZE_SQL} SELECT patient_id, count(*) AS n, least(100, count(*)) AS history FROM bronze WHERE metric_type IN ('heart_rate', 'hrv', 'steps') GROUP BY 1")
 def stream_latent_states(spark, sf_dir):
-    none = F.lit(None).cast("double")
-    r = reading_stream(spark, sf_dir).where("metric_type = 'heart_rate'").select("patient_id", F.col("timestamp_utc").alias("ts"), F.col("metric_value").alias("heart_rate"), none.alias("hrv"), none.alias("skin_temp"), none.alias("spo2"))
+    of = lambda m: F.when(F.col("metric_type") == m, F.col("metric_value"))
+    r = reading_stream(spark, sf_dir).where("metric_type in ('heart_rate', 'hrv', 'steps')")
+    r = r.select("patient_id", F.col("timestamp_utc").alias("ts"), of("heart_rate").alias("heart_rate"), of("hrv").alias("hrv_rmssd"), F.lit(None).cast("double").alias("skin_temp"), of("steps").alias("activity_level"))
     out = drained(spark, "stream_latent", jobs.latent_stream(r, hours=None))
     return out.groupBy("patient_id").agg(F.count("*").alias("n"), F.max("history_size").cast("long").alias("history"))
 

@@ -63,15 +63,20 @@ _PAIRS = f"{_WORDS}, v AS (SELECT token FROM words GROUP BY 1 ORDER BY count(*)
 
 @query("keyword_cooccurrence", f"WITH {_PAIRS} SELECT a, b, n FROM co")
 def keyword_cooccurrence(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return corpus.cooccurrence(d, corpus.token_counts(d, 40))
+    return frequent_pairs(spark, sf_dir)
+
+
+def frequent_pairs(spark, sf_dir):
+    """Pairs among the 40 most frequent tokens; the tokens are written once and read twice."""
+    held = docs(spark, sf_dir).select("doc_id", corpus.tokens(F.col("text")).alias("tokens"))
+    held = Scratch(spark, "tokens").write(held, "tokens")
+    return corpus.cooccurrence(held, corpus.token_counts(held, 40))
 
 
 @query("related_terms", f"""WITH RECURSIVE {_PAIRS}, top AS (SELECT * FROM co ORDER BY n DESC, a, b LIMIT 60), e AS (SELECT a, b FROM top UNION SELECT b, a FROM top), s AS (SELECT min(a) AS t FROM top), w AS (SELECT t, 0 AS k FROM s UNION SELECT e.b, w.k + 1 FROM w JOIN e ON e.a = w.t WHERE w.k < 2)
  SELECT DISTINCT t AS term FROM w WHERE t NOT IN (SELECT t FROM s) ORDER BY 1 LIMIT 20""")
 def related_terms(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    top = corpus.cooccurrence(d, corpus.token_counts(d, 40)).orderBy(F.desc("n"), "a", "b").limit(60)
+    top = frequent_pairs(spark, sf_dir).orderBy(F.desc("n"), "a", "b").limit(60)
     start = top.agg(F.min("a")).first()[0]
     return corpus.related_terms(top, start, 2)
 

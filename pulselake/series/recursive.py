@@ -1,4 +1,4 @@
-"""Recursive filters by grouped maps over ordered series.
+"""Recursive filters by grouped maps over ordered series.
 
 Each function gets one series at a time (series length bounds a task's memory), sorts it itself and
 runs plain NumPy recursions. Rows go in by one shuffle on series.
@@ -6,9 +6,13 @@ runs plain NumPy recursions. Rows go in by one shuffle on series.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def _mapped(rows: DataFrame, fn, extra: str) -> DataFrame:
@@ -22,17 +26,32 @@ def _mapped(rows: DataFrame, fn, extra: str) -> DataFrame:
     return rows.groupBy("series").applyInPandas(run, schema)
 
 
+_BLOCK = 64
+
+
+def decayed(x: np.ndarray, a: float, start: float) -> np.ndarray:
+    """y[k] = a x[k] + (1 - a) y[k - 1] from y[-1] = start: a matrix product per block, one carried value between blocks."""
+    n = len(x)
+    k = np.arange(_BLOCK)
+    inner = np.where(k[:, None] >= k[None, :], a * (1 - a) ** np.maximum(0, k[:, None] - k[None, :]), 0.0)
+    fade = (1 - a) ** (k + 1)
+    out = np.pad(x, (0, -n % _BLOCK)).reshape(-1, _BLOCK) @ inner.T
+    for row in out:
+        row += fade * start
+        start = row[-1]
+    return out.ravel()[:n]
+
+
 def ewma_zscore(rows: DataFrame, span: int = 20, limit: float = 3.0) -> DataFrame:
     """Adaptive z-score: mean updated before variance and score; the first point scores 0."""
     a = 2.0 / (span + 1)
 
     def fn(x):
-        z, mean, var = np.zeros(len(x)), x[0] if len(x) else 0.0, 0.0
-        for k in range(1, len(x)):
-            mean = a * x[k] + (1 - a) * mean
-            var = a * (x[k] - mean) ** 2 + (1 - a) * var
-            sd = var**0.5
-            z[k] = (x[k] - mean) / sd if sd >= 1e-12 else 0.0
+        mean = np.concatenate([x[:1], decayed(x[1:], a, x[0])]) if len(x) else x
+        off = x - mean
+        var = np.concatenate([np.zeros(min(1, len(x))), decayed(off[1:] ** 2, a, 0.0)])
+        sd = np.sqrt(var)
+        z = np.divide(off, sd, out=np.zeros(len(x)), where=sd >= 1e-12)
         return {"z": z, "alarm": np.abs(z) > limit}
 
     return _mapped(rows, fn, "z double, alarm boolean")
@@ -42,10 +61,7 @@ def ewma_baseline(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Exponential baseline from the first value on."""
 
     def fn(x):
-        b = x.copy()
-        for k in range(1, len(x)):
-            b[k] = alpha * x[k] + (1 - alpha) * b[k - 1]
-        return {"baseline": b}
+        return {"baseline": np.concatenate([x[:1], decayed(x[1:], alpha, x[0])]) if len(x) else x}
 
     return _mapped(rows, fn, "baseline double")
 
@@ -143,50 +159,88 @@ def blue_fusion(rows: DataFrame, sensors: list[str], lam: float = 0.95) -> DataF
     return rows.groupBy("series").applyInPandas(run, "series string, idx long, fused double, variance double, n_active int, has_outlier boolean")
 
 
-STATES = ("map_mmhg", "glucose_mgdl", "spo2_deep", "stroke_volume", "vagal_tone")
-# Fixed values of the latent model: means, return rates, noise, observation rows (intercept, weights), variances.
-_MEAN = np.array([93.0, 100.0, 97.0, 70.0, 50.0])
-_RATE = np.array([0.05, 0.02, 0.08, 0.05, 0.04])
-_Q = np.array([1.0, 1.0, 0.1, 1.5, 2.0])
-_H = np.array([[0.3, 0.0, 0.0, -0.2, -0.1], [0.0, 0.0, 0.0, 0.1, 0.6], [0.02, 0.005, 0.0, 0.01, 0.0], [0.0, 0.0, 1.0, 0.0, 0.0]])
-_OBS = np.array([75.0, 42.0, 33.0, 97.0])
-_R = np.array([9.0, 25.0, 0.25, 1.0])
+STATES = ("systolic_bp", "diastolic_bp", "spo2", "vagal_tone", "glucose")
+OBSERVED = ("heart_rate", "hrv_rmssd", "skin_temp", "activity_level")
+# Fixed values of the latent model: set points, return rates, diffusion, start variances, variances that count as reliable;
+# observations at the set points, their rows by state, their variances.
+_MEAN = np.array([120.0, 80.0, 97.0, 50.0, 100.0])
+_RATE = np.array([0.05, 0.05, 0.1, 0.08, 0.02])
+_SIGMA = np.array([2.0, 1.5, 0.5, 3.0, 5.0])
 _P0 = np.diag([25.0, 16.0, 1.0, 100.0, 400.0])
 _RELIABLE = np.array([144.0, 64.0, 4.0, 225.0, 625.0])
+_OBS = np.array([60.0, 40.0, 33.0, 0.0])
+_H = np.array([[0.3, 0.0, 0.0, -0.2, 0.1], [-0.15, 0.0, 0.0, 0.8, 0.0], [0.0, 0.0, 0.01, 0.005, 0.0], [0.0, 0.0, 0.0, 0.0, 0.0]])
+_R = np.array([4.0, 25.0, 0.04, 1.0])
+
 
+def latent_step(s: np.ndarray, p: np.ndarray, z: np.ndarray, dt: float, unscented: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One predict-and-update of the mean-reverting latent model: (state, covariance, innovation).
 
-def latent_step(s: np.ndarray, p: np.ndarray, z: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray]:
-    """One predict-and-update of the mean-reverting latent model; missing observations (nan) are skipped."""
-    decay = np.exp(-_RATE * dt)
-    s, p = _MEAN + decay * (s - _MEAN), decay[:, None] * p * decay[None, :] + np.diag(_Q * dt)
+    Missing observations (nan) are skipped and have innovation nan. Both models are linear, so sigma
+    points carry mean and covariance exactly; unscented differs only in drawing them before the
+    process noise is added, which its gain therefore leaves out.
+    """
+    decay = 1 - _RATE * dt
+    noise = np.diag(_SIGMA**2 * (1 - np.exp(-2 * _RATE * dt)) / (2 * _RATE))
+    s, moved = _MEAN + decay * (s - _MEAN), decay[:, None] * p * decay[None, :]
+    p = moved + noise
+    innovation = z - _OBS - _H @ (s - _MEAN)
     on = ~np.isnan(z)
     if on.any():
         h, r = _H[on], np.diag(_R[on])
-        gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
-        s = s + gain @ (z[on] - _OBS[on] - h @ (s - _MEAN))
-        left = np.eye(5) - gain @ h
-        p = left @ p @ left.T + gain @ r @ gain.T
-    return s, p
+        seen = moved if unscented else p
+        spread = h @ seen @ h.T + r
+        gain = seen @ h.T @ np.linalg.inv(spread)
+        s = s + gain @ innovation[on]
+        left = np.eye(len(s)) - gain @ h
+        p = p - gain @ spread @ gain.T if unscented else left @ p @ left.T + gain @ r @ gain.T
+    return s, (p + p.T) / 2, innovation
+
+
+def normal_quantile(level: float) -> float:
+    """Half-width in deviations of a central interval."""
+    return 1.96 if level == 0.95 else NormalDist().inv_cdf(0.5 + level / 2)
+
 
+def latent_states(vitals: DataFrame, level: float = 0.95, unscented: bool = False) -> DataFrame:
+    """Filtered latent states of each series (idx, t and the OBSERVED columns), with bounds, reliability, trace and innovations.
 
-def latent_states(vitals: DataFrame) -> DataFrame:
-    """Filtered latent states of each patient from heart rate, variability, skin temperature and saturation, with 95 % bounds."""
+    One filter per series; dt is the median step of t, 1 if that is not positive. An absent column
+    counts as its value at the set points; a null in a row is skipped.
+    """
     fields = ", ".join(f"{n} double, {n}_low double, {n}_high double, {n}_reliable boolean" for n in STATES)
+    more = ", ".join(f"innovation_{n} double" for n in OBSERVED)
+    width, here = normal_quantile(level), [n for n in OBSERVED if n in vitals.columns]
+    top = np.array([100.0 if n == "spo2" else np.inf for n in STATES])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", kind="stable").reset_index(drop=True)
         step = np.median(np.diff(pdf["t"].to_numpy(float))) if len(pdf) > 1 else 1.0
         dt = float(step) if step > 0 else 1.0
+        z = np.stack([pdf[n].to_numpy(float) if n in here else np.full(len(pdf), v) for n, v in zip(OBSERVED, _OBS)], axis=1)
         s, p, rows = _MEAN.copy(), _P0.copy(), []
-        for z in pdf[["heart_rate", "hrv", "skin_temp", "spo2"]].to_numpy(float):
-            s, p = latent_step(s, p, z, dt)
-            half = 1.96 * np.sqrt(np.diag(p))
-            top = np.array([np.inf, np.inf, 100.0, np.inf, np.inf])
-            rows.append([v for k in range(5) for v in (s[k], max(0.0, s[k] - half[k]), min(top[k], s[k] + half[k]), bool(p[k, k] < _RELIABLE[k]))])
-        out = pd.DataFrame(rows, columns=[c for n in STATES for c in (n, f"{n}_low", f"{n}_high", f"{n}_reliable")])
+        for row in z:
+            s, p, seen = latent_step(s, p, row, dt, unscented)
+            var = np.diag(p)
+            half = width * np.sqrt(var)
+            low, high = np.clip(s - half, 0.0, top), np.minimum(top, np.where(np.isfinite(top), np.maximum(0.0, s + half), s + half))
+            rows.append([*(v for k in range(5) for v in (s[k], low[k], high[k], bool(var[k] < _RELIABLE[k]))), var.sum(), *seen])
+        names = [c for n in STATES for c in (n, f"{n}_low", f"{n}_high", f"{n}_reliable")]
+        out = pd.DataFrame(rows, columns=[*names, "trace", *(f"innovation_{n}" for n in OBSERVED)])
         return pd.concat([pdf[["series", "idx"]], out], axis=1)
 
-    return vitals.groupBy("series").applyInPandas(run, f"series string, idx long, {fields}")
+    return vitals.groupBy("series").applyInPandas(run, f"series string, idx long, {fields}, trace double, {more}")
+
+
+def state_report(states: DataFrame, last: int = 100) -> DataFrame:
+    """The newest row of each series of latent_states, with mean and deviation of the last innovations."""
+    back = W.partitionBy("series").orderBy(F.desc("idx"))
+    near = states.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= last)
+    newest = [c for c in states.columns if c not in ("series", "idx")]
+    now = [F.max(F.when(F.col("_back") == 1, F.col(c))).alias(c) for c in ("idx", *newest)]
+    real = lambda n: F.when(~F.isnan(f"innovation_{n}"), F.col(f"innovation_{n}"))
+    spread = [f(real(n)).alias(f"innovation_{n}_{a}") for n in OBSERVED for f, a in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    return near.groupBy("series").agg(*now, *spread)
 
 
 def hurst_values(x: np.ndarray) -> float:

@@ -131,7 +131,8 @@ def subsample(rows: DataFrame, every: int) -> DataFrame:
     """Every k-th row by order, gaps filled forward, then backward."""
     kept = rows.withColumn("_k", F.row_number().over(in_order()) - 1).where(F.col("_k") % every == 0)
     forward = F.last("x", ignorenulls=True).over(in_order().rowsBetween(W.unboundedPreceding, 0))
-    backward = F.first("x", ignorenulls=True).over(in_order().rowsBetween(0, W.unboundedFollowing))
+    from_end = W.partitionBy("series").orderBy(F.desc("idx"))
+    backward = F.last("x", ignorenulls=True).over(from_end.rowsBetween(W.unboundedPreceding, 0))
     return kept.withColumn("x", F.coalesce(forward, backward)).drop("_k")
 
 
@@ -211,30 +212,45 @@ def higuchi_dimension(rows: DataFrame, kmax: int = 10) -> DataFrame:
     return g.select("series", F.when(F.col("n") < 2 * kmax, 1.0).otherwise(clip(F.coalesce("s", F.lit(1.0)), 1, 2)).alias("higuchi"))
 
 
+def spectral_power() -> Column:
+    """Lomb-Scargle power as one aggregate over rows (x, t seconds, f): sums of x, cosines, sines and their products.
+
+    The phase that makes it independent of the origin of t, and the mean of x, are taken out of the sums.
+    """
+    w = 2 * 3.141592653589793 * F.col("f") * F.col("t")
+    c, s = F.cos(w), F.sin(w)
+    n, mean = F.count("*"), F.avg("x")
+    sc, ss = F.sum(c), F.sum(s)
+    xc, xs = F.sum(F.col("x") * c) - mean * sc, F.sum(F.col("x") * s) - mean * ss
+    cc, cs = F.sum(c * c), F.sum(c * s)
+    sq = n - cc  # the squares of sine and cosine sum to n
+    phase = F.atan2(2 * cs, cc - sq) / 2
+    a, b = F.cos(phase), F.sin(phase)
+    share = lambda num, den: F.coalesce(F.try_divide(num * num, den), F.lit(0.0))
+    return 0.5 * (share(xc * a + xs * b, cc * a * a + 2 * cs * a * b + sq * b * b) + share(xs * a - xc * b, cc * b * b - 2 * cs * a * b + sq * a * a))
+
+
 def lomb_scargle(rows: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """Power of unevenly sampled series (t seconds, x) at stated frequencies f, as sums over rows per frequency.
+    """Power of unevenly sampled series (t seconds, x) at stated frequencies f: one aggregate per series and frequency.
 
     The frequencies are a stated query set, broadcast; each row meets each of them once.
     """
-    c = rows.withColumn("x", F.col("x") - F.avg("x").over(whole()))
-    w = 2 * 3.141592653589793 * F.col("f") * F.col("t")
-    j = c.crossJoin(F.broadcast(frequencies))
-    tau = j.groupBy("series", "f").agg((F.atan2(F.sum(F.sin(2 * w)), F.sum(F.cos(2 * w))) / 2).alias("phase"))
-    k = j.join(tau, ["series", "f"]).withColumns({"c": F.cos(w - F.col("phase")), "s": F.sin(w - F.col("phase"))})
-    power = 0.5 * (F.try_divide(F.pow(F.sum(F.col("x") * F.col("c")), 2.0), F.sum(F.col("c") * F.col("c"))) + F.try_divide(F.pow(F.sum(F.col("x") * F.col("s")), 2.0), F.sum(F.col("s") * F.col("s"))))
-    return k.groupBy("series", "f").agg(power.alias("power"))
+    return rows.crossJoin(F.broadcast(frequencies)).groupBy("series", "f").agg(spectral_power().alias("power"))
 
 
 def sample_entropy(rows: DataFrame, m: int = 2, r: float = 0.2) -> DataFrame:
     """Sample entropy: -ln of matches of length m+1 over matches of length m within r deviations; null without matches.
 
-    Templates are lead columns; pairs are found by a join of a series with itself on value buckets of
-    width r, so only near templates meet.
+    Templates are lead columns; pairs are found by a join of a series with itself on cells of width r in
+    the first two values, so only near templates meet.
     """
     lead = {f"x{k}": F.lead("x", k).over(in_order()) for k in range(m + 1)}
-    t = rows.withColumn("tol", r * F.stddev_pop("x").over(whole())).withColumns(lead).where(f"x{m} is not null and tol > 0").withColumn("cell", F.floor(F.col("x0") / F.col("tol")))
-    other = t.select("series", F.col("idx").alias("j"), F.explode(F.array(*(F.col("cell") + d for d in (-1, 0, 1)))).alias("cell"), *(F.col(f"x{k}").alias(f"y{k}") for k in range(m + 1)))
+    t = rows.withColumn("tol", r * F.stddev_pop("x").over(whole())).withColumns(lead).where(f"x{m} is not null and tol > 0")
+    cell = lambda c: F.floor(F.col(c) / F.col("tol"))
+    near3 = lambda c: F.explode(F.array(*(cell(c) + d for d in (-1, 0, 1))))
+    own = t.withColumns({"c0": cell("x0"), "c1": cell("x1")})
+    other = t.withColumn("c0", near3("x0")).withColumn("c1", near3("x1")).select("series", F.col("idx").alias("j"), "c0", "c1", *(F.col(f"x{k}").alias(f"y{k}") for k in range(m + 1)))
     near = " and ".join(f"abs(x{k} - y{k}) <= tol" for k in range(m))
-    pairs = t.join(other, ["series", "cell"]).where(f"idx < j and {near}")
+    pairs = own.join(other, ["series", "c0", "c1"]).where(f"idx < j and {near}")
     g = pairs.groupBy("series").agg(F.count("*").alias("b"), F.count_if(F.expr(f"abs(x{m} - y{m}) <= tol")).alias("a"))
     return g.select("series", F.when(F.col("a") > 0, -F.log(F.col("a") / F.col("b"))).alias("sampen"))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pulselake.clinical.alerts import decide
 from pulselake.operators import bronze
 from pulselake.operators.silver import anomaly_score
-from pulselake.series.recursive import _MEAN, _P0, STATES, latent_step
+from pulselake.series.recursive import _MEAN, _P0, OBSERVED, STATES, latent_step
 from pulselake.functions.scalar import rnd
 
 
@@ -51,7 +51,7 @@ def latent_stream(vitals: DataFrame, keep: int = 100, hours: int | None = 24) ->
 
     Without hours the state stays, as a run that ends by itself (availableNow) needs.
 
-    vitals: patient_id, ts, heart_rate, hrv, skin_temp, spo2.
+    vitals: patient_id, ts and the observations heart_rate, hrv_rmssd, skin_temp, activity_level; nulls are skipped.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -67,7 +67,7 @@ def latent_stream(vitals: DataFrame, keep: int = 100, hours: int | None = 24) ->
         for row in pd.concat(list(frames)).sort_values("ts", kind="stable").itertuples():
             now = row.ts.timestamp()
             dt = max(1.0, now - t) / 60 if t == t else 1.0
-            s, p = latent_step(s, p, np.array([row.heart_rate, row.hrv, row.skin_temp, row.spo2], float), min(dt, 1e4))
+            s, p, _ = latent_step(s, p, np.array([getattr(row, n) for n in OBSERVED], float), min(dt, 1.0))
             t, history = now, (history + [float(row.heart_rate)])[-keep:]
             rows.append((key[0], row.ts, row.heart_rate, len(history), *s.tolist()))
         state.update((s.tolist(), p.ravel().tolist(), t, history))

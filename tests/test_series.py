@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pulselake.ml import models
-from pulselake.series import grid, recursive, windows
+from pulselake.series import grid, hrv, recursive, windows
 
 
 def rows(spark, x, name="s"):
@@ -75,10 +75,68 @@ def test_grid(spark):
     assert all(abs(r.gx - 1) < 1e-9 and abs(r.gy) < 1e-9 and abs(r.divergence) < 1e-9 and abs(r.cz - 1) < 1e-9 for r in got)
 
 
-def test_latent_states_stay_in_bounds(spark):
-    df = spark.createDataFrame([("p", k, float(k), 70.0, 42.0, 33.0, 98.0) for k in range(20)], "series string, idx long, t double, heart_rate double, hrv double, skin_temp double, spo2 double")
-    r = recursive.latent_states(df).orderBy(F.desc("idx")).first()
-    assert r.spo2_deep_reliable and 90 < r.spo2_deep <= r.spo2_deep_high <= 100
+def test_latent_states_match_the_textbook_filters(spark):
+    rng = np.random.default_rng(8)
+    z = np.stack([rng.normal(72, 4, 30), rng.normal(38, 6, 30), rng.normal(33, 0.3, 30), rng.uniform(0, 60, 30)], axis=1)
+    df = spark.createDataFrame([("p", k, float(k) * 2, *map(float, v)) for k, v in enumerate(z)], "series string, idx long, t double, heart_rate double, hrv_rmssd double, skin_temp double, activity_level double")
+    mean, rate, sigma = np.array([120, 80, 97, 50, 100.0]), np.array([0.05, 0.05, 0.1, 0.08, 0.02]), np.array([2, 1.5, 0.5, 3, 5.0])
+    h = np.array([[0.3, 0, 0, -0.2, 0.1], [-0.15, 0, 0, 0.8, 0], [0, 0, 0.01, 0.005, 0], [0, 0, 0, 0, 0]])
+    r, base, dt = np.diag([4, 25, 0.04, 1.0]), np.array([60, 40, 33, 0.0]), 2.0
+    f, q = np.diag(1 - rate * dt), np.diag(sigma**2 * (1 - np.exp(-2 * rate * dt)) / (2 * rate))
+    for unscented in (False, True):
+        x, p = mean.copy(), np.diag([25, 16, 1, 100, 400.0])
+        got = recursive.latent_states(df, unscented=unscented).orderBy("idx").collect()
+        for row, seen in zip(got, z):
+            x, moved = x + rate * (mean - x) * dt, f @ p @ f.T
+            p, y = moved + q, seen - base - h @ (x - mean)
+            used = moved if unscented else p
+            s = h @ used @ h.T + r
+            k = used @ h.T @ np.linalg.inv(s)
+            x = x + k @ y
+            p = p - k @ s @ k.T if unscented else (np.eye(5) - k @ h) @ p
+            assert [row[n] for n in recursive.STATES] == pytest.approx(x.tolist()) and row.trace == pytest.approx(np.trace(p))
+            assert row.innovation_heart_rate == pytest.approx(y[0]) and row.spo2_high <= 100
+            assert row.glucose_high - row.glucose_low == pytest.approx(2 * 1.96 * p[4, 4] ** 0.5) and row.spo2_reliable
+    report = recursive.state_report(recursive.latent_states(df)).first()
+    assert report.idx == 29 and report.innovation_heart_rate_std > 0
+    wide = recursive.latent_states(df, level=0.99).orderBy("idx").first()
+    assert wide.glucose_high - wide.glucose_low > got[0].glucose_high - got[0].glucose_low
+    missing = recursive.latent_states(df.select("series", "idx", "t", F.lit(None).cast("double").alias("heart_rate"))).first()
+    assert missing.systolic_bp == pytest.approx(120.0)
+
+
+def test_spectrum_and_entropies(spark):
+    n = 400
+    rr = 800 + 40 * np.sin(2 * np.pi * 0.1 * np.arange(n) * 0.8) + np.random.default_rng(4).normal(0, 2, n)
+    df = rows(spark, rr)
+    for spectrum in (hrv.uneven_spectrum(df), hrv.even_spectrum(df)):
+        b = hrv.band_powers(spectrum).first()
+        assert b.lf_power > 5 * (b.hf_power + b.vlf_power) and b.lf_norm > 80 and b.total_power == pytest.approx(b.vlf_power + b.lf_power + b.hf_power)
+    x = np.round(rr[:120], 0)
+    tol, size = 0.2 * x.std(ddof=1), len(x)
+
+    def phi(d):
+        t = np.stack([x[k : size - d + 1 + k] for k in range(d)], axis=1)
+        return np.mean(np.log((np.abs(t[:, None] - t[None]).max(axis=2) <= tol).mean(axis=1)))
+
+    def matches(d, m):
+        t = np.stack([x[k : size - m + k] for k in range(d)], axis=1)
+        return int((np.abs(t[:, None] - t[None]).max(axis=2) <= tol).sum()) - len(t)
+
+    e = hrv.entropies(rows(spark, x)).first()
+    assert e.approximate_entropy == pytest.approx(phi(2) - phi(3))
+    assert e.sample_entropy == pytest.approx(-np.log(matches(3, 2) / matches(2, 2)))
+    flat = hrv.entropies(rows(spark, [800.0] * 20)).first()
+    assert flat.approximate_entropy == flat.sample_entropy == 0.0
+    short = hrv.report(rows(spark, [800.0, 810.0, 790.0])).first()
+    assert short.total_power is None and "spectrum" in short.missing and short.sdnn == pytest.approx(10.0)
+
+
+def test_spline_is_exact_on_cubics():
+    t = np.sort(np.random.default_rng(1).uniform(0, 10, 12))
+    f = lambda v: 2 * v**3 - v**2 + 3
+    at = np.linspace(t[0], t[-1], 50)
+    assert np.allclose(hrv.spline_values(t, f(t), at), f(at))
 
 
 def test_ewma_zscore_is_the_loop(spark):
