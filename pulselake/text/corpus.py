@@ -24,11 +24,21 @@ def slug(text: Column, longest: int = 80) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, longest)
 
 
+def _tokens_of(docs: DataFrame) -> Column:
+    """The column tokens of docs where it has one, else the tokens of its text."""
+    return F.col("tokens") if "tokens" in docs.columns else tokens(F.col("text"))
+
+
 def token_counts(docs: DataFrame, top: int = 100) -> DataFrame:
-    """The most frequent tokens with their counts and document counts, ties by token."""
-    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
-    per_doc = words.groupBy("token", "doc_id").agg(F.count("*").alias("k"))
-    return per_doc.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("docs")).orderBy(F.desc("n"), "token").limit(top)
+    """The most frequent tokens with their counts and document counts (a row of docs is one), ties by token.
+
+    Occurrences and documents are counted in one aggregate on the token, so only counts are shuffled.
+    """
+    seen = lambda c, n, d: F.transform(c, lambda w: F.struct(w.alias("token"), F.lit(n).alias("n"), F.lit(d).alias("docs")))
+    held = docs.select(_tokens_of(docs).alias("t"))
+    each = held.select(F.explode(F.concat(seen("t", 1, 0), seen(F.array_distinct("t"), 0, 1))).alias("w")).select("w.*")
+    counted = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return counted.orderBy(F.desc("n"), "token").limit(top)
 
 
 def keyword_matches(docs: DataFrame, terms: list[str]) -> Column:
@@ -53,11 +63,12 @@ def keyword_scores(docs: DataFrame, terms: list[str], top: int = 10) -> DataFram
 def cooccurrence(docs: DataFrame, vocabulary: DataFrame, least: int = 2) -> DataFrame:
     """Pairs a < b of vocabulary tokens that share documents, with the number of these.
 
-    The vocabulary (token) is a bounded top-n list; per document the pairs come from a distinct
-    sorted array of at most that many tokens, so a document emits a bounded number of pairs.
+    The vocabulary (token) is a bounded top-n list, broadcast as one array; a row of docs is a document
+    and emits the pairs of at most that many tokens, so nothing is shuffled but the pairs' counts.
     """
-    kept = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(F.broadcast(vocabulary.select("token")), "token")
-    sets = kept.groupBy("doc_id").agg(F.sort_array(F.collect_set("token")).alias("t"))
+    known = vocabulary.agg(F.collect_list("token").alias("v"))
+    held = docs.select(_tokens_of(docs).alias("t")).crossJoin(F.broadcast(known))
+    sets = held.select(F.sort_array(F.array_intersect("t", "v")).alias("t"))
     pairs = sets.select(F.explode("t").alias("a"), "t").select("a", F.explode(F.filter("t", lambda b: b > F.col("a"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
