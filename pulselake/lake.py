@@ -95,7 +95,11 @@ class Lake:
             return self.spark.createDataFrame([], _LINEAGE)
 
     def purge(self, layer: str, table: str, patients: DataFrame) -> bool:
-        """Erases the patients' rows: touched partitions are rewritten beside the table, then replaced. Returns whether any row went."""
+        """Erases the patients' rows and returns whether any went.
+
+        Touched partitions are rewritten beside the table; each old one is moved aside before its
+        replacement is moved in, and deleted only when all are in place, so a crash loses no row.
+        """
         if not self.exists(layer, table):
             return False
         df = self.read(layer, table)
@@ -104,14 +108,16 @@ class Lake:
         if not dates:
             return False
         fs, _ = self._fs(self.root)
-        kept, temp = df.where(F.col("partition_date").isin(*dates)).join(patients.select("patient_id"), "patient_id", "left_anti"), f"{self.root}/_purge"
+        kept, aside = df.where(F.col("partition_date").isin(*dates)).join(patients.select("patient_id"), "patient_id", "left_anti"), f"{self.root}/_purge"
+        temp, old = f"{aside}/new", f"{aside}/old"
         kept.write.mode("overwrite").partitionBy("partition_date").parquet(temp)
         for d in dates:
             part = f"partition_date={d.isoformat() if isinstance(d, date) else d}"
-            fs.delete(self._fs(f"{self.path(layer, table)}/{part}")[1], True)
+            fs.mkdirs(self._fs(old)[1])
+            fs.rename(self._fs(f"{self.path(layer, table)}/{part}")[1], self._fs(f"{old}/{part}")[1])
             if fs.exists(self._fs(f"{temp}/{part}")[1]):
                 fs.rename(self._fs(f"{temp}/{part}")[1], self._fs(f"{self.path(layer, table)}/{part}")[1])
-        fs.delete(self._fs(temp)[1], True)
+        fs.delete(self._fs(aside)[1], True)
         return True
 
 

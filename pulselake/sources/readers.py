@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pulselake.functions.scalar import lookup, parse_timestamp, stable_id
@@ -133,17 +134,26 @@ SOURCES: dict[str, Callable[..., DataFrame]] = {"apple_xml": phone_xml, "apple_j
 
 
 def collect_all(spark: SparkSession, wanted: dict[str, tuple[str, str]], registry: dict[str, Callable[..., DataFrame]] = SOURCES) -> tuple[DataFrame | None, DataFrame]:
-    """(all readings, status per source) of sources by name: (path, patient). Unknown sources are skipped, failing ones told."""
-    frames, status = [], []
+    """(all readings, status per source) of sources by name: (path, patient).
+
+    Unknown sources and those that cannot be opened are skipped with the reason; the rows of the others
+    are counted by one aggregate, run when the status is read.
+    """
+    frames, skipped = {}, []
     for name, (path, patient) in wanted.items():
         if name not in registry:
-            status.append((name, "skipped", 0, "unknown source"))
+            skipped.append((name, "skipped", 0, "unknown source"))
             continue
         try:
-            df = registry[name](spark, path, patient)
-            n = df.count()
-            status.append((name, "ok" if n else "empty", n, ""))
-            frames.append(df)
-        except Exception as error:  # a source that cannot be read must not stop the others
-            status.append((name, "skipped", 0, str(error).splitlines()[0][:200]))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None, spark.createDataFrame(status, "source string, status string, records long, error string")
+            frames[name] = registry[name](spark, path, patient)
+        except (AnalysisException, OSError, ValueError) as error:
+            skipped.append((name, "skipped", 0, str(error).splitlines()[0][:200]))
+    status = spark.createDataFrame(skipped, "source string, status string, records long, error string")
+    if not frames:
+        return None, status
+    union = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+    tagged = reduce(union, (df.select(F.lit(name).alias("source")) for name, df in frames.items()))
+    known = spark.createDataFrame([(n,) for n in frames], "source string")
+    counted = known.join(tagged.groupBy("source").count(), "source", "left").withColumn("records", F.coalesce("count", F.lit(0)))
+    told = counted.select("source", F.when(F.col("records") > 0, "ok").otherwise("empty").alias("status"), "records", F.lit("").alias("error"))
+    return reduce(union, frames.values()), told.unionByName(status)
