@@ -262,7 +262,26 @@ def topic_model(docs: DataFrame, k: int = 4, vocabulary: int = 3000, iterations:
 
     p = model.transform(weighted).withColumn("p", vector_to_array("topicDistribution"))
     entropy = F.aggregate("p", F.lit(0.0), lambda a, v: a - F.when(v > 0, v * F.log(v)).otherwise(0.0))
-    return model, cv.vocabulary, p.select("doc_id", (F.array_position("p", F.array_max("p")) - 1).alias("topic"), F.array_max("p").alias("confidence"), entropy.alias("entropy"))
+    scored = p.select("doc_id", (F.array_position("p", F.array_max("p")) - 1).alias("topic"), F.array_max("p").alias("confidence"), entropy.alias("entropy"))
+    scored._features = weighted
+    return model, cv.vocabulary, scored
+
+
+def choose_topics(docs: DataFrame, ks=range(3, 11), top: int = 10, iterations: int = 10) -> DataFrame:
+    """(k, coherence, perplexity, chosen) of topic models of each size; the most coherent one is chosen, ties to the smaller.
+
+    A model's vocabulary and topic words are bounded lists; the documents are tokenised and weighted once per size.
+    """
+    spark, rows = docs.sparkSession, []
+    for k in ks:
+        model, vocabulary, scored = topic_model(docs, k, iterations=iterations)
+        words = [(r["topic"], vocabulary[t]) for r in model.describeTopics(top).collect() for t in r["termIndices"]]
+        topics = spark.createDataFrame(words, "topic int, word string")
+        both = docs.select("doc_id", F.concat("tokens", F.transform(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), lambda a, i: F.concat_ws(" ", a, F.col("tokens")[i + 1]))).alias("tokens"))
+        coherence = npmi(both, topics).agg(F.avg("npmi")).first()[0]
+        rows.append((k, coherence, model.logPerplexity(scored._features)))
+    best = max(rows, key=lambda r: (r[1] if r[1] is not None else float("-inf"), -r[0]))[0]
+    return spark.createDataFrame([(*r, r[0] == best) for r in rows], "k int, coherence double, perplexity double, chosen boolean")
 
 
 def npmi(docs: DataFrame, topics: DataFrame, eps: float = 1e-12) -> DataFrame:

@@ -168,6 +168,26 @@ def chunk_profile(spark, sf_dir):
     return rounded(windows.chunk_profile(series(spark, sf_dir)), "mean_p2p")
 
 
+@query(
+    "blended_smooth",
+    f"""WITH {S_SQL}, p AS (SELECT series, idx, x, row_number() OVER o - 1 AS k, count(*) OVER w AS n, list(x) OVER w AS l FROM s WINDOW w AS (PARTITION BY series), o AS (PARTITION BY series ORDER BY idx)),
+ q AS (SELECT p.*, f.x AS a, e.x AS z FROM p JOIN p f ON f.series = p.series AND f.k = 0 JOIN p e ON e.series = p.series AND e.k = e.n - 1),
+ m AS (SELECT *, sum(x) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) + greatest(0, 4 - k) * a + greatest(0, k + 4 - n) * z AS total FROM q)
+ SELECT series, idx, {rnd('CASE WHEN n < 8 THEN x ELSE 0.5 * total / 8 + 0.5 * x END', 5)} AS y FROM m""",
+)
+def blended_smooth(spark, sf_dir):
+    return rounded(windows.blended_smooth(series(spark, sf_dir)), "y", digits=5).drop("x", "ts")
+
+
+@query(
+    "hrv_summary",
+    f"""WITH {S_SQL}, {_RR}, d AS (SELECT series, x, x - lag(x) OVER (PARTITION BY series ORDER BY idx) AS d FROM rr WHERE x > 0)
+ SELECT series, {rnd('avg(x)', 2)} AS mean_rr_ms, {rnd('coalesce(stddev_samp(x), 0)', 2)} AS sdnn_ms, {rnd('coalesce(sqrt(avg(d * d)), 0)', 2)} AS rmssd_ms, count(*) AS n_intervals FROM d GROUP BY 1""",
+)
+def hrv_summary(spark, sf_dir):
+    return windows.short_summary(hrv.real_intervals(beats(spark, sf_dir)))
+
+
 @query("katz_dimension", f"""WITH {S_SQL}, d AS (SELECT series, abs(x - lag(x) OVER w) AS s, abs(x - first_value(x) OVER w) AS far FROM s WINDOW w AS (PARTITION BY series ORDER BY idx)), g AS (SELECT series, sum(s) AS l, max(far) AS d, count(s) AS n FROM d GROUP BY 1)
  SELECT series, {rnd('CASE WHEN n < 2 OR d <= 0 OR l <= 0 THEN 1 ELSE least(2, greatest(1, abs(log10(n) / (log10(n) + log10(d / l))))) END', 6)} AS katz FROM g""")
 def katz_dimension(spark, sf_dir):
@@ -371,6 +391,26 @@ def image_oscillation(spark, sf_dir):
     return rounded(grid.image_oscillation(im), "v", "mo", "smooth")
 
 
+_MIRROR = "CASE WHEN {0} + {1} < 0 THEN -1 - {0} - {1} WHEN {0} + {1} >= {2} THEN 2 * {2} - 1 - {0} - {1} ELSE {0} + {1} END"
+
+
+@query(
+    "image_denoise",
+    f"""WITH im AS (SELECT label AS image_id, CAST(row_number() OVER (PARTITION BY label, k ORDER BY vec_id) - 1 AS BIGINT) AS r, CAST(k - 1 AS BIGINT) AS c, embedding[k]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k)),
+ sz AS (SELECT image_id, max(r) + 1 AS rows FROM im GROUP BY 1), d AS (SELECT a.d AS dr, b.d AS dc FROM (SELECT unnest(range(-2, 3)) AS d) a, (SELECT unnest(range(-2, 3)) AS d) b),
+ t AS (SELECT image_id, r, c, v, dr, dc, {_MIRROR.format('r', 'dr', 'rows')} AS mr, {_MIRROR.format('c', 'dc', '64')} AS mc, r + dr BETWEEN 0 AND rows - 1 AND c + dc BETWEEN 0 AND 63 AS inside FROM im JOIN sz USING (image_id), d),
+ p AS (SELECT t.image_id, t.r, t.c, any_value(t.v) AS v, sum(o.v) / 25 AS smooth, list(o.v) FILTER (t.inside) AS l FROM t JOIN im o ON o.image_id = t.image_id AND o.r = t.mr AND o.c = t.mc GROUP BY 1, 2, 3),
+ m AS (SELECT *, list_avg(list_transform(l, lambda x: abs(x - list_avg(l)))) AS mo FROM p), w AS (SELECT image_id, avg(mo) AS a, stddev_pop(mo) AS s FROM m GROUP BY 1),
+ e AS (SELECT m.*, 1 / (1 + exp(-(mo - a) / (0.5 * s + 1e-8))) AS g, s FROM m JOIN w USING (image_id))
+ SELECT image_id, r, c, {rnd('CASE WHEN s < 1e-8 THEN v ELSE g * v + (1 - g) * smooth END', 5)} AS denoised FROM e""",
+)
+def image_denoise(spark, sf_dir):
+    """Every vector is a row of its label's image."""
+    rows = grid.image_rows(read_table(spark, sf_dir, "embeddings"), "label", "vec_id")
+    pixels = rows.select("image_id", "r", F.posexplode("row").alias("c", "v")).select("image_id", "r", F.col("c").cast("long").alias("c"), F.col("v").cast("double").alias("v"))
+    return rounded(grid.image_denoise(pixels), "denoised", digits=5).select("image_id", "r", "c", "denoised")
+
+
 @query("image_oscillation_all")
 def image_oscillation_all(spark, sf_dir):
     """Every vector is a row of its label's image; image_oscillation keeps the part its SQL names."""

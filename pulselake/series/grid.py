@@ -77,6 +77,29 @@ def image_oscillation(image: DataFrame, width: int = 3) -> DataFrame:
     return image.join(mean, ["image_id", "r", "c"]).select("image_id", "r", "c", "v", mo.alias("mo"), F.col("m").alias("smooth"))
 
 
+def image_denoise(image: DataFrame, width: int = 5, lam: float = 0.5) -> DataFrame:
+    """Blend of each pixel and its smoothed value by the sigmoid of the patch's standardised oscillation; a flat image stays.
+
+    image: (image_id, r, c, v), whole from (0, 0). The smoothed value is the mean of the width^2 pixels
+    around, mirrored at the edges: a pixel near an edge is weighed by how often its mirror images fall in
+    the patch. One shuffle on the target pixel, one small aggregate per image.
+    """
+    h = width // 2
+    size = image.groupBy("image_id").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("columns"))
+    shifts = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-h, h + 1) for b in range(-h, h + 1)))
+    moved = image.join(F.broadcast(size), "image_id").withColumn("s", F.explode(shifts)).withColumns({"tr": F.col("r") + F.col("s.a"), "tc": F.col("c") + F.col("s.b")})
+    inside = moved.where("tr >= 0 and tc >= 0 and tr < rows and tc < columns")
+    times = lambda at, to, n: 1 + (F.col(at) + F.col(to) + 1 <= h).cast("int") + (2 * F.col(n) - 1 - F.col(at) - F.col(to) <= h).cast("int")
+    weighed = inside.select("image_id", F.col("tr").alias("r"), F.col("tc").alias("c"), "v", (times("r", "tr", "rows") * times("c", "tc", "columns")).alias("w"), ((F.col("s.a") == 0) & (F.col("s.b") == 0)).alias("own"))
+    patch = weighed.groupBy("image_id", "r", "c").agg(F.max(F.when(F.col("own"), F.col("v"))).alias("v"), F.avg("v").alias("m"), F.collect_list("v").alias("near"), (F.sum(F.col("v") * F.col("w")) / float(width * width)).alias("smooth"))
+    mo = F.aggregate("near", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("m"))) / F.size("near")
+    local = Scratch(image.sparkSession, "image_denoise").write(patch.select("image_id", "r", "c", "v", "smooth", mo.alias("mo")), "local")
+    whole = local.groupBy(F.col("image_id").alias("of")).agg(F.avg("mo").alias("mean"), F.stddev_pop("mo").alias("sd"))
+    edge = 1 / (1 + F.exp(-(F.col("mo") - F.col("mean")) / (lam * F.col("sd") + 1e-8)))
+    y = F.when(F.col("sd") < 1e-8, F.col("v")).otherwise(edge * F.col("v") + (1 - edge) * F.col("smooth"))
+    return local.join(F.broadcast(whole), F.col("image_id") == F.col("of")).select("image_id", "r", "c", "v", "mo", "smooth", y.alias("denoised"))
+
+
 def image_rows(vectors: DataFrame, image: str, key: str) -> DataFrame:
     """(image_id, r, row): the vectors of each image as its rows, numbered from 0 by key.
 

@@ -289,17 +289,74 @@ def chaos_metrics(rows: DataFrame) -> DataFrame:
     return rows.groupBy("series").applyInPandas(run, "series string, hurst double, lyapunov double")
 
 
-def split_trend(rows: DataFrame, trend: float = 0.05, noise: float = 0.5) -> DataFrame:
-    """Trend, physiological and noise parts by zero-phase FFT bands (shares of the Nyquist frequency), with the signal-to-noise ratio in dB."""
+# Low-pass filter of the wavelet with four vanishing moments.
+_WAVELET = np.array([-0.010597401784997278, 0.032883011666982945, 0.030841381835986965, -0.18703481171888114, -0.02798376941698385, 0.6308807679295904, 0.7148465705525415, 0.23037781330885523])
+
+
+def zero_phase(x: np.ndarray, cut: float, order: int, high: bool = False) -> np.ndarray:
+    """Butterworth filter run forward and backward, as its squared gain over the odd extension of x; cut is a share of Nyquist."""
+    n = len(x)
+    pad = min(n - 1, 3 * max(order + 1, int(np.ceil(1 / cut))))
+    if pad < 1:
+        return x.copy()
+    wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    f = np.fft.rfftfreq(len(wide), 0.5)  # shares of Nyquist
+    with np.errstate(divide="ignore"):
+        ratio = np.tan(np.pi * np.minimum(f, 1 - 1e-12) / 2) / np.tan(np.pi * cut / 2)
+        gain = 1 / (1 + ratio ** (2 * order)) if not high else 1 - 1 / (1 + ratio ** (2 * order))
+    return np.fft.irfft(np.fft.rfft(wide) * gain, len(wide))[pad : pad + n]
+
+
+def wavelet_split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One level of the wavelet transform of x with mirrored edges: (approximation, detail)."""
+    size = len(_WAVELET)
+    high = _WAVELET[::-1] * (-1.0) ** np.arange(1, size + 1)
+    wide = np.pad(x, size - 1, mode="symmetric")
+    return np.convolve(wide, _WAVELET, "valid")[1::2], np.convolve(wide, high, "valid")[1::2]
+
+
+def wavelet_join(low: np.ndarray, detail: np.ndarray, n: int) -> np.ndarray:
+    """The n values whose wavelet_split gave (low, detail)."""
+    size = len(_WAVELET)
+    high = _WAVELET[::-1] * (-1.0) ** np.arange(1, size + 1)
+    up = lambda c: np.stack([c, np.zeros(len(c))], axis=1).ravel()[:-1]
+    y = np.convolve(up(low), _WAVELET[::-1]) + np.convolve(up(detail), high[::-1])
+    return y[size - 2 : size - 2 + n]
+
+
+def wavelet_shrink(x: np.ndarray, level: int = 4) -> np.ndarray:
+    """Soft thresholding of the details at the universal threshold of the finest ones' deviation; short series stay."""
+    n, size = len(x), len(_WAVELET)
+    level = min(level, int(np.log2(n / (size - 1))) if n >= size - 1 else 0)
+    if level < 1:
+        return x.copy()
+    low, details = x, []
+    for _ in range(level):
+        sizes = len(low)
+        low, detail = wavelet_split(low)
+        details.append((detail, sizes))
+    finest = details[0][0]
+    limit = np.median(np.abs(finest - np.median(finest))) / 0.6745 * np.sqrt(2 * np.log(n))
+    for detail, sizes in reversed(details):
+        low = wavelet_join(low, np.sign(detail) * np.maximum(0.0, np.abs(detail) - limit), sizes)
+    return low[:n]
+
+
+def split_trend(rows: DataFrame, cut: float = 0.01, band: tuple[float, float] | None = None) -> DataFrame:
+    """Trend (zero-phase low-pass of order 2), physiological part and noise, with the signal-to-noise ratio in dB.
+
+    The physiological part is what wavelet shrinkage leaves of the rest, or with band its zero-phase
+    band-pass of order 4. Without noise the ratio is infinite.
+    """
 
     def fn(x):
         n = len(x)
-        f = np.fft.rfftfreq(n, 0.5) if n else np.empty(0)
-        s = np.fft.rfft(x) if n else np.empty(0)
-        back = lambda keep: np.fft.irfft(np.where(keep, s, 0), n) if n > 1 else x
-        t, p = back(f <= trend), back((f > trend) & (f <= noise))
-        e = x - t - p
-        ratio = 10 * np.log10(np.mean((t + p) ** 2) / np.mean(e**2)) if n > 1 and np.mean(e**2) > 0 else 99.0
+        t = zero_phase(x, cut, 2)
+        rest = x - t
+        p = wavelet_shrink(rest) if band is None else zero_phase(zero_phase(rest, band[0], 4, high=True), band[1], 4)
+        e = rest - p
+        power = float(np.mean(e**2)) if n else 0.0
+        ratio = 10 * np.log10(np.mean((t + p) ** 2) / power) if power >= 1e-15 else np.inf
         return {"trend": t, "physiological": p, "noise": e, "snr_db": np.full(n, ratio)}
 
     return _mapped(rows, fn, "trend double, physiological double, noise double, snr_db double")

@@ -189,6 +189,25 @@ def chunk_profile(rows: DataFrame, scales=(4, 8, 16)) -> DataFrame:
     return chunks.where("n = scale").groupBy("series", "scale").agg(F.avg("p2p").alias("mean_p2p"))
 
 
+def blended_smooth(rows: DataFrame, width: int = 8, alpha: float = 0.5) -> DataFrame:
+    """alpha of the moving average with repeated edge values and 1 - alpha of x; a series shorter than the width stays."""
+    w = max(2, width)
+    left, right = w // 2, w - 1 - w // 2
+    r = rows.withColumns({"_k": F.row_number().over(in_order()) - 1, "_n": F.count("*").over(whole()), "_first": F.first("x").over(in_order())})
+    r = r.withColumn("_last", F.first("x").over(W.partitionBy("series").orderBy(F.desc("idx"))))
+    zero = F.lit(0)
+    beyond = F.greatest(zero, left - F.col("_k")) * F.col("_first") + F.greatest(zero, F.col("_k") + right - F.col("_n") + 1) * F.col("_last")
+    mean = (F.sum("x").over(in_order().rowsBetween(-left, right)) + beyond) / float(w)
+    return r.select(*rows.columns, F.when(F.col("_n") < w, F.col("x")).otherwise(alpha * mean + (1 - alpha) * F.col("x")).alias("y"))
+
+
+def short_summary(rows: DataFrame) -> DataFrame:
+    """Mean, deviation and successive difference of R-R intervals, to two places, with their count."""
+    d = rows.withColumn("d", F.col("x") - F.lag("x").over(in_order()))
+    zero = lambda c: rnd(F.coalesce(c, F.lit(0.0)), 2)
+    return d.groupBy("series").agg(rnd(F.avg("x"), 2).alias("mean_rr_ms"), zero(F.stddev_samp("x")).alias("sdnn_ms"), zero(F.sqrt(F.avg(F.col("d") * F.col("d")))).alias("rmssd_ms"), F.count("*").alias("n_intervals"))
+
+
 def katz_dimension(rows: DataFrame) -> DataFrame:
     """Katz fractal dimension of each series, held in 1 to 2."""
     r = rows.withColumn("s", F.abs(F.col("x") - F.lag("x").over(in_order()))).withColumn("far", F.abs(F.col("x") - F.first("x").over(in_order())))

@@ -132,6 +132,23 @@ def test_spectrum_and_entropies(spark):
     assert short.total_power is None and "spectrum" in short.missing and short.sdnn == pytest.approx(10.0)
 
 
+def test_filters_and_wavelets():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=101)
+    low, detail = recursive.wavelet_split(x)
+    assert len(low) == (101 + 7) // 2 and np.allclose(recursive.wavelet_join(low, detail, 101), x)
+    t = np.arange(600)
+    slow, wave = np.sin(2 * np.pi * t / 600), np.sin(2 * np.pi * t / 30)
+    noisy = slow + wave + rng.normal(0, 0.2, 600)
+    kept = recursive.zero_phase(slow + wave, 0.02, 2)
+    assert np.abs(kept - slow)[50:-50].max() < 0.1
+    clean = recursive.wavelet_shrink(noisy - wave)  # the wave's details lie near the threshold
+    assert np.mean((clean - slow) ** 2) < 0.3 * np.mean((noisy - wave - slow) ** 2)
+    assert recursive.wavelet_shrink(np.ones(5)).tolist() == [1.0] * 5 and recursive.zero_phase(np.ones(1), 0.1, 2).tolist() == [1.0]
+    band = recursive.zero_phase(recursive.zero_phase(slow + wave, 0.03, 4, high=True), 0.2, 4)
+    assert np.abs(band - wave)[60:-60].max() < 0.1
+
+
 def test_spline_is_exact_on_cubics():
     t = np.sort(np.random.default_rng(1).uniform(0, 10, 12))
     f = lambda v: 2 * v**3 - v**2 + 3
