@@ -45,11 +45,19 @@ def fhir_validity(spark, sf_dir):
     return resources.validity_summary(resources.validate(resources.observation(t["silver"]).unionByName(resources.flag(t["alerts"]))))
 
 
-@query("fhir_bundles", f"""WITH {DAILY_SQL}, r AS (SELECT patient_id, 'Observation' AS t, count(*) AS n FROM silver GROUP BY 1 UNION ALL SELECT patient_id, 'Flag', count(*) FROM alerts GROUP BY 1) SELECT patient_id, CAST(sum(least(n, CASE t WHEN 'Observation' THEN 20 ELSE 5 END)) AS BIGINT) AS total FROM r GROUP BY 1""")
+@query(
+    "fhir_bundles",
+    f"""WITH {DAILY_SQL}, r AS (SELECT patient_id, 'Observation' AS t, substr(sha256(patient_id || ':' || metric_type || ':' || CAST(epoch(window_start) AS BIGINT)), 1, 16) AS id FROM silver
+   UNION ALL SELECT patient_id, 'Flag', alert_id FROM alerts), n AS (SELECT *, row_number() OVER (PARTITION BY patient_id, t ORDER BY id) AS nth FROM r)
+ SELECT patient_id, count(*) AS total, string_agg(t || '/' || id, ',' ORDER BY t, id) AS entries FROM n WHERE nth <= CASE t WHEN 'Observation' THEN 20 ELSE 5 END GROUP BY 1""",
+)
 def fhir_bundles(spark, sf_dir):
+    """Bundle of every patient: its entries by type and id, read back from the JSON."""
     t = views.gold_tables(spark, sf_dir)
     b = resources.bundles(resources.observation(t["silver"]).unionByName(resources.flag(t["alerts"])), {"Observation": 20, "Flag": 5})
-    return b.where(F.get_json_object("bundle", "$.type") == "collection").select("patient_id", "total")
+    entries = F.from_json(F.get_json_object("bundle", "$.entry"), "array<struct<resource:struct<resourceType:string,id:string>>>")
+    named = F.transform(entries, lambda e: F.concat_ws("/", e["resource"]["resourceType"], e["resource"]["id"]))
+    return b.where(F.get_json_object("bundle", "$.type") == "collection").select("patient_id", "total", F.array_join(named, ",").alias("entries"))
 
 
 BOOSTS = {"diabetes": 0.12, "hypert": 0.15, "metformin": 0.05}

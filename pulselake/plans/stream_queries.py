@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulselake.clinical.alerts import decide
 from pulselake.functions.scalar import lookup
+from pulselake.functions.scalar import rnd as round_
+from pulselake.ml import models
+from pulselake.ml.jobs import score_online
 from pulselake.plans import clinical_queries, views
 from pulselake.plans.base import Registry
+from pulselake.plans.lake_queries import VALID_SQL
 from pulselake.plans.views import rnd
-from pulselake.session import Scratch
+from pulselake.session import Scratch, read_table
 from pulselake.streaming import jobs
 
 query = Registry()
@@ -34,11 +37,12 @@ def drained(spark, name, stream):
     return jobs.drain(spark, stream, f"{work.root}/out", f"{work.root}/checkpoint")
 
 
-@query("stream_ingest", f"WITH {views.BRONZE_SQL} SELECT metric_type, count(*) AS n FROM bronze GROUP BY 1")
+@query("stream_ingest", VALID_SQL + f"SELECT w.event_id, w.quality_flags, {rnd('w.quality_score', 3)} AS quality_score, w.is_valid FROM w", lists=["quality_flags"])
 def stream_ingest(spark, sf_dir):
+    """Validated rows as the stream wrote them."""
     work = Scratch(spark, "stream_ingest")
     jobs.ingest(reading_stream(spark, sf_dir), f"{work.root}/bronze", f"{work.root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{work.root}/bronze").groupBy("metric_type").agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{work.root}/bronze").select("event_id", "quality_flags", round_("quality_score", 3).alias("quality_score"), "is_valid")
 
 
 _LAST = "(SELECT max(epoch(timestamp_utc)) - 600 AS mark FROM bronze)"
@@ -51,14 +55,25 @@ def stream_reconciliation(spark, sf_dir):
     return s.select("patient_id", "metric_type", F.unix_seconds("window_start").alias("window_start"), "metric_value", "metric_std", "reading_count")
 
 
-@query("stream_alerts", f"WITH {clinical_queries.DECIDED_SQL} SELECT count(*) AS frames, count(*) FILTER (is_true_alert AND reasons = '') AS alerts FROM dis")
-def stream_alerts(spark, sf_dir):
+def snapshot_stream(spark, sf_dir, *more):
+    """Line items as a stream of vital snapshots."""
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
     li = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
-    first, second = clinical_queries._split_sources()
-    snaps = li.selectExpr("concat(l_orderkey, '-', l_linenumber) as event_id", *(f"cast({e} as double) as {c}" for c, e in clinical_queries._SNAP.items()), "l_returnflag = 'R' and l_linenumber = 1 as consciousness_altered", first, second)
-    out = drained(spark, "stream_alerts", jobs.alert_stream(snaps))
-    return out.agg(F.count("*").alias("frames"), F.count_if(F.get_json_object("frame", "$.alert") == "true").alias("alerts"))
+    vitals = (f"cast({e} as double) as {c}" for c, e in clinical_queries._SNAP.items())
+    return li.selectExpr("concat(l_orderkey, '-', l_linenumber) as event_id", *more, *vitals, "l_returnflag = 'R' and l_linenumber = 1 as consciousness_altered", *clinical_queries._split_sources())
+
+
+@query(
+    "stream_alerts",
+    f"""WITH {clinical_queries.DECIDED_SQL} SELECT l_orderkey || '-' || l_linenumber AS event_id, is_true_alert AND reasons = '' AS alert,
+  CASE WHEN is_true_alert AND reasons <> '' THEN 'suppressed_sample_discrepancy' WHEN is_true_alert THEN 'rule_only' WHEN fp_candidate THEN 'suppressed_false_positive' ELSE 'stable_or_noise' END AS decision,
+  primary_rule FROM dis""",
+)
+def stream_alerts(spark, sf_dir):
+    """Decision of every streamed snapshot, read back from its frame."""
+    out = drained(spark, "stream_alerts", jobs.alert_stream(snapshot_stream(spark, sf_dir)))
+    at = lambda k: F.get_json_object("frame", f"$.{k}")
+    return out.select("event_id", (at("alert") == "true").alias("alert"), at("decision").alias("decision"), at("primary_rule").alias("primary_rule"))
 
 
 @query("stream_cusum", f"""WITH {views.BRONZE_SQL}, o AS (SELECT patient_id AS series, timestamp_utc, event_id, metric_value - 60 - 10 AS u, 60 - 10 - metric_value AS d FROM bronze), c AS (SELECT *, sum(u) OVER w AS cu, sum(d) OVER w AS cd FROM o WINDOW w AS (PARTITION BY series ORDER BY timestamp_utc, CAST(event_id AS BIGINT) ROWS UNBOUNDED PRECEDING)),
@@ -78,12 +93,19 @@ def stream_latent_states(spark, sf_dir):
     return out.groupBy("patient_id").agg(F.count("*").alias("n"), F.max("history_size").cast("long").alias("history"))
 
 
-@query("stream_scoring", f"WITH {clinical_queries.DECIDED_SQL} SELECT severity, count(*) AS n FROM dis GROUP BY 1")
+@query(
+    "stream_scoring",
+    f"""WITH m AS (SELECT l_orderkey || '-' || l_linenumber AS event_id, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p FROM lineitem),
+ s AS (SELECT avg(q) AS mq, avg(p) AS mp, var_samp(q) AS a, covar_samp(q, p) AS b, var_samp(p) AS c FROM m),
+ x AS (SELECT event_id, (c * (q - mq) * (q - mq) - 2 * b * (q - mq) * (p - mp) + a * (p - mp) * (p - mp)) / (a * c - b * b) AS d2 FROM m, s)
+ SELECT event_id, {rnd('exp(-d2 / 2)', 4)} AS p_value, exp(-d2 / 2) < 0.01 AS is_alert FROM x""",
+)
 def stream_scoring(spark, sf_dir):
+    """Streamed rows scored by a model fitted on the batch: distance from normal and its tail probability."""
     work = Scratch(spark, "stream_scoring")
-    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    li = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
-    first, second = clinical_queries._split_sources()
-    snaps = li.selectExpr(*(f"cast({e} as double) as {c}" for c, e in clinical_queries._SNAP.items()), "l_returnflag = 'R' and l_linenumber = 1 as consciousness_altered", first, second)
-    jobs.score_stream(snaps, lambda df: decide(df).select("severity", "decision"), f"{work.root}/scored", f"{work.root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{work.root}/scored").groupBy("severity").agg(F.count("*").alias("n"))
+    columns = ["q", "p"]
+    measured = ["cast(l_quantity as double) as q", "cast(l_extendedprice as double) as p"]
+    mean, inverse = models.mahalanobis_fit(read_table(spark, sf_dir, "lineitem").selectExpr(*measured), columns)
+    rows = snapshot_stream(spark, sf_dir, *measured).select("event_id", *columns)
+    jobs.score_stream(rows, lambda df: score_online(df, columns, mean, inverse), f"{work.root}/scored", f"{work.root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work.root}/scored").select("event_id", round_("p_value", 4).alias("p_value"), "is_alert")
