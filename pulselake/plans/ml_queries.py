@@ -100,17 +100,36 @@ def isolation_forest(spark, sf_dir):
     return scored.join(F.broadcast(cut)).select("id", "iso_score", (F.col("iso_score") > F.col("cut")).alias("is_anomaly"))
 
 
+MEASURES = ["chars", "words", "digits", "upper", "marks", "lines", "word_length"]
+
+
+def labelled_texts(spark, sf_dir):
+    """Labelled documents with seven measures of the text; the labels are not among them."""
+    d = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels"), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
+    chars = F.length(text).cast("double")
+    share = lambda pattern: F.coalesce(F.try_divide(count(pattern), chars), F.lit(0.0))
+    words = count(r"\S+")
+    return d.select(
+        F.col("doc_id").alias("id"), "quality", "toxic", chars.alias("chars"), words.alias("words"), share("[0-9]").alias("digits"), share("[A-Z]").alias("upper"),
+        share("[^A-Za-z0-9\\s]").alias("marks"), count("\n").alias("lines"), F.coalesce(F.try_divide(chars, words), F.lit(0.0)).alias("word_length"),
+    )
+
+
 @query("severity_classifier")
 def severity_classifier(spark, sf_dir):
-    m = measures(spark, sf_dir).withColumn("label", F.when(F.col("q") > 180, 2.0).when(F.col("q") > 90, 1.0).otherwise(0.0))
-    train, test = models.split(models.assemble(m, ["q", "d", "t", "n"]))
+    """Three levels (toxic 2, low quality 1, else 0) from the text's measures; the report of the held-out part."""
+    m = labelled_texts(spark, sf_dir).withColumn("label", F.when(F.col("toxic") == 1, 2.0).when(F.col("quality") == 0, 1.0).otherwise(0.0))
+    train, test = models.split(models.assemble(m, MEASURES))
     return models.classifier_report(models.severity_classifier(train).transform(test))
 
 
 @query("balanced_forest")
 def balanced_forest(spark, sf_dir):
-    m = measures(spark, sf_dir).withColumn("label", (F.col("q") > 180).cast("double"))
-    train, test = models.split(models.assemble(m, ["q", "d", "t", "n"]))
+    """Low quality or not from the text's measures, classes weighted alike; the report of the held-out part."""
+    m = labelled_texts(spark, sf_dir).withColumn("label", (1 - F.col("quality")).cast("double"))
+    train, test = models.split(models.assemble(m, MEASURES))
     return models.classifier_report(models.balanced_forest(train).transform(test))
 
 

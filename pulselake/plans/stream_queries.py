@@ -84,6 +84,21 @@ def stream_cusum(spark, sf_dir):
     return out.groupBy("series").agg(F.count("*").alias("n"), F.count_if("alarm").alias("alarms"))
 
 
+@query(
+    "stream_ewma",
+    f"""WITH RECURSIVE {views.BRONZE_SQL}, o AS (SELECT patient_id AS series, metric_value AS x, row_number() OVER (PARTITION BY patient_id ORDER BY timestamp_utc, metric_value) AS k FROM bronze),
+ r AS (SELECT series, k, x AS mean, 0.0::DOUBLE AS var, 0.0::DOUBLE AS z FROM o WHERE k = 1 UNION ALL
+  SELECT series, k, m, v, CASE WHEN sqrt(v) >= 1e-12 THEN (x - m) / sqrt(v) ELSE 0 END FROM (SELECT *, (x - m) ** 2 * 2 / 21 + var * 19 / 21 AS v FROM
+   (SELECT o.series, o.k, o.x, r.var, o.x * 2 / 21 + r.mean * 19 / 21 AS m FROM r JOIN o ON o.series = r.series AND o.k = r.k + 1)))
+ SELECT series, count(*) AS n, {rnd('sum(z)', 4)} AS z_sum, {rnd('max(abs(z))', 4)} AS z_max, count(*) FILTER (abs(z) > 3) AS alarms FROM r GROUP BY 1""",
+)
+def stream_ewma(spark, sf_dir):
+    """Scores of the streamed readings, summed per patient."""
+    r = reading_stream(spark, sf_dir).select(F.col("patient_id").alias("series"), F.col("timestamp_utc").alias("ts"), F.col("metric_value").alias("x"))
+    out = drained(spark, "stream_ewma", jobs.ewma_stream(r))
+    return out.groupBy("series").agg(F.count("*").alias("n"), round_(F.sum("z"), 4).alias("z_sum"), round_(F.max(F.abs("z")), 4).alias("z_max"), F.count_if("alarm").alias("alarms"))
+
+
 @query("stream_latent_states", f"WITH {views.BRONZE_SQL} SELECT patient_id, count(*) AS n, least(100, count(*)) AS history FROM bronze WHERE metric_type IN ('heart_rate', 'hrv', 'steps') GROUP BY 1")
 def stream_latent_states(spark, sf_dir):
     of = lambda m: F.when(F.col("metric_type") == m, F.col("metric_value"))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pulselake.clinical.alerts import decide
 from pulselake.operators import bronze
 from pulselake.operators.silver import anomaly_score
-from pulselake.series.recursive import _MEAN, _P0, OBSERVED, STATES, latent_step
+from pulselake.series.recursive import _MEAN, _P0, OBSERVED, STATES, decayed, latent_step
 from pulselake.functions.scalar import rnd
 
 
@@ -93,6 +93,26 @@ def cusum_stream(readings: DataFrame, mu: float, k: float, h: float) -> DataFram
     return readings.groupBy("series").applyInPandasWithState(step, "series string, ts timestamp, s_up double, s_down double, alarm boolean", "up double, down double", "append", GroupStateTimeout.NoTimeout)
 
 
+def ewma_stream(readings: DataFrame, span: int = 20, limit: float = 3.0) -> DataFrame:
+    """Adaptive z-score carried per series between batches: (series, ts, x) to (series, ts, z, alarm); the first point scores 0."""
+    a = 2.0 / (span + 1)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["ts", "x"], kind="stable")
+        x = rows["x"].to_numpy(float)
+        known = state.exists
+        start, var = state.get if known else (x[0], 0.0)
+        mean = decayed(x, a, start)  # from its own value the first point's mean is that value
+        off = x - mean
+        spread = decayed(off**2, a, var)
+        state.update((float(mean[-1]), float(spread[-1])))
+        sd = np.sqrt(spread)
+        z = np.divide(off, sd, out=np.zeros(len(x)), where=sd >= 1e-12)
+        yield pd.DataFrame({"series": key[0], "ts": rows["ts"].to_numpy(), "z": z, "alarm": np.abs(z) > limit})
+
+    return readings.groupBy("series").applyInPandasWithState(step, "series string, ts timestamp, z double, alarm boolean", "mean double, var double", "append", GroupStateTimeout.NoTimeout)
+
+
 def alert_stream(snapshots: DataFrame) -> DataFrame:
     """Stateless rule matrix, discrepancy and decision per row, as a JSON frame."""
     d = decide(snapshots)
