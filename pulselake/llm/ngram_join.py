@@ -8,18 +8,24 @@ discard pairs, and each pair left is verified once against the two texts.
 
 Groups of copies do not become all pairs. Equal sets are one class from the start. Of the other
 candidates each set first meets one smallest set of its shingles' lists, the one it shares most
-prefix shingles with; then, ROUNDS times, neighbours in a shingle's list that lie in different components meet, one pair for each two
-components. Only pairs that still lie in different components are joined after that. All of those
-are, so the components are those of the full link graph.
+prefix shingles with; then, ROUNDS times and each time in another order, neighbours in a shingle's
+list that lie in different components meet, one pair for each two components. Only pairs that
+still lie in different components are joined after that, each at the first prefix shingle it
+shares, and of those of two components a few are tried first: if they link, the others need not be.
+All that still lie apart are tried, so the components are those of the full link graph. Lists of shingles
+that are far more frequent than most are cut into pieces for the rounds; the last join compares
+their sets whole.
 
 Cases: null or word-less text has an empty set and links with nothing; repeated rows are one
-class; rows of one doc_id are one document with the smallest of their texts; a null doc_id takes
+class; rows of one doc_id are one document with the smallest of their texts (n_shingles is each row's own); a null doc_id takes
 no part (component null); an empty table gives no rows; other columns are ignored; ties in
 frequency are ordered by hash. Shingles are compared by a 64-bit hash.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,8 +40,16 @@ WORDS = 5
 SKETCH_BITS = 20
 #: 64-bit words of the parity signature of the suffix filter.
 PARITY = 16
+#: The same in the last join, where every prefix shingle carries a signature.
+COARSE = 8
 #: Rounds of one pair for each two components before all pairs of components still apart.
 ROUNDS = 1
+#: Candidates of two components that are tried at a time, before the components are taken anew; at last all.
+TRIED = (4, 64, None)
+#: A shingle's list is cut into pieces of this many times the mean of the count table's cells, so that no task sorts a hot one whole.
+HOT = 50
+#: Shingles before a prefix shingle that tell whether a pair was met already; further back it may come again, which distinct() mends.
+EARLIER = 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a worker keeps before it starts afresh.
 CACHE_WORDS = 200_000
@@ -115,22 +129,26 @@ def _count_table(parts: DataFrame) -> np.ndarray:
 
 
 def _postings(table):
-    """Prefix shingles of each document, rarest first by the broadcast count table."""
+    """Prefix shingles of each document, rarest first by the broadcast count table; parts: pieces of its list."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = table.value
-        tokens, sizes = [], []
+        piece = max(1.0, HOT * float(counts.mean()))
+        tokens, sizes, parts = [], [], []
         for text in utf8(batch, "text"):
             s = shingle_set(text)
-            order = np.argsort(counts[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)], kind="stable")
-            tokens.append(s[order[: prefix_length(len(s))]] if len(s) else s)
+            often = counts[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+            order = np.argsort(often, kind="stable")[: prefix_length(len(s)) if len(s) else 0]
+            tokens.append(s[order])
+            parts.append(np.ceil(often[order] / piece))
             sizes.append(len(s))
         each = np.array([len(t) for t in tokens], np.int64)
         pos = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), each)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(np.repeat(sizes, each).astype(np.int32)), pa.array(pos.astype(np.int32))],
-            ["token", "id", "n", "pos"],
+            [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(np.repeat(sizes, each).astype(np.int32))]
+            + [pa.array(x.astype(np.int32)) for x in (pos, np.concatenate(parts))],
+            ["token", "id", "n", "pos", "parts"],
         )
 
     return run
@@ -145,19 +163,32 @@ def _linked(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     return batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
 
-def _near(a: str, b: str) -> Column:
+def _near(a: str, b: str, words: int) -> Column:
     """Suffix filter: sets of sizes na and nb that link differ in at most na + nb - 2 ceil(3 (na + nb) / 7) shingles."""
-    differ = sum((F.bit_count(F.col(f"{a}parity")[k].bitwiseXOR(F.col(f"{b}parity")[k])) for k in range(PARITY)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{a}parity")[k].bitwiseXOR(F.col(f"{b}parity")[k])) for k in range(words)), F.lit(0))
     both = F.col(f"{a}n") + F.col(f"{b}n")
     return differ <= both - 2 * F.ceil(3 * both / 7)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, features: DataFrame, work: Scratch) -> DataFrame:
-    """The pairs (u, v) whose texts link: first the suffix filter, then the texts."""
-    side = lambda k: features.select(F.col("doc_id").alias(k), F.col("n").alias(f"{k}_n"), F.col("parity").alias(f"{k}_parity"))
-    near = work.write(pairs.join(side("u"), "u").join(side("v"), "v").where(_near("u_", "v_")).select("u", "v"), "near")
-    ends = near.select("u", "v", F.explode(F.array(F.struct(F.col("u").alias("doc_id"), F.lit(True).alias("first")), F.struct(F.col("v").alias("doc_id"), F.lit(False).alias("first")))).alias("end")).select("u", "v", "end.*")
-    texts = docs.join(small_side(ends, 2 * near.count()), "doc_id").groupBy("u", "v").agg(F.max(F.when(F.col("first"), F.col("text"))).alias("x"), F.max(F.when(~F.col("first"), F.col("text"))).alias("y"))
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Both ends (doc_id, first) of every pair (u, v, ...) of a written table, to join with rows of documents."""
+    end = lambda k: F.struct(F.col(k).alias("doc_id"), F.lit(k == "u").alias("first"))
+    ends = pairs.select("*", F.explode(F.array(end("u"), end("v"))).alias("end")).select(*pairs.columns, "end.*")
+    return small_side(ends, 2 * pairs.count())
+
+
+def _passing(pairs: DataFrame, features: DataFrame, work: Scratch) -> DataFrame:
+    """The pairs (u, v, ...) that the suffix filter lets through."""
+    pairs = work.write(pairs, "pairs")
+    of = lambda c, first: F.max(F.when(F.col("first") == first, F.col(c))).alias(f"{'u' if first else 'v'}_{c}")
+    both = features.select("doc_id", "n", "parity").join(_ends(pairs), "doc_id").groupBy(*pairs.columns)
+    return both.agg(*(of(c, first) for c in ("n", "parity") for first in (True, False))).where(_near("u_", "v_", PARITY)).select(*pairs.columns)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, work: Scratch) -> DataFrame:
+    """The pairs (u, v) of a written table whose texts link."""
+    texts = docs.join(_ends(pairs.select("u", "v")), "doc_id").groupBy("u", "v")
+    texts = texts.agg(F.max(F.when(F.col("first"), F.col("text"))).alias("x"), F.max(F.when(~F.col("first"), F.col("text"))).alias("y"))
     return work.write(map_batches(texts, _linked, "u long, v long"), "links")
 
 
@@ -165,7 +196,18 @@ def _placed(shared: DataFrame, comp: DataFrame, work: Scratch) -> DataFrame:
     """The postings of shingles whose sets lie in several components, with these."""
     placed = shared.join(small_side(comp.withColumnRenamed("node", "id"), comp.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return work.write(placed.join(split, "token").select("token", "id", "n", "pos", "component"), "open")
+    return work.write(placed.join(split, "token").select("token", "id", "n", "pos", "parts", "component"), "open")
+
+
+def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (u, v) of different components, numbered (nth) among those of the same two components."""
+    comp = small_side(comp, comp.count())
+    of = lambda k: comp.select(F.col("node").alias(k), F.col("component").alias(f"{k}_component"))
+    placed = pairs.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    ends = [F.coalesce("u_component", "u"), F.coalesce("v_component", "v")]
+    apart = placed.select("u", "v", F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).where("a <> b")
+    nth = F.row_number().over(W.partitionBy("a", "b").orderBy(F.xxhash64("u", "v"), "u", "v"))
+    return apart.select("u", "v", nth.alias("nth"))
 
 
 def near_duplicate_components(docs: DataFrame, work: Scratch | None = None) -> DataFrame:
@@ -188,37 +230,48 @@ def near_duplicate_components(docs: DataFrame, work: Scratch | None = None) -> D
     copies = member.where("doc_id <> rep or n = 0").select("doc_id")
     own = docs.join(small_side(copies, copies.count()), "doc_id", "left_anti")
 
-    in_bucket = W.partitionBy("token").orderBy("n", "id")
-    found = map_batches(own, _postings(table), "token long, id long, n int, pos int").withColumns(
-        {"prev": F.first("id").over(in_bucket), "prev_n": F.first("n").over(in_bucket), "next": F.lead("id").over(in_bucket)}
+    piece = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), "parts")
+    in_list = W.partitionBy("token", piece(0)).orderBy("n", "id")
+    found = map_batches(own, _postings(table), "token long, id long, n int, pos int, parts int").withColumns(
+        {"prev": F.first("id").over(in_list), "prev_n": F.first("n").over(in_list), "next": F.lead("id").over(in_list)}
     )
-    shared = work.write(found.where("prev <> id or next is not null").drop("next"), "postings")
+    shared = work.write(found.where("parts > 1 or prev <> id or next is not null").drop("next"), "postings")
 
     # first: each set and, of the smallest sets of its shingles' lists, the one it shares most prefix shingles with
     chain = shared.where("prev <> id and 4 * prev_n >= 3 * n").groupBy("id", "prev").agg(F.count("*").alias("k"))
     best = chain.groupBy("id").agg(F.max_by("prev", F.struct("k", "prev")).alias("prev"))
-    tried = work.write(best.select(F.col("prev").alias("u"), F.col("id").alias("v")), "tried")
-    comp = connected_components(_verified(tried, docs, features, work), work)
+    tried = work.write(_passing(best.select(F.least("prev", "id").alias("u"), F.greatest("prev", "id").alias("v")), features, work), "tried")
+    comp = connected_components(_verified(tried, docs, work), work)
 
     # then: neighbours of different components, one pair for each two
     open_ = _placed(shared.drop("prev", "prev_n"), comp, work)
-    for _ in range(ROUNDS):
-        near = open_.withColumns({c: F.lag(of).over(in_bucket) for c, of in (("prev", "id"), ("prev_n", "n"), ("prev_component", "component"))})
-        near = near.where("component <> prev_component and 4 * prev_n >= 3 * n").groupBy(F.col("prev").alias("u"), F.col("id").alias("v"), F.least("component", "prev_component").alias("a"), F.greatest("component", "prev_component").alias("b")).agg(F.count("*").alias("k"))
-        fresh = near.join(tried, ["u", "v"], "left_anti").groupBy("a", "b").agg(F.max_by(F.struct("u", "v"), F.struct("k", "u", "v")).alias("e")).select("e.*")
-        fresh = work.write(fresh, "tried")
+    work.drop(shared)
+    for k in range(1, ROUNDS + 1):
+        # sets of like size in an order of this round's own
+        like = F.floor(4 * F.log("n") + k / ROUNDS)
+        in_list = W.partitionBy("token", piece(k), like).orderBy(F.xxhash64("id", F.lit(-k)), "id")
+        near = open_.withColumns({c: F.lag(of).over(in_list) for c, of in (("prev", "id"), ("prev_n", "n"), ("prev_component", "component"))})
+        near = near.where("component <> prev_component and 4 * least(n, prev_n) >= 3 * greatest(n, prev_n)")
+        near = near.groupBy(F.least("prev", "id").alias("u"), F.greatest("prev", "id").alias("v"), F.least("component", "prev_component").alias("a"), F.greatest("component", "prev_component").alias("b"))
+        near = _passing(near.agg(F.count("*").alias("k")).join(tried, ["u", "v"], "left_anti"), features, work)
+        fresh = work.write(near.groupBy("a", "b").agg(F.max_by(F.struct("u", "v"), F.struct("k", "u", "v")).alias("e")).select("e.*"), "tried")
         if fresh.isEmpty():
             break
         tried = tried.union(fresh)
-        links = _verified(fresh, docs, features, work)
+        links = _verified(fresh, docs, work)
         if links.isEmpty():
-            continue
+            break
         comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), work)
-        open_ = _placed(open_.drop("component"), comp, work)
-
-    # last: every other candidate pair whose ends are still apart
-    open_ = work.write(open_.join(features.select(F.col("doc_id").alias("id"), "parity"), "id"), "signed")
-    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "component", "parity")))
+        last, open_ = open_, _placed(open_.drop("component"), comp, work)
+        work.drop(last)
+
+    # last: every other candidate pair whose ends are still apart, at the first prefix shingle that it shares
+    before = F.collect_list("token").over(W.partitionBy("id").orderBy("pos").rowsBetween(-EARLIER, -1))
+    # ranges COARSE apart share a parity bit here; the whole signature judges the pairs found
+    coarse = F.array(*(reduce(lambda a, b: a.bitwiseXOR(b), (F.col("parity")[j] for j in range(k, PARITY, COARSE))) for k in range(COARSE)))
+    last, open_ = open_, work.write(open_.withColumn("before", before).join(features.select(F.col("doc_id").alias("id"), coarse.alias("parity")), "id"), "signed")
+    work.drop(last)
+    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "component", "parity", "before")))
     apart = open_.join(
         y,
         (open_["token"] == y["token"])
@@ -226,13 +279,22 @@ def near_duplicate_components(docs: DataFrame, work: Scratch | None = None) -> D
             "component <> y_component and (n < y_n or (n = y_n and id < y_id)) and 4 * n >= 3 * y_n"
             " and pos <= n - ceil(6 * n / 7) and least(n - pos, y_n - y_pos) >= ceil(3 * (n + y_n) / 7)"
         )
-        & _near("", "y_"),
+        & _near("", "y_", COARSE)
+        & ~F.arrays_overlap("before", "y_before"),
     )
-    rest = apart.select(F.col("id").alias("u"), F.col("y_id").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+    rest = apart.select(F.least("id", "y_id").alias("u"), F.greatest("id", "y_id").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
     rest = work.write(rest, "rest")
-    more = rest if rest.isEmpty() else _verified(rest, docs, features, work)
-    stars = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    final = (comp if more.isEmpty() else connected_components(stars.union(more), work)).withColumnRenamed("node", "rep")
+    work.drop(open_)
+    for most in TRIED:
+        rest = work.write(_between(rest, comp), "between")
+        if rest.isEmpty():
+            break
+        now = rest if most is None else rest.where(F.col("nth") <= most)
+        links = _verified(work.write(_passing(now.select("u", "v"), features, work), "passing"), docs, work)
+        if not links.isEmpty():
+            comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), work)
+        rest = rest.where(F.lit(False)) if most is None else rest.where(F.col("nth") > most)
+    final = comp.withColumnRenamed("node", "rep")
 
     placed = member.join(small_side(final, final.count()), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").select("doc_id", "n_shingles", "component_id")
