@@ -57,6 +57,35 @@ def test_large_bucket_is_cut_and_all_pairs_compared(spark, monkeypatch):
     assert {r.n_links for r in got} == {49} and {r.component_id for r in got} == {0}
 
 
+def test_each_vector_length_is_its_own_group(spark):
+    rows = [(10, [1.0, 0.0], 1), (11, [1.0, 0.001], 1), (12, [1.0, 0.0, 0.0], 1), (13, [1.0, 0.0, 0.01], 1), (14, [0.0, 1.0, 0.0], 1), (15, [2.0], 1), (16, [3.0], 1), (17, [-3.0], 1), (18, [0.1], 1), (19, [0.1], 2), (20, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("x") for c in ("d", "v", "t", "key", "component", "n")})
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {10: (1, 10), 11: (1, 10), 12: (1, 12), 13: (1, 12), 14: (0, 14), 15: (2, 15), 16: (2, 15), 17: (0, 17), 18: (2, 15), 19: (0, 19), 20: (0, 20)}
+
+
+def test_repeated_vector_ids_and_text_labels(spark):
+    rows = [(1, [1.0, 2.0], "")] * 3 + [(2, [1.0, 2.0], ""), (2, [1.0, 9.0], ""), (3, [1.0, 2.0], "b"), (None, [1.0, 2.0], "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == {(1, 1, 1): 3, (2, 1, 1): 2, (3, 0, 3): 1, (None, 0, None): 1}
+
+
+@pytest.mark.parametrize("width", [6, 20])
+def test_recall_at_the_widest_substrings(spark, monkeypatch, width):
+    monkeypatch.setattr(embedding_dedup.Codes, "width", lambda self, dim: width)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 64))
+    near = base + 0.17 * rng.normal(size=base.shape)  # cosines about the threshold
+    x = np.concatenate([base, near])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = int((u @ u.T >= 0.98).sum()) - len(x)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = sum(r.n_links for r in embedding_dedup.near_duplicates(df).collect())
+    print(f"width {width}: {found} of {links} links")
+    assert links > 200 and found <= links and found >= 0.9 * links
+
+
 def test_no_embeddings(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(df).count() == 0
@@ -77,6 +106,44 @@ def test_language_held_out_accuracy(spark):
     assert language_id.keep_recognised(docs, model).columns == docs.columns
 
 
+def test_language_model_matches_plain_sets():
+    """Kernel by Python sets, Nyström map and ridge by plain solves, against the model's batched products."""
+    rng = np.random.default_rng(2)
+    letters = {"x": "abcdefgh ", "y": "efghijkl ", "z": "ijklmnop "}
+    texts, labels = [], []
+    for k in range(60):
+        lang = "xyz"[k % 3]
+        texts.append("".join(rng.choice(list(letters[lang]), 60)).encode())
+        labels.append(lang)
+    grams = [{t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)} for t in (re.sub(rb" +", b" ", t) for t in texts)]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    present = np.stack([language_id.gram_set(t) for t in texts])
+    unit = language_id._unit(present)
+    want = np.array([[kernel(a, b) for b in grams] for a in grams])
+    off = np.abs(unit @ unit.T - want)  # two n-grams in a hundred share a hashed place
+    assert off.mean() < 0.02 and off.max() < 0.1
+    model = language_id.Model(present, np.array(labels))
+    assert model.languages == ["x", "y", "z"] and len(model.landmarks) == 60
+    k_ll = (unit @ unit.T).astype(float)
+    values, vectors = np.linalg.eigh(k_ll)
+    ok = values > 1e-6 * values.max()
+    z = np.hstack([k_ll @ vectors[:, ok] / np.sqrt(values[ok]), np.ones((60, 1))])
+    y = np.where(np.array(labels)[:, None] == np.array(["x", "y", "z"])[None, :], 1.0, -1.0)
+    a = z.T @ z / 20
+    w = np.linalg.solve(a + language_id.RIDGE * np.trace(a) / len(a) * np.eye(len(a)), z.T @ y / 20)
+    best, score = model.predict(present)
+    assert best.tolist() == (z @ w).argmax(axis=1).tolist() == [0, 1, 2] * 20
+    assert ((score > 0) & (score <= 1)).all()
+
+
+def test_language_of_repeated_ids_and_rows(spark):
+    rows = [(1, "der die das und", "de"), (1, "the of and", "en"), (3, "the of and to", "en"), (3, "the of and to", "en"), (6, "der und die", "de")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    got = language_id.predict(df, model).distinct().collect()
+    assert {r.lang_pred for r in got} <= {"de", "en"} and len(got) == len({(r.doc_id, r.lang_pred, r.score) for r in got})
+
+
 def test_gram_set_covers_the_whole_text():
     a, b = b"abc " * 400_000 + b"zq", b"abc " * 400_000
     assert (language_id.gram_set(a) != language_id.gram_set(b)).any()
@@ -156,6 +223,18 @@ def test_mixing(spark):
     assert mixing.mix(df.where("text is null")).first().taken == 0
 
 
+def test_mixing_spreads_a_hot_id(spark):
+    rows = [(7, "a b c", "s0")] * 5000 + [(None, "d e", "s1")] * 3000 + [(k, "x " * (k % 9), "s2") for k in range(100, 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("copies", "place", "h", "hot")})
+    out = mixing.mix_documents(df)
+    assert {"text", "source", "copies", "taken", "h"} <= set(out.columns) and "mix_place" not in out.columns
+    got = out.groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert {r.source: r.n for r in got} == {"s0": 5000, "s1": 3000, "s2": 400}
+    assert all(abs(r.taken - r.target) <= 10 and r.most <= 3 for r in got)
+    again = Counter((r.doc_id, r.text, r.copies) for r in out.collect())
+    assert again == Counter((r.doc_id, r.text, r.copies) for r in mixing.mix_documents(df).collect())
+
+
 # ---- 6 PII
 
 
@@ -185,6 +264,43 @@ def test_pii_base_spans(spark):
     assert all(got[k] == ",".join(base_spans(t)) for k, t in enumerate([*TRICKY, TRICKY[2]]))
 
 
+def test_pii_of_a_very_long_text_is_linear(spark):
+    import time
+
+    began = time.perf_counter()
+    ids = [f"id{k}x{k * 7919 % 10007}" for k in range(80_000)]
+    mails = [f"u{k}@h{k}.org" for k in range(3_000)]
+    text = " ".join(ids) + " " + " ".join(mails)
+    df = documents(spark, [text])
+    found = pii.find(df).select(F.size("base").alias("n")).first().n
+    clean = pii.redact(df).first().text
+    assert found == 3_000 and clean.endswith("[EMAIL] [EMAIL]") and clean.count("[EMAIL]") == 3_000
+    assert time.perf_counter() - began < 90
+
+
+def test_pii_empty_table_and_repeated_rows(spark):
+    df = documents(spark, ["call +12345678901 now", "call +12345678901 now", None], True)
+    assert pii.find(df.where("false")).count() == 0 and pii.redact(df.where("false")).count() == 0
+    assert sorted(str(r.text) for r in pii.redact(df).collect()) == ["None", "call [PHONE] now", "call [PHONE] now"]
+
+
+def test_pii_scoring_matches_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"p{rng.integers(0, 8)}", f"i{rng.integers(0, 40)}", bool(rng.random() < 0.3)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "pattern string, instance string, seed boolean")
+    got = {r.pattern for r in pii.trusted_patterns(df, pii.Scratch(spark, "t")).collect()}
+    n = Counter((p, i) for p, i, _ in rows)
+    seed = {i: max(float(s) for _, j, s in rows if j == i) for _, i, _ in rows}
+    edge_seed = {(p, i): max(float(s) for q, j, s in rows if (q, j) == (p, i)) for p, i in n}
+    belief = {i: max(v for (_, j), v in edge_seed.items() if j == i) for i in seed}
+    for k in range(pii.ROUNDS):
+        conf = {p: sum(c * belief[i] for (q, i), c in n.items() if q == p) / (sum(c for (q, _), c in n.items() if q == p) + pii.SMOOTHING) for p, _ in n}
+        support = {p: sum(belief[i] >= pii.MIN_CONFIDENCE for q, i in n if q == p) for p in conf}
+        sure = {p: c if c >= pii.MIN_CONFIDENCE and support[p] >= pii.MIN_SUPPORT else 0.0 for p, c in conf.items()}
+        belief = {i: max(seed[i], 1 - np.prod([max(1 - sure[p], 1e-6) for p, j in n if j == i])) for i in seed}
+    assert got == {p for p, c in sure.items() if c > 0}
+
+
 def test_pii_bootstrap_and_redaction(spark):
     seeds = [f"word token = \"{hashlib.sha1(str(k).encode()).hexdigest()}\" end" for k in range(12)]
     unseen = ["more token = \"9f8e7d6c5b4a39281706a5b4\" end", "TOKEN = \"" + hashlib.sha1(b"x").hexdigest().upper() + "\" end", "the year 1999 and 123456 units"]
@@ -212,6 +328,29 @@ def test_license_scan(spark):
     assert got[2].labels == "mit" and got[4].labels == "cc-by-nc" and got[4].base_labels == "" and got[6].labels == "" and got[5].base_labels == "gpl"
 
 
+def test_license_labels_match_brute_force(spark):
+    """Whole templates are found and placed; a template with a repeated phrase is placed right; scattered words are not."""
+    rng = np.random.default_rng(4)
+    templates = {f"t{k}": [" ".join(f"w{j}" for j in rng.integers(0, 30, rng.integers(5, 15)))] for k in range(12)} | {"twice": ["use copy sell of it and use copy sell for all"]}
+    scanner = license_scan.Scanner(templates, {})
+    for _ in range(200):
+        picked = rng.choice(list(templates), 2, replace=False)
+        words = [f"v{j}" for j in rng.integers(0, 50, 20)]
+        text = " ".join([*words[:7], templates[picked[0]][0], *words[7:13], templates[picked[1]][0], *words[13:]])
+        *_, spans = scanner.scan(text.encode())
+        split = text.split()
+        whole = {(i, i + len(t.split()) - 1, lab) for lab, (t,) in templates.items() for i in range(len(split)) if split[i : i + len(t.split())] == t.split()}
+        assert whole <= {s[:3] for s in spans if s[3] == 1.0}, (text, spans)
+    scattered = " ".join(f"{w} filler{k} junk{k} more{k} words{k}" for k, w in enumerate(templates["t3"][0].split()))
+    assert not scanner.spans(license_scan.alnum_words(scattered.encode()))
+
+
+def test_license_empty_table_and_repeated_rows(spark):
+    df = documents(spark, ["Released under the MIT License."] * 3, True)
+    assert license_scan.scan(df.where("false")).count() == 0
+    assert [r.labels for r in license_scan.scan(df).collect()] == ["mit"] * 3
+
+
 def test_matching_statistics_are_the_longest_suffixes():
     a = license_scan.SuffixAutomaton([[1, 2, 3, 4], [3, 4, 5], [2, 3, 9]])
     text, subs = [1, 2, 3, 9, 3, 4, 5, 7, 2, 3], {tuple(s[i:j]) for s in ([1, 2, 3, 4], [3, 4, 5], [2, 3, 9]) for i in range(4) for j in range(i + 1, 5)}
@@ -234,6 +373,38 @@ def test_quality_held_out(spark):
     assert quality.train(np.zeros((0, len(quality.FEATURES))), np.zeros(0)).score(np.zeros((2, len(quality.FEATURES)))).tolist() == [0.5, 0.5]
 
 
+def test_tree_arrays_match_a_recursive_walk_and_exhaustive_splits(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 1] + 0.3 * rng.normal(size=400) > 0.2).astype(float)
+    trees = quality.train(x, y)
+
+    def walk(k, row, node=0):
+        left = trees.left[k, node]
+        return trees.value[k, node] if not left else walk(k, row, left + (row[trees.feature[k, node]] > trees.threshold[k, node]))
+
+    raw = np.array([trees.prior + sum(walk(k, row) for k in range(len(trees.feature))) for row in x[:50]])
+    assert np.allclose(trees.score(x[:50]), 1 / (1 + np.exp(-raw)), atol=1e-6)
+    # the first split against all thresholds of the bins
+    p = y.mean()
+    grad, hess = y - p, np.full(len(y), p * (1 - p))
+    best = max(
+        (grad[low].sum() ** 2 / (hess[low].sum() + quality.L2) + grad[~low].sum() ** 2 / (hess[~low].sum() + quality.L2), f, c)
+        for f in range(3) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1]))
+        if quality.MIN_LEAF <= (low := x[:, f] <= c).sum() <= len(y) - quality.MIN_LEAF
+    )
+    assert trees.feature[0, 0] == best[1] and np.isclose(trees.threshold[0, 0], best[2], atol=1e-6)
+
+
+def test_quality_duplicate_labels_and_empty_tables(spark):
+    docs = documents(spark, ["good words here", "BAD!!! $$$ ###"] * 20, True)
+    labels = spark.createDataFrame([(k, k % 2 == 0, k) for k in range(40)] + [(0, False, 0)] * 50, "doc_id long, good boolean, n long").select("doc_id", F.col("good").cast("int").alias("quality"))
+    model = quality.fit(docs.union(docs), labels)
+    assert quality.score(docs.where("false"), model).count() == 0
+    assert quality.fit(docs.where("false"), labels).score(np.zeros((1, len(quality.FEATURES)))).tolist() == [0.5]
+    assert quality.fit(docs, labels.where("false")).score(np.zeros((1, len(quality.FEATURES)))).tolist() == [0.5]
+
+
 # ---- 9 decontamination
 
 
@@ -268,6 +439,19 @@ def test_decontamination(spark, monkeypatch, part):
     assert decontaminate.scan(documents(spark, texts), bench.where("false")).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("part", [2_000_000, 1])
+def test_contaminated_rows_go_by_their_own_text(spark, monkeypatch, part):
+    monkeypatch.setattr(decontaminate, "PART_WORDS", part)
+    bench = spark.createDataFrame([(1, "some words of a test"), (None, "words without an id"), (2, "other words")], "item_id long, text string")
+    rows = [(5, "clean text"), (5, "some words of a test"), (None, "some words of a test"), (None, "clean"), (6, "clean text"), (7, None), (7, ""), (8, "see words without an id"), (8, "see words without an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x"))
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({(5, "clean text"): 1, (None, "clean"): 1, (6, "clean text"): 1, (7, None): 1, (7, ""): 1})
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.scan(df, bench).collect())
+    assert got == Counter({(5, 2, 0, 0): 1, (5, 5, 5, 1): 1, (None, 5, 5, 1): 1, (None, 1, 0, 0): 1, (6, 2, 0, 0): 1, (7, 0, 0, 0): 2, (8, 5, 4, 0): 2})
+
+
 # ---- 10 n-gram join
 
 
@@ -304,6 +488,31 @@ def test_ngram_components(spark):
     assert len(set(root)) < len(texts) - 20
 
 
+def test_ngram_pairs_of_a_large_group(spark, monkeypatch):
+    """A group of 2,000 near copies makes far fewer pairs than the square of its size."""
+    rng = np.random.default_rng(5)
+    base, texts = prose(7, 60, 2000).split(), []
+    for k in range(2000):
+        w = list(base)
+        for at in rng.integers(0, 60, rng.integers(0, 3)):
+            w[at] = f"z{rng.integers(0, 5000)}"
+        texts.append(" ".join(w))
+    made, write = [], ngram_join.Scratch.write
+
+    def counted(self, df, name="t"):
+        out = write(self, df, name)
+        if name in ("tried", "rest"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "write", counted)
+    got = ngram_join.near_duplicate_components(documents(spark, texts)).collect()
+    _, root = brute_components(texts[:60])
+    large = Counter(r.component_id for r in got).most_common(1)[0]
+    assert large[0] == 0 and large[1] > 1000 and Counter(root).most_common(1)[0][0] == 0
+    assert sum(made) < 2000 * 25, made
+
+
 def test_ngram_odd_ids(spark):
     df = spark.createDataFrame([(5, prose(1, 20)), (5, prose(1, 20)), (None, prose(1, 20)), (7, prose(1, 20)), (8, None)], "doc_id long, text string")
     got = Counter((r.doc_id, r.component_id) for r in ngram_join.near_duplicate_components(df).collect())
