@@ -2,11 +2,12 @@
 
 Base spans of four kinds (email, ip, card, phone) come from fixed patterns: the text is split by a
 kind's regular expression and running sums of the lengths of gaps and matches give the positions,
-all inside one projection. Possessive forms keep the scan linear in very long texts.
+all inside one projection. Possessive forms keep the scan linear in very long texts; folds that
+gather a list run over CHUNK matches at a time, since each step copies what it has gathered.
 
 The method then looks for identifiers the patterns miss. Candidates are runs of letters and
 digits with at least MIN_LENGTH characters and a digit. A candidate's lexical pattern is the word
-and the marks just left of it with the candidate's shape (``token = "`` + ``h16``). Seeds are
+and the marks just left of it, after the candidate before, with its shape (``token = "`` + ``h16``). Seeds are
 candidates inside base spans and hexadecimal runs of SEED_HEX or more characters. The
 pattern-instance graph is scored in ROUNDS rounds: a pattern's confidence is the smoothed share of
 its occurrences held by believed instances, an instance's belief is one minus the product of its
@@ -36,9 +37,10 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CANDIDATE = r"(?<![0-9A-Za-z])[0-9A-Za-z]++"
-CONTEXT = 48
 MIN_LENGTH = 6
+CANDIDATE = rf"(?<![0-9A-Za-z])(?=[A-Za-z]*+[0-9])[0-9A-Za-z]{{{MIN_LENGTH},}}+"
+CONTEXT = 48
+CHUNK = 128
 SEED_HEX = 32
 ROUNDS = 3
 SMOOTHING = 1.0
@@ -58,23 +60,43 @@ def _kept(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _chunks(values: Column) -> Column:
+    """An array in pieces of CHUNK elements, one piece at least."""
+    last = F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _with(value: Column, fn) -> Column:
+    """fn(value), value computed once however often fn names it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def positions(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points."""
+    """array<struct<start, end, value, left>> of the leftmost non-overlapping matches, in code points.
+
+    left is what stands before the match, after the match before it, its last CONTEXT characters.
+    """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,left:string>>)")
+    joined = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("value"), F.right(g, F.lit(CONTEXT)).alias("left")))
+    both = F.filter(joined, lambda x: x["value"].isNotNull())  # the text after the last match has none
 
     def step(acc: Column, x: Column) -> Column:
-        lo = acc["at"] + F.length(x["g"])
-        hi = lo + F.length(x["m"])
-        return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(F.struct(lo.alias("start"), hi.alias("end"), x["m"].alias("value")))).alias("out"))
+        lo = acc["at"] + x["gap"]
+        span = F.struct(lo.alias("start"), (lo + x["size"]).alias("end"), x["value"].alias("value"), x["left"].alias("left"))
+        return F.struct((lo + x["size"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    def piece(done: Column, chunk: Column) -> Column:
+        at = F.struct(F.element_at(done, -1)["at"].alias("at"), none.alias("out"))
+        return F.concat(done, F.array(F.aggregate(chunk, at, step)))
+
+    start = F.array(F.struct(F.lit(0).alias("at"), none.alias("out")))
+    return _with(both, lambda b: F.flatten(F.transform(F.aggregate(_chunks(b), start, piece), lambda r: r["out"])))
 
 
 def base_spans(text: Column) -> Column:
     """array<struct<kind, start, end>> by kind as listed, then start."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,left:string>>)")
     digit = text.rlike("[0-9]")
     hints = {"email": text.contains("@"), "ip": digit & text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "card": digit & text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), "phone": text.rlike(r"\+[0-9]")}
 
@@ -98,17 +120,24 @@ def _shape(value: Column) -> Column:
 
 def candidates(texts: DataFrame) -> DataFrame:
     """(key, start, end, pattern, instance, seed) of every identifier-like run of the texts (key, text, base)."""
-    spans = F.filter(positions(F.col("text"), CANDIDATE), lambda s: (F.length(s["value"]) >= MIN_LENGTH) & s["value"].rlike("[0-9]"))
-    rows = texts.where(F.col("text").rlike(rf"(?=[0-9A-Za-z]{{{MIN_LENGTH}}})[A-Za-z]*+[0-9]")).withColumn("s", F.explode(spans)).select("key", "text", "base", "s.*")
-    start = F.greatest(F.col("start") - CONTEXT, F.lit(0))
-    left = F.substring("text", start + 1, F.col("start") - start)
+
+    def marked(chunk: Column) -> Column:
+        lo, hi = F.get(chunk, F.lit(0))["start"], F.try_element_at(chunk, F.lit(-1))["end"]
+        near = F.filter("base", lambda b: (b["start"] < hi) & (lo < b["end"]))
+        touched = lambda s, of: F.exists(of, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return _with(near, lambda of: F.transform(chunk, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["left"].alias("left"), touched(s, of).alias("inside"))))
+
+    held = texts.where(F.col("text").rlike(CANDIDATE)).select("key", "base", positions(F.col("text"), CANDIDATE).alias("spans"))
+    plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["left"].alias("left"), F.lit(False).alias("inside")))
+    spans = F.when(F.size("base") > 0, F.flatten(F.transform(_chunks(F.col("spans")), marked))).otherwise(plain)
+    rows = held.select("key", F.explode(spans).alias("s")).select("key", "s.*")
     value = F.lower("value")
-    context = F.lower(F.regexp_extract(left, r"(\p{L}*+[^\p{L}\p{N}]{0,8}+)$", 1))
+    context = F.lower(F.regexp_extract("left", r"(\p{L}*+[^\p{L}\p{N}]{0,8}+)$", 1))
     word = F.regexp_extract(context, r"^(\p{L}*)", 1)
     marks = F.regexp_replace(F.regexp_extract(context, r"^\p{L}*(.*)$", 1), r"\s+", " ")
-    inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     hex_seed = (F.length("value") >= SEED_HEX) & value.rlike("^[0-9a-f]+$") & value.rlike("[0-9]")
-    return rows.select("key", "start", "end", F.concat_ws("|", word, marks, _shape(value)).alias("pattern"), value.alias("instance"), (inside | hex_seed).alias("seed"), inside.alias("inside"))
+    pattern = F.concat_ws("|", word, marks, _shape(value)).alias("pattern")
+    return rows.select("key", "start", "end", pattern, value.alias("instance"), (F.col("inside") | hex_seed).alias("seed"), "inside")
 
 
 def trusted_patterns(found: DataFrame, work: Scratch) -> DataFrame:
@@ -144,14 +173,26 @@ def redact(docs: DataFrame, work: Scratch | None = None) -> DataFrame:
     work = work or Scratch(docs.sparkSession, "pii")
     hits = find(docs, work).where("size(base) + size(found) > 0").select("key", F.concat("base", "found").alias("spans")).dropDuplicates(["key"])
     ordered = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        keep = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], keep, mark).alias("out"))
+    def step(text: Column, base: Column):
+        """Folds spans into the text that starts at base."""
+
+        def one(acc: Column, s: Column) -> Column:
+            keep = F.substring(text, acc["at"] - base + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], keep, mark).alias("out"))
+
+        return one
+
+    def piece(acc: Column, chunk: Column) -> Column:
+        end = F.greatest(acc["at"], F.array_max(F.transform(chunk, lambda s: s["end"])))
+        size = end - acc["at"]
+        zero = F.struct(acc["at"].alias("at"), F.lit("").alias("out"))
+        clean = _with(F.substring(acc["rest"], F.lit(1), size), lambda part: F.aggregate(chunk, zero, step(part, acc["at"]), lambda a: a["out"]))
+        return F.struct(end.alias("at"), F.substring(acc["rest"], size + 1, F.length(acc["rest"])).alias("rest"), F.concat(acc["out"], clean).alias("out"))
 
-    clean = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    whole = F.struct(F.lit(0).alias("at"), F.col("text").alias("rest"), F.lit("").alias("out"))
+    clean = _with(ordered, lambda spans: F.aggregate(_chunks(spans), whole, piece, lambda a: F.concat(a["out"], a["rest"])))
     text = F.when(F.col("pii_spans").isNull(), F.col("text")).otherwise(clean)
     key = F.struct(F.xxhash64("text").alias("h"), F.crc32("text").alias("c"))
     joined = docs.withColumn("pii_key", key).join(hits.select(F.col("key").alias("pii_key"), F.col("spans").alias("pii_spans")), "pii_key", "left")
@@ -162,4 +203,5 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = find(read_table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.concat("base", "found")).alias("spans"))
+    private = (F.size("base") + F.size("found") > 0).alias("has_personal_data")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.concat("base", "found")).alias("spans"), private)
