@@ -63,7 +63,8 @@ def fhir_bundles(spark, sf_dir):
 BOOSTS = {"diabetes": 0.12, "hypert": 0.15, "metformin": 0.05}
 
 
-@query("baseline_risk", f"""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS patient_id, CASE c_custkey % 3 WHEN 0 THEN 0.12 WHEN 1 THEN 0.15 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 0.05 ELSE 0 END AS g FROM customer) SELECT patient_id, {rnd('least(1.0, 0.05 + g::DOUBLE)', 4)} AS risk_factor FROM c""")
+@query("baseline_risk", f"""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS patient_id, CASE c_custkey % 3 WHEN 0 THEN 0.12 WHEN 1 THEN 0.15 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 0.05 ELSE 0 END AS g FROM customer)
+ SELECT patient_id, {rnd('least(1.0, 0.05 + g::DOUBLE)', 4)} AS risk_factor FROM c""")
 def baseline_risk(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("patient_id"), F.col("c_custkey").alias("k"))
     cond = c.select("patient_id", F.when(F.col("k") % 3 == 0, "Diabetes type 2").when(F.col("k") % 3 == 1, "Arterial hypertension").otherwise("Asthma").alias("name"))
@@ -71,7 +72,8 @@ def baseline_risk(spark, sf_dir):
     return scores.baseline_risk(c, cond, meds, BOOSTS).select("patient_id", "risk_factor")
 
 
-@query("horizon_labels", f"""WITH {DAILY_SQL}, w AS (SELECT DISTINCT patient_id, window_start AS ts FROM silver) SELECT w.patient_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, max(CASE WHEN a.window_start <= ts + INTERVAL 6 DAY THEN 1 ELSE 0 END) AS y6, max(CASE WHEN a.window_start <= ts + INTERVAL 24 DAY THEN 1 ELSE 0 END) AS y24
+@query("horizon_labels", f"""WITH {DAILY_SQL}, w AS (SELECT DISTINCT patient_id, window_start AS ts FROM silver)
+ SELECT w.patient_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, max(CASE WHEN a.window_start <= ts + INTERVAL 6 DAY THEN 1 ELSE 0 END) AS y6, max(CASE WHEN a.window_start <= ts + INTERVAL 24 DAY THEN 1 ELSE 0 END) AS y24
  FROM w LEFT JOIN alerts a ON a.patient_id = w.patient_id AND a.window_start > ts GROUP BY 1, 2""")
 def horizon_labels(spark, sf_dir):
     from pyspark.sql import Window as W

@@ -90,7 +90,10 @@ def high_risk_cohort(spark, sf_dir):
     return extract.high_risk_cohort(views.gold_tables(spark, sf_dir), 0.5)
 
 
-@query("quality_gates", f"""WITH {DAILY_SQL}, b AS (SELECT count(*) AS total, count(*) FILTER (signal_confidence >= 0.5) AS valid FROM bronze), s AS (SELECT count(*) AS produced, avg(quality_score) AS q FROM silver), h AS (SELECT count(*) AS nh FROM hourly), d AS (SELECT count(*) AS nd, min(coverage_24h) AS mc FROM daily)
+@query("quality_gates", f"""WITH {DAILY_SQL}, b AS (SELECT count(*) AS total, count(*) FILTER (signal_confidence >= 0.5) AS valid FROM bronze),
+ s AS (SELECT count(*) AS produced, avg(quality_score) AS q FROM silver),
+ h AS (SELECT count(*) AS nh FROM hourly),
+ d AS (SELECT count(*) AS nd, min(coverage_24h) AS mc FROM daily)
  SELECT 'bronze_to_silver' AS gate, total, CAST(valid AS DOUBLE) AS valid, produced, {rnd('q', 4)} AS quality, total > 0 AND produced > 0 AND produced / total BETWEEN 0.05 AND 1.0 AND q >= 0.6 AS passed FROM b, s
  UNION ALL SELECT 'silver_to_gold', nh, NULL, nd, {rnd('mc', 4)}, nh > 0 AND nd > 0 AND mc >= 0.425 FROM h, d""")
 def quality_gates(spark, sf_dir):
@@ -102,8 +105,12 @@ def quality_gates(spark, sf_dir):
     return first.unionByName(second)
 
 
-@query("lake_stats", f"""WITH {DAILY_SQL} SELECT 'bronze' AS layer, count(DISTINCT partition_date) AS partitions, count(*) AS n_rows, count(DISTINCT patient_id) AS patients FROM bronze UNION ALL SELECT 'silver', count(DISTINCT partition_date), count(*), count(DISTINCT patient_id) FROM silver
- UNION ALL SELECT 'gold', count(DISTINCT p), count(*), count(DISTINCT patient_id) FROM (SELECT patient_id, CAST(hour_bucket AS DATE) AS p FROM hourly UNION ALL SELECT patient_id, summary_date FROM daily UNION ALL SELECT patient_id, CAST(window_start AS DATE) FROM alerts)""")
+@query("lake_stats", f"""WITH {DAILY_SQL} SELECT 'bronze' AS layer, count(DISTINCT partition_date) AS partitions, count(*) AS n_rows, count(DISTINCT patient_id) AS patients FROM bronze
+ UNION ALL SELECT 'silver', count(DISTINCT partition_date), count(*), count(DISTINCT patient_id) FROM silver
+
+ UNION ALL SELECT 'gold', count(DISTINCT p), count(*), count(DISTINCT patient_id) FROM (SELECT patient_id, CAST(hour_bucket AS DATE) AS p FROM hourly
+ UNION ALL SELECT patient_id, summary_date FROM daily
+ UNION ALL SELECT patient_id, CAST(window_start AS DATE) FROM alerts)""")
 def lake_stats(spark, sf_dir):
     t = views.gold_tables(spark, sf_dir)
     dated = [t["hourly"].withColumn("partition_date", F.to_date("hour_bucket")), t["daily"].withColumn("partition_date", F.col("summary_date")), t["alerts"].withColumn("partition_date", F.to_date("window_start"))]

@@ -25,7 +25,8 @@ def measures(spark, sf_dir):
 M_SQL = "m AS (SELECT l_orderkey AS id, sum(l_quantity::DOUBLE) AS q, avg(l_discount::DOUBLE) AS d, avg(l_tax::DOUBLE) AS t, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1)"
 
 
-@query("mahalanobis", f"""WITH {M_SQL}, s AS (SELECT avg(q) AS mq, avg(n) AS mn, var_samp(q) AS a, covar_samp(q, n) AS b, var_samp(n) AS c FROM m), x AS (SELECT id, sqrt((c * (q - mq) * (q - mq) - 2 * b * (q - mq) * (n - mn) + a * (n - mn) * (n - mn)) / (a * c - b * b)) AS dist FROM m, s)
+@query("mahalanobis", f"""WITH {M_SQL}, s AS (SELECT avg(q) AS mq, avg(n) AS mn, var_samp(q) AS a, covar_samp(q, n) AS b, var_samp(n) AS c FROM m),
+ x AS (SELECT id, sqrt((c * (q - mq) * (q - mq) - 2 * b * (q - mq) * (n - mn) + a * (n - mn) * (n - mn)) / (a * c - b * b)) AS dist FROM m, s)
  SELECT id, {rnd('dist', 5)} AS distance, {rnd('exp(-dist * dist / 2)', 6)} AS p_value, exp(-dist * dist / 2) < 0.01 AS is_anomaly FROM x""")
 def mahalanobis(spark, sf_dir):
     m = measures(spark, sf_dir)
@@ -35,7 +36,9 @@ def mahalanobis(spark, sf_dir):
     return s.select("id", round_("dist", 5).alias("distance"), round_(p, 6).alias("p_value"), (p < 0.01).alias("is_anomaly"))
 
 
-@query("fisher_ensemble", f"""WITH {M_SQL}, z AS (SELECT id, exp(-greatest(q / 50, 0)) AS p1, exp(-greatest(n / 2, 0)) AS p2 FROM m), f AS (SELECT id, -2 * ln(greatest(p1, 1e-300)) - 2 * ln(greatest(p2, 1e-300)) AS st FROM z), p AS (SELECT id, st, least(1, exp(-st / 2) * (1 + st / 2)) AS p FROM f)
+@query("fisher_ensemble", f"""WITH {M_SQL}, z AS (SELECT id, exp(-greatest(q / 50, 0)) AS p1, exp(-greatest(n / 2, 0)) AS p2 FROM m),
+ f AS (SELECT id, -2 * ln(greatest(p1, 1e-300)) - 2 * ln(greatest(p2, 1e-300)) AS st FROM z),
+ p AS (SELECT id, st, least(1, exp(-st / 2) * (1 + st / 2)) AS p FROM f)
  SELECT id, {rnd('st', 5)} AS statistic, {rnd('p', 6)} AS p, CASE WHEN p < 0.001 THEN 'critical' WHEN p < 0.01 THEN 'high' WHEN p < 0.05 THEN 'moderate' ELSE 'normal' END AS severity FROM p""")
 def fisher_ensemble(spark, sf_dir):
     e = models.ensemble(measures(spark, sf_dir), {"quantity": lambda: (F.col("q") / 50, None), "lines": lambda: (F.col("n") / 2, None)})
@@ -55,7 +58,8 @@ _T_SQL = f"{L_SQL}, c AS (SELECT horizon, avg(label) AS pv, quantile_cont(prob,
 
 
 def _metrics_sql(op: str) -> str:
-    return f"""WITH {_T_SQL}, g AS (SELECT horizon, {rnd('any_value(threshold)', 6)} AS threshold, {_COUNTS(op)} FROM l JOIN t USING (horizon) GROUP BY 1) SELECT *, {rnd('coalesce(tp / nullif(tp + fn, 0), 0)', 6)} AS sensitivity, {rnd('coalesce(tn / nullif(tn + fp, 0), 0)', 6)} AS specificity, {rnd('coalesce(tp / nullif(tp + fp, 0), 0)', 6)} AS ppv, {rnd('coalesce(tn / nullif(tn + fn, 0), 0)', 6)} AS npv, {rnd('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)', 6)} AS f1 FROM g"""
+    return f"""WITH {_T_SQL}, g AS (SELECT horizon, {rnd('any_value(threshold)', 6)} AS threshold, {_COUNTS(op)} FROM l JOIN t USING (horizon) GROUP BY 1)
+ SELECT *, {rnd('coalesce(tp / nullif(tp + fn, 0), 0)', 6)} AS sensitivity, {rnd('coalesce(tn / nullif(tn + fp, 0), 0)', 6)} AS specificity, {rnd('coalesce(tp / nullif(tp + fp, 0), 0)', 6)} AS ppv, {rnd('coalesce(tn / nullif(tn + fn, 0), 0)', 6)} AS npv, {rnd('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)', 6)} AS f1 FROM g"""
 
 
 @query("clinical_metrics", _metrics_sql(">="))
@@ -75,7 +79,8 @@ def classifier_report(spark, sf_dir):
     return models.classifier_report(d.select(F.col("quality").alias("label"), (F.col("n_chars") > 1000).cast("int").alias("prediction")))
 
 
-@query("conformal", f"""WITH {L_SQL}, s AS (SELECT horizon, CASE WHEN label >= 0.5 THEN 1 - prob ELSE prob END AS score FROM l), q AS (SELECT horizon, count(*) AS n, quantile_cont(score, 0.5) AS med FROM s GROUP BY 1),
+@query("conformal", f"""WITH {L_SQL}, s AS (SELECT horizon, CASE WHEN label >= 0.5 THEN 1 - prob ELSE prob END AS score FROM l),
+ q AS (SELECT horizon, count(*) AS n, quantile_cont(score, 0.5) AS med FROM s GROUP BY 1),
  r AS (SELECT s.horizon, score, row_number() OVER (PARTITION BY s.horizon ORDER BY score) - 1 AS nth, n, least(1, ceil((n + 1) * 0.9::DOUBLE) / n) * (n - 1) AS a FROM s JOIN q ON q.horizon = s.horizon),
  h AS (SELECT horizon, sum(CASE WHEN nth = floor(a) THEN score * (1 - (a - floor(a))) WHEN nth = floor(a) + 1 THEN score * (a - floor(a)) ELSE 0 END) AS q_hat, count(*) AS n FROM r GROUP BY 1)
  SELECT h.horizon, {rnd('any_value(q_hat)', 6)} AS q_hat, any_value(n) AS n, {rnd('avg(CASE WHEN score <= q_hat + 1e-12 THEN 1.0 ELSE 0.0 END)', 6)} AS coverage FROM h JOIN s ON s.horizon = h.horizon GROUP BY 1""")

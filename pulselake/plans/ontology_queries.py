@@ -69,7 +69,8 @@ def enriched_alerts(spark, sf_dir):
 
 @query(
     "ontology_code_system",
-    f"""WITH {_WORDS}, t AS (SELECT token, count(*) AS n FROM words GROUP BY 1 ORDER BY n DESC, token LIMIT 100), a AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY n DESC, source LIMIT 30)
+    f"""WITH {_WORDS}, t AS (SELECT token, count(*) AS n FROM words GROUP BY 1 ORDER BY n DESC, token LIMIT 100),
+ a AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY n DESC, source LIMIT 30)
  SELECT 'CodeSystem' AS resource_type, (SELECT count(*) FROM t) + (SELECT count(*) FROM a) AS concepts, (SELECT token FROM t ORDER BY n DESC, token LIMIT 1) AS first_code,
   (SELECT 'area-' || source FROM a ORDER BY n DESC, source LIMIT 1) AS first_area""",
 )

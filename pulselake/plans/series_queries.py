@@ -89,13 +89,15 @@ def edge_denoise(spark, sf_dir):
 
 
 @query("transient_filter", f"""WITH {S_SQL}, b AS (SELECT *, {_MA(5)} AS b FROM s), r AS (SELECT *, stddev_pop(x - b) OVER (PARTITION BY series) AS sd FROM b),
- w AS (SELECT *, 1 / (1 + exp(4 * (abs(x - b) / CASE WHEN sd <= 1e-6 THEN 1 ELSE sd END - 2))) AS w FROM r) SELECT series, idx, {rnd('w', 6)} AS weight, {rnd('w * x + (1 - w) * b', 5)} AS filtered FROM w""")
+ w AS (SELECT *, 1 / (1 + exp(4 * (abs(x - b) / CASE WHEN sd <= 1e-6 THEN 1 ELSE sd END - 2))) AS w FROM r)
+ SELECT series, idx, {rnd('w', 6)} AS weight, {rnd('w * x + (1 - w) * b', 5)} AS filtered FROM w""")
 def transient_filter(spark, sf_dir):
     return rounded(windows.transient_filter(series(spark, sf_dir)), "weight").withColumn("filtered", round_("filtered", 5)).drop("x", "ts")
 
 
 @query("vital_features", f"""WITH {S_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY idx DESC) AS back, avg(x) OVER w AS m, greatest(stddev_pop(x) OVER w, 1.0) AS noise FROM s WINDOW w AS (PARTITION BY series)),
- l AS (SELECT *, (x - m) / noise AS dev, CASE WHEN abs((x - m) / noise) > 2 THEN 1 ELSE 0 END AS large FROM r WHERE back <= 20), g AS (SELECT *, back - sum(large) OVER (PARTITION BY series ORDER BY back) AS grp FROM l),
+ l AS (SELECT *, (x - m) / noise AS dev, CASE WHEN abs((x - m) / noise) > 2 THEN 1 ELSE 0 END AS large FROM r WHERE back <= 20),
+ g AS (SELECT *, back - sum(large) OVER (PARTITION BY series ORDER BY back) AS grp FROM l),
  runs AS (SELECT series, max(c) AS run FROM (SELECT series, grp, count(*) AS c FROM g WHERE large = 1 GROUP BY 1, 2) GROUP BY 1),
  f AS (SELECT series, max(dev) FILTER (back = 1) AS deviation, CASE WHEN count(*) FILTER (back <= 12) >= 3 THEN regr_slope(x, -back::DOUBLE) FILTER (back <= 12) ELSE 0 END AS slope, count(*) AS n FROM l GROUP BY 1)
  SELECT f.series, {rnd('deviation', 6)} AS deviation, {rnd('slope', 6)} AS slope, {rnd('CASE WHEN n >= 5 THEN coalesce(run, 0) / n ELSE 0 END', 6)} AS persistence FROM f LEFT JOIN runs ON f.series = runs.series""")
@@ -109,14 +111,16 @@ def last_n_history(spark, sf_dir):
     return windows.last_n(c, 3).select(F.col("series").alias("conv_id"), F.col("idx").alias("turn"), "role")
 
 
-@query("subsampled_fill", f"""WITH {S_SQL}, n AS (SELECT series, idx, CASE WHEN idx % 4 = 0 THEN NULL ELSE x END AS x, row_number() OVER (PARTITION BY series ORDER BY idx) - 1 AS k FROM s), k AS (SELECT * FROM n WHERE k % 3 = 0)
+@query("subsampled_fill", f"""WITH {S_SQL}, n AS (SELECT series, idx, CASE WHEN idx % 4 = 0 THEN NULL ELSE x END AS x, row_number() OVER (PARTITION BY series ORDER BY idx) - 1 AS k FROM s),
+ k AS (SELECT * FROM n WHERE k % 3 = 0)
  SELECT series, idx, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY series ORDER BY idx ROWS UNBOUNDED PRECEDING), first_value(x IGNORE NULLS) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM k""")
 def subsampled_fill(spark, sf_dir):
     s = series(spark, sf_dir).withColumn("x", F.when(F.col("idx") % 4 != 0, F.col("x")))
     return windows.subsample(s, 3).drop("ts")
 
 
-@query("horizon_steps", f"""WITH {S_SQL}, g AS (SELECT series, (epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY series ORDER BY ts, idx)))) / 60 AS g FROM s), m AS (SELECT series, median(g) AS m FROM g GROUP BY 1)
+@query("horizon_steps", f"""WITH {S_SQL}, g AS (SELECT series, (epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY series ORDER BY ts, idx)))) / 60 AS g FROM s),
+ m AS (SELECT series, median(g) AS m FROM g GROUP BY 1)
  SELECT series, {rnd('m', 4)} AS median_minutes, CAST(greatest(1, floor(360 / nullif(m, 0))) AS INTEGER) AS steps_6h, CAST(greatest(1, floor(1440 / nullif(m, 0))) AS INTEGER) AS steps_24h, CAST(greatest(1, floor(4320 / nullif(m, 0))) AS INTEGER) AS steps_72h FROM m""")
 def horizon_steps(spark, sf_dir):
     s = series(spark, sf_dir)
@@ -142,8 +146,12 @@ def risk_series(spark, sf_dir):
     return rounded(windows.risk_series(wide_vitals(spark, sf_dir)), "risk").select("patient_id", "window_start", "risk")
 
 
-@query("sliding_sequences", f"""WITH {S_SQL}, u AS (SELECT series, idx, least(1, x / 100) AS x FROM s), r AS (SELECT *, list(x) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS seq, count(x) OVER f AS n,
- max(x) OVER a AS m6, avg(x) OVER a AS a6, max(x) OVER b AS m24, avg(x) OVER b AS a24, max(x) OVER c AS m72, avg(x) OVER c AS a72 FROM u WINDOW f AS (PARTITION BY series ORDER BY idx ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING), a AS (PARTITION BY series ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), b AS (PARTITION BY series ORDER BY idx ROWS BETWEEN 3 FOLLOWING AND 5 FOLLOWING), c AS (PARTITION BY series ORDER BY idx ROWS BETWEEN 6 FOLLOWING AND 8 FOLLOWING)),
+@query("sliding_sequences", f"""WITH {S_SQL}, u AS (SELECT series, idx, least(1, x / 100) AS x FROM s),
+ r AS (SELECT *, list(x) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS seq, count(x) OVER f AS n,
+ max(x) OVER a AS m6, avg(x) OVER a AS a6, max(x) OVER b AS m24, avg(x) OVER b AS a24, max(x) OVER c AS m72, avg(x) OVER c AS a72 FROM u WINDOW f AS (PARTITION BY series ORDER BY idx ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING),
+ a AS (PARTITION BY series ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING),
+ b AS (PARTITION BY series ORDER BY idx ROWS BETWEEN 3 FOLLOWING AND 5 FOLLOWING),
+ c AS (PARTITION BY series ORDER BY idx ROWS BETWEEN 6 FOLLOWING AND 8 FOLLOWING)),
  y AS (SELECT *, m6 > 0.5 AND a6 > 0.38 AS y6, a24 > 0.36 AND m24 > 0.48 AS z24, a72 > 0.34 AND m72 > 0.44 AND seq[8] < 0.3 AS z72 FROM r WHERE len(seq) = 8 AND n = 9)
  SELECT series, idx, {rnd('list_sum(seq)', 5)} AS seq_sum, CAST(y6 AS INTEGER) AS y6, CAST(NOT y6 AND z24 AS INTEGER) AS y24, CAST(NOT y6 AND NOT (NOT y6 AND z24) AND z72 AS INTEGER) AS y72 FROM y""")
 def sliding_sequences(spark, sf_dir):
@@ -162,7 +170,8 @@ def hrv_time_domain(spark, sf_dir):
     return rounded(windows.hrv_time_domain(rr), "sdnn", "rmssd", "pnn50", "mean_rr", "range_rr", "mean_hr", digits=5).drop("min_rr", "max_rr")
 
 
-@query("chunk_profile", f"""WITH {S_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY idx) - 1 AS k, count(*) OVER (PARTITION BY series) AS n FROM s), c AS (SELECT series, scale, k // scale AS c, max(x) - min(x) AS p, count(*) AS m FROM k, (VALUES (4), (8), (16)) v(scale) WHERE n >= 2 * scale GROUP BY 1, 2, 3)
+@query("chunk_profile", f"""WITH {S_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY idx) - 1 AS k, count(*) OVER (PARTITION BY series) AS n FROM s),
+ c AS (SELECT series, scale, k // scale AS c, max(x) - min(x) AS p, count(*) AS m FROM k, (VALUES (4), (8), (16)) v(scale) WHERE n >= 2 * scale GROUP BY 1, 2, 3)
  SELECT series, scale, {rnd('avg(p)', 6)} AS mean_p2p FROM c WHERE m = scale GROUP BY 1, 2""")
 def chunk_profile(spark, sf_dir):
     return rounded(windows.chunk_profile(series(spark, sf_dir)), "mean_p2p")
@@ -170,7 +179,8 @@ def chunk_profile(spark, sf_dir):
 
 @query(
     "blended_smooth",
-    f"""WITH {S_SQL}, p AS (SELECT series, idx, x, row_number() OVER o - 1 AS k, count(*) OVER w AS n, list(x) OVER w AS l FROM s WINDOW w AS (PARTITION BY series), o AS (PARTITION BY series ORDER BY idx)),
+    f"""WITH {S_SQL}, p AS (SELECT series, idx, x, row_number() OVER o - 1 AS k, count(*) OVER w AS n, list(x) OVER w AS l FROM s WINDOW w AS (PARTITION BY series),
+ o AS (PARTITION BY series ORDER BY idx)),
  q AS (SELECT p.*, f.x AS a, e.x AS z FROM p JOIN p f ON f.series = p.series AND f.k = 0 JOIN p e ON e.series = p.series AND e.k = e.n - 1),
  m AS (SELECT *, sum(x) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) + greatest(0, 4 - k) * a + greatest(0, k + 4 - n) * z AS total FROM q)
  SELECT series, idx, {rnd('CASE WHEN n < 8 THEN x ELSE 0.5 * total / 8 + 0.5 * x END', 5)} AS y FROM m""",
@@ -188,7 +198,8 @@ def hrv_summary(spark, sf_dir):
     return windows.short_summary(hrv.real_intervals(beats(spark, sf_dir)))
 
 
-@query("katz_dimension", f"""WITH {S_SQL}, d AS (SELECT series, abs(x - lag(x) OVER w) AS s, abs(x - first_value(x) OVER w) AS far FROM s WINDOW w AS (PARTITION BY series ORDER BY idx)), g AS (SELECT series, sum(s) AS l, max(far) AS d, count(s) AS n FROM d GROUP BY 1)
+@query("katz_dimension", f"""WITH {S_SQL}, d AS (SELECT series, abs(x - lag(x) OVER w) AS s, abs(x - first_value(x) OVER w) AS far FROM s WINDOW w AS (PARTITION BY series ORDER BY idx)),
+ g AS (SELECT series, sum(s) AS l, max(far) AS d, count(s) AS n FROM d GROUP BY 1)
  SELECT series, {rnd('CASE WHEN n < 2 OR d <= 0 OR l <= 0 THEN 1 ELSE least(2, greatest(1, abs(log10(n) / (log10(n) + log10(d / l))))) END', 6)} AS katz FROM g""")
 def katz_dimension(spark, sf_dir):
     return rounded(windows.katz_dimension(series(spark, sf_dir)), "katz")
@@ -232,7 +243,8 @@ def beats(spark, sf_dir):
 @query(
     "hrv_entropies",
     f"""WITH {S_SQL}, r AS (SELECT series, idx, least(2500, greatest(200, 60000 / nullif(x, 0))) AS x FROM s), k AS (SELECT * FROM r WHERE x > 0),
- t AS (SELECT series, idx, x AS x0, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, 0.2::DOUBLE * stddev_samp(x) OVER w AS tol, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY series), o AS (PARTITION BY series ORDER BY idx)),
+ t AS (SELECT series, idx, x AS x0, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, 0.2::DOUBLE * stddev_samp(x) OVER w AS tol, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY series),
+ o AS (PARTITION BY series ORDER BY idx)),
  u AS (SELECT * FROM t WHERE n >= 4 AND tol > 2e-11 AND x1 IS NOT NULL),
  p AS (SELECT a.series, a.idx, any_value(a.n) AS n, count(*) AS c, count(*) FILTER (abs(a.x2 - b.x2) <= a.tol) AS d, count(*) FILTER (a.idx <> b.idx AND a.x2 IS NOT NULL AND b.x2 IS NOT NULL) AS q,
    count(*) FILTER (a.idx <> b.idx AND abs(a.x2 - b.x2) <= a.tol) AS r FROM u a JOIN u b ON a.series = b.series AND abs(a.x0 - b.x0) <= a.tol AND abs(a.x1 - b.x1) <= a.tol GROUP BY 1, 2),
@@ -257,21 +269,27 @@ def hrv_bands_even(spark, sf_dir):
     return hrv.band_powers(hrv.even_spectrum(beats(spark, sf_dir)))
 
 
-@query("sample_entropy", f"""WITH {S_SQL}, t AS (SELECT series, idx, x AS x0, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, 0.2 * stddev_pop(x) OVER (PARTITION BY series) AS r FROM s WINDOW o AS (PARTITION BY series ORDER BY idx)), k AS (SELECT * FROM t WHERE x2 IS NOT NULL AND r > 0),
+@query("sample_entropy", f"""WITH {S_SQL}, t AS (SELECT series, idx, x AS x0, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, 0.2 * stddev_pop(x) OVER (PARTITION BY series) AS r FROM s WINDOW o AS (PARTITION BY series ORDER BY idx)),
+ k AS (SELECT * FROM t WHERE x2 IS NOT NULL AND r > 0),
  p AS (SELECT a.series, count(*) AS b, count(*) FILTER (abs(a.x2 - c.x2) <= a.r) AS a FROM k a JOIN k c ON a.series = c.series AND a.idx < c.idx AND abs(a.x0 - c.x0) <= a.r AND abs(a.x1 - c.x1) <= a.r GROUP BY 1)
  SELECT series, {rnd('CASE WHEN a > 0 THEN -ln(a / b) END', 6)} AS sampen FROM p""")
 def sample_entropy(spark, sf_dir):
     return rounded(windows.sample_entropy(series(spark, sf_dir)), "sampen")
 
 
-@query("ewma_zscore", f"""WITH RECURSIVE {S_SQL}, o AS (SELECT series, idx, x, row_number() OVER (PARTITION BY series ORDER BY idx) AS k FROM s), r AS (SELECT series, idx, k, x AS mean, 0.0::DOUBLE AS var, 0.0::DOUBLE AS z FROM o WHERE k = 1
+@query("ewma_zscore", f"""WITH RECURSIVE {S_SQL}, o AS (SELECT series, idx, x, row_number() OVER (PARTITION BY series ORDER BY idx) AS k FROM s),
+ r AS (SELECT series, idx, k, x AS mean, 0.0::DOUBLE AS var, 0.0::DOUBLE AS z FROM o WHERE k = 1
+
  UNION ALL SELECT o.series, o.idx, o.k, a * o.x + (1 - a) * r.mean, a * (o.x - (a * o.x + (1 - a) * r.mean)) ** 2 + (1 - a) * r.var, coalesce((o.x - (a * o.x + (1 - a) * r.mean)) / nullif(sqrt(a * (o.x - (a * o.x + (1 - a) * r.mean)) ** 2 + (1 - a) * r.var), 0), 0) FROM r JOIN o ON o.series = r.series AND o.k = r.k + 1, (SELECT 2.0::DOUBLE / 21 AS a))
  SELECT series, idx, {rnd('z', 5)} AS z, abs(z) > 3 AS alarm FROM r""")
 def ewma_zscore(spark, sf_dir):
     return rounded(recursive.ewma_zscore(series(spark, sf_dir).drop("ts")), "z", digits=5).drop("x")
 
 
-@query("ewma_baseline", f"""WITH RECURSIVE {S_SQL}, o AS (SELECT series, idx, x, row_number() OVER (PARTITION BY series ORDER BY idx) AS k FROM s), r AS (SELECT series, idx, k, x AS b FROM o WHERE k = 1 UNION ALL SELECT o.series, o.idx, o.k, 0.05::DOUBLE * o.x + 0.95::DOUBLE * r.b FROM r JOIN o ON o.series = r.series AND o.k = r.k + 1) SELECT series, idx, {rnd('b', 5)} AS baseline FROM r""")
+@query("ewma_baseline", f"""WITH RECURSIVE {S_SQL}, o AS (SELECT series, idx, x, row_number() OVER (PARTITION BY series ORDER BY idx) AS k FROM s),
+ r AS (SELECT series, idx, k, x AS b FROM o WHERE k = 1
+ UNION ALL SELECT o.series, o.idx, o.k, 0.05::DOUBLE * o.x + 0.95::DOUBLE * r.b FROM r JOIN o ON o.series = r.series AND o.k = r.k + 1)
+ SELECT series, idx, {rnd('b', 5)} AS baseline FROM r""")
 def ewma_baseline(spark, sf_dir):
     return rounded(recursive.ewma_baseline(series(spark, sf_dir).drop("ts")), "baseline", digits=5).drop("x")
 
@@ -355,22 +373,31 @@ def grid_operators(spark, sf_dir):
     return rounded(g, "gradient", "divergence", "curl", digits=5)
 
 
-@query("flow_irregularities", f"""WITH {GRID_SQL}, l AS (SELECT field_id, i, j, k, 'gradient' AS operator, gradient AS value FROM g UNION ALL SELECT field_id, i, j, k, 'divergence', divergence FROM g UNION ALL SELECT field_id, i, j, k, 'curl', curl FROM g),
- h AS (SELECT *, row_number() OVER (PARTITION BY field_id, operator ORDER BY {rnd('abs(value)', 6)} DESC, i, j, k) AS nth FROM l), t AS (SELECT *, CASE WHEN operator = 'gradient' AND value >= 8 THEN 8.0 WHEN operator = 'divergence' AND value >= 15 THEN 15.0 WHEN operator = 'divergence' AND value <= -12 THEN -12.0 WHEN operator = 'curl' AND value >= 20 THEN 20.0 END AS threshold FROM h WHERE nth <= 2 AND value <> 0)
+@query("flow_irregularities", f"""WITH {GRID_SQL}, l AS (SELECT field_id, i, j, k, 'gradient' AS operator, gradient AS value FROM g
+ UNION ALL SELECT field_id, i, j, k, 'divergence', divergence FROM g
+ UNION ALL SELECT field_id, i, j, k, 'curl', curl FROM g),
+ h AS (SELECT *, row_number() OVER (PARTITION BY field_id, operator ORDER BY {rnd('abs(value)', 6)} DESC, i, j, k) AS nth FROM l),
+ t AS (SELECT *, CASE WHEN operator = 'gradient' AND value >= 8 THEN 8.0 WHEN operator = 'divergence' AND value >= 15 THEN 15.0 WHEN operator = 'divergence' AND value <= -12 THEN -12.0 WHEN operator = 'curl' AND value >= 20 THEN 20.0 END AS threshold FROM h WHERE nth <= 2 AND value <> 0)
  SELECT field_id, operator, {rnd('value', 5)} AS value, nth, CAST(threshold AS DOUBLE) AS threshold, CASE WHEN abs(value) >= 1.5 * abs(threshold) THEN 'high' ELSE 'moderate' END AS severity FROM t WHERE threshold IS NOT NULL""")
 def flow_irregularities(spark, sf_dir):
     return rounded(grid.irregularities(grid.operators(lattice(spark, sf_dir))), "value", digits=5).select("field_id", "operator", "value", "nth", "threshold", "severity")
 
 
-@query("flow_summary", f"""WITH {GRID_SQL}, l AS (SELECT field_id, 'gradient' AS operator, gradient AS value FROM g UNION ALL SELECT field_id, 'divergence', divergence FROM g UNION ALL SELECT field_id, 'curl', curl FROM g), h AS (SELECT *, row_number() OVER (PARTITION BY field_id, operator ORDER BY abs(value) DESC) AS nth FROM l),
- n AS (SELECT field_id, count(*) AS n FROM h WHERE nth <= 2 AND ((operator = 'gradient' AND value >= 8) OR (operator = 'divergence' AND (value >= 15 OR value <= -12)) OR (operator = 'curl' AND value >= 20)) GROUP BY 1), e AS (SELECT field_id, max(gradient) AS a, min(divergence) AS b, max(divergence) AS c, max(curl) AS d FROM g GROUP BY 1)
+@query("flow_summary", f"""WITH {GRID_SQL}, l AS (SELECT field_id, 'gradient' AS operator, gradient AS value FROM g
+ UNION ALL SELECT field_id, 'divergence', divergence FROM g
+ UNION ALL SELECT field_id, 'curl', curl FROM g),
+ h AS (SELECT *, row_number() OVER (PARTITION BY field_id, operator ORDER BY abs(value) DESC) AS nth FROM l),
+ n AS (SELECT field_id, count(*) AS n FROM h WHERE nth <= 2 AND ((operator = 'gradient' AND value >= 8) OR (operator = 'divergence' AND (value >= 15 OR value <= -12)) OR (operator = 'curl' AND value >= 20)) GROUP BY 1),
+ e AS (SELECT field_id, max(gradient) AS a, min(divergence) AS b, max(divergence) AS c, max(curl) AS d FROM g GROUP BY 1)
  SELECT e.field_id, {rnd('a', 5)} AS gradient_max, {rnd('b', 5)} AS divergence_min, {rnd('c', 5)} AS divergence_max, {rnd('d', 5)} AS curl_max, coalesce(n, 0) AS irregularities, {rnd('least(1.0, coalesce(n, 0) / 6)', 6)} AS flow_score FROM e LEFT JOIN n ON e.field_id = n.field_id""")
 def flow_summary(spark, sf_dir):
     nodes = grid.operators(lattice(spark, sf_dir))
     return rounded(grid.flow_summary(nodes, grid.irregularities(nodes)), "gradient_max", "divergence_min", "divergence_max", "curl_max", digits=5).withColumn("flow_score", round_("flow_score", 6))
 
 
-_FOUND_SQL = f"""{GRID_SQL}, l AS (SELECT field_id, i, j, k, 'gradient' AS operator, gradient AS value FROM g UNION ALL SELECT field_id, i, j, k, 'divergence', divergence FROM g UNION ALL SELECT field_id, i, j, k, 'curl', curl FROM g),
+_FOUND_SQL = f"""{GRID_SQL}, l AS (SELECT field_id, i, j, k, 'gradient' AS operator, gradient AS value FROM g
+ UNION ALL SELECT field_id, i, j, k, 'divergence', divergence FROM g
+ UNION ALL SELECT field_id, i, j, k, 'curl', curl FROM g),
  h AS (SELECT *, row_number() OVER (PARTITION BY field_id, operator ORDER BY {rnd('abs(value)', 6)} DESC, i, j, k) AS nth FROM l),
  found AS (SELECT * FROM h WHERE nth <= 2 AND ((operator = 'gradient' AND value >= 8) OR (operator = 'divergence' AND (value >= 15 OR value <= -12)) OR (operator = 'curl' AND value >= 20)))"""
 FLOW_DOMAINS_SQL = f"""WITH {_FOUND_SQL} SELECT field_id, {rnd('least(1, count(*) * 0.25::DOUBLE)', 6)} AS cardiovascular, {rnd("least(1, 0.2::DOUBLE * count(*) FILTER (operator <> 'curl'))", 6)} AS monitoring,
@@ -383,7 +410,8 @@ def flow_alerts(spark, sf_dir):
     return grid.flow_alerts(grid.irregularities(grid.operators(lattice(spark, sf_dir))), text)
 
 
-@query("image_oscillation", f"""WITH im AS (SELECT label AS image_id, vec_id // 10 AS r, k - 1 AS c, embedding[k]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k) WHERE vec_id % 10 = label), q AS (SELECT a.image_id, a.r, a.c, any_value(a.v) AS v, list(b.v) AS l FROM im a JOIN im b ON a.image_id = b.image_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY 1, 2, 3)
+@query("image_oscillation", f"""WITH im AS (SELECT label AS image_id, vec_id // 10 AS r, k - 1 AS c, embedding[k]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k) WHERE vec_id % 10 = label),
+ q AS (SELECT a.image_id, a.r, a.c, any_value(a.v) AS v, list(b.v) AS l FROM im a JOIN im b ON a.image_id = b.image_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY 1, 2, 3)
  SELECT image_id, r, c, {rnd('v', 6)} AS v, {rnd('list_avg(list_transform(l, lambda x: abs(x - list_avg(l))))', 6)} AS mo, {rnd('list_avg(l)', 6)} AS smooth FROM q""")
 def image_oscillation(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings").where("vec_id % 10 = label")

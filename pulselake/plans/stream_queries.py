@@ -76,8 +76,10 @@ def stream_alerts(spark, sf_dir):
     return out.select("event_id", (at("alert") == "true").alias("alert"), at("decision").alias("decision"), at("primary_rule").alias("primary_rule"))
 
 
-@query("stream_cusum", f"""WITH {views.BRONZE_SQL}, o AS (SELECT patient_id AS series, timestamp_utc, event_id, metric_value - 60 - 10 AS u, 60 - 10 - metric_value AS d FROM bronze), c AS (SELECT *, sum(u) OVER w AS cu, sum(d) OVER w AS cd FROM o WINDOW w AS (PARTITION BY series ORDER BY timestamp_utc, CAST(event_id AS BIGINT) ROWS UNBOUNDED PRECEDING)),
- s AS (SELECT *, cu - least(0, min(cu) OVER w) AS up, cd - least(0, min(cd) OVER w) AS dn FROM c WINDOW w AS (PARTITION BY series ORDER BY timestamp_utc, CAST(event_id AS BIGINT) ROWS UNBOUNDED PRECEDING)) SELECT series, count(*) AS n, count(*) FILTER (up > 200 OR dn > 200) AS alarms FROM s GROUP BY 1""")
+@query("stream_cusum", f"""WITH {views.BRONZE_SQL}, o AS (SELECT patient_id AS series, timestamp_utc, event_id, metric_value - 60 - 10 AS u, 60 - 10 - metric_value AS d FROM bronze),
+ c AS (SELECT *, sum(u) OVER w AS cu, sum(d) OVER w AS cd FROM o WINDOW w AS (PARTITION BY series ORDER BY timestamp_utc, CAST(event_id AS BIGINT) ROWS UNBOUNDED PRECEDING)),
+ s AS (SELECT *, cu - least(0, min(cu) OVER w) AS up, cd - least(0, min(cd) OVER w) AS dn FROM c WINDOW w AS (PARTITION BY series ORDER BY timestamp_utc, CAST(event_id AS BIGINT) ROWS UNBOUNDED PRECEDING))
+ SELECT series, count(*) AS n, count(*) FILTER (up > 200 OR dn > 200) AS alarms FROM s GROUP BY 1""")
 def stream_cusum(spark, sf_dir):
     r = reading_stream(spark, sf_dir).select(F.col("patient_id").alias("series"), F.col("timestamp_utc").alias("ts"), F.col("metric_value").alias("x"))
     out = drained(spark, "stream_cusum", jobs.cusum_stream(r, 60.0, 10.0, 200.0))

@@ -53,7 +53,9 @@ def keyword_relevance(spark, sf_dir):
     return corpus.relevant(docs(spark, sf_dir), ["license", "token"]).select("doc_id")
 
 
-@query("keyword_topk", f"""WITH t AS (SELECT unnest([{', '.join(f"'{t}'" for t in TERMS)}]) AS term), h AS (SELECT term, count(*) AS n FROM documents JOIN t ON contains(lower(text), term) GROUP BY 1) SELECT term, n, round(n / max(n) OVER (), 4) AS score FROM h""")
+@query("keyword_topk", f"""WITH t AS (SELECT unnest([{', '.join(f"'{t}'" for t in TERMS)}]) AS term),
+ h AS (SELECT term, count(*) AS n FROM documents JOIN t ON contains(lower(text), term) GROUP BY 1)
+ SELECT term, n, round(n / max(n) OVER (), 4) AS score FROM h""")
 def keyword_topk(spark, sf_dir):
     return corpus.keyword_scores(docs(spark, sf_dir), TERMS)
 
@@ -73,7 +75,10 @@ def frequent_pairs(spark, sf_dir):
     return corpus.cooccurrence(held, corpus.token_counts(held, 40))
 
 
-@query("related_terms", f"""WITH RECURSIVE {_PAIRS}, top AS (SELECT * FROM co ORDER BY n DESC, a, b LIMIT 60), e AS (SELECT a, b FROM top UNION SELECT b, a FROM top), s AS (SELECT min(a) AS t FROM top), w AS (SELECT t, 0 AS k FROM s UNION SELECT e.b, w.k + 1 FROM w JOIN e ON e.a = w.t WHERE w.k < 2)
+@query("related_terms", f"""WITH RECURSIVE {_PAIRS}, top AS (SELECT * FROM co ORDER BY n DESC, a, b LIMIT 60),
+ e AS (SELECT a, b FROM top UNION SELECT b, a FROM top),
+ s AS (SELECT min(a) AS t FROM top),
+ w AS (SELECT t, 0 AS k FROM s UNION SELECT e.b, w.k + 1 FROM w JOIN e ON e.a = w.t WHERE w.k < 2)
  SELECT DISTINCT t AS term FROM w WHERE t NOT IN (SELECT t FROM s) ORDER BY 1 LIMIT 20""")
 def related_terms(spark, sf_dir):
     top = frequent_pairs(spark, sf_dir).orderBy(F.desc("n"), "a", "b").limit(60)
@@ -116,7 +121,8 @@ def hashed_embedding(spark, sf_dir):
     return corpus.hashed_embedding(docs(spark, sf_dir).where("doc_id is not null")).groupBy("doc_id").agg(F.count("*").alias("places"), F.sum(F.col("v") * F.col("v")).alias("norm2"))
 
 
-@query("vector_topk", f"""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS distance FROM embeddings, q),
+@query("vector_topk", f"""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+ d AS (SELECT query_id, vec_id, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS distance FROM embeddings, q),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS nth FROM d) SELECT query_id, vec_id, {rnd('distance', 5)} AS distance, nth FROM r WHERE nth <= 3""")
 def vector_topk(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
