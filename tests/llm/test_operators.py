@@ -497,12 +497,14 @@ def test_ngram_pairs_of_a_large_group(spark, monkeypatch):
         for at in rng.integers(0, 60, rng.integers(0, 3)):
             w[at] = f"z{rng.integers(0, 5000)}"
         texts.append(" ".join(w))
-    made, write = [], ngram_join.Scratch.write
+    made, joined, write = [], [], ngram_join.Scratch.write
 
     def counted(self, df, name="t"):
         out = write(self, df, name)
-        if name in ("tried", "rest"):
+        if name in ("tried", "passing"):  # what is verified
             made.append(out.count())
+        if name == "rest":  # what the last join makes
+            joined.append(out.count())
         return out
 
     monkeypatch.setattr(ngram_join.Scratch, "write", counted)
@@ -511,6 +513,7 @@ def test_ngram_pairs_of_a_large_group(spark, monkeypatch):
     large = Counter(r.component_id for r in got).most_common(1)[0]
     assert large[0] == 0 and large[1] > 1000 and Counter(root).most_common(1)[0][0] == 0
     assert sum(made) < 2000 * 25, made
+    assert sum(joined) < 2000 * 1999 / 2 / 20, joined
 
 
 def test_ngram_odd_ids(spark):
