@@ -198,7 +198,8 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 _CODECS: dict[str, Codec] = {}
 
 
-def _codec(sent) -> Codec:
+def received(sent) -> Codec:
+    """The codec of a vocabulary that send() sent, kept by the worker process."""
     key = sent.value["key"]
     if key not in _CODECS:
         _CODECS.clear()
@@ -206,7 +207,8 @@ def _codec(sent) -> Codec:
     return _CODECS[key]
 
 
-def _send(spark: SparkSession, path: str, pattern: str):
+def send(spark: SparkSession, path: str, pattern: str = public_tokenizers.PATTERN):
+    """A rank file and its pattern as a broadcast."""
     return spark.sparkContext.broadcast({"key": f"{path}\n{pattern}", "ranks": read_ranks(path), "patterns": (explicit(pattern, 0xFFFF), explicit(pattern, sys.maxunicode))})
 
 
@@ -222,10 +224,10 @@ def _schema(df: DataFrame, outputs: dict[str, str]) -> str:
 
 def encode(df: DataFrame, column: str = "text", offsets: bool = True, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """df with ids, and starts and ends (characters) of each token of the column's text if wanted."""
-    sent = _send(df.sparkSession, vocabulary, pattern)
+    sent = send(df.sparkSession, vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent)
+        codec = received(sent)
         for batch in slices(batches):
             texts = [(t or b"").decode("utf-8", "replace") for t in utf8(batch, column)]
             ids = codec.encode(texts)
@@ -241,10 +243,10 @@ def encode(df: DataFrame, column: str = "text", offsets: bool = True, vocabulary
 
 def decode(df: DataFrame, column: str = "ids", text: bool = True, vocabulary: str = VOCABULARY) -> DataFrame:
     """df with the bytes that the column's ids stand for, and their text if wanted."""
-    sent = _send(df.sparkSession, vocabulary, public_tokenizers.PATTERN)
+    sent = send(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent)
+        codec = received(sent)
         for batch in slices(batches):
             given, found = batch.column(column).cast(pa.list_(pa.int64())), []
             for k in range(len(given)):

@@ -11,7 +11,8 @@ puts a backslash before every backslash and before every control string (``### U
 ``### Assistant:``, ``### System:``, ``### Other:``, ``</turn>``); unescaping drops each backslash
 and keeps the character after it.
 
-Turns are encoded where they are read, in parallel; then one shuffle brings a conversation's turns
+A text's ids are those of its escaped whole text, however long. Turns are encoded where they are
+read, in parallel, with a vocabulary that the driver reads and sends; then one shuffle brings a conversation's turns
 to one task, sorted, which streams them: it holds one turn's ids at a time and running digests, so
 a conversation of any length fits.
 
@@ -23,23 +24,20 @@ columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulselake.llm import byte_bpe
+from pulselake.llm.byte_bpe import VOCABULARY
 from pulselake.llm.common import map_batches
 from pulselake.session import read_table
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Public pre-tokenisation pattern of the byte-level BPE of this vocabulary (a fixed value).
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROLES = ("user", "assistant", "system")
 #: Reserved ids follow the vocabulary: start, end of turn, one per role, one for other roles.
 START, END, OTHER = 60000, 60001, 60002
@@ -47,8 +45,6 @@ ROLE_IDS = {role: 60003 + k for k, role in enumerate(ROLES)}
 _TEXT_OF = {START: "", END: "</turn>\n", OTHER: "### Other: "} | {i: f"### {role.capitalize()}: " for role, i in ROLE_IDS.items()}
 CONTROLS = ["### User:", "### Assistant:", "### System:", "### Other:", "</turn>"]
 _CONTROL = re.compile(r"\\|" + "|".join(map(re.escape, CONTROLS)))
-#: Characters encoded at a time; a BPE's time is not linear in the length of an unbroken run.
-RUN = re.compile(r"(?s).{1,4096}")
 
 
 def escape(text: str) -> str:
@@ -59,24 +55,11 @@ def unescape(text: str) -> str:
     return re.sub(r"(?s)\\(.)", r"\1", text)
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """The tiktoken encoding of a vocabulary file, one per worker process."""
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def _encoder(vocabulary: str):
+def _encoder(sent):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        code = tokenizer(vocabulary)
         roles = [r or "" for r in batch.column("role").to_pylist()]
-        ids = []
-        for role, text in zip(roles, batch.column("text").to_pylist()):
-            body = escape(text or "") if role in ROLE_IDS else f"{escape(role)}\n{escape(text or '')}"
-            ids.append([t for part in RUN.findall(body) for t in code.encode_ordinary(part)])
+        bodies = [escape(text or "") if role in ROLE_IDS else f"{escape(role)}\n{escape(text or '')}" for role, text in zip(roles, batch.column("text").to_pylist())]
+        ids = byte_bpe.received(sent).encode(bodies)
         return pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(roles, pa.string()), batch.column("text"), pa.array(ids, pa.list_(pa.int32()))], ["conv_id", "turn", "role", "text", "ids"])
 
     return run
@@ -96,11 +79,14 @@ def assemble(role: str, ids: np.ndarray, first: bool) -> tuple[np.ndarray, np.nd
 class Reader:
     """Reads a token stream and its mask back: turns, masked text and formatted length."""
 
-    def __init__(self, vocabulary: str):
-        self.code, self.turns = tokenizer(vocabulary), 0
+    def __init__(self, codec: byte_bpe.Codec):
+        self.codec, self.turns = codec, 0
         self.all, self.masked = hashlib.sha256(), hashlib.sha256()
         self.loss_chars = self.formatted_chars = 0
 
+    def _text(self, ids: np.ndarray) -> str:
+        return self.codec.decode(ids).decode("utf-8", "replace")
+
     def feed(self, tokens: np.ndarray, mask: np.ndarray) -> None:
         """Whole turns of the stream, in order."""
         reserved = np.flatnonzero(tokens >= START)
@@ -111,7 +97,7 @@ class Reader:
             if kind in (START, END):
                 continue
             role = kind
-            raw = self.code.decode(tokens[at + 1 : after].tolist())
+            raw = self._text(tokens[at + 1 : after])
             self.formatted_chars += len(raw)
             name, text = next((r for r, i in ROLE_IDS.items() if i == role), ""), raw
             if role == OTHER:
@@ -121,7 +107,7 @@ class Reader:
             self.all.update(f"{name}\n{unescape(text)}\n".encode())
         for run in np.split(np.flatnonzero(mask), np.flatnonzero(np.diff(np.flatnonzero(mask)) > 1) + 1):
             if len(run):
-                text = unescape(self.code.decode(tokens[run].tolist()))
+                text = unescape(self._text(tokens[run]))
                 self.loss_chars += len(text)
                 self.masked.update(text.encode())
 
@@ -150,7 +136,7 @@ def _assembled(batches: Iterator[pa.RecordBatch]):
 def encode_turns(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """conv_id, turn, role, text and the ids of each turn's escaped text."""
     given = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return map_batches(given, _encoder(vocabulary), "conv_id long, turn long, role string, text string, ids array<int>")
+    return map_batches(given, _encoder(byte_bpe.send(conversations.sparkSession, vocabulary)), "conv_id long, turn long, role string, text string, ids array<int>")
 
 
 def token_rows(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -168,6 +154,8 @@ def token_rows(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
 def digests(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """What the assembled sequences say when read back, one row per conversation."""
 
+    sent = byte_bpe.send(conversations.sparkSession, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, reader, of = [], None, None
 
@@ -180,7 +168,7 @@ def digests(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
             if first:
                 if reader:
                     rows.append(reader.row(of))
-                reader, of = Reader(vocabulary), conv
+                reader, of = Reader(byte_bpe.received(sent)), conv
                 if len(rows) >= 2000:
                     yield flush()
             reader.feed(tokens, mask)

@@ -16,8 +16,6 @@ is ``und``; an empty table gives no rows; lang, source and doc_id are not read w
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +35,6 @@ RIDGE = 1e-2
 #: Texts scored below this are rejected by keep_recognised (four languages score 0.25 each by chance).
 MIN_SCORE = 0.35
 SHARPNESS = 6.0
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters lower-cased, bytes of non-ASCII characters kept, the rest blank.
 _FOLD = np.array([b if 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)], np.uint32)
 _MULT = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
@@ -61,8 +58,8 @@ def gram_set(text: bytes) -> np.ndarray:
 
 
 def has_letter(text: bytes | None) -> bool:
-    """Whether any character is a letter."""
-    return bool(text) and _LETTER.search(text.decode("utf-8", "replace")) is not None
+    """Whether any character is a letter (Unicode category L: digits, fractions, numerals and lone marks are none)."""
+    return bool(text) and any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 def _unit(present: np.ndarray) -> np.ndarray:

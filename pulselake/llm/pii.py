@@ -7,7 +7,7 @@ gather a list run over CHUNK matches at a time, since each step copies what it h
 
 The method then looks for identifiers the patterns miss. Candidates are runs of letters and
 digits with at least MIN_LENGTH characters and a digit. A candidate's lexical pattern is the word
-and the marks just left of it, after the candidate before, with its shape (``token = "`` + ``h16``). Seeds are
+and all marks just left of it, after the candidate before, with its shape (``token = "`` + ``h16``). Seeds are
 candidates inside base spans and hexadecimal runs of SEED_HEX or more characters. The
 pattern-instance graph is scored in ROUNDS rounds: a pattern's confidence is the smoothed share of
 its occurrences held by believed instances, an instance's belief is one minus the product of its
@@ -39,7 +39,6 @@ PATTERNS = {
 }
 MIN_LENGTH = 6
 CANDIDATE = rf"(?<![0-9A-Za-z])(?=[A-Za-z]*+[0-9])[0-9A-Za-z]{{{MIN_LENGTH},}}+"
-CONTEXT = 48
 CHUNK = 128
 SEED_HEX = 32
 ROUNDS = 3
@@ -74,11 +73,11 @@ def _with(value: Column, fn) -> Column:
 def positions(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value, left>> of the leftmost non-overlapping matches, in code points.
 
-    left is what stands before the match, after the match before it, its last CONTEXT characters.
+    left is what stands before the match, after the match before it.
     """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,left:string>>)")
-    joined = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("value"), F.right(g, F.lit(CONTEXT)).alias("left")))
+    joined = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("value"), g.alias("left")))
     both = F.filter(joined, lambda x: x["value"].isNotNull())  # the text after the last match has none
 
     def step(acc: Column, x: Column) -> Column:
@@ -132,9 +131,10 @@ def candidates(texts: DataFrame) -> DataFrame:
     spans = F.when(F.size("base") > 0, F.flatten(F.transform(_chunks(F.col("spans")), marked))).otherwise(plain)
     rows = held.select("key", F.explode(spans).alias("s")).select("key", "s.*")
     value = F.lower("value")
-    context = F.lower(F.regexp_extract("left", r"(\p{L}*+[^\p{L}\p{N}]{0,8}+)$", 1))
-    word = F.regexp_extract(context, r"^(\p{L}*)", 1)
-    marks = F.regexp_replace(F.regexp_extract(context, r"^\p{L}*(.*)$", 1), r"\s+", " ")
+    # read backwards, so that one step a character finds the marks and the word before them
+    back, near = F.reverse("left"), r"(?s)^([^\p{L}\p{N}]*+)(\p{L}*+)"
+    word = F.lower(F.reverse(F.regexp_extract(back, near, 2)))
+    marks = F.regexp_replace(F.reverse(F.regexp_extract(back, near, 1)), r"\s+", " ")
     hex_seed = (F.length("value") >= SEED_HEX) & value.rlike("^[0-9a-f]+$") & value.rlike("[0-9]")
     pattern = F.concat_ws("|", word, marks, _shape(value)).alias("pattern")
     return rows.select("key", "start", "end", pattern, value.alias("instance"), (F.col("inside") | hex_seed).alias("seed"), "inside")

@@ -521,3 +521,38 @@ def test_ngram_odd_ids(spark):
     got = Counter((r.doc_id, r.component_id) for r in ngram_join.near_duplicate_components(df).collect())
     assert got == {(5, 5): 2, (None, None): 1, (7, 5): 1, (8, 8): 1}
     assert ngram_join.near_duplicate_components(df.where("false")).count() == 0
+
+
+# ---- letters, long texts and long contexts
+
+
+def test_language_of_texts_without_letters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = ["²½ 12", "½", "Ⅷ", "①", "́", "_", "٣", "ª", "²½ 12 é"]
+    got = language_id.predict(documents(spark, texts, True), language_id.fit(docs)).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in got] == [True] * 7 + [False] * 2
+    assert all(r.score == 0 for r in got[:7])
+
+
+def test_chat_ids_are_those_of_the_whole_text(spark):
+    import base64
+
+    import tiktoken
+
+    with open(chat_format.VOCABULARY, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    plain = tiktoken.Encoding("own", pat_str=r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
+    texts = ["word " * 1000, "".join(f"x{k} é" for k in range(25_000)), "a" * 100_000, " " * 9000 + "b", "\\ </turn> ### User: " * 3000]
+    df = spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.ids for r in chat_format.encode_turns(df).collect()}
+    assert all(got[k] == plain.encode_ordinary(chat_format.escape(t)) for k, t in enumerate(texts))
+
+
+def test_pii_contexts_of_any_length(spark):
+    """A word of 200 characters, and one 20 marks away, are part of the pattern."""
+    word, far = "k" * 200, "!?" * 10
+    rows = [(k, f"x {word} abc{k}def99 y", "") for k in range(2)] + [(2, f"token{far}zz12345z", ""), (3, f"other{far}zz12345z", "")]
+    df = spark.createDataFrame(rows, "key long, text string, b string").withColumn("base", F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)"))
+    got = {r.key: r.pattern for r in pii.candidates(df).collect()}
+    assert got[0].startswith(word + "| |") and got[0] == got[1]
+    assert got[2].startswith(f"token|{far}|") and got[3].startswith(f"other|{far}|")
