@@ -45,7 +45,7 @@ from pulselake.session import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: A memo that holds more pieces or more ids than this starts afresh.
-MEMO_PIECES, MEMO_IDS = 300_000, 4_000_000
+MEMO_PIECES, MEMO_IDS = 200_000, 3_000_000
 #: Characters of a text whose pieces stand in a list; those of a longer one come one by one.
 LISTED = 1 << 20
 #: Pieces that go through the library together.
@@ -120,28 +120,33 @@ class Codec:
     """Encodes and decodes; one per worker process."""
 
     def __init__(self, ranks: dict[bytes, int], patterns: tuple[str, str]):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        from tokenizers.models import BPE
-        from tokenizers.pre_tokenizers import Split
-
         char = byte_table()
         self.translate = {b: char[b] for b in range(256)}
         back = {c: b for b, c in enumerate(char)}
-        shown = {t: t.decode("latin-1").translate(self.translate) for t in ranks}
-        order = sorted((t for t in ranks if len(t) > 1), key=ranks.__getitem__)
-        merges = [tuple(shown[p] for p in parts(t, ranks)) for t in order]
-        self.model = Tokenizer(BPE(vocab={shown[t]: k for t, k in ranks.items()}, merges=merges, cache_capacity=0))
-        self.model.pre_tokenizer = Split("\n", "removed")  # no byte is shown as a line break, so it can part the pieces
-        self.patterns = [re.compile(p) for p in patterns]
+        self.shown = {token.decode("latin-1").translate(self.translate): k for token, k in ranks.items()}
         self.size = max(ranks.values()) + 1
         self.width = np.zeros(self.size, np.int64)
         table = [b""] * self.size
-        for word, k in self.model.get_vocab().items():
+        for word, k in self.shown.items():
             table[k] = bytes(back[c] for c in word)
             self.width[k] = len(table[k])
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         self.start = np.cumsum(self.width) - self.width
+        self.ranks, self.patterns, self.model = ranks, patterns, None
+
+    def _prepare(self) -> None:
+        """What only encoding needs: the library's model and the compiled patterns."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import Split
+
+        show = lambda token: token.decode("latin-1").translate(self.translate)
+        order = sorted((t for t in self.ranks if len(t) > 1), key=self.ranks.__getitem__)
+        merges = [tuple(map(show, parts(t, self.ranks))) for t in order]
+        self.model = Tokenizer(BPE(vocab=self.shown, merges=merges, cache_capacity=0))
+        self.model.pre_tokenizer = Split("\n", "removed")  # no byte is shown as a line break, so it can part the pieces
+        self.compiled = [re.compile(p) for p in self.patterns]
         self._forget()
 
     def _forget(self) -> None:
@@ -162,12 +167,14 @@ class Codec:
 
     def _pieces(self, text: str) -> np.ndarray:
         """The memo's places of the text's pieces."""
-        pattern = self.patterns[not text.isascii() and max(text, default="") > "\uffff"]
+        pattern = self.compiled[not text.isascii() and max(text, default="") > "\uffff"]
         found = pattern.findall(text) if len(text) <= LISTED else (m[0] for m in pattern.finditer(text))
         return np.fromiter(map(self.memo.__getitem__, found), np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        if self.model is None:
+            self._prepare()
         if len(self.memo) > MEMO_PIECES or len(self.ids) > MEMO_IDS:
             self._forget()
         places = [self._pieces(t) for t in texts]

@@ -8,13 +8,13 @@ discard pairs, and each pair left is verified once against the two texts.
 
 Groups of copies do not become all pairs. Equal sets are one class from the start. Of the other
 candidates each set first meets one smallest set of its shingles' lists, the one it shares most
-prefix shingles with; then, ROUNDS times and each time in another order, neighbours in a shingle's
-list that lie in different components meet, one pair for each two components. Only pairs that
-still lie in different components are joined after that, each at the first prefix shingle it
-shares, and of those of two components a few are tried first: if they link, the others need not be.
-All that still lie apart are tried, so the components are those of the full link graph. Lists of shingles
-that are far more frequent than most are cut into pieces for the rounds; the last join compares
-their sets whole.
+prefix shingles with. Then come rounds: each deals every shingle's list into random pieces (of MEET
+sets, more in the later round), compares the sets of a piece that lie in different components, and
+verifies at most PARTNERS of the pairs that pass the filters for each set. So a round's work grows
+with the lists and not with their squares, and a group with many links is one component before its pairs are made. Only pairs that still lie in different components are joined after that, each at the
+first prefix shingle it shares, and of those of two components a few are tried first: if they link,
+the others need not be. All that still lie apart are tried, so the components are those of the full
+link graph. The last join's keys are pairs of blocks of BLOCK sets of a shingle's list.
 
 Cases: null or word-less text has an empty set and links with nothing; repeated rows are one
 class; rows of one doc_id are one document with the smallest of their texts (n_shingles is each row's own); a null doc_id takes
@@ -42,8 +42,11 @@ SKETCH_BITS = 20
 PARITY = 16
 #: The same in the last join, where every prefix shingle carries a signature.
 COARSE = 8
-#: Rounds of one pair for each two components before all pairs of components still apart.
-ROUNDS = 1
+#: Sets of a piece of a shingle's list, by round; pairs that a set verifies in a round. After the second
+#: round the others run only while one links more than a set in SETTLED of those still open.
+MEET, PARTNERS, SETTLED = (8, 64, 64, 64, 64), 2, 200
+#: Sets of a shingle's list that stand under one key in the last join.
+BLOCK = 2048
 #: Candidates of two components that are tried at a time, before the components are taken anew; at last all.
 TRIED = (4, 64, None)
 #: A shingle's list is cut into pieces of this many times the mean of the count table's cells, so that no task sorts a hot one whole.
@@ -170,6 +173,18 @@ def _near(a: str, b: str, words: int) -> Column:
     return differ <= both - 2 * F.ceil(3 * both / 7)
 
 
+def _apart(x: DataFrame, y: DataFrame, keys: list[str], again: Column | None = None) -> DataFrame:
+    """Pairs (u, v) of different components that stand together under the keys and pass the length, positional and coarse filters, without those that again marks."""
+    y = y.select(*keys, *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "component", "parity", "before")))
+    filters = F.expr(
+        "component <> y_component and (n < y_n or (n = y_n and id < y_id)) and 4 * n >= 3 * y_n"
+        " and pos <= n - ceil(6 * n / 7) and least(n - pos, y_n - y_pos) >= ceil(3 * (n + y_n) / 7)"
+    )
+    same = reduce(lambda a, b: a & b, (x[c] == y[c] for c in keys))
+    found = x.join(y, (same & filters & _near("", "y_", COARSE)) if again is None else (same & filters & _near("", "y_", COARSE) & ~again))
+    return found.select(F.least("id", "y_id").alias("u"), F.greatest("id", "y_id").alias("v")).distinct()
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     """Both ends (doc_id, first) of every pair (u, v, ...) of a written table, to join with rows of documents."""
     end = lambda k: F.struct(F.col(k).alias("doc_id"), F.lit(k == "u").alias("first"))
@@ -193,10 +208,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, work: Scratch) -> DataFrame:
 
 
 def _placed(shared: DataFrame, comp: DataFrame, work: Scratch) -> DataFrame:
-    """The postings of shingles whose sets lie in several components, with these."""
+    """The postings of shingles whose sets lie in several components, with these and the length of the shingle's list."""
+    keep = [c for c in shared.columns if c not in ("component", "size")]
+    shared = shared.select(*keep)
     placed = shared.join(small_side(comp.withColumnRenamed("node", "id"), comp.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return work.write(placed.join(split, "token").select("token", "id", "n", "pos", "parts", "component"), "open")
+    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
+    return work.write(placed.join(split, "token").select(*keep, "component", "size"), "open")
 
 
 def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -243,46 +260,37 @@ def near_duplicate_components(docs: DataFrame, work: Scratch | None = None) -> D
     tried = work.write(_passing(best.select(F.least("prev", "id").alias("u"), F.greatest("prev", "id").alias("v")), features, work), "tried")
     comp = connected_components(_verified(tried, docs, work), work)
 
-    # then: neighbours of different components, one pair for each two
+    # then: some pairs a set, of pieces of the lists
     open_ = _placed(shared.drop("prev", "prev_n"), comp, work)
     work.drop(shared)
-    for k in range(1, ROUNDS + 1):
-        # sets of like size in an order of this round's own
-        like = F.floor(4 * F.log("n") + k / ROUNDS)
-        in_list = W.partitionBy("token", piece(k), like).orderBy(F.xxhash64("id", F.lit(-k)), "id")
-        near = open_.withColumns({c: F.lag(of).over(in_list) for c, of in (("prev", "id"), ("prev_n", "n"), ("prev_component", "component"))})
-        near = near.where("component <> prev_component and 4 * least(n, prev_n) >= 3 * greatest(n, prev_n)")
-        near = near.groupBy(F.least("prev", "id").alias("u"), F.greatest("prev", "id").alias("v"), F.least("component", "prev_component").alias("a"), F.greatest("component", "prev_component").alias("b"))
-        near = _passing(near.agg(F.count("*").alias("k")).join(tried, ["u", "v"], "left_anti"), features, work)
-        fresh = work.write(near.groupBy("a", "b").agg(F.max_by(F.struct("u", "v"), F.struct("k", "u", "v")).alias("e")).select("e.*"), "tried")
-        if fresh.isEmpty():
-            break
-        tried = tried.union(fresh)
-        links = _verified(fresh, docs, work)
-        if links.isEmpty():
-            break
-        comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), work)
-        last, open_ = open_, _placed(open_.drop("component"), comp, work)
-        work.drop(last)
-
-    # last: every other candidate pair whose ends are still apart, at the first prefix shingle that it shares
     before = F.collect_list("token").over(W.partitionBy("id").orderBy("pos").rowsBetween(-EARLIER, -1))
     # ranges COARSE apart share a parity bit here; the whole signature judges the pairs found
     coarse = F.array(*(reduce(lambda a, b: a.bitwiseXOR(b), (F.col("parity")[j] for j in range(k, PARITY, COARSE))) for k in range(COARSE)))
     last, open_ = open_, work.write(open_.withColumn("before", before).join(features.select(F.col("doc_id").alias("id"), coarse.alias("parity")), "id"), "signed")
     work.drop(last)
-    y = open_.select("token", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "component", "parity", "before")))
-    apart = open_.join(
-        y,
-        (open_["token"] == y["token"])
-        & F.expr(
-            "component <> y_component and (n < y_n or (n = y_n and id < y_id)) and 4 * n >= 3 * y_n"
-            " and pos <= n - ceil(6 * n / 7) and least(n - pos, y_n - y_pos) >= ceil(3 * (n + y_n) / 7)"
-        )
-        & _near("", "y_", COARSE)
-        & ~F.arrays_overlap("before", "y_before"),
-    )
-    rest = apart.select(F.least("id", "y_id").alias("u"), F.greatest("id", "y_id").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+    for k, most in enumerate(MEET, 1):
+        # where both sets are of like size, both places are within the first seventh
+        met = open_.where("pos <= n - ceil(6 * n / 7)").withColumn("part", F.pmod(F.xxhash64("id", "token", F.lit(k)), F.ceil(F.col("size") / most)))
+        near = _apart(met, met, ["token", "part"])
+        chosen = F.row_number().over(W.partitionBy("u").orderBy(F.xxhash64("v", F.lit(k)), "v")) <= PARTNERS
+        near = near.withColumn("chosen", chosen).where("chosen").select("u", "v")
+        fresh = work.write(_passing(near.join(tried, ["u", "v"], "left_anti"), features, work), "tried")
+        tried = tried.union(fresh)
+        links = _verified(fresh, docs, work)
+        n_links = links.count()
+        if n_links:
+            comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), work)
+            last, open_ = open_, _placed(open_, comp, work)
+            work.drop(last)
+        if k >= 2 and n_links * SETTLED <= open_.select("id").distinct().count():
+            break
+
+    # last: every other candidate pair whose ends are still apart, at the first prefix shingle that it shares
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
+    own, each = F.pmod(F.xxhash64("id", F.lit(0)), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    x = open_.select("token", "id", "n", "pos", "component", "parity", "before", own.alias("x_block"), each.alias("y_block"))
+    y = open_.select("token", "id", "n", "pos", "component", "parity", "before", own.alias("y_block"), each.alias("x_block"))
+    rest = _apart(x, y, ["token", "x_block", "y_block"], F.arrays_overlap("before", "y_before")).join(tried, ["u", "v"], "left_anti")
     rest = work.write(rest, "rest")
     work.drop(open_)
     for most in TRIED:

@@ -516,6 +516,40 @@ def test_ngram_pairs_of_a_large_group(spark, monkeypatch):
     assert sum(joined) < 2000 * 1999 / 2 / 20, joined
 
 
+def test_ngram_pairs_grow_with_the_group(spark, monkeypatch):
+    """Copies of one template, each with two random edits: pairs made and verified grow by a power below 1.3, components are those of brute force."""
+    made, write = {}, ngram_join.Scratch.write
+
+    def counted(self, df, name="t"):
+        out = write(self, df, name)
+        if name in ("tried", "passing", "rest"):
+            made[size] = made.get(size, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "write", counted)
+    for size in (500, 2000):
+        rng = np.random.default_rng(5)
+        base, texts = [f"w{k}" for k in rng.integers(0, 2000, 60)], []
+        for _ in range(size):
+            w = list(base)
+            for at in rng.integers(0, 60, 2):
+                w[at] = f"z{rng.integers(0, 10**6)}"
+            texts.append(" ".join(w))
+        got = {r.doc_id: r.component_id for r in ngram_join.near_duplicate_components(documents(spark, texts)).collect()}
+        sets = [{tuple(t.split()[k : k + 5]) for k in range(56)} for t in texts]
+        root = np.arange(size)
+        for a in range(size):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+                    x, y = sorted((root[a], root[b]))
+                    root[root == y] = x
+        assert [got[k] for k in range(size)] == root.tolist()
+    power = np.log(made[2000] / made[500]) / np.log(4)
+    print("pairs made and verified", made, "power", power)
+    assert power < 1.3, made
+
+
 def test_ngram_odd_ids(spark):
     df = spark.createDataFrame([(5, prose(1, 20)), (5, prose(1, 20)), (None, prose(1, 20)), (7, prose(1, 20)), (8, None)], "doc_id long, text string")
     got = Counter((r.doc_id, r.component_id) for r in ngram_join.near_duplicate_components(df).collect())
