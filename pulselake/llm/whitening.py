@@ -44,6 +44,8 @@ ROUNDING = 2e-14
 CONFIRM = 6
 #: Vectors of the fit list that stand in one row of its table.
 BLOCK = 2048
+#: Bytes of a file of the fit list.
+FILE_BYTES = 1 << 23
 #: Eigenvalues below this part of the largest have no scale.
 FLAT = 1e-14
 
@@ -96,8 +98,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_list(vectors: DataFrame, work: Scratch) -> DataFrame:
     """The distinct whole-number vectors of every length, packed in blocks (d, x), as a written table."""
-    distinct = vectors.select("embedding").mapInArrow(_packed, "d int, x binary").distinct()
-    return work.write(distinct.mapInArrow(_blocks, "d int, x binary"), "fit_list")
+    distinct = work.write(vectors.select("embedding").mapInArrow(_packed, "d int, x binary").distinct(), "distinct")
+    size = distinct.agg(F.sum(F.length("x"))).first()[0] or 0
+    # each step reads the list once, so it stands in few files, of FILE_BYTES
+    return work.write(distinct.coalesce(1 + size // FILE_BYTES).mapInArrow(_blocks, "d int, x binary"), "fit_list")
 
 
 def _matrix(row) -> np.ndarray:
