@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from datetime import date, datetime
 
@@ -97,9 +98,13 @@ class Lake:
     def purge(self, layer: str, table: str, patients: DataFrame) -> bool:
         """Erases the patients' rows and returns whether any went.
 
-        Touched partitions are rewritten beside the table; each old one is moved aside before its
-        replacement is moved in, and deleted only when all are in place, so a crash loses no row.
+        Touched partitions are rewritten in a folder of this run; each old one is moved aside before
+        its replacement is moved in, and deleted only when all are in place. What a stopped run left
+        is put back first, so a stop at any point loses no row: the partition that was aside without
+        a replacement comes back, and the same call erases it anew. One purge of a table at a time.
         """
+        runs = f"{self.root}/_purge/{layer}/{table}"
+        self._restore(runs, self.path(layer, table))
         if not self.exists(layer, table):
             return False
         df = self.read(layer, table)
@@ -107,19 +112,48 @@ class Lake:
         dates = [r[0] for r in hit.select("partition_date").distinct().collect()]
         if not dates:
             return False
-        fs, _ = self._fs(self.root)
-        kept, aside = df.where(F.col("partition_date").isin(*dates)).join(patients.select("patient_id"), "patient_id", "left_anti"), f"{self.root}/_purge"
-        temp, old = f"{aside}/new", f"{aside}/old"
-        kept.write.mode("overwrite").partitionBy("partition_date").parquet(temp)
+        kept, aside = df.where(F.col("partition_date").isin(*dates)).join(patients.select("patient_id"), "patient_id", "left_anti"), f"{runs}/{uuid.uuid4().hex}"
+        kept.write.mode("overwrite").partitionBy("partition_date").parquet(f"{aside}/new")
         for d in dates:
             part = f"partition_date={d.isoformat() if isinstance(d, date) else d}"
-            fs.mkdirs(self._fs(old)[1])
-            fs.rename(self._fs(f"{self.path(layer, table)}/{part}")[1], self._fs(f"{old}/{part}")[1])
-            if fs.exists(self._fs(f"{temp}/{part}")[1]):
-                fs.rename(self._fs(f"{temp}/{part}")[1], self._fs(f"{self.path(layer, table)}/{part}")[1])
-        fs.delete(self._fs(aside)[1], True)
+            self._move(f"{self.path(layer, table)}/{part}", f"{aside}/old/{part}")
+            if self._there(f"{aside}/new/{part}"):
+                self._move(f"{aside}/new/{part}", f"{self.path(layer, table)}/{part}")
+        self._remove(aside)
+        for empty in (runs, f"{self.root}/_purge/{layer}", f"{self.root}/_purge"):
+            fs, at = self._fs(empty)
+            if fs.exists(at) and not len(fs.listStatus(at)):
+                fs.delete(at, False)
         return True
 
+    def _restore(self, runs: str, table: str) -> None:
+        """Puts back the partitions that stopped runs moved aside and did not replace, then drops what they left."""
+        for run in self._list(runs):
+            for old in self._list(f"{run}/old"):
+                target = f"{table}/{old.rpartition('/')[2]}"
+                if not self._there(target):
+                    self._move(old, target)
+            self._remove(run)
+
+    def _there(self, path: str) -> bool:
+        fs, at = self._fs(path)
+        return fs.exists(at)
+
+    def _list(self, path: str) -> list[str]:
+        fs, at = self._fs(path)
+        return [x.getPath().toString() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _move(self, source: str, target: str) -> None:
+        fs, at = self._fs(source)
+        to = self._fs(target)[1]
+        fs.mkdirs(to.getParent())
+        if not fs.rename(at, to):
+            raise OSError(f"{source} could not be moved to {target}")
+
+    def _remove(self, path: str) -> None:
+        fs, at = self._fs(path)
+        fs.delete(at, True)
+
 
 def write_warehouse(df: DataFrame, path: str, day: str, cluster: list[str]) -> None:
     """Day-partitioned, clustered within partitions."""

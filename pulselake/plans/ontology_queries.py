@@ -90,4 +90,4 @@ def ontology_code_system(spark, sf_dir):
 def temporal_features(spark, sf_dir):
     """The feature matrix of all windows of all patients."""
     v = vitals_with_baseline(spark, sf_dir).withColumn("n_conditions", F.size("clinical_conditions"))
-    return temporal.feature_matrix(v.withColumn("quality_score", F.lit(1.0)))
+    return temporal.feature_matrix(v)

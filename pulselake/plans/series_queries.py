@@ -135,10 +135,10 @@ WIDE_VITALS_SQL = _WIDE
 
 
 def wide_vitals(spark, sf_dir):
-    """Silver with a column per vital."""
+    """Silver with a column per vital and the vitals' mean quality."""
     s = views.silver(spark, sf_dir)
     of = lambda m: F.avg(F.when(F.col("metric_type") == m, F.col("metric_value")))
-    return s.groupBy("patient_id", "window_start").agg(of("heart_rate").alias("heart_rate"), of("spo2").alias("spo2"), of("hrv").alias("hrv"), of("stress_index").alias("stress"), F.bool_or("is_anomaly").alias("is_anomaly"))
+    return s.groupBy("patient_id", "window_start").agg(of("heart_rate").alias("heart_rate"), of("spo2").alias("spo2"), of("hrv").alias("hrv"), of("stress_index").alias("stress"), F.avg(F.when(F.col("metric_type").isin("heart_rate", "spo2", "hrv", "stress_index"), F.col("quality_score"))).alias("quality_score"), F.bool_or("is_anomaly").alias("is_anomaly"))
 
 
 @query("risk_series", f"""WITH {_WIDE} SELECT patient_id, window_start, {rnd("0.30::DOUBLE * coalesce(least(1, greatest(0, (heart_rate - 78) / 45)), 0) + 0.30::DOUBLE * coalesce(least(1, greatest(0, (95.5 - spo2) / 10)), 0) + 0.20::DOUBLE * coalesce(least(1, greatest(0, (50 - hrv) / 50)), 0) + 0.10::DOUBLE * coalesce(least(1, greatest(0, stress / 100)), 0) + CASE WHEN is_anomaly THEN 0.10::DOUBLE ELSE 0 END", 6)} AS risk FROM v""", times=["window_start"])
@@ -305,11 +305,11 @@ def denoise_signal(spark, sf_dir):
     return d.groupBy("series").agg(F.count("*").alias("n"), F.stddev_pop("residual").alias("noise"), F.avg(F.col("is_artifact").cast("double")).alias("artifact_ratio"), F.max_by("filtered", "idx").alias("last_filtered")).withColumn("quality", F.greatest(F.lit(0.0), 1 - 2 * F.col("artifact_ratio")))
 
 
-@query("window_fusion")
+@query("window_fusion", f"""{views.FUSED_SQL} SELECT series, w AS "window", {rnd('fused', 6)} AS fused, {rnd('variance', 6)} AS variance, n_sensors FROM r WHERE k > 0""")
 def window_fusion(spark, sf_dir):
     b = views.bronze(spark, sf_dir).where("metric_type = 'heart_rate'")
     r = b.groupBy(F.col("patient_id").alias("series"), F.floor(F.unix_seconds("timestamp_utc") / views.WINDOW).alias("window"), F.col("device_id").alias("sensor")).agg(F.max_by("metric_value", F.struct("timestamp_utc", "event_id")).alias("x"))
-    return recursive.fuse_windows(r)
+    return rounded(recursive.fuse_windows(r), "fused", "variance")
 
 
 @query("blue_fusion")

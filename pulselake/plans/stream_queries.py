@@ -103,13 +103,37 @@ def stream_ewma(spark, sf_dir):
 
 @query("stream_latent_states", f"WITH {views.BRONZE_SQL} SELECT patient_id, count(*) AS n, least(100, count(*)) AS history FROM bronze WHERE metric_type IN ('heart_rate', 'hrv', 'steps') GROUP BY 1")
 def stream_latent_states(spark, sf_dir):
-    of = lambda m: F.when(F.col("metric_type") == m, F.col("metric_value"))
-    r = reading_stream(spark, sf_dir).where("metric_type in ('heart_rate', 'hrv', 'steps')")
-    r = r.select("patient_id", F.col("timestamp_utc").alias("ts"), of("heart_rate").alias("heart_rate"), of("hrv").alias("hrv_rmssd"), F.lit(None).cast("double").alias("skin_temp"), of("steps").alias("activity_level"))
-    out = drained(spark, "stream_latent", jobs.latent_stream(r, hours=None))
+    out = drained(spark, "stream_latent", jobs.latent_stream(latent_readings(spark, sf_dir).where("heart_rate is not null or hrv_rmssd is not null or activity_level is not null"), hours=None))
     return out.groupBy("patient_id").agg(F.count("*").alias("n"), F.max("history_size").cast("long").alias("history"))
 
 
+def latent_readings(spark, sf_dir):
+    """Streamed readings as observations of the latent model; stress stands for the skin's warmth, a degree a hundred points about its set point."""
+    of = lambda m: F.when(F.col("metric_type") == m, F.col("metric_value"))
+    r = reading_stream(spark, sf_dir)
+    return r.select(
+        "patient_id", F.col("timestamp_utc").alias("ts"), of("heart_rate").alias("heart_rate"), of("hrv").alias("hrv_rmssd"),
+        (33 + (of("stress_index") - 50) / 100).alias("skin_temp"), of("steps").alias("activity_level"),
+    )
+
+
+@query("stream_latent_steps")
+def stream_latent_steps(spark, sf_dir):
+    """Every streamed reading's latent states; `latent_states` on the same readings gives the same (tests)."""
+    r = latent_readings(spark, sf_dir).where("coalesce(heart_rate, hrv_rmssd, skin_temp, activity_level) is not null")
+    return drained(spark, "stream_latent_steps", jobs.latent_stream(r, hours=None))
+
+
+@query("stream_fusion", f"""{views.FUSED_SQL} SELECT series, w AS "window", {rnd('fused', 6)} AS fused, {rnd('variance', 6)} AS variance, n_sensors FROM r
+ WHERE k > 0 AND (w + 1) * {views.WINDOW} <= (SELECT max(epoch(timestamp_utc)) - 600 FROM bronze WHERE metric_type = 'heart_rate')""")
+def stream_fusion(spark, sf_dir):
+    """Fused heart rate of every window that the watermark has passed."""
+    r = reading_stream(spark, sf_dir).where("metric_type = 'heart_rate'")
+    r = r.select(F.col("patient_id").alias("series"), F.col("timestamp_utc").alias("ts"), F.col("device_id").alias("sensor"), F.col("event_id").alias("tie"), F.col("metric_value").alias("x"))
+    out = drained(spark, "stream_fusion", jobs.fusion_stream(r, views.WINDOW))
+    return out.select("series", "window", round_("fused", 6).alias("fused"), round_("variance", 6).alias("variance"), "n_sensors")
+
+
 @query(
     "stream_scoring",
     f"""WITH m AS (SELECT l_orderkey || '-' || l_linenumber AS event_id, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p FROM lineitem),

@@ -118,3 +118,15 @@ daily AS (SELECT d0.patient_id, summary_date, avg_resting_hr, max_hr, min_hr, to
 alerts AS (SELECT substr(sha256('alert:' || patient_id || ':' || metric_type || ':' || CAST(epoch(window_start) AS BIGINT)), 1, 16) AS alert_id, patient_id, a.t AS alert_type, a.s AS severity, metric_type, metric_value AS trigger_value, a.l AS threshold, window_start, window_end,
   CAST(epoch(window_end) - epoch(window_start) AS DOUBLE) / 60 AS duration_minutes, devices_involved FROM (SELECT *, CASE WHEN metric_type = 'heart_rate' AND metric_value > 120 THEN {{'t': 'tachycardia', 's': 'high', 'l': 120.0::DOUBLE}} WHEN metric_type = 'heart_rate' AND metric_value < 45 THEN {{'t': 'bradycardia', 's': 'medium', 'l': 45.0::DOUBLE}}
   WHEN metric_type = 'spo2' AND metric_value < 92 THEN {{'t': 'hypoxemia', 's': 'critical', 'l': 92.0::DOUBLE}} WHEN metric_type = 'stress_index' AND metric_value > 80 THEN {{'t': 'high_stress', 's': 'medium', 'l': 80.0::DOUBLE}} END AS a FROM silver WHERE is_anomaly) WHERE a IS NOT NULL)"""
+
+
+#: Heart-rate readings fused by device in three-day windows, window by window (a patient has two devices).
+FUSED_SQL = f"""WITH RECURSIVE {BRONZE_SQL},
+h AS (SELECT patient_id AS series, CAST(floor(epoch(timestamp_utc) / {WINDOW}) AS BIGINT) AS w, device_id, arg_max(metric_value, row(timestamp_utc, event_id)) AS x FROM bronze WHERE metric_type = 'heart_rate' GROUP BY 1, 2, 3),
+o AS (SELECT series, w, max(x) FILTER (device_id LIKE '%-0') AS a, max(x) FILTER (device_id LIKE '%-1') AS b, row_number() OVER (PARTITION BY series ORDER BY w) AS k FROM h GROUP BY 1, 2),
+r AS (SELECT DISTINCT series, 0::BIGINT AS w, 0::BIGINT AS k, 4.0::DOUBLE AS va, 4.0::DOUBLE AS vb, NULL::DOUBLE AS fused, NULL::DOUBLE AS variance, 0 AS n_sensors FROM o UNION ALL
+ SELECT o.series, o.w, o.k,
+  CASE WHEN o.a IS NULL OR r.fused IS NULL THEN r.va ELSE 0.9 * r.va + 0.1 * (o.a - r.fused) ** 2 END, CASE WHEN o.b IS NULL OR r.fused IS NULL THEN r.vb ELSE 0.9 * r.vb + 0.1 * (o.b - r.fused) ** 2 END,
+  CASE WHEN o.a IS NULL THEN o.b WHEN o.b IS NULL THEN o.a ELSE (o.a / r.va + o.b / r.vb) / (1 / r.va + 1 / r.vb) END,
+  CASE WHEN o.a IS NULL THEN r.vb WHEN o.b IS NULL THEN r.va ELSE 1 / (1 / r.va + 1 / r.vb) END, CAST((o.a IS NOT NULL)::INT + (o.b IS NOT NULL)::INT AS INT)
+ FROM r JOIN o ON o.series = r.series AND o.k = r.k + 1)"""

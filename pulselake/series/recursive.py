@@ -110,22 +110,30 @@ def denoise(rows: DataFrame, q: float = 0.05, r: float = 2.0) -> DataFrame:
     return _mapped(rows, fn, "filtered double, residual double, is_artifact boolean")
 
 
-def fuse_windows(readings: DataFrame, lam: float = 0.9, start: float = 4.0) -> DataFrame:
+#: Variance of a sensor that has not been seen, and the weight of its variance so far.
+FIRST_VARIANCE, KEPT = 4.0, 0.9
+
+
+def fuse_step(var: dict[str, float], last: float | None, z: dict[str, float], lam: float = KEPT, start: float = FIRST_VARIANCE) -> tuple[float, float]:
+    """Fused value and variance of one window's readings by sensor; updates the sensors' variances by the residual against the window before."""
+    w = {s: 1 / var.setdefault(s, start) for s in z}
+    total = sum(w.values())
+    fused = next(iter(z.values())) if len(z) == 1 else sum(w[s] * z[s] for s in z) / total
+    if last is not None:
+        for s in z:
+            var[s] = lam * var[s] + (1 - lam) * (z[s] - last) ** 2
+    return float(fused), 1 / total
+
+
+def fuse_windows(readings: DataFrame, lam: float = KEPT, start: float = FIRST_VARIANCE) -> DataFrame:
     """Inverse-variance fusion of (series, window, sensor, x): variances follow the residual against the window before."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         var: dict[str, float] = {}
         last, out = None, []
         for window, g in pdf.sort_values(["window", "sensor"]).groupby("window", sort=True):
-            z = dict(zip(g["sensor"], g["x"]))
-            w = {s: 1 / var.setdefault(s, start) for s in z}
-            total = sum(w.values())
-            fused = next(iter(z.values())) if len(z) == 1 else sum(w[s] * z[s] for s in z) / total
-            if last is not None:
-                for s in z:
-                    var[s] = lam * var[s] + (1 - lam) * (z[s] - last) ** 2
-            last = fused
-            out.append((g["series"].iloc[0], window, float(fused), 1 / total, len(z)))
+            last, spread = fuse_step(var, last, dict(zip(g["sensor"], g["x"])), lam, start)
+            out.append((g["series"].iloc[0], window, last, spread, len(g)))
         return pd.DataFrame(out, columns=["series", "window", "fused", "variance", "n_sensors"])
 
     return readings.groupBy("series").applyInPandas(run, "series string, window long, fused double, variance double, n_sensors int")

@@ -21,17 +21,17 @@ BASELINE = ("resting_hr", "baseline_spo2", "baseline_hrv", "activity_level", "ri
 
 
 def denoised(vitals: DataFrame) -> DataFrame:
-    """patient_id, window_start, t (place from 0), quality_score, baseline, and each vital's filtered values, noise and artifacts.
+    """patient_id, window_start, t (place from 0), quality_score, the series' mean_quality, baseline, and each vital's filtered values, noise and artifacts.
 
     One patient's rows are one group. Gaps are filled forward, those at the start by the baseline (stress: 0).
     """
     extra = ", ".join(f"{v} double, {v}_noise double, {v}_artifacts double" for v in VITALS)
-    schema = f"patient_id string, window_start timestamp, t int, quality_score double, resting_hr double, baseline_spo2 double, baseline_hrv double, activity_level string, risk_factor double, n_conditions int, {extra}"
+    schema = f"patient_id string, window_start timestamp, t int, quality_score double, mean_quality double, resting_hr double, baseline_spo2 double, baseline_hrv double, activity_level string, risk_factor double, n_conditions int, {extra}"
     given = vitals.select("patient_id", "window_start", F.coalesce("quality_score", F.lit(1.0)).alias("quality_score"), *BASELINE, *VITALS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("window_start", kind="stable").reset_index(drop=True)
-        out = pdf[["patient_id", "window_start", "quality_score", *BASELINE]].assign(t=np.arange(len(pdf)))
+        out = pdf[["patient_id", "window_start", "quality_score", *BASELINE]].assign(t=np.arange(len(pdf)), mean_quality=pdf["quality_score"].mean())
         for name, (half, q, r, base) in VITALS.items():
             start = None if base is None else float(pdf[base].iloc[0])
             x = pdf[name].ffill().fillna(start or 0.0).to_numpy(float)
@@ -71,7 +71,7 @@ def feature_matrix(vitals: DataFrame, stride: int = 4, look_back: int = 40) -> D
 
     seen = dealt.select(
         key.alias("patient_id"), F.col("t").alias("window_start"), *VITALS, "resting_hr", "baseline_spo2", "baseline_hrv", "activity_level",
-        F.col("heart_rate_noise").alias("hr_noise"), F.col("heart_rate_artifacts").alias("hr_artifacts"), *(F.col("quality_score").alias(f"{v}_quality") for v in ("hr", "hrv", "spo2")),
+        F.col("heart_rate_noise").alias("hr_noise"), F.col("heart_rate_artifacts").alias("hr_artifacts"), *(F.col("mean_quality").alias(f"{v}_quality") for v in ("hr", "hrv", "spo2")),
     )
     ghosts = ghost_signals(seen).groupBy("patient_id").agg(*(F.max(F.when(F.col("signal") == g, F.col("value") * F.col("confidence"))).alias(f"ghost_{g}") for g in GHOSTS))
 

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pulselake.clinical.alerts import decide
 from pulselake.operators import bronze
 from pulselake.operators.silver import anomaly_score
-from pulselake.series.recursive import _MEAN, _P0, OBSERVED, STATES, decayed, latent_step
+from pulselake.series.recursive import _MEAN, _P0, OBSERVED, STATES, decayed, fuse_step, latent_step
 from pulselake.functions.scalar import rnd
 
 
@@ -42,40 +43,109 @@ def episode_stream(silver: DataFrame, width_seconds: int = 5, gap_seconds: int =
     return e.select("patient_id", F.col("s.start").alias("episode_start"), F.timestamp_seconds(F.unix_seconds("s.end") - gap_seconds).alias("episode_end"), "metrics_involved", "max_anomaly_score", "reading_count")
 
 
-_STATE = "s array<double>, p array<double>, t double, history array<double>"
-_OUT = "patient_id string, ts timestamp, heart_rate double, history_size int, " + ", ".join(f"{n} double" for n in STATES)
+#: Keyed state with lists, maps, timers and expiry needs this store.
+_ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+_STEPS = "patient_id string, ts timestamp, heart_rate double, history_size int, recent_mean double, " + ", ".join(f"{n} double" for n in STATES)
+
+
+class LatentProcessor(StatefulProcessor):
+    """Of a patient: the filter (state, covariance, readings so far) as one value, the last heart rates in the slots of a ring."""
+
+    def __init__(self, keep: int, hours: int | None):
+        self.keep, self.ttl = keep, hours and hours * 3_600_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.filter = handle.getValueState("filter", "s array<double>, p array<double>, n long", self.ttl)
+        self.ring = handle.getMapState("ring", "slot int", "heart_rate double", self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        s, p, n = _MEAN.copy(), _P0.copy(), 0
+        if self.filter.exists():
+            s, p, n = self.filter.get()
+            s, p = np.array(s), np.array(p).reshape(len(STATES), -1)
+        recent = {slot[0]: value[0] for slot, value in self.ring.iterator()}
+        out, written = [], set()
+        for row in pd.concat(list(rows)).sort_values(["ts", *OBSERVED], kind="stable").itertuples():
+            s, p, _ = latent_step(s, p, np.array([getattr(row, c) for c in OBSERVED], float), 1.0)
+            recent[n % self.keep] = float(row.heart_rate)
+            written.add(n % self.keep)
+            n += 1
+            known = [v for v in recent.values() if v == v]
+            out.append((key[0], row.ts, row.heart_rate, len(recent), float(np.mean(known)) if known else None, *s.tolist()))
+        for slot in written:
+            self.ring.updateValue((slot,), (recent[slot],))
+        self.filter.update((s.tolist(), p.ravel().tolist(), n))
+        yield pd.DataFrame(out, columns=["patient_id", "ts", "heart_rate", "history_size", "recent_mean", *STATES])
+
+    def close(self) -> None:
+        pass
 
 
 def latent_stream(vitals: DataFrame, keep: int = 100, hours: int | None = 24) -> DataFrame:
-    """Latent-state filter per patient carried between batches, with the last readings; state expires after idle hours.
+    """Latent-state filter per patient carried between batches, one row a reading, with its last keep heart rates; state expires after idle hours.
 
-    Without hours the state stays, as a run that ends by itself (availableNow) needs.
+    A batch writes the filter and the ring's slots that it changed, not the history. Without hours the
+    state stays, as a run that ends by itself (availableNow) needs. A reading is one step of the model,
+    so the states are those of `latent_states` on the same readings.
 
     vitals: patient_id, ts and the observations heart_rate, hrv_rmssd, skin_temp, activity_level; nulls are skipped.
     """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            s, p, t, history = (list(v) if not isinstance(v, float) else v for v in state.get)
-            s, p = np.array(s), np.array(p).reshape(5, 5)
-        else:
-            s, p, t, history = _MEAN.copy(), _P0.copy(), float("nan"), []
-        rows = []
-        for row in pd.concat(list(frames)).sort_values("ts", kind="stable").itertuples():
-            now = row.ts.timestamp()
-            dt = max(1.0, now - t) / 60 if t == t else 1.0
-            s, p, _ = latent_step(s, p, np.array([getattr(row, n) for n in OBSERVED], float), min(dt, 1.0))
-            t, history = now, (history + [float(row.heart_rate)])[-keep:]
-            rows.append((key[0], row.ts, row.heart_rate, len(history), *s.tolist()))
-        state.update((s.tolist(), p.ravel().tolist(), t, history))
-        if hours:
-            state.setTimeoutDuration(hours * 3_600_000)
-        yield pd.DataFrame(rows, columns=["patient_id", "ts", "heart_rate", "history_size", *STATES])
-
-    return vitals.groupBy("patient_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if hours else GroupStateTimeout.NoTimeout)
+    return vitals.groupBy("patient_id").transformWithStateInPandas(LatentProcessor(keep, hours), _STEPS, "Append", "ProcessingTime" if hours else "None")
+
+
+class FusionProcessor(StatefulProcessor):
+    """Of a series: the newest reading of each sensor in every open window, each sensor's variance, the last fused value."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "window long, sensor string", "ts double, tie string, x double")
+        self.variance = handle.getMapState("variance", "sensor string", "variance double")
+        self.last = handle.getValueState("last", "fused double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ends = set()
+        for row in pd.concat(list(rows)).itertuples():
+            at = int(row.ts.timestamp() // self.width), row.sensor
+            new = row.ts.timestamp(), row.tie, float(row.x)
+            if not self.open.containsKey(at) or tuple(self.open.getValue(at))[:2] < new[:2]:
+                self.open.updateValue(at, new)
+            ends.add(at[0])
+        for window in ends:
+            self.handle.registerTimer((window + 1) * self.width * 1000)
+        yield pd.DataFrame([], columns=["series", "window", "fused", "variance", "n_sensors"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = expiredTimerInfo.getExpiryTimeInMs() // (self.width * 1000)
+        held = sorted(((w, s), v[2]) for (w, s), v in self.open.iterator() if w < closed)
+        var = {k[0]: v[0] for k, v in self.variance.iterator()}
+        last, out = self.last.get()[0] if self.last.exists() else None, []
+        for window in sorted({w for (w, _), _ in held}):
+            z = {s: x for (w, s), x in held if w == window}
+            last, spread = fuse_step(var, last, z)
+            out.append((key[0], window, last, spread, len(z)))
+        for at, _ in held:
+            self.open.removeKey(at)
+        if out:
+            self.last.update((last,))
+            for sensor, v in var.items():
+                self.variance.updateValue((sensor,), (v,))
+        yield pd.DataFrame(out, columns=["series", "window", "fused", "variance", "n_sensors"])
+
+    def close(self) -> None:
+        pass
+
+
+def fusion_stream(readings: DataFrame, width: int, late: str = "10 minutes") -> DataFrame:
+    """Inverse-variance fusion of (series, ts, sensor, tie, x) in windows of width seconds; a window is fused once the watermark has passed it.
+
+    Readings may come in any order until then; of a sensor's readings in a window the newest counts
+    (ties: the larger tie). So the rows are those of `fuse_windows` on the closed windows. Later readings are dropped.
+    """
+    schema = "series string, window long, fused double, variance double, n_sensors int"
+    return readings.withWatermark("ts", late).groupBy("series").transformWithStateInPandas(FusionProcessor(width), schema, "Append", "EventTime")
 
 
 def cusum_stream(readings: DataFrame, mu: float, k: float, h: float) -> DataFrame:
@@ -137,6 +207,13 @@ def score_stream(rows: DataFrame, score, path: str, checkpoint: str) -> Streamin
 
 
 def drain(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is available now into Parquet, then reads it."""
-    stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+    """Runs a stream over what is available now into Parquet, then reads it; keyed state lies in RocksDB under the checkpoint."""
+    name, store = _ROCKS
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:  # a query keeps the setting that it starts with
+        run = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
