@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulselake.functions.scalar import rnd as round_
-from pulselake.ml import models
+from pulselake.ml import detectors, models
+from pulselake.plans import views
 from pulselake.plans.base import Registry
 from pulselake.plans.views import rnd
 from pulselake.session import Scratch, read_table
@@ -171,3 +172,41 @@ def sequence_report(q):
     nets = models.horizon_networks(train, names, 32) if train.head(1) else {}
     reports = [models.classifier_report((nets[y].transform(test) if nets else test.withColumn("prediction", F.lit(0.0))), label=y).select(F.lit(int(y[1:])).alias("horizon"), "*") for y in names]
     return reports[0].unionByName(reports[1]).unionByName(reports[2])
+
+
+def _pool_sql(t: str) -> str:
+    """Scores of the three detectors on the values o.{t}, by relations: members of a window, their order, neighbours in it."""
+    return f"""m_{t} AS (SELECT o.series, o.k, w, o.{t} AS xt, b.{t} AS v, b.k AS bk FROM o JOIN (VALUES (6), (24), (72)) z(w) ON true JOIN o b ON b.series = o.series AND b.k BETWEEN o.k - w + 1 AND o.k),
+ s_{t} AS (SELECT *, row_number() OVER g AS j, count(*) OVER (PARTITION BY series, k, w) AS n, lag(v) OVER g AS lo, lead(v) OVER g AS hi, median(v) OVER (PARTITION BY series, k, w) AS mid FROM m_{t} WINDOW g AS (PARTITION BY series, k, w ORDER BY v, bk)),
+ d_{t} AS (SELECT series, k, w, j, avg(away) AS d FROM (SELECT a.series, a.k, a.w, a.j, abs(a.v - b.v) AS away, row_number() OVER (PARTITION BY a.series, a.k, a.w, a.j ORDER BY abs(a.v - b.v), b.j) AS nth FROM s_{t} a JOIN s_{t} b ON b.series = a.series AND b.k = a.k AND b.w = a.w AND abs(a.j - b.j) BETWEEN 1 AND 5) WHERE nth <= 5 GROUP BY ALL),
+ p_{t} AS (SELECT series, k, w, any_value(xt) AS xt, min(j) FILTER (v = xt) AS p, any_value(n) AS n, any_value(mid) AS mid, median(abs(v - mid)) AS mad, count(*) FILTER (v = xt) AS same,
+   coalesce(sum((v - lo) / nullif(v - xt, 0)) FILTER (v > xt), 0) + coalesce(sum((hi - v) / nullif(xt - v, 0)) FILTER (v < xt), 0) AS cuts FROM s_{t} GROUP BY 1, 2, 3),
+ e_{t} AS (SELECT series, k, w, avg(d) AS d FROM (SELECT p.series, p.k, p.w, d.d, row_number() OVER (PARTITION BY p.series, p.k, p.w ORDER BY abs(b.v - p.xt), b.j) AS nth FROM p_{t} p JOIN s_{t} b ON b.series = p.series AND b.k = p.k AND b.w = p.w AND abs(b.j - p.p) BETWEEN 1 AND 5
+   JOIN d_{t} d ON d.series = b.series AND d.k = b.k AND d.w = b.w AND d.j = b.j) WHERE nth <= 5 GROUP BY ALL),
+ f_{t} AS (SELECT p.*, d.d AS own, e.d AS others FROM p_{t} p LEFT JOIN d_{t} d ON d.series = p.series AND d.k = p.k AND d.w = p.w AND d.j = p.p LEFT JOIN e_{t} e ON e.series = p.series AND e.k = p.k AND e.w = p.w),
+ n_{t} AS (SELECT series, k, w, CASE WHEN n < 5 OR mad < 1e-6 THEN 0 ELSE 1 / (1 + exp(2.5 - abs(xt - mid) / (1.4826 * mad))) END AS robust_z, CASE WHEN n < 5 OR own <= 0 THEN 0 ELSE greatest(0, 1 - others / own) END AS knn,
+   CASE WHEN n < 5 THEN 0 ELSE pow(2, -(cuts + CASE WHEN same > 2 THEN 2 * (ln(same - 1) + 0.5772156649) - 2 * (same - 1)::DOUBLE / same WHEN same = 2 THEN 1 ELSE 0 END) / (2 * (ln(n - 1) + 0.5772156649) - 2 * (n - 1)::DOUBLE / n)) END AS isolation FROM f_{t})"""
+
+
+_POOL_SQL = f"""WITH {views.BRONZE_SQL}, b0 AS (SELECT patient_id AS series, CAST(event_id AS BIGINT) AS idx, metric_value AS raw, row_number() OVER (PARTITION BY patient_id ORDER BY CAST(event_id AS BIGINT)) AS k FROM bronze),
+ kz AS (SELECT a.series, a.k, count(*) - 1 AS steps, max(abs(b.raw - f.raw)) AS far, coalesce(sum(abs(b.raw - c.raw)), 0) AS length FROM b0 a JOIN b0 b ON b.series = a.series AND b.k BETWEEN a.k - 7 AND a.k JOIN b0 f ON f.series = a.series AND f.k = greatest(1, a.k - 7)
+   LEFT JOIN b0 c ON c.series = a.series AND c.k = b.k - 1 AND c.k >= a.k - 7 GROUP BY 1, 2),
+ o AS (SELECT series, idx, raw, k, CASE WHEN steps < 2 OR far <= 0 THEN 1.0::DOUBLE ELSE least(2, greatest(1, abs(log10(steps) / (log10(steps) + log10(far / length))))) END AS fractal FROM b0 JOIN kz USING (series, k)),
+ {_pool_sql('raw')}, {_pool_sql('fractal')}"""
+
+
+@query(
+    "detector_pool",
+    f"""{_POOL_SQL}, u AS (SELECT series, k, w, robust_z, knn, isolation FROM n_raw UNION ALL SELECT * FROM n_fractal),
+ c AS (SELECT series, k, sum(robust_z + knn + isolation) / 18 AS score, sum((robust_z > 0.6)::INT + (knn > 0.6)::INT + (isolation > 0.6)::INT) AS n_high FROM u GROUP BY 1, 2),
+ r AS (SELECT series, k, max(robust_z) FILTER (w = 24) AS z, max(knn) FILTER (w = 72) AS density, max(isolation) FILTER (w = 72) AS iso FROM n_raw GROUP BY 1, 2)
+ SELECT o.series, o.idx, {rnd('z', 5)} AS robust_z_raw_24, {rnd('density', 5)} AS knn_raw_72, {rnd('iso', 5)} AS isolation_raw_72, {rnd('score', 5)} AS anomaly_score, CAST(n_high AS BIGINT) AS n_high,
+  CASE WHEN n_high > 9 THEN 'high' WHEN n_high > 2.5 THEN 'medium' ELSE 'low' END AS consensus FROM o JOIN c ON c.series = o.series AND c.k = o.k JOIN r ON r.series = o.series AND r.k = o.k""",
+)
+def detector_pool(spark, sf_dir):
+    """Every reading judged by the pool, with three of its nodes."""
+    from pulselake.plans.series_queries import series
+
+    judged = detectors.consensus(detectors.node_scores(series(spark, sf_dir).select("series", "idx", "x")))
+    three = ("robust_z_raw_24", "knn_raw_72", "isolation_raw_72", "anomaly_score")
+    return judged.select("series", "idx", *(round_(c, 5).alias(c) for c in three), F.col("n_high").cast("long").alias("n_high"), "consensus")

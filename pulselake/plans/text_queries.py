@@ -10,6 +10,7 @@ from pulselake.plans.base import Registry
 from pulselake.plans.views import rnd
 from pulselake.session import Scratch, read_table
 from pulselake.text import corpus
+from pulselake.text.vector_index import VectorIndex
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -130,6 +131,20 @@ def vector_topk(spark, sf_dir):
     return corpus.vector_topk(e, q, 3).withColumn("distance", round_("distance", 5))
 
 
+@query("corpus_search", f"""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+ d AS (SELECT query_id, doc_id, text, lang, source, sqrt(list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS distance FROM embeddings JOIN documents ON doc_id = vec_id, q),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS nth FROM d) SELECT query_id, nth, doc_id, {rnd('distance', 5)} AS distance, text, lang, source FROM r WHERE nth <= 3""")
+def corpus_search(spark, sf_dir):
+    """The three documents nearest to every hundredth vector, through a new index of all documents with a vector; exact."""
+    work = Scratch(spark, "corpus_search")
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", F.struct("lang", "source").alias("metadata"))
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = work.write(e.join(d, "vec_id"), "rows")
+    index = VectorIndex(spark, f"{work.root}/index").learn(rows).append(rows)
+    found = index.search(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), exact=True, work=work)
+    return found.select("query_id", F.col("nth").cast("long").alias("nth"), F.col("vec_id").alias("doc_id"), round_("distance", 5).alias("distance"), "text", "metadata.lang", "metadata.source")
+
+
 @query("population_sql", f"WITH {views.BRONZE_SQL} SELECT patient_id, {rnd('avg(metric_value)', 6)} AS avg_heart_rate, count(*) AS n FROM bronze WHERE metric_type = 'heart_rate' GROUP BY 1")
 def population_sql(spark, sf_dir):
     views.bronze(spark, sf_dir).createOrReplaceTempView("pulselake_bronze")
