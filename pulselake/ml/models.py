@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pulselake.functions.scalar import rnd
+from pulselake.ml.quantiles import quantiles
 from pulselake.session import Scratch
 
 
@@ -208,13 +209,17 @@ def classifier_report(scored: DataFrame, label: str = "label", prediction: str =
 # ---- thresholds and conformal calibration
 
 
+def round_half_up(x: float) -> int:
+    return math.floor(x + 0.5)
+
+
 def threshold_metrics(rows: DataFrame, inclusive: bool = True) -> DataFrame:
     """Per horizon (horizon, label, prob): threshold at the prevalence quantile (held in .15 to .85; .5 with one class) and the metrics there."""
-    base = rows.groupBy("horizon").agg(F.avg("label").alias("prevalence"))
-    with_p = rows.join(F.broadcast(base), "horizon")
-    cut = with_p.groupBy("horizon").agg(F.first("prevalence").alias("prevalence"), F.percentile("prob", F.array(*(F.lit(k / 1000) for k in range(1001)))).alias("q"))
-    at = F.get("q", F.round((1 - F.col("prevalence")) * 1000).cast("int"))
-    cut = cut.select("horizon", F.when(F.col("prevalence").between(1e-12, 1 - 1e-12), F.greatest(F.lit(0.15), F.least(F.lit(0.85), at))).otherwise(0.5).alias("threshold"))
+    spark, kind = rows.sparkSession, rows.schema["horizon"].dataType.simpleString()
+    prevalence = {r[0]: r[1] for r in rows.groupBy("horizon").agg(F.avg("label")).collect()}  # one row a horizon
+    mixed = {h: round_half_up((1 - v) * 1000) / 1000 for h, v in prevalence.items() if v is not None and 1e-12 <= v <= 1 - 1e-12}
+    at = {h: min(0.85, max(0.15, q)) for h, q in quantiles(rows, "horizon", "prob", mixed).items()}
+    cut = spark.createDataFrame([(h, at.get(h, 0.5)) for h in prevalence], f"horizon {kind}, threshold double")
     p = rows.join(F.broadcast(cut), "horizon").withColumn("hit", F.col("prob") >= F.col("threshold") if inclusive else F.col("prob") > F.col("threshold"))
     n = lambda cond, a: F.count_if(cond).alias(a)
     g = p.groupBy("horizon").agg(F.first("threshold").alias("threshold"), n((F.col("label") == 1) & F.col("hit"), "tp"), n((F.col("label") == 0) & ~F.col("hit"), "tn"), n((F.col("label") == 0) & F.col("hit"), "fp"), n((F.col("label") == 1) & ~F.col("hit"), "fn"))
@@ -226,11 +231,9 @@ def threshold_metrics(rows: DataFrame, inclusive: bool = True) -> DataFrame:
 def conformal_fit(rows: DataFrame, alpha: float = 0.1) -> DataFrame:
     """Per horizon the quantile of 1 - p(true class) at ceil((n+1)(1-alpha))/n, and the empirical coverage."""
     s = rows.withColumn("score", F.when(F.col("label") >= 0.5, 1 - F.col("prob")).otherwise(F.col("prob")))
-    ranked = s.withColumns({"nth": F.row_number().over(W.partitionBy("horizon").orderBy("score")) - 1, "n": F.count("*").over(W.partitionBy("horizon"))})
-    level = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * (1 - alpha)) / F.col("n"))
-    at = level * (F.col("n") - 1)
-    part = F.when(F.col("nth") == F.floor(at), F.col("score") * (1 - (at - F.floor(at)))).when(F.col("nth") == F.floor(at) + 1, F.col("score") * (at - F.floor(at))).otherwise(0.0)
-    q = ranked.withColumn("part", part).groupBy("horizon").agg(F.sum("part").alias("q_hat"), F.count("*").alias("n"))
+    sizes = {r[0]: r[1] for r in s.where("score is not null").groupBy("horizon").count().collect()}  # one row a horizon
+    found = quantiles(s, "horizon", "score", {h: min(1.0, math.ceil((n + 1) * (1 - alpha)) / n) for h, n in sizes.items()})
+    q = s.sparkSession.createDataFrame([(h, found[h], n) for h, n in sizes.items()], f"horizon {s.schema['horizon'].dataType.simpleString()}, q_hat double, n long")
     cover = s.join(F.broadcast(q), "horizon").groupBy("horizon").agg(F.avg((F.col("score") <= F.col("q_hat") + 1e-12).cast("double")).alias("coverage"))
     return q.join(cover, "horizon")
 

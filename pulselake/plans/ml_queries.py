@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulselake.functions.scalar import rnd as round_
-from pulselake.ml import detectors, models
+from pulselake.ml import detectors, models, quantiles
 from pulselake.plans import views
 from pulselake.plans.base import Registry
 from pulselake.plans.views import rnd
@@ -102,8 +102,9 @@ def isolation_forest(spark, sf_dir):
     m = measures(spark, sf_dir)
     cols = ["q", "d", "t", "n"]
     scored = models.isolation_score(m, cols, models.isolation_fit(m, cols))
-    cut = scored.agg(F.percentile("iso_score", 1 - models.contamination(0.15)).alias("cut"))
-    return scored.join(F.broadcast(cut)).select("id", "iso_score", (F.col("iso_score") > F.col("cut")).alias("is_anomaly"))
+    scored = Scratch(spark, "isolation").write(scored.select("id", "iso_score"), "scored")  # the passes of the quantile read it again
+    cut = quantiles.quantiles(scored.withColumn("all", F.lit(0)), "all", "iso_score", {0: 1 - models.contamination(0.15)})
+    return scored.select("id", "iso_score", (F.col("iso_score") > F.lit(cut.get(0))).alias("is_anomaly"))
 
 
 MEASURES = ["chars", "words", "digits", "upper", "marks", "lines", "word_length"]

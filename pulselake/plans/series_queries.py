@@ -8,7 +8,7 @@ from pulselake.functions.scalar import rnd as round_
 from pulselake.plans import views
 from pulselake.plans.base import Registry
 from pulselake.plans.views import rnd
-from pulselake.series import grid, hrv, recursive, windows
+from pulselake.series import chunks, grid, hrv, recursive, windows
 from pulselake.session import read_table
 
 query = Registry()
@@ -294,14 +294,21 @@ def ewma_baseline(spark, sf_dir):
     return rounded(recursive.ewma_baseline(series(spark, sf_dir).drop("ts")), "baseline", digits=5).drop("x")
 
 
-@query("hampel_filter")
+@query(
+    "hampel_filter",
+    f"""WITH RECURSIVE {S_SQL}, o AS (SELECT series, idx, x, row_number() OVER w AS k, list(x) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS ahead FROM s WINDOW w AS (PARTITION BY series ORDER BY idx)),
+ r AS (SELECT DISTINCT series, 0::BIGINT AS k, []::DOUBLE[] AS prev, NULL::DOUBLE AS y, false AS odd FROM o UNION ALL
+  SELECT series, k, list_slice(list_append(prev, z), -3, -1), z, z IS DISTINCT FROM x FROM (SELECT *, CASE WHEN mad >= 1e-6 AND abs(x - mid) > 3 * 1.4826::DOUBLE * mad THEN mid ELSE x END AS z FROM
+   (SELECT *, list_median(list_transform(near, lambda v: abs(v - mid))) AS mad FROM (SELECT o.series, o.k, o.x, r.prev, list_concat(r.prev, o.ahead) AS near, list_median(list_concat(r.prev, o.ahead)) AS mid FROM r JOIN o ON o.series = r.series AND o.k = r.k + 1))))
+ SELECT o.series, o.idx, o.x, r.y AS filtered, r.odd AS is_artifact FROM r JOIN o ON o.series = r.series AND o.k = r.k""",
+)
 def hampel_filter(spark, sf_dir):
-    return recursive.hampel(series(spark, sf_dir).drop("ts"))
+    return chunks.hampel_rows(series(spark, sf_dir).drop("ts"))
 
 
 @query("denoise_signal")
 def denoise_signal(spark, sf_dir):
-    d = recursive.denoise(series(spark, sf_dir).drop("ts"))
+    d = chunks.denoise_rows(series(spark, sf_dir).drop("ts"))
     return d.groupBy("series").agg(F.count("*").alias("n"), F.stddev_pop("residual").alias("noise"), F.avg(F.col("is_artifact").cast("double")).alias("artifact_ratio"), F.max_by("filtered", "idx").alias("last_filtered")).withColumn("quality", F.greatest(F.lit(0.0), 1 - 2 * F.col("artifact_ratio")))
 
 
@@ -404,7 +411,13 @@ FLOW_DOMAINS_SQL = f"""WITH {_FOUND_SQL} SELECT field_id, {rnd('least(1, count(*
   {rnd("least(1, 0.3::DOUBLE * count(*) FILTER (operator = 'curl'))", 6)} AS imaging FROM found GROUP BY 1"""
 
 
-@query("flow_alerts")
+@query(
+    "flow_alerts",
+    f"""WITH {_FOUND_SQL}, t AS (SELECT *, CASE WHEN operator = 'gradient' THEN 'pressure_gradient' WHEN operator = 'curl' THEN 'vorticity' WHEN value > 0 THEN 'flow_source' ELSE 'flow_sink' END AS type FROM found),
+ a AS (SELECT *, row_number() OVER (PARTITION BY field_id, type ORDER BY nth, i, j, k) AS q, CASE type WHEN 'pressure_gradient' THEN 8.0::DOUBLE WHEN 'vorticity' THEN 20 WHEN 'flow_source' THEN 15 ELSE -12 END AS threshold FROM t)
+ SELECT field_id, type, CASE type WHEN 'pressure_gradient' THEN 'blood_pressure' WHEN 'vorticity' THEN 'hrv' ELSE 'heart_rate' END AS metric_type, CASE WHEN abs(value) >= 1.5 * abs(threshold) THEN 'high' ELSE 'moderate' END AS severity, threshold,
+  0.0::DOUBLE AS duration_minutes, operator || ' beyond ' || CASE type WHEN 'pressure_gradient' THEN '8.0' WHEN 'vorticity' THEN '20.0' WHEN 'flow_source' THEN '15.0' ELSE '-12.0' END AS description FROM a WHERE q = 1""",
+)
 def flow_alerts(spark, sf_dir):
     text = spark.createDataFrame([(t, f"{o} beyond {v}") for t, o, _, v in grid.IRREGULAR], "type string, description string")
     return grid.flow_alerts(grid.irregularities(grid.operators(lattice(spark, sf_dir))), text)

@@ -1,7 +1,7 @@
 """Recursive filters by grouped maps over ordered series.
 
 Each function gets one series at a time (series length bounds a task's memory), sorts it itself and
-runs plain NumPy recursions. Rows go in by one shuffle on series.
+runs plain NumPy recursions. Rows go in by one shuffle on series. Hampel and Kalman over long series are in `chunks`.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pulselake.series.chunks import denoise_rows as denoise  # noqa: F401  by pieces, like hampel_rows
+
 
 def _mapped(rows: DataFrame, fn, extra: str) -> DataFrame:
     """rows with columns added by fn(sorted x array) -> dict of arrays."""
@@ -78,14 +80,6 @@ def hampel_values(x: np.ndarray, half: int = 3, limit: float = 3.0) -> tuple[np.
     return y, odd
 
 
-def hampel(rows: DataFrame, half: int = 3, limit: float = 3.0) -> DataFrame:
-    def fn(x):
-        y, odd = hampel_values(x, half, limit)
-        return {"filtered": y, "is_artifact": odd}
-
-    return _mapped(rows, fn, "filtered double, is_artifact boolean")
-
-
 def kalman_values(x: np.ndarray, q: float, r: float, start: float | None = None) -> np.ndarray:
     """Value-and-rate Kalman filter with F = [[1, 1], [0, .95]]."""
     f, h = np.array([[1.0, 1.0], [0.0, 0.95]]), np.array([1.0, 0.0])
@@ -99,17 +93,6 @@ def kalman_values(x: np.ndarray, q: float, r: float, start: float | None = None)
     return out
 
 
-def denoise(rows: DataFrame, q: float = 0.05, r: float = 2.0) -> DataFrame:
-    """Hampel, then Kalman; artifact flag and residual per row."""
-
-    def fn(x):
-        y, odd = hampel_values(x)
-        z = kalman_values(y, q, r)
-        return {"filtered": z, "residual": x - z, "is_artifact": odd}
-
-    return _mapped(rows, fn, "filtered double, residual double, is_artifact boolean")
-
-
 #: Variance of a sensor that has not been seen, and the weight of its variance so far.
 FIRST_VARIANCE, KEPT = 4.0, 0.9
 
