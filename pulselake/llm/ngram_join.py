@@ -55,7 +55,7 @@ HOT = 50
 EARLIER = 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a worker keeps before it starts afresh.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 
 
 class _WordHashes(dict):
