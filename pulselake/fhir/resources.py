@@ -97,11 +97,6 @@ def active_events(flags: DataFrame, conditions: DataFrame) -> DataFrame:
     return flags.withColumn("kind", F.lit("flag")).unionByName(conditions.where("status = 'active'").withColumn("kind", F.lit("condition")), allowMissingColumns=True)
 
 
-def domain_scores(hits: Column) -> Column:
-    """Score of a domain from keyword hits: hits over five, 1 at most."""
-    return rnd(F.least(F.lit(1.0), hits / 5.0), 3)
-
-
 def write_ndjson(resources: DataFrame, path: str) -> None:
     """Newline-delimited JSON by resource type."""
     resources.select("resource_type", F.col("resource").alias("value")).write.mode("overwrite").partitionBy("resource_type").text(path)

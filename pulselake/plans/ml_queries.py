@@ -8,9 +8,10 @@ from pulselake.functions.scalar import rnd as round_
 from pulselake.ml import detectors, models, quantiles
 from pulselake.plans import views
 from pulselake.plans.base import Registry
+from pulselake.plans.text_queries import _TOK as TOKENS_SQL
 from pulselake.plans.views import rnd
 from pulselake.session import Scratch, read_table
-from pulselake.text.corpus import token_counts, tokens
+from pulselake.text.corpus import tokens, top_tokens
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -146,13 +147,21 @@ def topic_model(spark, sf_dir):
     return models.topic_model(d)[2]
 
 
-@query("topic_coherence")
+@query(
+    "topic_coherence",
+    f"""WITH t AS (SELECT doc_id, lang, {TOKENS_SQL} AS w FROM documents),
+ top AS (SELECT lang, word FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS nth FROM (SELECT lang, unnest(w) AS word FROM t WHERE lang IS NOT NULL) GROUP BY lang, word) WHERE nth <= 8),
+ d AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(w) AS word FROM t) WHERE word IN (SELECT word FROM top)), s AS (SELECT word, count(*)::DOUBLE AS c FROM d GROUP BY 1), n AS (SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM documents),
+ p AS (SELECT a.word AS a, b.word AS b, count(*) AS ab FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY 1, 2),
+ j AS (SELECT x.lang AS topic, coalesce(ab, 0) / n + 1e-12 AS pab, ca.c / n * (cb.c / n) AS apart FROM top x JOIN top y ON x.lang = y.lang AND x.word < y.word LEFT JOIN p ON p.a = x.word AND p.b = y.word JOIN s ca ON ca.word = x.word JOIN s cb ON cb.word = y.word, n)
+ SELECT topic, {rnd('avg(ln(pab / apart) / -ln(pab))', 5)} AS npmi FROM j GROUP BY 1""",
+)
 def topic_coherence(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
-    top = d.where("lang is not null").select("lang", "doc_id", "text")
-    words = [token_counts(top.where(F.col("lang") == lang), 8).select(F.lit(lang).alias("topic"), F.col("token").alias("word")) for lang in ("de", "en", "es", "fr")]
-    topics = words[0].union(words[1]).union(words[2]).union(words[3])
-    return models.npmi(d.select("doc_id", tokens(F.col("text")).alias("tokens")), topics)
+    """Coherence of each language's eight most frequent words."""
+    d = read_table(spark, sf_dir, "documents").select("lang", "doc_id", tokens(F.col("text")).alias("tokens"))
+    topics = top_tokens(d, "lang", 8).select(F.col("lang").alias("topic"), F.col("token").alias("word"))
+    topics = Scratch(spark, "coherence").write(topics, "topics")
+    return models.npmi(d.select("doc_id", "tokens"), topics).withColumn("npmi", round_("npmi", 5))
 
 
 @query("sequence_classifier")

@@ -41,6 +41,13 @@ def token_counts(docs: DataFrame, top: int = 100) -> DataFrame:
     return counted.orderBy(F.desc("n"), "token").limit(top)
 
 
+def top_tokens(docs: DataFrame, by: str, top: int = 100) -> DataFrame:
+    """(by, token, n): the most frequent tokens of each value of a column, ties by token; null values are left out."""
+    each = docs.where(F.col(by).isNotNull()).select(by, F.explode(_tokens_of(docs)).alias("token")).groupBy(by, "token").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(W.partitionBy(by).orderBy(F.desc("n"), "token"))
+    return each.withColumn("nth", nth).where(F.col("nth") <= top).drop("nth")
+
+
 def keyword_matches(docs: DataFrame, terms: list[str]) -> Column:
     """Terms contained in the lower-case text."""
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
