@@ -10,7 +10,7 @@ from pulselake.ml import features, jobs
 from pulselake.operators import gold, pipeline
 from pulselake.plans import views
 from pulselake.plans.base import Registry
-from pulselake.plans.ml_queries import L_SQL, scored_labels
+from pulselake.plans.ml_queries import L_SQL, VALIDATION_SQL, scored_labels
 from pulselake.plans.series_queries import FLOW_DOMAINS_SQL, WIDE_VITALS_SQL, lattice, wide_vitals
 from pulselake.plans.views import DAILY_SQL, rnd
 from pulselake.series import grid
@@ -188,7 +188,8 @@ def calibration_report(spark, sf_dir):
     return c.withColumns({"q_hat": round_("q_hat", 6), "coverage": round_("coverage", 6)})
 
 
-@query("validation_report")
+@query("validation_report", VALIDATION_SQL)
 def validation_report(spark, sf_dir):
     """Metrics of every horizon, their means, and the counts of rows and events."""
-    return jobs.validate(scored_labels(spark, sf_dir), Scratch(spark, "validation").root + "/report")
+    report = jobs.validate(scored_labels(spark, sf_dir), Scratch(spark, "validation").root + "/report")
+    return report.withColumns({c: round_(c, 6) for c in ("threshold", *jobs.METRICS)})

@@ -59,9 +59,17 @@ _COUNTS = lambda op: f"count(*) FILTER (label = 1 AND prob {op} threshold) AS tp
 _T_SQL = f"{L_SQL}, c AS (SELECT horizon, avg(label) AS pv, quantile_cont(prob, list_transform(range(0, 1001), lambda k: k / 1000)) AS q FROM l GROUP BY 1), t AS (SELECT horizon, greatest(0.15::DOUBLE, least(0.85::DOUBLE, q[CAST(round((1 - pv) * 1000) AS INTEGER) + 1])) AS threshold FROM c)"
 
 
+_RATIOS = f"""{rnd('coalesce(tp / nullif(tp + fn, 0), 0)', 6)} AS sensitivity, {rnd('coalesce(tn / nullif(tn + fp, 0), 0)', 6)} AS specificity, {rnd('coalesce(tp / nullif(tp + fp, 0), 0)', 6)} AS ppv, {rnd('coalesce(tn / nullif(tn + fn, 0), 0)', 6)} AS npv, {rnd('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)', 6)} AS f1"""
+
+
 def _metrics_sql(op: str) -> str:
     return f"""WITH {_T_SQL}, g AS (SELECT horizon, {rnd('any_value(threshold)', 6)} AS threshold, {_COUNTS(op)} FROM l JOIN t USING (horizon) GROUP BY 1)
- SELECT *, {rnd('coalesce(tp / nullif(tp + fn, 0), 0)', 6)} AS sensitivity, {rnd('coalesce(tn / nullif(tn + fp, 0), 0)', 6)} AS specificity, {rnd('coalesce(tp / nullif(tp + fp, 0), 0)', 6)} AS ppv, {rnd('coalesce(tn / nullif(tn + fn, 0), 0)', 6)} AS npv, {rnd('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)', 6)} AS f1 FROM g"""
+ SELECT *, {_RATIOS} FROM g"""
+
+
+VALIDATION_SQL = f"""WITH {_T_SQL}, g AS (SELECT horizon, any_value(threshold) AS threshold, {_COUNTS('>=')}, count(*) AS n, CAST(sum(label) AS BIGINT) AS events FROM l JOIN t USING (horizon) GROUP BY 1), e AS (SELECT *, {_RATIOS} FROM g)
+ SELECT horizon, {rnd('threshold', 6)} AS threshold, sensitivity, specificity, ppv, npv, f1, n AS "rows", events FROM e UNION ALL
+ SELECT 0, {rnd('avg(threshold)', 6)}, {', '.join(rnd(f'avg({c})', 6) for c in ('sensitivity', 'specificity', 'ppv', 'npv', 'f1'))}, CAST(sum(n) AS BIGINT), CAST(sum(events) AS BIGINT) FROM e"""
 
 
 @query("clinical_metrics", _metrics_sql(">="))
