@@ -6,7 +6,7 @@ in a final state matched. A batch of URLs advances together, one byte position a
 
 The canonical URL is ``.host/path``: the host is lower-cased, ``/`` separates it from the path
 (itself empty or beginning with ``/``). A rule (host, path) becomes the glob ``[^/]*.host/path*``;
-a free glob of the method is matched within the host (``~`` stands for any run of non-slashes).
+a free glob of the method is matched within the host (``*`` stands for any run of non-slashes).
 
 Cases: a null URL or one without ``://`` has an empty host and path and is allowed; of rules of
 equal length a block wins; repeated rows are judged alike; lengths are not limited (very long
