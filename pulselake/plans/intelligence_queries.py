@@ -140,7 +140,7 @@ def online_features(spark, sf_dir):
     """Feature rows of the newest fifty windows of each patient."""
     s = views.silver(spark, sf_dir)
     quality = s.groupBy("patient_id", "window_start").agg(F.avg("quality_score").alias("quality_score"))
-    rows = features.online_features(wide_vitals(spark, sf_dir).join(quality, ["patient_id", "window_start"]))
+    rows = features.online_features(wide_vitals(spark, sf_dir).drop("quality_score").join(quality, ["patient_id", "window_start"]))
     return rows.select("patient_id", "ts", *(round_(c, 5).alias(c) for c in ("bpm", "spo2", "hrv", "stress", "quality_score")), "hour_of_day", "is_active", "is_sleeping")
 
 
