@@ -81,7 +81,7 @@ def stream_alerts(spark, sf_dir):
  s AS (SELECT *, cu - least(0, min(cu) OVER w) AS up, cd - least(0, min(cd) OVER w) AS dn FROM c WINDOW w AS (PARTITION BY series ORDER BY timestamp_utc, CAST(event_id AS BIGINT) ROWS UNBOUNDED PRECEDING))
  SELECT series, count(*) AS n, count(*) FILTER (up > 200 OR dn > 200) AS alarms FROM s GROUP BY 1""")
 def stream_cusum(spark, sf_dir):
-    r = reading_stream(spark, sf_dir).select(F.col("patient_id").alias("series"), F.col("timestamp_utc").alias("ts"), F.col("metric_value").alias("x"))
+    r = reading_stream(spark, sf_dir).select(F.col("patient_id").alias("series"), F.col("timestamp_utc").alias("ts"), F.col("event_id").cast("long").alias("idx"), F.col("metric_value").alias("x"))
     out = drained(spark, "stream_cusum", jobs.cusum_stream(r, 60.0, 10.0, 200.0))
     return out.groupBy("series").agg(F.count("*").alias("n"), F.count_if("alarm").alias("alarms"))
 
