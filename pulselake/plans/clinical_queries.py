@@ -46,9 +46,7 @@ def alert_matrix(spark, sf_dir):
 
 @query("rule_hit_counts", f"WITH {MATRIX_SQL} SELECT h.rule AS rule, h.severity AS severity, count(*) AS n FROM (SELECT unnest(hits) AS h FROM mat) GROUP BY 1, 2")
 def rule_hit_counts(spark, sf_dir):
-    hits = rules.evaluate(snapshots(spark, sf_dir)).select(F.explode("hits").alias("h"))
-    known = rules.catalogue(spark).select("rule", "severity")
-    return hits.groupBy("h.rule").agg(F.count("*").alias("n")).join(F.broadcast(known), "rule").select("rule", "severity", "n")
+    return rules.hit_counts(snapshots(spark, sf_dir))
 
 
 @query("snapshot_features", f"WITH {SNAP_SQL} SELECT l_orderkey, l_linenumber, pas, pad, hr, (pas + 2 * pad) / 3 AS map_approx, pas - pad AS pulse_pressure, CASE WHEN consciousness_altered THEN 1.0 ELSE 0.0 END::DOUBLE AS consciousness_altered FROM snap")
