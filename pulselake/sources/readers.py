@@ -46,17 +46,20 @@ def _phone_value(metric: Column, raw: Column) -> Column:
     return F.when(metric == "sleep_stage", stage).when((metric == "spo2") & (number <= 1.0), number * 100).otherwise(number)
 
 
-def phone_xml(spark: SparkSession, path: str, patient_id: str) -> DataFrame:
-    """Records of a phone's XML export; types outside the six metrics are dropped."""
-    x = spark.read.format("xml").option("rowTag", "Record").schema(_XML).load(path)
+def phone_xml(spark: SparkSession, path: str, patient_id: str, by_line: bool = False) -> DataFrame:
+    """Records of a phone's XML export; types outside the six metrics are dropped.
+
+    A file is an export; with by_line it holds any number of them, each record on a line of its own.
+    """
+    x = spark.read.format("xml").option("rowTag", "Record").option("multiLine", not by_line).schema(_XML).load(path)
     metric = lookup(F.col("_type"), PHONE_TYPES)
     rows = x.select(F.lit(patient_id).alias("patient_id"), F.coalesce("_sourceName", F.lit("phone")).alias("device_id"), metric.alias("metric_type"), _phone_value(metric, F.col("_value")).alias("metric_value"), parse_timestamp(F.regexp_replace(F.coalesce("_startDate", "_creationDate"), r" ([+-]\d{4})$", "$1")).alias("ts"))
     return normalise(rows.where("metric_type is not null"), "apple", "apple_health")
 
 
-def phone_json(spark: SparkSession, path: str, patient_id: str) -> DataFrame:
-    """Records of a JSON export, in ``records`` or as a bare list; types by full or short name."""
-    raw = spark.read.text(path, wholetext=True)
+def phone_json(spark: SparkSession, path: str, patient_id: str, by_line: bool = False) -> DataFrame:
+    """Records of a JSON export, in ``records`` or as a bare list; types by full or short name. A file is an export, or with by_line each of its lines."""
+    raw = spark.read.text(path, wholetext=not by_line)
     item = "array<struct<type:string,value:string,startDate:string,creationDate:string,sourceName:string>>"
     rows = raw.select(F.explode(F.coalesce(F.from_json(F.get_json_object("value", "$.records"), item), F.from_json("value", item))).alias("r")).select("r.*")
     short = {v: v for v in PHONE_TYPES.values()}
@@ -65,9 +68,9 @@ def phone_json(spark: SparkSession, path: str, patient_id: str) -> DataFrame:
     return normalise(out.where("metric_type is not null"), "apple", "apple_health")
 
 
-def fitness_cache(spark: SparkSession, path: str, patient_id: str) -> DataFrame:
-    """Cached readings of a fitness service."""
-    raw = spark.read.schema("saved_at string, readings array<struct<metric_type:string,value:double,timestamp:string>>").option("multiLine", True).json(path)
+def fitness_cache(spark: SparkSession, path: str, patient_id: str, by_line: bool = False) -> DataFrame:
+    """Cached readings of a fitness service; a file is a payload, or with by_line each of its lines."""
+    raw = spark.read.schema("saved_at string, readings array<struct<metric_type:string,value:double,timestamp:string>>").option("multiLine", not by_line).json(path)
     r = raw.select(F.explode("readings").alias("r")).select(F.lit(patient_id).alias("patient_id"), F.lit("google-fit").alias("device_id"), "r.metric_type", F.col("r.value").alias("metric_value"), parse_timestamp(F.col("r.timestamp")).alias("ts"))
     return normalise(r, "google", "google_fit")
 
@@ -116,9 +119,9 @@ def band_envelopes(spark: SparkSession, path: str, default_patient: str) -> tupl
     return normalise(long_, "hband", "device_stream"), errors
 
 
-def fhir_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """(resource_type, id, resource as JSON) of every entry of cached bundles."""
-    raw = spark.read.text(path, wholetext=True)
+def fhir_bundle(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """(resource_type, id, resource as JSON) of every entry of cached bundles; a file is a bundle, or with by_line each of its lines."""
+    raw = spark.read.text(path, wholetext=not by_line)
     entries = F.coalesce(F.from_json(F.get_json_object("value", "$.bundle.entry"), "array<struct<resource:string>>"), F.from_json(F.get_json_object("value", "$.entry"), "array<struct<resource:string>>"))
     r = raw.select(F.explode(entries).alias("e")).select(F.col("e.resource").alias("resource"))
     return r.select(F.get_json_object("resource", "$.resourceType").alias("resource_type"), F.get_json_object("resource", "$.id").alias("id"), "resource")
