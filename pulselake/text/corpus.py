@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pulselake.session import Scratch, small_side
+from pulselake.text.vector_index import comparable, distance, nearest
 
 STOP = ["the", "and", "that", "with", "for", "was", "are", "this", "from", "les", "des", "dans", "que", "qui", "der", "die", "das", "und", "los", "las", "para", "con", "del"]
 
@@ -175,12 +176,14 @@ def hashed_embedding(docs: DataFrame, dim: int = 384) -> DataFrame:
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """The k nearest vectors by L2 distance to each of a stated, broadcast set of queries (query_id, q).
+    """The k nearest vectors by L2 distance to each query (query_id, q), ties by vec_id, null distances last.
 
-    Distances are computed in one projection; a partial top-k per query precedes the shuffle
-    (Spark's window group limit), so the exchange carries k rows per query and task.
+    Comparable vectors of equal length meet in blocks (`vector_index.nearest`). A pair with another
+    vector has the distance that its entries give, mostly null; such vectors and queries are few and broadcast.
     """
-    d = F.sqrt(F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", d.alias("distance"))
-    nth = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
+    far = lambda v, q: v.crossJoin(F.broadcast(q)).select("query_id", "vec_id", distance("embedding", "q").alias("distance"))
+    odd = vectors.where(~comparable("embedding"))
+    plain = far(odd, queries).unionByName(far(vectors.where(comparable("embedding")), queries.where(~comparable("q"))))
+    scored = nearest(vectors, queries, k).unionByName(plain)
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id"))
     return scored.withColumn("nth", nth).where(F.col("nth") <= k)

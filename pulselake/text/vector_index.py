@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +26,8 @@ from pulselake.session import Scratch, small_side
 
 #: Vectors that the clustering is learnt from, and cells at most (as many as the root of the first rows' number).
 SAMPLE, CELLS = 20_000, 1024
+#: Vectors, and queries, of which one group compares all pairs.
+BLOCK, ASKED = 16_384, 4_096
 
 
 def distance(a: str, b: str) -> Column:
@@ -32,11 +36,64 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, square), F.lit(0.0), lambda s, x: s + x))
 
 
+def comparable(column: str, dim: int | None = None) -> Column:
+    """Whether a vector can be compared; never null."""
+    fit = F.size(column) > 0 if dim is None else F.size(column) == dim
+    odd = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+    return F.coalesce(fit & ~F.exists(column, odd), F.lit(False))
+
+
 def usable(rows: DataFrame, column: str, dim: int | None = None) -> DataFrame:
     """Rows whose vector can be compared."""
-    fit = rows.where(F.size(column) > 0 if dim is None else F.size(column) == dim)
-    odd = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
-    return fit.where(~F.exists(column, odd))
+    return rows.where(comparable(column, dim))
+
+
+def nearest_values(ids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of y, row of x, distance) of the k rows of x nearest to each row of y, ties to the smaller id.
+
+    A matrix product finds all that may be among them; their distances are then summed place by place, as `distance` does.
+    """
+    size, out = (x * x).sum(axis=1), []
+    for lo in range(0, len(y), 256):
+        part = y[lo : lo + 256]
+        own = (part * part).sum(axis=1)
+        near = size[None, :] + own[:, None] - 2 * (part @ x.T)
+        kth = np.partition(near, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+        r, c = np.nonzero(near <= (kth + 1e-9 * (size.max() + own))[:, None])
+        total = np.zeros(len(r))
+        for j in range(x.shape[1]):
+            total += (x[c, j] - part[r, j]) ** 2
+        d = np.sqrt(total)
+        order = np.lexsort((ids[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        out.append((lo + r[place < k], c[place < k], d[place < k]))
+    return tuple(np.concatenate(v) for v in zip(*out))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, distance): the k nearest of all vectors (vec_id, embedding) to each query (query_id, q); those of comparable vectors of equal length.
+
+    Vectors and queries are dealt to blocks; a block of one meets a block of the other in a group, which
+    keeps k of each query. So a group's size is bounded, and what is gathered is k rows a query and block.
+    """
+    parts, turns = (max(1, -(-df.count() // most)) for df, most in ((vectors, BLOCK), (queries, ASKED)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    v = usable(vectors, "embedding").select("vec_id", "embedding", F.size("embedding").alias("dim"), dealt("vec_id", parts).alias("part"), each(turns).alias("turn"))
+    q = usable(queries, "q").select("query_id", "q", F.size("q").alias("dim"), dealt("query_id", turns).alias("turn"), each(parts).alias("part"))
+    keys = ["dim", "part", "turn"]
+
+    def run(here: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(here) or not len(asked):
+            return pd.DataFrame([], columns=["query_id", "vec_id", "distance"])
+        ids = here["vec_id"].to_numpy()
+        r, c, d = nearest_values(ids, np.stack(here["embedding"]).astype(float), np.stack(asked["q"]).astype(float), k)
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[r], "vec_id": ids[c], "distance": d})
+
+    near = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, distance double")
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
 
 
 class VectorIndex:
@@ -89,6 +146,14 @@ class VectorIndex:
         nth = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
         return found.select("query_id", "vec_id", "cell", distance("embedding", "q").alias("distance")).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
 
+    def _all_nearest(self, queries: DataFrame, probed: DataFrame, k: int) -> DataFrame:
+        """As _nearest, over all cells that any query probes, each query in all of them."""
+        cells = [r[0] for r in probed.select("cell").distinct().collect()]  # at most CELLS
+        asked = queries.join(probed.select("query_id").distinct(), "query_id", "left_semi")
+        held = self.vectors().where(F.col("cell").isin(cells))
+        near = nearest(held.select("vec_id", "embedding"), asked, k)
+        return near.join(held.select("vec_id", "cell"), "vec_id").select("query_id", "vec_id", "cell", "distance")
+
     def search(self, queries: DataFrame, k: int = 3, probes: int = 8, exact: bool = False, work: Scratch | None = None) -> DataFrame:
         """query_id, nth, vec_id, distance, text and metadata of the k nearest rows to each query (query_id, q).
 
@@ -108,9 +173,10 @@ class VectorIndex:
             more = ranked.where(F.col("rank") > probes).join(small_side(have, have.count()), "query_id", "left")
             # a little more than the bound, for rounding
             more = more.where(F.col("n").isNull() | (F.col("n") < k) | (F.col("away") - F.col("radius") <= F.col("worst") * (1 + 1e-9)))
-            rest = self._nearest(queries, work.write(more.select("query_id", "cell"), "more"), k)
+            more = work.write(more.select("query_id", "cell"), "more")
+            rest = self._all_nearest(queries, more, k)
             nth = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
-            best = work.write(best.unionByName(rest).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth"), "best")
+            best = work.write(best.unionByName(rest).dropDuplicates(["query_id", "vec_id", "cell"]).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth"), "best")
         nth = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
         best = best.withColumn("nth", nth)
         cells = [r[0] for r in best.select("cell").distinct().collect()]
