@@ -6,6 +6,7 @@ runs plain NumPy recursions. Rows go in by one shuffle on series. Hampel and Kal
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -188,6 +189,29 @@ def latent_step(s: np.ndarray, p: np.ndarray, z: np.ndarray, dt: float, unscente
     return s, (p + p.T) / 2, innovation
 
 
+def latent_steps(s: np.ndarray, p: np.ndarray, z: np.ndarray, dt: np.ndarray, unscented: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """latent_step of many series at once: states (m, 5), covariances (m, 5, 5), observations (m, 4) and steps (m).
+
+    A missing observation has a row of zeros in the model, so its gain is 0.
+    """
+    decay = 1 - _RATE * dt[:, None]
+    noise = _SIGMA**2 * (1 - np.exp(-2 * _RATE * dt[:, None])) / (2 * _RATE)
+    s, moved = _MEAN + decay * (s - _MEAN), decay[:, :, None] * p * decay[:, None, :]
+    p = moved + noise[:, :, None] * np.eye(len(_MEAN))
+    innovation = z - _OBS - (s - _MEAN) @ _H.T
+    on = ~np.isnan(z)
+    h, r = _H * on[:, :, None], np.diag(_R)
+    across = h.transpose(0, 2, 1)
+    seen = (moved if unscented else p) @ across
+    spread = h @ seen + r
+    gain = seen @ np.linalg.inv(spread)
+    s = s + (gain @ np.where(on, innovation, 0.0)[:, :, None])[:, :, 0]
+    left = np.eye(len(_MEAN)) - gain @ h
+    back = gain.transpose(0, 2, 1)
+    p = p - gain @ spread @ back if unscented else left @ p @ left.transpose(0, 2, 1) + gain @ r @ back
+    return s, (p + p.transpose(0, 2, 1)) / 2, innovation
+
+
 def normal_quantile(level: float) -> float:
     """Half-width in deviations of a central interval."""
     return 1.96 if level == 0.95 else NormalDist().inv_cdf(0.5 + level / 2)
@@ -196,31 +220,50 @@ def normal_quantile(level: float) -> float:
 def latent_states(vitals: DataFrame, level: float = 0.95, unscented: bool = False) -> DataFrame:
     """Filtered latent states of each series (idx, t and the OBSERVED columns), with bounds, reliability, trace and innovations.
 
-    One filter per series; dt is the median step of t, 1 if that is not positive. An absent column
-    counts as its value at the set points; a null in a row is skipped.
+    dt is the median step of t, 1 if that is not positive or a step is unknown. An absent column
+    counts as its value at the set points; a null in a row is skipped. Sorted series pass in batches:
+    the series of a batch take their steps together, and the one that a batch ends in goes on in the next.
     """
     fields = ", ".join(f"{n} double, {n}_low double, {n}_high double, {n}_reliable boolean" for n in STATES)
     more = ", ".join(f"innovation_{n} double" for n in OBSERVED)
     width, here = normal_quantile(level), [n for n in OBSERVED if n in vitals.columns]
     top = np.array([100.0 if n == "spo2" else np.inf for n in STATES])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable").reset_index(drop=True)
-        step = np.median(np.diff(pdf["t"].to_numpy(float))) if len(pdf) > 1 else 1.0
-        dt = float(step) if step > 0 else 1.0
-        z = np.stack([pdf[n].to_numpy(float) if n in here else np.full(len(pdf), v) for n, v in zip(OBSERVED, _OBS)], axis=1)
-        s, p, rows = _MEAN.copy(), _P0.copy(), []
-        for row in z:
-            s, p, seen = latent_step(s, p, row, dt, unscented)
-            var = np.diag(p)
+    of, t = W.partitionBy("series"), F.col("t").cast("double")
+    gap = t - F.lag(t).over(of.orderBy(F.asc_nulls_last("idx")))
+    steps = vitals.withColumn("_gap", F.when(~F.isnan(gap), gap)).withColumns({"_dt": F.median("_gap").over(of), "_unknown": F.count("*").over(of) - 1 - F.count("_gap").over(of)})
+    dt = F.when((F.col("_unknown") == 0) & (F.col("_dt") > 0), F.col("_dt")).otherwise(1.0)
+    given = steps.select("series", "idx", dt.alias("dt"), *(F.col(n).cast("double").alias(n) for n in here)).repartition("series").sortWithinPartitions(F.asc_nulls_last("series"), F.asc_nulls_last("idx"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None  # series, state and covariance that the batch before ended in
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            n = len(pdf)
+            code = pd.factorize(pdf["series"], use_na_sentinel=False)[0]  # sorted, so series come one after the other
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            place, size = np.arange(n) - first[code], np.diff(first, append=n)
+            z = np.stack([pdf[c].to_numpy(float) if c in here else np.full(n, v) for c, v in zip(OBSERVED, _OBS)], axis=1)
+            step = pdf["dt"].to_numpy(float)
+            s, p = np.tile(_MEAN, (len(first), 1)), np.tile(_P0, (len(first), 1, 1))
+            if last is not None and last[0] == pdf["series"].iloc[0]:
+                s[0], p[0] = last[1:]
+            states, var, seen = np.empty((n, len(STATES))), np.empty((n, len(STATES))), np.empty((n, len(OBSERVED)))
+            left = np.arange(len(first))
+            for k in range(place.max() + 1):
+                left = left[size[left] > k]
+                at = first[left] + k
+                s[left], p[left], seen[at] = latent_steps(s[left], p[left], z[at], step[at], unscented)
+                states[at], var[at] = s[left], np.diagonal(p[left], axis1=1, axis2=2)
+            last = pdf["series"].iloc[-1], s[-1], p[-1]
             half = width * np.sqrt(var)
-            low, high = np.clip(s - half, 0.0, top), np.minimum(top, np.where(np.isfinite(top), np.maximum(0.0, s + half), s + half))
-            rows.append([*(v for k in range(5) for v in (s[k], low[k], high[k], bool(var[k] < _RELIABLE[k]))), var.sum(), *seen])
-        names = [c for n in STATES for c in (n, f"{n}_low", f"{n}_high", f"{n}_reliable")]
-        out = pd.DataFrame(rows, columns=[*names, "trace", *(f"innovation_{n}" for n in OBSERVED)])
-        return pd.concat([pdf[["series", "idx"]], out], axis=1)
+            low, high = np.clip(states - half, 0.0, top), np.minimum(top, np.where(np.isfinite(top), np.maximum(0.0, states + half), states + half))
+            out = {"series": pdf["series"], "idx": pdf["idx"]}
+            for k, name in enumerate(STATES):
+                out |= {name: states[:, k], f"{name}_low": low[:, k], f"{name}_high": high[:, k], f"{name}_reliable": var[:, k] < _RELIABLE[k]}
+            yield pd.DataFrame(out | {"trace": var.sum(axis=1)} | {f"innovation_{name}": seen[:, k] for k, name in enumerate(OBSERVED)})
 
-    return vitals.groupBy("series").applyInPandas(run, f"series string, idx long, {fields}, trace double, {more}")
+    return given.mapInPandas(run, f"series string, idx long, {fields}, trace double, {more}")
 
 
 def state_report(states: DataFrame, last: int = 100) -> DataFrame:
