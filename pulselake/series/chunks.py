@@ -10,6 +10,9 @@ groups as it has pieces.
   are composed, the compositions of a series (one row a piece) give each piece its start, and the
   pieces run from there.
 
+Sorted pieces pass in Arrow batches and those of a batch are filtered together, so many short series
+cost no group each.
+
 Results are those of `hampel_values` and `kalman_values` on the whole series (to rounding). A null x
 counts as NaN there and here: no correction sees it, and a Kalman state stays NaN after it. Ties of
 idx are in the order of the other columns.
@@ -17,7 +20,9 @@ idx are in the order of the other columns.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,16 +47,60 @@ def placed(rows: DataFrame, work: Scratch) -> DataFrame:
     return work.write(joined.select("series", "idx", *rest, k.alias("k"), F.floor(k / CHUNK).alias("chunk")), "placed")
 
 
-def _hampel_piece(before: np.ndarray, own: np.ndarray, after: np.ndarray, half: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    y, odd = np.concatenate([before, own, after]), np.zeros(len(own), bool)
-    for j in range(len(own)):
-        at = len(before) + j
-        near = y[max(0, at - half) : at + half + 1]
-        mid = np.median(near)
-        mad = np.median(np.abs(near - mid))
-        if mad >= 1e-6 and abs(y[at] - mid) > limit * 1.4826 * mad:
-            y[at], odd[j] = mid, True
-    return y[len(before) : len(before) + len(own)], odd
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Of rows sorted by keys: frames of whole groups, each with the groups' first rows and sizes.
+
+    The group that a batch ends in goes on in the next frame, so a frame is a batch and at most one group more.
+    """
+    rest = None
+    for pdf in chain(batches, [None]):
+        last = pdf is None
+        pdf = rest if last else pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if pdf is None or not len(pdf):
+            continue
+        new = np.zeros(len(pdf), bool)
+        for key in keys:
+            new |= np.diff(pd.factorize(pdf[key], use_na_sentinel=False)[0], prepend=-1) != 0
+        first = np.flatnonzero(new)
+        cut = len(pdf) if last else int(first[-1])
+        rest = None if last else pdf.iloc[cut:].reset_index(drop=True)
+        if cut:
+            first = first if last else first[:-1]
+            yield pdf.iloc[:cut].reset_index(drop=True), first, np.diff(first, append=cut)
+
+
+def hampel_groups(x: np.ndarray, first: np.ndarray, size: np.ndarray, half: int = 3, limit: float = 3.0, fixed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """`hampel_values` of groups that lie one after the other; fixed rows are seen and not corrected.
+
+    All rows are judged at once on the values so far, then those again that follow a change, until none
+    changes: a row's last judgement sees the final values before it, as in a pass from left to right.
+    """
+    place = np.arange(len(x)) - np.repeat(first, size)
+    back, ahead = np.minimum(place, half), np.minimum(np.repeat(size, size) - 1 - place, half)
+    free = np.ones(len(x), bool) if fixed is None else ~fixed
+    around = np.arange(-half, half + 1)
+    y, odd, todo = x.copy(), np.zeros(len(x), bool), np.flatnonzero(free)
+
+    def median(values: np.ndarray, inside: np.ndarray, n: np.ndarray) -> np.ndarray:
+        s, r = np.sort(np.where(inside, values, np.inf), axis=1), np.arange(len(values))
+        low, high = s[r, (n - 1) // 2], s[r, n // 2]
+        return np.where((np.isnan(values) & inside).any(axis=1), np.nan, np.where(low == high, low, (low + high) / 2))
+
+    while len(todo):
+        inside = (around >= -back[todo, None]) & (around <= ahead[todo, None])
+        at = np.where(inside, todo[:, None] + around, todo[:, None])
+        near, n = np.where(around < 0, y[at], x[at]), back[todo] + ahead[todo] + 1
+        with np.errstate(invalid="ignore"):
+            mid = median(near, inside, n)
+            mad = median(np.abs(near - mid[:, None]), inside, n)
+            out = (mad >= 1e-6) & (np.abs(x[todo] - mid) > limit * 1.4826 * mad)
+        now = np.where(out, mid, x[todo])
+        changed = todo[(now != y[todo]) & ~(np.isnan(now) & np.isnan(y[todo]))]
+        y[todo], odd[todo] = now, out
+        after = changed[:, None] + np.arange(1, half + 1)
+        todo = np.unique(after[np.arange(1, half + 1) <= ahead[changed, None]])
+        todo = todo[free[todo]]
+    return y, odd
 
 
 def hampel(rows: DataFrame, half: int = 3, limit: float = 3.0, work: Scratch | None = None, table: DataFrame | None = None) -> DataFrame:
@@ -63,18 +112,22 @@ def hampel(rows: DataFrame, half: int = 3, limit: float = 3.0, work: Scratch | N
     dealt = table.select("series", "k", "chunk", "x", F.explode(sides).alias("side")).select("series", (F.col("chunk") + F.col("side")).alias("chunk"), "k", "x", F.col("side").alias("side"))
     none = F.lit(None).cast("array<double>")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k", kind="stable")
-        own = pdf[pdf["side"] == 0]
-        if not len(own):  # rows handed to a piece that the series does not have
-            return pd.DataFrame([], columns=["series", "k", "chunk", "filtered", "is_artifact"])
-        start = pdf["start"].iloc[0]
-        before = pdf.loc[pdf["side"] == 1, "x"].to_numpy(float) if start is None else np.asarray(start, float)
-        y, odd = _hampel_piece(before, own["x"].to_numpy(float), pdf.loc[pdf["side"] == -1, "x"].to_numpy(float), half, limit)
-        return pd.DataFrame({"series": own["series"], "k": own["k"], "chunk": own["chunk"], "filtered": y, "is_artifact": odd})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, first, size in whole_groups(batches, ["series", "chunk"]):
+            x, side = pdf["x"].to_numpy(float, copy=True), pdf["side"].to_numpy()
+            for at, n in zip(first, size):  # the rows before a piece of a long series
+                start = pdf["start"].iloc[at] if side[at] == 1 else None
+                if start is not None:
+                    x[at : at + n][side[at : at + n] == 1] = start
+            y, odd = hampel_groups(x, first, size, half, limit, side != 0)
+            own = side == 0  # not those handed to a piece that the series does not have
+            yield pd.DataFrame({"series": pdf["series"][own], "k": pdf["k"][own], "chunk": pdf["chunk"][own], "filtered": y[own], "is_artifact": odd[own]})
+
+    def pieces(df: DataFrame) -> DataFrame:
+        return df.repartition("series", "chunk").sortWithinPartitions(F.asc_nulls_last("series"), "chunk", "k").mapInPandas(run, schema)
 
     schema = f"series {table.schema['series'].dataType.simpleString()}, k long, chunk long, filtered double, is_artifact boolean"
-    out = work.write(dealt.withColumn("start", none).groupBy("series", "chunk").applyInPandas(run, schema), "hampel")
+    out = work.write(pieces(dealt.withColumn("start", none)), "hampel")
     # the starts that pieces ran from: first the raw values
     tail = lambda df, c: df.where(inside >= CHUNK - half).groupBy("series", (F.col("chunk") + 1).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce(c, F.lit(float("nan"))).alias("v")))), lambda s: s["v"]).alias("start"))
     used = work.write(tail(table, F.col("x").cast("double")), "used")
@@ -85,7 +138,7 @@ def hampel(rows: DataFrame, half: int = 3, limit: float = 3.0, work: Scratch | N
         n = fresh.count()
         if not n:
             return out
-        again = dealt.join(small_side(fresh, n), same).groupBy(*same).applyInPandas(run, schema)
+        again = pieces(dealt.join(small_side(fresh, n), same))
         kept = out.join(small_side(fresh.select(*same), n), same, "left_anti")
         out = work.write(kept.unionByName(again), "hampel")
         used = work.write(used.join(small_side(fresh.select(*same), n), same, "left_anti").unionByName(fresh), "used")
@@ -105,51 +158,62 @@ def _gains(q: float, r: float) -> np.ndarray:
     return np.array(out)
 
 
-def _filter(x: np.ndarray, first: int, q: float, r: float, start: tuple[float, float]) -> tuple[np.ndarray, tuple[float, float]]:
-    """Values from place first on, and the last state."""
+def kalman_groups(x: np.ndarray, first: np.ndarray, size: np.ndarray, place: np.ndarray, q: float, r: float, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of groups that lie one after the other and their last states; a group starts at a place of its series, value a and rate b.
+
+    The groups take their steps together.
+    """
     gains = _gains(q, r)
-    g = gains[np.minimum(np.arange(first, first + len(x)), len(gains) - 1)]
-    (a, b), out = start, np.empty(len(x))
-    for k, (v, g0, g1) in enumerate(zip(x.tolist(), g[:, 0].tolist(), g[:, 1].tolist())):
-        a, b = a + b, 0.95 * b
-        off = v - a
-        a, b = a + g0 * off, b + g1 * off
-        out[k] = a
-    return out, (a, b)
+    out, left = np.empty(len(x)), np.arange(len(first))
+    a, b = a.astype(float), b.astype(float)
+    for k in range(size.max(initial=0)):
+        left = left[size[left] > k]
+        g = gains[np.minimum(place[left] + k, len(gains) - 1)]
+        value, rate = a[left] + b[left], 0.95 * b[left]
+        off = x[first[left] + k] - value
+        a[left], b[left] = value + g[:, 0] * off, rate + g[:, 1] * off
+        out[first[left] + k] = a[left]
+    return out, a, b
 
 
 def kalman(rows: DataFrame, q: float = 0.05, r: float = 2.0, work: Scratch | None = None) -> DataFrame:
     """rows (series, k, chunk, x, ...) with smooth: the value-and-rate filter, started at a series' first value."""
     work = work or Scratch(rows.sparkSession, "kalman")
     kind = rows.schema["series"].dataType.simpleString()
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k", kind="stable")
-        x, first = pdf["x"].to_numpy(float), int(pdf["k"].iloc[0])
-        ends = [_filter(x, first, q, r, s)[1] for s in ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0))]
-        b, (m0, m1) = ends[0], ((e[0] - ends[0][0], e[1] - ends[0][1]) for e in ends[1:])
-        return pd.DataFrame([(pdf["series"].iloc[0], int(pdf["chunk"].iloc[0]), float(x[0]), [m0[0], m1[0], m0[1], m1[1]], list(b))], columns=["series", "chunk", "x0", "m", "b"])
-
-    maps = work.write(rows.select("series", "chunk", "k", "x").groupBy("series", "chunk").applyInPandas(compose, f"series {kind}, chunk long, x0 double, m array<double>, b array<double>"), "maps")
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        s, out = np.array([pdf["x0"].iloc[0], 0.0]), []
-        for m, b in zip(pdf["m"], pdf["b"]):
-            out.append(s.tolist())
-            s = np.asarray(m).reshape(2, 2) @ s + np.asarray(b)
-        return pdf[["series", "chunk"]].assign(start=out)
-
-    starts = work.write(maps.groupBy("series").applyInPandas(scan, f"series {kind}, chunk long, start array<double>"), "starts")
+    sorted_ = lambda df, *keys: df.repartition(*keys).sortWithinPartitions(F.asc_nulls_last("series"), "chunk", *(["k"] if "k" in df.columns else []))
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, first, size in whole_groups(batches, ["series", "chunk"]):
+            x, place, none, one = pdf["x"].to_numpy(float), pdf["k"].to_numpy()[first], np.zeros(len(first)), np.ones(len(first))
+            ends = [np.stack(kalman_groups(x, first, size, place, q, r, *s)[1:], axis=1) for s in ((none, none), (one, none), (none, one))]
+            m0, m1 = ends[1] - ends[0], ends[2] - ends[0]
+            m = np.stack([m0[:, 0], m1[:, 0], m0[:, 1], m1[:, 1]], axis=1)
+            yield pd.DataFrame({"series": pdf["series"].iloc[first].array, "chunk": pdf["chunk"].to_numpy()[first], "x0": x[first], "m": list(m), "b": list(ends[0])})
+
+    maps = work.write(sorted_(rows.select("series", "chunk", "k", "x"), "series", "chunk").mapInPandas(compose, f"series {kind}, chunk long, x0 double, m array<double>, b array<double>"), "maps")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = None
+        for pdf in batches:
+            out = []
+            for chunk, x0, m, b in zip(pdf["chunk"], pdf["x0"], pdf["m"], pdf["b"]):
+                s = (x0, 0.0) if chunk == 0 else s
+                out.append(list(s))
+                s = m[0] * s[0] + m[1] * s[1] + b[0], m[2] * s[0] + m[3] * s[1] + b[1]
+            yield pdf[["series", "chunk"]].assign(start=out)
+
+    starts = work.write(sorted_(maps, "series").mapInPandas(scan, f"series {kind}, chunk long, start array<double>"), "starts")
     ready = rows.join(small_side(starts.withColumnsRenamed({"series": "_of", "chunk": "_piece"}), starts.count()), F.col("series").eqNullSafe(F.col("_of")) & (F.col("chunk") == F.col("_piece"))).drop("_of", "_piece")
+    ready = ready.select(*rows.columns, F.col("start")[0].alias("_value"), F.col("start")[1].alias("_rate"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["smooth double"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k", kind="stable").reset_index(drop=True)
-        y, _ = _filter(pdf["x"].to_numpy(float), int(pdf["k"].iloc[0]), q, r, tuple(pdf["start"].iloc[0]))
-        return pdf.drop(columns="start").assign(smooth=y)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, first, size in whole_groups(batches, ["series", "chunk"]):
+            at = pdf.iloc[first]
+            y = kalman_groups(pdf["x"].to_numpy(float), first, size, at["k"].to_numpy(), q, r, at["_value"].to_numpy(float), at["_rate"].to_numpy(float))[0]
+            yield pdf.drop(columns=["_value", "_rate"]).assign(smooth=y)
 
-    return ready.groupBy("series", "chunk").applyInPandas(run, schema)
+    return sorted_(ready, "series", "chunk").mapInPandas(run, schema)
 
 
 def hampel_rows(rows: DataFrame, half: int = 3, limit: float = 3.0, work: Scratch | None = None) -> DataFrame:
