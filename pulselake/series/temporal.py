@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pulselake.clinical.scores import GHOSTS, fuzzy, ghost_signals
-from pulselake.series.recursive import hampel_values, kalman_values
+from pulselake.series.chunks import hampel_groups, kalman_groups, whole_groups
+from pulselake.session import Scratch
 
 # Half window of the outlier filter, process and measurement noise of each vital; its baseline column.
 VITALS = {"heart_rate": (4, 1.0, 9.0, "resting_hr"), "spo2": (2, 0.1, 1.0, "baseline_spo2"), "hrv": (2, 2.0, 25.0, "baseline_hrv"), "stress": (3, 1.0, 15.0, None)}
@@ -23,24 +25,29 @@ BASELINE = ("resting_hr", "baseline_spo2", "baseline_hrv", "activity_level", "ri
 def denoised(vitals: DataFrame) -> DataFrame:
     """patient_id, window_start, t (place from 0), quality_score, the series' mean_quality, baseline, and each vital's filtered values, noise and artifacts.
 
-    One patient's rows are one group. Gaps are filled forward, those at the start by the baseline (stress: 0).
+    Sorted patients pass in batches, a patient's rows whole, and are filtered together. Gaps are filled forward, those at the start by the baseline (stress: 0).
     """
     extra = ", ".join(f"{v} double, {v}_noise double, {v}_artifacts double" for v in VITALS)
     schema = f"patient_id string, window_start timestamp, t int, quality_score double, mean_quality double, resting_hr double, baseline_spo2 double, baseline_hrv double, activity_level string, risk_factor double, n_conditions int, {extra}"
     given = vitals.select("patient_id", "window_start", F.coalesce("quality_score", F.lit(1.0)).alias("quality_score"), *BASELINE, *VITALS)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("window_start", kind="stable").reset_index(drop=True)
-        out = pdf[["patient_id", "window_start", "quality_score", *BASELINE]].assign(t=np.arange(len(pdf)), mean_quality=pdf["quality_score"].mean())
-        for name, (half, q, r, base) in VITALS.items():
-            start = None if base is None else float(pdf[base].iloc[0])
-            x = pdf[name].ffill().fillna(start or 0.0).to_numpy(float)
-            clean, odd = hampel_values(x, half) if len(x) >= 3 else (x, np.zeros(len(x), bool))
-            even = kalman_values(clean, q, r, start)
-            out = out.assign(**{name: even, f"{name}_noise": float(np.std(clean - even)) if len(x) > 1 else 0.0, f"{name}_artifacts": float(odd.mean())})
-        return out
-
-    return given.groupBy("patient_id").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, first, size in whole_groups(batches, ["patient_id"]):
+            code = np.repeat(np.arange(len(first)), size)
+            mean = lambda v: (np.add.reduceat(v, first) / size)[code]
+            out = pdf[["patient_id", "window_start", "quality_score", *BASELINE]].assign(t=np.arange(len(pdf)) - first[code], mean_quality=pdf.groupby(code)["quality_score"].transform("mean"))
+            for name, (half, q, r, base) in VITALS.items():
+                filled = pdf.groupby(code)[name].ffill().to_numpy(float)
+                fill = 0.0 if base is None else pdf[base].to_numpy(float)[first][code]
+                x = np.where(np.isnan(filled), fill, filled)
+                clean, odd = hampel_groups(x, first, size, half, fixed=size[code] < 3)
+                start = x[first] if base is None else pdf[base].to_numpy(float)[first]
+                even = kalman_groups(clean, first, size, np.zeros(len(first), int), q, r, start, np.zeros(len(first)))[0]
+                off = clean - even
+                out = out.assign(**{name: even, f"{name}_noise": np.sqrt(mean((off - mean(off)) ** 2)), f"{name}_artifacts": mean(odd.astype(float))})
+            yield out
+
+    return given.repartition("patient_id").sortWithinPartitions("patient_id", F.asc_nulls_last("window_start")).mapInPandas(run, schema)
 
 
 def _longest_run(large: Column) -> Column:
@@ -62,7 +69,7 @@ def feature_matrix(vitals: DataFrame, stride: int = 4, look_back: int = 40) -> D
     and hold for the stride steps from it on. A row is dealt to the look_back / stride anchors that
     see it, so a window is a small group of its own and a long series is many of them.
     """
-    rows = denoised(vitals)
+    rows = Scratch(vitals.sparkSession, "features").write(denoised(vitals), "denoised")  # read three times
     last = rows.withColumn("end", F.max("t").over(W.partitionBy("patient_id")))
     first = (F.ceil(F.col("t") / stride) * stride).cast("int")
     anchors = F.filter(F.sequence(first, F.greatest(first, F.col("t") + look_back - 1), F.lit(stride)), lambda a: (a <= F.col("end")) & (a < F.col("t") + look_back))
