@@ -1,18 +1,22 @@
 """Heart-rate variability beyond the time domain: spectra and bands, entropies, the whole report.
 
 rows are (series, idx, x): R-R intervals in ms. Spectra come from sums per series and frequency
-(uneven beats) or from a grouped map (even resampling); entropies from a join of near templates.
+(uneven beats, by sorted series in batches) or from a grouped map (even resampling); entropies from a
+join of near templates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulselake.series.windows import hrv_time_domain, in_order, oscillation_index, oscillation_profile, spectral_power, whole
+from pulselake.series.windows import hrv_time_domain, in_order, index_of, oscillation_profile, whole
 
 # Bands in Hz, the frequency grid of uneven spectra.
 BANDS = {"vlf": (0.003, 0.04), "lf": (0.04, 0.15), "hf": (0.15, 0.4)}
@@ -25,14 +29,93 @@ def real_intervals(rows: DataFrame) -> DataFrame:
     return rows.where("x > 0 and not isnan(x) and x < double('infinity')").select("series", "idx", F.col("x").cast("double").alias("x"))
 
 
+def _frequencies(points: int) -> np.ndarray:
+    """Evenly spaced over the whole range of the bands."""
+    low, high = BANDS["vlf"][0], BANDS["hf"][1]
+    return low + np.arange(points) * ((high - low) / (points - 1))
+
+
+def _spectra(batches: Iterator[pd.DataFrame], points: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Of beats sorted by series and place: series with LEAST or more, and their psd at each frequency (`windows.lomb_scargle` times 2 / n).
+
+    The frequencies are even, so their turns are products of coarse and fine ones, and the sums over
+    beats of turns, of x times turns and of squared turns are matrix products. They are carried over
+    the end of a batch, so a long series is never held whole.
+    """
+    f = _frequencies(points)
+    fine = 32
+    coarse = 2j * np.pi * f[::fine]
+    near = 2j * np.pi * np.arange(fine) * (f[1] - f[0])
+    series, sums = None, None  # the open series: n, sum of x, time, sums of turns
+
+    def add(x: np.ndarray) -> None:
+        t = sums[2] + np.cumsum(x) / 1000
+        a, b = np.exp(t[:, None] * coarse), np.exp(t[:, None] * near)
+        sums[:] = sums[0] + len(x), sums[1] + x.sum(), t[-1], sums[3] + a.T @ b, sums[4] + (a * x[:, None]).T @ b, sums[5] + (a * a).T @ (b * b)
+
+    def psd(done: list) -> np.ndarray:
+        n, total = (np.array([d[k] for d in done], float)[:, None] for k in (0, 1))
+        turns, with_x, squares = (np.stack([d[k].ravel()[:points] for d in done]) for k in (3, 4, 5))
+        moved = with_x - total / n * turns
+        cc, sq, cs = (n + squares.real) / 2, (n - squares.real) / 2, squares.imag / 2
+        phase = np.arctan2(squares.imag, squares.real) / 2
+        a, b = np.cos(phase), np.sin(phase)
+        share = lambda num, den: np.divide(num * num, den, out=np.zeros(num.shape), where=den != 0)
+        xc, xs = moved.real, moved.imag
+        return (share(xc * a + xs * b, cc * a * a + 2 * cs * a * b + sq * b * b) + share(xs * a - xc * b, cc * b * b - 2 * cs * a * b + sq * a * a)) / n
+
+    for pdf in chain(batches, [None]):
+        names, done = [], []
+        code = np.zeros(0, int) if pdf is None else pd.factorize(pdf["series"], use_na_sentinel=False)[0]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        for at, end in zip(first, [*first[1:], len(code)]):
+            own = pdf["series"].iloc[at]
+            if sums is None or own != series:
+                if sums is not None:
+                    names, done = [*names, series], [*done, sums]
+                series, sums = own, [0, 0.0, 0.0, 0.0, 0.0, 0.0]
+            x = pdf["x"].to_numpy(float)[at:end]
+            for k in range(0, len(x), 1024):
+                add(x[k : k + 1024])
+        if pdf is None and sums is not None:
+            names, done = [*names, series], [*done, sums]
+        kept = [k for k, d in enumerate(done) if d[0] >= LEAST]
+        for k in range(0, len(kept), 256):
+            part = kept[k : k + 256]
+            yield [names[j] for j in part], psd([done[j] for j in part])
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return real_intervals(rows).repartition("series").sortWithinPartitions(F.asc_nulls_last("series"), "idx").select("series", "x")
+
+
 def uneven_spectrum(rows: DataFrame, points: int = GRID) -> DataFrame:
     """(series, f, psd) over the whole range of the bands, each beat at the sum of the intervals to it."""
-    low, high = BANDS["vlf"][0], BANDS["hf"][1]
-    t = F.sum("x").over(in_order().rowsBetween(W.unboundedPreceding, 0)) / 1000
-    timed = real_intervals(rows).withColumns({"t": t, "n": F.count("*").over(whole())}).where(F.col("n") >= LEAST)
-    f = (low + F.col("k") * ((high - low) / (points - 1))).alias("f")
-    wide = timed.select("series", "x", "t", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")).select("series", "x", "t", "n", f)
-    return wide.groupBy("series", "f").agg((spectral_power() * 2 / F.first("n")).alias("psd"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = _frequencies(points)
+        for names, psd in _spectra(batches, points):
+            yield pd.DataFrame({"series": np.repeat(np.array(names, object), points), "f": np.tile(f, len(names)), "psd": psd.ravel()})
+
+    return _in_order(rows).mapInPandas(run, f"series {rows.schema['series'].dataType.simpleString()}, f double, psd double")
+
+
+def uneven_bands(rows: DataFrame, points: int = GRID) -> DataFrame:
+    """band_powers of uneven_spectrum without its rows: each series' powers are made where its spectrum is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = _frequencies(points)
+        kind = np.select([(f >= low) & (f <= high) for low, high in BANDS.values()], range(len(BANDS)), -1)
+        weight = np.zeros((points, len(BANDS)))
+        for k in range(1, points):
+            if kind[k] == kind[k - 1] >= 0:
+                weight[k - 1 : k + 1, kind[k]] += (f[k] - f[k - 1]) / 2
+        for names, psd in _spectra(batches, points):
+            power = psd @ weight
+            yield pd.DataFrame({"series": np.array(names, object)} | {f"{b}_power": power[:, k] for k, b in enumerate(BANDS)})
+
+    powers = ", ".join(f"{b}_power double" for b in BANDS)
+    return _shares(_in_order(rows).mapInPandas(run, f"series {rows.schema['series'].dataType.simpleString()}, {powers}"))
 
 
 def spline_values(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -98,7 +181,10 @@ def band_powers(spectrum: DataFrame) -> DataFrame:
     step = (F.col("psd") + F.lag("psd").over(by)) / 2 * (F.col("f") - F.lag("f").over(by))
     s = s.withColumn("area", F.when(F.lag("band").over(by) == F.col("band"), step).otherwise(0.0))
     of = lambda b: F.coalesce(F.sum(F.when(F.col("band") == b, F.col("area"))), F.lit(0.0)).alias(f"{b}_power")
-    p = s.groupBy("series").agg(*map(of, BANDS))
+    return _shares(s.groupBy("series").agg(*map(of, BANDS)))
+
+
+def _shares(p: DataFrame) -> DataFrame:
     vlf, lf, hf = (F.col(f"{b}_power") for b in BANDS)
     share = lambda x: F.when(lf + hf > 1e-10, 100 * x / (lf + hf)).otherwise(0.0)
     ratio = F.when(hf > 1e-10, lf / hf).otherwise(F.lit(float("inf")))
@@ -142,10 +228,10 @@ def report(rows: DataFrame, uneven: bool = True) -> DataFrame:
     rr = real_intervals(rows)
     meta = rr.groupBy("series").agg(F.count("*").alias("n_intervals"), (F.sum("x") / 1000).alias("duration_seconds")).where("n_intervals >= 2")
     time = hrv_time_domain(rr).drop("n")
-    bands = band_powers(uneven_spectrum(rr) if uneven else even_spectrum(rr))
+    bands = uneven_bands(rr) if uneven else band_powers(even_spectrum(rr))
     profile = oscillation_profile(rr, (4, 8, 16, 32))
     at = lambda s: F.coalesce(F.max(F.when(F.col("scale") == s, F.col("mean_mo"))), F.lit(0.0)).alias(f"mo_scale_{s}")
-    oscillation = oscillation_index(rr).join(profile.groupBy("series").agg(at(4), at(16)), "series")
+    oscillation = profile.groupBy("series").agg(*index_of(4), at(4), at(16))
     joined = meta
     for part in (time, bands, entropies(rr), oscillation):
         joined = joined.join(part, "series", "left")
