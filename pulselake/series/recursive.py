@@ -100,13 +100,16 @@ FIRST_VARIANCE, KEPT = 4.0, 0.9
 
 def fuse_step(var: dict[str, float], last: float | None, z: dict[str, float], lam: float = KEPT, start: float = FIRST_VARIANCE) -> tuple[float, float]:
     """Fused value and variance of one window's readings by sensor; updates the sensors' variances by the residual against the window before."""
-    w = {s: 1 / var.setdefault(s, start) for s in z}
-    total = sum(w.values())
-    fused = next(iter(z.values())) if len(z) == 1 else sum(w[s] * z[s] for s in z) / total
+    own = {s: var.setdefault(s, start) for s in z}
+    total = sum(1 / v for v in own.values())
+    alone = len(z) == 1  # then its value and variance as they are, without the rounding of two divisions
+    fused = next(iter(z.values())) if alone else sum(z[s] / own[s] for s in z) / total
+    spread = next(iter(own.values())) if alone else 1 / total
     if last is not None:
+        gain = round(1 - lam, 12)  # 0.1 of 0.9, not 0.09999999999999998
         for s in z:
-            var[s] = lam * var[s] + (1 - lam) * (z[s] - last) ** 2
-    return float(fused), 1 / total
+            var[s] = lam * var[s] + gain * (z[s] - last) ** 2
+    return float(fused), float(spread)
 
 
 def fuse_windows(readings: DataFrame, lam: float = KEPT, start: float = FIRST_VARIANCE) -> DataFrame:
