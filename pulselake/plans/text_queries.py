@@ -90,7 +90,7 @@ def related_terms(spark, sf_dir):
 @query("keyword_cooccurrence_all")
 def keyword_cooccurrence_all(spark, sf_dir):
     """Each term's three strongest partners of all pairs; keyword_cooccurrence counts the words its SQL names."""
-    return corpus.strongest(corpus.all_pairs(docs(spark, sf_dir)))
+    return corpus.strongest_partners(docs(spark, sf_dir))
 
 
 @query("related_terms_all")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -101,6 +104,114 @@ def strongest(edges: DataFrame, top: int = 3) -> DataFrame:
     return both.withColumn("nth", F.row_number().over(W.partitionBy("term").orderBy(F.desc("n"), "partner"))).where(F.col("nth") <= top)
 
 
+#: Pairs (with repeats) that a task of strongest_partners counts, which bounds its memory; ids of rows that it holds at a time.
+TASK_PAIRS, HELD_IDS = 1 << 25, 1 << 24
+
+
+def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of ids as little-endian bytes."""
+    for batch in batches:
+        col = batch.column("ids")
+        ends = col.offsets.to_numpy()
+        flat = np.ascontiguousarray(col.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], "<i4")
+        at = ((ends - ends[0]) * 4).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(at), pa.py_buffer(flat)])], ["ids"])
+
+
+def _term_ids(docs: DataFrame, least: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The terms of at least so many rows, numbered in alphabetical order (token, id), and each row's term numbers (ids, of four bytes each)."""
+    sets = docs.select(F.monotonically_increasing_id().alias("row"), F.array_distinct(_tokens_of(docs)).alias("t")).where(F.size("t") > 1)
+    sets = work.write(sets, "sets")
+    each = sets.select("row", F.explode("t").alias("token"))
+    counted = each.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("token")
+    ranged = work.write(counted.repartitionByRange("token").sortWithinPartitions("token").withColumn("part", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("part").count().withColumn("start", F.sum("count").over(W.orderBy("part")) - F.col("count"))  # a row a part
+    nth = F.row_number().over(W.partitionBy("part").orderBy("token"))
+    terms = work.write(ranged.withColumn("nth", nth).join(F.broadcast(before.select("part", "start")), "part").select("token", (F.col("start") + F.col("nth") - 1).cast("int").alias("id")), "terms")
+    lists = each.join(terms, "token").groupBy("row").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1).select("ids")
+    rows = work.write(lists.mapInArrow(_as_bytes, "ids binary"), "ids")  # bytes are copied whole where a list's entries would be one by one
+    work.drop(sets)
+    work.drop(ranged)
+    return terms, rows
+
+
+def _merged(found: tuple | None, ids: np.ndarray, n: np.ndarray) -> tuple:
+    """Counts of ids, added to those found before."""
+    if found is None:
+        return ids, n
+    both, place = np.unique(np.concatenate([found[0], ids]), return_inverse=True)
+    return both, np.bincount(place, np.concatenate([found[1], n])).astype(np.int32)
+
+
+def _partners(n_terms: int, n_blocks: int, top: int, least: int):
+    """Of the terms of one block (numbers equal to it modulo n_blocks): the partners in all rows, in batches (ids, block)."""
+
+    def count(rows: list, block: int, found: dict) -> None:
+        ids, size = np.concatenate(rows), np.array([len(r) for r in rows])
+        own = np.flatnonzero(ids % n_blocks == block)
+        own = own[np.argsort(ids[own], kind="stable")]
+        terms, row = ids[own], np.searchsorted(np.cumsum(size), own, side="right")
+        for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(terms)) + 1) if len(own) else ():
+            with_it = np.concatenate([rows[k] for k in row[part].tolist()])
+            if len(with_it) < 2 * n_terms:
+                other, n = np.unique(with_it, return_counts=True)
+            else:
+                n = np.bincount(with_it, minlength=n_terms)
+                other = np.flatnonzero(n)
+                n = n[other]
+            t = int(terms[part[0]])
+            found[t] = _merged(found.get(t), other.astype(np.int32), n.astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, block, found = [], 0, None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column("block")[0].as_py()
+            col = batch.column("ids")
+            ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1] // 4
+            ids = np.frombuffer(col.buffers()[2], "<i4")
+            rows += [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            held += int(ends[-1] - ends[0])
+            if held >= HELD_IDS:
+                count(rows, block, found)
+                rows, held = [], 0
+        if rows:
+            count(rows, block, found)
+        out = []
+        for t, (other, n) in found.items():
+            keep = (n >= least) & (other != t)
+            other, n = other[keep], n[keep]
+            if len(n) > top:
+                keep = n >= np.partition(n, len(n) - top)[len(n) - top]
+                other, n = other[keep], n[keep]
+            best = np.lexsort((other, -n))[:top]
+            out += [(t, o, c, k) for k, (o, c) in enumerate(zip(other[best].tolist(), n[best].tolist()), 1)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int32()))], ["a", "b", "n", "nth"])
+
+    return run
+
+
+def strongest_partners(docs: DataFrame, top: int = 3, least: int = 2, work: Scratch | None = None) -> DataFrame:
+    """strongest(all_pairs(docs)), exactly, without a shuffle of pairs.
+
+    Terms are dealt into blocks of about TASK_PAIRS pairs. A task reads all rows, as written term
+    numbers, and counts the partners of its block's terms; only the few strongest leave it. So the
+    disk holds the rows' numbers alone, and the rows are read once a block.
+    """
+    work = work or Scratch(docs.sparkSession, "partners")
+    terms, rows = _term_ids(docs, least, work)
+    n_terms = terms.count()
+    pairs = rows.agg(F.sum((F.length("ids") / 4).cast("long") * (F.length("ids") / 4).cast("long"))).first()[0] or 0
+    n_blocks = max(docs.sparkSession.sparkContext.defaultParallelism * 4, -(-pairs // TASK_PAIRS))
+    blocks = docs.sparkSession.range(0, n_blocks, 1, n_blocks).select(F.col("id").cast("int").alias("block"))
+    dealt = rows.coalesce(1).crossJoin(blocks.hint("shuffle_replicate_nl"))  # a partition is all rows with one block; nothing is shuffled
+    best = work.write(dealt.mapInArrow(_partners(n_terms, n_blocks, top, least), "a int, b int, n long, nth int"), "best")
+    name = lambda k, to: terms.select(F.col("id").alias(k), F.col("token").alias(to))
+    return best.join(name("a", "term"), "a").join(name("b", "partner"), "b").select("term", "partner", "n", "nth")
+
+
 def related_terms(edges: DataFrame, start: str, depth: int = 2, top: int = 20) -> DataFrame:
     """Terms within depth undirected steps of a term, first top by name."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
