@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.functions.scalar import bucket, lookup, rnd, stable_id
+from pulselake.functions.scalar import bucket, lookup, mean, rnd, stable_id
 
 UNITS = {"heart_rate": "bpm", "spo2": "%", "hrv": "ms", "steps": "count", "stress_index": "index"}
 #: metric: (low, high, critical high)
@@ -39,7 +39,7 @@ def reconcile(readings: DataFrame, window_seconds: int = 5) -> DataFrame:
         {"window_start": bucket(F.col("timestamp_utc"), window_seconds), "activity": context(F.col("raw_payload"), "activity_context"), "sleep": context(F.col("raw_payload"), "sleep_context")}
     )
     grouped = given.groupBy("patient_id", "metric_type", "window_start").agg(
-        F.avg("metric_value").alias("value"),
+        mean(F.col("metric_value"), 3).alias("value"),
         F.coalesce(F.stddev_samp("metric_value"), F.lit(0.0)).alias("std"),
         F.sort_array(F.collect_set("device_id")).alias("devices_involved"),
         F.count("event_id").cast("int").alias("reading_count"),

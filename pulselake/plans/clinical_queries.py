@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulselake.clinical import alerts, rules, scores
+from pulselake.functions.scalar import mean
 from pulselake.plans import views
 from pulselake.plans.base import Registry
 from pulselake.plans.views import SILVER_SQL, rnd
@@ -200,16 +201,10 @@ def event_predictions(spark, sf_dir):
 def patient_evidence(spark, sf_dir):
     """Scores of each patient in 0 to 1, out of silver.
 
-    Its values have two decimals, so a mean is taken of whole hundredths: one that lies at a limit
-    does so in any order of the rows.
+    Its values have two decimals, so a mean at a limit does not hang on the order of the rows.
     """
     s = views.silver(spark, sf_dir)
-
-    def mean(v):
-        small = F.when(F.abs(v) < 1e9, F.round(v * 100).cast("long"))  # others, and those that are no numbers, as they are
-        return F.when(F.count(small) == F.count(v), F.sum(small) / (100 * F.count(v))).otherwise(F.avg(v))
-
-    risk = lambda m, lo, hi: F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (mean(F.when(F.col("metric_type") == m, F.col("metric_value"))) - lo) / (hi - lo))), F.lit(0.0))
+    risk = lambda m, lo, hi: F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (mean(F.when(F.col("metric_type") == m, F.col("metric_value")), 2) - lo) / (hi - lo))), F.lit(0.0))
     return s.groupBy("patient_id").agg(risk("heart_rate", 60.0, 140.0).alias("wearable"), (1 - risk("spo2", 88.0, 99.0)).alias("prognostic"), risk("stress_index", 0.0, 90.0).alias("fuzzy"), risk("hrv", 150.0, 0.0).alias("ghost"), F.avg("anomaly_score").alias("fp_probability"), F.array(F.when(F.max("anomaly_score") > 0.5, F.lit("heart failure")).otherwise(F.lit("asthma"))).alias("conditions"))
 
 
