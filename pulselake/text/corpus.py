@@ -104,35 +104,59 @@ def strongest(edges: DataFrame, top: int = 3) -> DataFrame:
     return both.withColumn("nth", F.row_number().over(W.partitionBy("term").orderBy(F.desc("n"), "partner"))).where(F.col("nth") <= top)
 
 
-#: Pairs (with repeats) that a task of strongest_partners counts, which bounds its memory; ids of rows that it holds at a time.
-TASK_PAIRS, HELD_IDS = 1 << 25, 1 << 24
+#: Ids of rows that a task of strongest_partners holds at a time; pairs (with repeats) that it counts if the rows are more than that.
+HELD_IDS, TASK_PAIRS = 3 << 26, 1 << 26
+#: Most frequent terms, whose partners are counted first; sizes of vocabulary, halved each time, by which rows can be cut; numbers in a row of names.
+FIRST_TERMS, CUTS, NAMES = 64, 16, 1 << 16
 
 
-def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of ids as little-endian bytes."""
+def _as_bytes(n_terms: int, n_cuts: int):
+    """Lists of ids as little-endian bytes, sorted, each with its number of ids below every size of vocabulary."""
+    limits = np.array([-(-n_terms >> k) for k in range(n_cuts)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column("ids")
+            ends = col.offsets.to_numpy()
+            flat, ends = col.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64)
+            row = np.repeat(np.arange(len(col)), np.diff(ends))
+            keyed = np.sort(row * (n_terms + 1) + flat)
+            cut = np.searchsorted(keyed, np.arange(len(col))[:, None] * (n_terms + 1) + limits) - ends[:-1, None]
+            binary = lambda at, values: pa.BinaryArray.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values, "<i4"))])
+            yield pa.RecordBatch.from_arrays([binary(ends * 4, keyed - row * (n_terms + 1)), binary(np.arange(len(col) + 1) * 4 * n_cuts, cut)], ["ids", "cuts"])
+
+    return run
+
+
+def _names_as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of names as little-endian bytes."""
     for batch in batches:
-        col = batch.column("ids")
-        ends = col.offsets.to_numpy()
-        flat = np.ascontiguousarray(col.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], "<i4")
-        at = ((ends - ends[0]) * 4).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(at), pa.py_buffer(flat)])], ["ids"])
+        packed = [np.asarray(v.values, "<i4").tobytes() for v in batch.column("ids")]
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column("first")], ["ids", "first"])
+
+
+def _numbered(df: DataFrame, work: Scratch, name: str, *order: Column) -> DataFrame:
+    """df with name, its rows' numbers from 0 in an order."""
+    ranged = work.write(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("part").count().withColumn("start", F.sum("count").over(W.orderBy("part")) - F.col("count"))  # a row a part
+    nth = F.row_number().over(W.partitionBy("part").orderBy(*order))
+    out = work.write(ranged.withColumn("nth", nth).join(F.broadcast(before.select("part", "start")), "part").select(*df.columns, (F.col("start") + F.col("nth") - 1).cast("int").alias(name)), name)
+    work.drop(ranged)
+    return out
 
 
-def _term_ids(docs: DataFrame, least: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The terms of at least so many rows, numbered in alphabetical order (token, id), and each row's term numbers (ids, of four bytes each)."""
+def _term_ids(docs: DataFrame, least: int, work: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """The terms of at least so many rows, numbered by falling frequency (token, df, name, id; name numbers them alphabetically), each row's term numbers (ids and cuts, of four bytes each), and the number of terms."""
     sets = docs.select(F.monotonically_increasing_id().alias("row"), F.array_distinct(_tokens_of(docs)).alias("t")).where(F.size("t") > 1)
     sets = work.write(sets, "sets")
     each = sets.select("row", F.explode("t").alias("token"))
-    counted = each.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("token")
-    ranged = work.write(counted.repartitionByRange("token").sortWithinPartitions("token").withColumn("part", F.spark_partition_id()), "ranged")
-    before = ranged.groupBy("part").count().withColumn("start", F.sum("count").over(W.orderBy("part")) - F.col("count"))  # a row a part
-    nth = F.row_number().over(W.partitionBy("part").orderBy("token"))
-    terms = work.write(ranged.withColumn("nth", nth).join(F.broadcast(before.select("part", "start")), "part").select("token", (F.col("start") + F.col("nth") - 1).cast("int").alias("id")), "terms")
-    lists = each.join(terms, "token").groupBy("row").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1).select("ids")
-    rows = work.write(lists.mapInArrow(_as_bytes, "ids binary"), "ids")  # bytes are copied whole where a list's entries would be one by one
+    counted = each.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    terms = _numbered(_numbered(counted, work, "name", F.col("token")), work, "id", F.desc("df"), F.col("name"))
+    n_terms = terms.count()
+    lists = each.join(terms.select("token", "id"), "token").groupBy("row").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1).select("ids")
+    rows = work.write(lists.mapInArrow(_as_bytes(n_terms, CUTS), "ids binary, cuts binary"), "ids")  # bytes are copied whole where a list's entries would be one by one
     work.drop(sets)
-    work.drop(ranged)
-    return terms, rows
+    return terms, rows, n_terms
 
 
 def _merged(found: tuple | None, ids: np.ndarray, n: np.ndarray) -> tuple:
@@ -143,50 +167,101 @@ def _merged(found: tuple | None, ids: np.ndarray, n: np.ndarray) -> tuple:
     return both, np.bincount(place, np.concatenate([found[1], n])).astype(np.int32)
 
 
-def _partners(n_terms: int, n_blocks: int, top: int, least: int):
-    """Of the terms of one block (numbers equal to it modulo n_blocks): the partners in all rows, in batches (ids, block)."""
-
-    def count(rows: list, block: int, found: dict) -> None:
-        ids, size = np.concatenate(rows), np.array([len(r) for r in rows])
-        own = np.flatnonzero(ids % n_blocks == block)
-        own = own[np.argsort(ids[own], kind="stable")]
-        terms, row = ids[own], np.searchsorted(np.cumsum(size), own, side="right")
-        for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(terms)) + 1) if len(own) else ():
-            with_it = np.concatenate([rows[k] for k in row[part].tolist()])
-            if len(with_it) < 2 * n_terms:
-                other, n = np.unique(with_it, return_counts=True)
-            else:
-                n = np.bincount(with_it, minlength=n_terms)
-                other = np.flatnonzero(n)
-                n = n[other]
-            t = int(terms[part[0]])
-            found[t] = _merged(found.get(t), other.astype(np.int32), n.astype(np.int32))
+def _counted(ids: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids below size with their counts, those of at least so many."""
+    if size <= 8 * len(ids):
+        n = np.bincount(ids, minlength=size)
+        found = np.flatnonzero(n >= least)
+        return found.astype(np.int32), n[found].astype(np.int32)
+    ids.sort()
+    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    n = np.diff(np.append(at, len(ids)))
+    return ids[at[n >= least]], n[n >= least].astype(np.int32)
+
+
+def _partners(n_terms: int, n_ids: int, sizes: list, n_blocks: int, top: int, least: int, held: int):
+    """Of the terms of one block (numbers equal to it modulo n_blocks): the partners in all rows, in batches (ids, cuts, first, block), where a row with first holds names from that number on.
+
+    sizes: (df, number of terms of at least that df), rising. If all rows are held, a term's partners
+    among the most frequent terms are counted first. The top-th of them has a count that a partner must
+    reach, and so must the partner's own df, so that only the terms of such df are counted in the term's rows.
+    """
+    whole, k_first, n_cuts, slice_ = n_ids <= held, min(FIRST_TERMS, n_terms), CUTS, 1 << 22
+    limits = np.array([-(-n_terms >> k) for k in range(n_cuts)])
+    dfs, above = np.array([d for d, _ in sizes]), np.array([n for _, n in sizes])
+
+    def count(flat: np.ndarray, ends: np.ndarray, cuts: np.ndarray, block: int):
+        """(term, least count, partners, counts) of the block's terms over the rows held."""
+        pieces = [(a, flat[a : a + slice_]) for a in range(0, len(flat), slice_)]
+        own = np.concatenate([np.flatnonzero(part % n_blocks == block) + a for a, part in pieces])
+        own = own[np.argsort(flat[own], kind="stable")]
+        terms, row = flat[own], np.searchsorted(ends, own, side="right")
+        starts = np.concatenate([[0], ends[:-1]])
+        if whole:
+            first = np.zeros((len(ends), k_first), np.uint8)
+            for a, part in pieces:
+                at = np.flatnonzero(part < k_first)
+                first[np.searchsorted(ends, at + a, side="right"), part[at]] = 1
+        for rows in np.split(np.arange(len(own)), np.flatnonzero(np.diff(terms)) + 1) if len(own) else ():
+            t, rows, bound = int(terms[rows[0]]), row[rows], least
+            if whole and k_first > top:
+                n = np.add.reduce(first[rows], axis=0, dtype=np.int32)
+                n[t : t + 1] = 0
+                bound = max(least, int(np.partition(n, k_first - top)[k_first - top]))
+            at = np.searchsorted(dfs, bound)
+            cut = int(np.searchsorted(-limits, -above[at], side="right")) - 1 if at < len(above) else n_cuts - 1
+            a = starts[rows]
+            with_it = np.concatenate([flat[x:y] for x, y in zip(a.tolist(), (a + cuts[rows, cut]).tolist())])
+            yield t, bound, *_counted(with_it, int(limits[cut]), bound if whole else 1)
+
+    def unpacked(col: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the lists, from 0, and their numbers."""
+        ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1] // 4
+        return ends - ends[0], np.frombuffer(col.buffers()[2], "<i4")[ends[0] : ends[-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, block, found = [], 0, None, {}
+        flat, size, cuts, held_ids, block, found = np.empty(min(n_ids, held), np.int32), [], [], 0, None, {}
+        name, out = np.empty(n_terms, np.int32), []
+
+        def keep(t: int, bound: int, other: np.ndarray, n: np.ndarray) -> None:
+            at = (n >= bound) & (other != t)
+            other, n = other[at], n[at]
+            if len(n) > top:
+                at = n >= np.partition(n, len(n) - top)[len(n) - top]
+                other, n = other[at], n[at]
+            best = np.lexsort((name[other], -n))[:top]
+            out.extend((t, o, c, k) for k, (o, c) in enumerate(zip(other[best].tolist(), n[best].tolist()), 1))
+
+        def taken():
+            return count(flat[:held_ids], np.cumsum(np.concatenate(size)), np.concatenate(cuts), block)
+
         for batch in batches:
+            named = batch.filter(batch.column("first").is_valid())
+            for values, start in zip(named.column("ids"), named.column("first").to_pylist()):
+                values = np.frombuffer(values.as_buffer(), "<i4")
+                name[start : start + len(values)] = values
+            batch = batch.filter(batch.column("first").is_null())
             if not batch.num_rows:
                 continue
             block = batch.column("block")[0].as_py()
-            col = batch.column("ids")
-            ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1] // 4
-            ids = np.frombuffer(col.buffers()[2], "<i4")
-            rows += [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            held += int(ends[-1] - ends[0])
-            if held >= HELD_IDS:
-                count(rows, block, found)
-                rows, held = [], 0
-        if rows:
-            count(rows, block, found)
-        out = []
-        for t, (other, n) in found.items():
-            keep = (n >= least) & (other != t)
-            other, n = other[keep], n[keep]
-            if len(n) > top:
-                keep = n >= np.partition(n, len(n) - top)[len(n) - top]
-                other, n = other[keep], n[keep]
-            best = np.lexsort((other, -n))[:top]
-            out += [(t, o, c, k) for k, (o, c) in enumerate(zip(other[best].tolist(), n[best].tolist()), 1)]
+            ends, values = unpacked(batch.column("ids"))
+            if held_ids + len(values) > len(flat):
+                for t, _, *more in taken() if size else ():
+                    found[t] = _merged(found.get(t), *more)
+                size, cuts, held_ids = [], [], 0
+                flat = flat if len(values) <= len(flat) else np.empty(len(values), np.int32)
+            flat[held_ids : held_ids + len(values)] = values
+            held_ids += len(values)
+            size.append(np.diff(ends))
+            cuts.append(unpacked(batch.column("cuts"))[1].reshape(-1, n_cuts).copy())
+        if size:
+            for t, bound, *more in taken():
+                if whole:
+                    keep(t, bound, *more)
+                else:
+                    found[t] = _merged(found.get(t), *more)
+        for t, more in found.items():
+            keep(t, least, *more)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int32()))], ["a", "b", "n", "nth"])
 
@@ -196,18 +271,25 @@ def _partners(n_terms: int, n_blocks: int, top: int, least: int):
 def strongest_partners(docs: DataFrame, top: int = 3, least: int = 2, work: Scratch | None = None) -> DataFrame:
     """strongest(all_pairs(docs)), exactly, without a shuffle of pairs.
 
-    Terms are dealt into blocks of about TASK_PAIRS pairs. A task reads all rows, as written term
-    numbers, and counts the partners of its block's terms; only the few strongest leave it. So the
-    disk holds the rows' numbers alone, and the rows are read once a block.
+    Terms are dealt into blocks. A task reads all rows, as written term numbers, and counts the
+    partners of its block's terms; only the few strongest leave it. So the disk holds the rows' numbers
+    alone, and the rows are read once a block: four blocks a core, or blocks of about TASK_PAIRS
+    pairs where the rows are more than a task holds and counts have to be kept instead.
     """
     work = work or Scratch(docs.sparkSession, "partners")
-    terms, rows = _term_ids(docs, least, work)
-    n_terms = terms.count()
-    pairs = rows.agg(F.sum((F.length("ids") / 4).cast("long") * (F.length("ids") / 4).cast("long"))).first()[0] or 0
-    n_blocks = max(docs.sparkSession.sparkContext.defaultParallelism * 4, -(-pairs // TASK_PAIRS))
+    terms, rows, n_terms = _term_ids(docs, least, work)
+    lists = terms.groupBy(F.floor(F.col("id") / NAMES).alias("k")).agg(F.sort_array(F.collect_list(F.struct("id", "name"))).alias("l")).select(F.col("l.name").alias("ids"), F.col("l.id")[0].alias("first"))
+    names = work.write(lists.mapInArrow(_names_as_bytes, "ids binary, first int").select("ids", F.lit(None).cast("binary").alias("cuts"), "first"), "names")
+    n_ids, pairs = rows.select((F.length("ids") / 4).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()
+    sizes, n = [], 0
+    for df, with_df in terms.groupBy("df").agg(F.count("*")).orderBy(F.desc("df")).collect():  # a row a frequency
+        n += with_df
+        sizes.insert(0, (df, n))
+    n_blocks = max(docs.sparkSession.sparkContext.defaultParallelism * 4, -(-pairs // TASK_PAIRS) if n_ids > HELD_IDS else 0)
     blocks = docs.sparkSession.range(0, n_blocks, 1, n_blocks).select(F.col("id").cast("int").alias("block"))
-    dealt = rows.coalesce(1).crossJoin(blocks.hint("shuffle_replicate_nl"))  # a partition is all rows with one block; nothing is shuffled
-    best = work.write(dealt.mapInArrow(_partners(n_terms, n_blocks, top, least), "a int, b int, n long, nth int"), "best")
+    given = rows.withColumn("first", F.lit(None).cast("int")).unionByName(names)
+    dealt = given.coalesce(1).crossJoin(blocks.hint("shuffle_replicate_nl"))  # a partition is all rows with one block; nothing is shuffled
+    best = work.write(dealt.mapInArrow(_partners(n_terms, n_ids, sizes, n_blocks, top, least, HELD_IDS), "a int, b int, n long, nth int"), "best")
     name = lambda k, to: terms.select(F.col("id").alias(k), F.col("token").alias(to))
     return best.join(name("a", "term"), "a").join(name("b", "partner"), "b").select("term", "partner", "n", "nth")
 
