@@ -174,9 +174,9 @@ def _counted(ids: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.nda
         found = np.flatnonzero(n >= least)
         return found.astype(np.int32), n[found].astype(np.int32)
     ids.sort()
-    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    n = np.diff(np.append(at, len(ids)))
-    return ids[at[n >= least]], n[n >= least].astype(np.int32)
+    at = (ids[least - 1 :] == ids[: max(0, len(ids) - least + 1)]).nonzero()[0]  # so many in a row
+    at = at[np.diff(ids[at], prepend=-1) != 0]
+    return ids[at], (np.searchsorted(ids, ids[at], side="right") - at).astype(np.int32)
 
 
 def _partners(n_terms: int, n_ids: int, sizes: list, n_blocks: int, top: int, least: int, held: int):
@@ -226,10 +226,9 @@ def _partners(n_terms: int, n_ids: int, sizes: list, n_blocks: int, top: int, le
         def keep(t: int, bound: int, other: np.ndarray, n: np.ndarray) -> None:
             at = (n >= bound) & (other != t)
             other, n = other[at], n[at]
-            if len(n) > top:
-                at = n >= np.partition(n, len(n) - top)[len(n) - top]
-                other, n = other[at], n[at]
-            best = np.lexsort((name[other], -n))[:top]
+            order = (n.astype(np.int64) << 32) - name[other]  # by count, then by name
+            best = order.argpartition(len(n) - top)[len(n) - top :] if len(n) > top else np.arange(len(n))
+            best = best[order[best].argsort()[::-1]]
             out.extend((t, o, c, k) for k, (o, c) in enumerate(zip(other[best].tolist(), n[best].tolist()), 1))
 
         def taken():
